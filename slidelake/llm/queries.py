@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bagminhash import near_classes
 from .common import table
 from .exact_dedup import exact_groups
+from .langid import languages
 from .mixing import mixed
 from .sharding import sharded
+from .token_count import token_counts
+from .unigram import encoded
 
 
 def op1_mixing(spark, sf_dir):
@@ -16,11 +20,30 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_near_dedup(spark, sf_dir):
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark, sf_dir):
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark, sf_dir):
     return sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_exact_dedup, op8_sharding)}
+def op9_sentencepiece(spark, sf_dir):
+    return encoded(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op4_exact_dedup, op5_token_counts, op6_near_dedup, op7_language_id, op8_sharding, op9_sentencepiece)
+}
 
 ORACLE = {
     "op4_exact_dedup": r"""
