@@ -5,17 +5,28 @@ from __future__ import annotations
 from .bagminhash import near_classes
 from .common import table
 from .exact_dedup import exact_groups
+from .fingerprint import digests
+from .html_blocks import extracted
 from .langid import languages
 from .mixing import mixed
 from .sharding import sharded
 from .token_count import token_counts
 from .unigram import encoded
+from .warc import archived
 
 
 def op1_mixing(spark, sf_dir):
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op2_fingerprints(spark, sf_dir):
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark, sf_dir):
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -40,12 +51,29 @@ def op9_sentencepiece(spark, sf_dir):
     return encoded(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark, sf_dir):
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op4_exact_dedup, op5_token_counts, op6_near_dedup, op7_language_id, op8_sharding, op9_sentencepiece)
+    for f in (
+        op1_mixing, op2_fingerprints, op3_warc, op4_exact_dedup, op5_token_counts, op6_near_dedup,
+        op7_language_id, op8_sharding, op9_sentencepiece, op10_html_extraction,
+    )
 }
 
 ORACLE = {
+    "op3_warc": r"""
+        WITH p AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                 coalesce(html, '') AS payload
+          FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS original FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
+        FROM m""",
     "op4_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -202,13 +202,23 @@ class Encoder:
         return text[1:] if len(ids) else text
 
 
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder_of(pieces: Pieces, name: tuple[str, str]) -> Encoder:
+    """This Python worker's encoder for the model; workers live on from task to task, and with them what the encoder remembers."""
+    if name not in _encoders:
+        _encoders[name] = Encoder(pieces)
+    return _encoders[name]
+
+
 def encoded(docs: DataFrame, model: str = MODEL, scores: str = "zipf", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id, n_chars, n_pieces, ids, exact (decoding the ids gives the text)."""
     held = docs.sparkSession.sparkContext.broadcast(read_pieces(model, scores))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(held.value)
+        encoder = encoder_of(held.value, (model, scores))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 lot = batch.slice(at, 1000)
@@ -225,15 +235,15 @@ def encoded(docs: DataFrame, model: str = MODEL, scores: str = "zipf", id_col: s
     return rows.mapInArrow(run, f"id {kind}, n_chars long, n_pieces long, ids array<int>, exact boolean").withColumnRenamed("id", id_col)
 
 
-def decoded(rows: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:
+def decoded(rows: DataFrame, model: str = MODEL, scores: str = "zipf", ids_col: str = "ids") -> DataFrame:
     """rows with their ids' text as the column `text`; null ids give null."""
-    held = rows.sparkSession.sparkContext.broadcast(read_pieces(model))
+    held = rows.sparkSession.sparkContext.broadcast(read_pieces(model, scores))
 
     @F.pandas_udf("string")
     def text(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        encoder = Encoder(held.value)
+        encoder = encoder_of(held.value, (model, scores))
         for ids in batches:
             yield pd.Series([None if x is None else encoder.decode(np.asarray(x)) for x in ids], dtype=object)
 
