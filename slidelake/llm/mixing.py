@@ -71,7 +71,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, reserve: in
     left = counts - taken
     if not left.any():
         return taken
-    top = rest + int(lengths[left > 0].min())
+    top = min(rest + int(lengths[left > 0].max()), 2 * rest)  # taking nothing more is no farther than that
     by = np.full(top + 1, -1, dtype=np.int32)
     by[0] = 0
     items: list[tuple[int, int]] = [(0, 0)]
