@@ -240,7 +240,7 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     shares = [k / (4 * partitions) for k in range(1, 4 * partitions)]
     cuts = rows.agg(F.percentile_approx("id", F.array(*[F.lit(x) for x in shares]), F.lit(100_000))).first()[0] or []
-    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    splits = [-float("inf"), *sorted({float(c) for c in cuts} or {0.0}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="place", outputCol="bucket", handleInvalid="keep")
     lot = F.when(F.col("id").isNull(), F.lit(len(splits))).otherwise(F.lit(len(splits)) - 1 - F.col("bucket")).cast("int")
     rows = ranged.transform(rows.withColumn("place", F.col("id").cast("double"))).withColumn("lot", lot).drop("place", "bucket")

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,9 +241,7 @@ def decoded(rows: DataFrame, model: str = MODEL, scores: str = "zipf", ids_col:
     held = rows.sparkSession.sparkContext.broadcast(read_pieces(model, scores))
 
     @F.pandas_udf("string")
-    def text(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = encoder_of(held.value, (model, scores))
         for ids in batches:
             yield pd.Series([None if x is None else encoder.decode(np.asarray(x)) for x in ids], dtype=object)
