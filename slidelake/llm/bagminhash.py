@@ -7,9 +7,9 @@ the weighted Jaccard similarity. Points are drawn in order of time up to a horiz
 full, so the work is one draw a shingle and a fixed number of draws a document.
 
 Documents that share a band of registers are candidates. In each bucket all members are compared with two leaders;
-connected components follow; buckets that still hold several components have the pairs across components compared
-as well. So no candidate pair of different components goes uncompared, and members that a leader already joins
-cause no pairs. Copies meet before all this, as one node.
+connected components follow; in buckets that still hold several components, members are compared across components,
+in blocks. So no candidate pair of different components goes uncompared, and members that a leader already joins
+cause no work. Copies meet before all this, as one node.
 
 Defined results: texts with one to four words have one shingle of all words. Null texts and texts without a word
 have no shingle and are classes of their own. A row with a null id has a null class and takes no part. Rows that
@@ -35,6 +35,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 6
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 22
+#: Members and askers of a bucket that meet in one block, about.
+MEMBERS, ASKERS = 1024, 256
 
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x5851F42D4C957F2D)
@@ -256,35 +258,85 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def expanded(h: np.ndarray) -> np.ndarray:
+    """The sorted multiset as a sorted set: the k-th of equal shingles gets a hash of its own."""
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    first = np.flatnonzero(new)
+    turn = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return np.sort(mix(h + turn.astype(np.uint64) * M3))
+
+
+def block_links(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Of one block: links from each query to members of other labels, the smallest node of each label.
+
+    All members' shingles lie in one sorted array; a query looks its own up and counts by member.
+    """
+    sets: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(pdf)
+    for at, lot in document_words(pdf["text"].tolist()):
+        for i, w in zip(at, lot, strict=True):
+            sets[i] = expanded(shingles(w)) if len(w) else w
+    node, label, asks = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["asks"].to_numpy(dtype=bool)
+    members = np.flatnonzero(~asks)
+    size = np.array([len(sets[i]) for i in members])
+    keys = np.concatenate([sets[i] for i in members] or [np.zeros(0, dtype=np.uint64)])
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], np.repeat(np.arange(len(members)), size)[order]
+    out = []
+    for q in np.flatnonzero(asks):
+        low, high = np.searchsorted(keys, sets[q], "left"), np.searchsorted(keys, sets[q], "right")
+        n = high - low
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        both = np.bincount(owner[at], minlength=len(members))
+        near = members[(both >= similarity * (len(sets[q]) + size - both)) & (label[members] != label[q])]
+        best: dict[int, int] = {}
+        for i in near:
+            best[label[i]] = min(best.get(label[i], node[i]), node[i])
+        out += [(min(node[q], x), max(node[q], x)) for x in best.values()]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def links_across(members: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of one bucket that have different labels so far, for buckets of four or more.
+
+    (In smaller ones the leaders have met everyone.) Members outside the bucket's most frequent label ask all members.
+    Askers and members meet in blocks: each block of askers with each block of members, so that no task holds a whole
+    bucket and pairs are never rows.
+    """
+    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    kinds = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    open_ = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k")).filter("n > 3 AND k > 1")
+    open_ = written(open_.select("bucket", F.col("top.label").alias("major"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("mb"), F.ceil((F.col("n") - F.col("top.n")) / ASKERS).cast("int").alias("ab")), "open")
+    held = named.join(open_, "bucket")
+    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    member = F.transform(spread("ab"), lambda i: F.struct(i.alias("a"), own("mb", 1).alias("m"), F.lit(False).alias("asks")))
+    asker = F.transform(spread("mb"), lambda i: F.struct(own("ab", 2).alias("a"), i.alias("m"), F.lit(True).alias("asks")))
+    roles = F.when(F.col("label") == F.col("major"), member).otherwise(F.concat(member, asker))
+    dealt = held.select("bucket", "node", "label", F.explode(roles).alias("r")).select("bucket", "r.*", "node", "label").join(texts, "node")
+    return dealt.groupBy("bucket", "a", "m").applyInPandas(lambda pdf: block_links(pdf, similarity), "a long, b long").distinct()
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """For every row: id, class_id (the smallest id of its class), n_links (verified links of its text to different texts)."""
+    """For every row: id, class_id (the smallest id of its class)."""
     signs = written(signed(docs, id_col, text_col, bands, rows), "signs")
     reps = written(signs.filter("copy IS NOT NULL").groupBy("copy").agg(F.min("id").alias("node")), "reps")
     held = signs.join(reps.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), F.explode("buckets").alias("bucket"))
-    shared = written(held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").drop("n"), "shared")
+    shared = written(held.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"), "shared")
     members = written(held.join(shared, "bucket"), "members")
-    spokes = members.select("bucket", F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("e"))
+    spokes = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("e"))
     pairs = written(spokes.filter("e.a < e.b").select("e.a", "e.b").distinct(), "pairs")
     wanted = members.select("node").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     texts = written(texts.join(wanted, "node", "left_semi"), "texts")
     links = written(verified(pairs, texts, similarity), "links")
     labels = components(links)
-    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    open_ = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
-    apart = written(named.join(open_, "bucket"), "apart")
-    other = apart.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    across = apart.join(other, "bucket").filter("label <> label_b AND node < b").select(F.col("node").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    across = written(across, "across")
-    more = written(verified(across, texts, similarity), "links")
+    more = written(links_across(members, labels, texts, similarity), "links")
     if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = reps.join(labels, "node", "left").join(degree, "node", "left")
-    classes = written(classes.select("copy", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    known = signs.select("id", "copy").join(classes, "copy", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    unnamed = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        labels = components(links.union(more))
+    classes = reps.join(labels, "node", "left")
+    classes = written(classes.select("copy", F.coalesce("label", "node").alias("class_id")), "classes")
+    known = signs.select("id", "copy").join(classes, "copy", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+    unnamed = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"))
     return known.unionByName(unnamed)
 
 
