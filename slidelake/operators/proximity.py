@@ -153,7 +153,7 @@ def correlations(long: DataFrame, distances: DataFrame, key: str, distance: str,
     met = long.join(distances.select(key, F.col(distance).alias("d")), key).filter(F.col("value").isNotNull() & ~F.isnan("value") & F.col("d").isNotNull() & ~F.isnan("d"))
     if method == "spearman":
         met = met.select("feature", average_rank("value", "feature").alias("value"), average_rank("d", "feature").alias("d"))
-    stats = met.groupBy("feature").agg(F.count("*").alias("n"), F.corr("value", "d").alias("r"), F.var_samp("value").alias("v"))
+    stats = met.groupBy("feature").agg(F.count("*").alias("n"), F.try_divide(F.covar_samp("value", "d"), F.stddev_samp("value") * F.stddev_samp("d")).alias("r"), F.var_samp("value").alias("v"))
     return stats.filter("n >= 2 AND v > 0").select("feature", "n", "r", t_probability_udf("r", "n").alias("p")).orderBy(F.abs("r").desc_nulls_last(), F.col("p").asc_nulls_last(), "feature")
 
 
