@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from ..sources.work import written
 from .regions import associate
 
 
@@ -16,11 +17,11 @@ def nearest(query: DataFrame, target: DataFrame, qkey: str, tkey: str, side: flo
     """Each query point's nearest target by Euclidean distance, the smallest target key on ties.
 
     Points fall into square cells. A query looks into the 3x3 cells about its own; what it finds within one side is
-    certain. Queries without a certain answer go on with cells four times as large, until the last few rounds cover
-    the whole extent. Each round joins on cells, and only what is left takes part in the next.
+    certain. Queries without a certain answer go on with cells four times as large, until a cell covers the whole
+    extent. Each round joins on cells and is written; only what is left takes part in the next.
     """
-    targets = target.select(F.col(tkey).alias("t_key"), F.col("x").cast("double").alias("tx"), F.col("y").cast("double").alias("ty"))
-    left = query.select(F.col(qkey).alias("q_key"), F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy"))
+    targets = written(target.select(F.col(tkey).alias("t_key"), F.col("x").cast("double").alias("tx"), F.col("y").cast("double").alias("ty")), "targets")
+    left = asking = written(query.select(F.col(qkey).alias("q_key"), F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy")), "asking")
     box = targets.agg(F.count("*").alias("n"), F.min("tx").alias("x0"), F.max("tx").alias("x1"), F.min("ty").alias("y0"), F.max("ty").alias("y1")).first()
     own = left.agg(F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1")).first()
     empty = left.select("q_key", F.lit(None).cast(targets.schema["t_key"].dataType).alias("t_key"), F.lit(None).cast("double").alias("distance_px"))
@@ -41,7 +42,7 @@ def nearest(query: DataFrame, target: DataFrame, qkey: str, tkey: str, side: flo
         d = F.sqrt((F.col("qx") - F.col("tx")) * (F.col("qx") - F.col("tx")) + (F.col("qy") - F.col("ty")) * (F.col("qy") - F.col("ty")))
         best = met.groupBy("q_key").agg(F.min(F.struct(d.alias("d"), F.col("t_key").alias("t"))).alias("best"))
         sure = best if last else best.filter(F.col("best.d") <= side)
-        sure = sure.select("q_key", F.col("best.t").alias("t_key"), F.col("best.d").alias("distance_px"))
+        sure = written(sure.select("q_key", F.col("best.t").alias("t_key"), F.col("best.d").alias("distance_px")), "nearest")
         found = sure if found is None else found.unionByName(sure)
         if last:
             break
@@ -49,7 +50,7 @@ def nearest(query: DataFrame, target: DataFrame, qkey: str, tkey: str, side: flo
         if left.isEmpty():
             break
         side *= 4
-    out = query.select(F.col(qkey).alias("q_key")).join(found, "q_key", "left")
+    out = asking.select("q_key").join(found, "q_key", "left")
     return out.select(F.col("q_key").alias(qkey), F.col("t_key").alias("nearest_id"), "distance_px")
 
 
@@ -63,7 +64,7 @@ def proximity(points: DataFrame, rois: DataFrame, query_rois: list[str], target_
     """Finite points of the query regions with their nearest point of the target regions; µm by the mean pixel size."""
     finite = points.filter(~F.isnan("x") & ~F.isnan("y") & F.col("x").isNotNull() & F.col("y").isNotNull() & (F.abs("x") != float("inf")) & (F.abs("y") != float("inf")))
     of = lambda ids: associate(finite, rois.filter(F.col("roi_id").isin(ids))).filter("roi_id IS NOT NULL")
-    query, target = of(query_rois), of(target_rois)
+    query, target = written(of(query_rois), "query"), written(of(target_rois), "target")
     near = nearest(query, target, key, key)
     named = target.select(F.col(key).alias("nearest_id"), F.col("roi_id").alias("target_roi"))
     out = query.select(key, F.col("roi_id").alias("query_roi"), "x", "y").join(near, key).join(named, "nearest_id", "left")
