@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as S
-from ..operators import candidates, cellindex, masks, models, proximity, regions, review, tiles
+from ..operators import candidates, cellindex, experiment, masks, models, proximity, regions, review, tiles
 from ..operators import pixels as P
 from ..sources import tables
 from ..streaming import patches
@@ -554,3 +554,113 @@ def n29_preprocess_fit(spark, sf):
     r = models.fit_recipe(V.read(spark, sf, "embeddings"), "embedding")
     rows = ", ".join(f"({a}L, {m!r}D, {s!r}D)" for a, m, s in zip(r.at, r.mean, r.scale, strict=True))
     return rounded(spark.sql(f"SELECT * FROM VALUES {rows} AS t(place, mean, scale)"))
+
+
+# further operators
+
+
+@query("""WITH k AS (SELECT count(*) AS n, count(DISTINCT event_type) AS t, count(DISTINCT user_id) AS u, count(DISTINCT props) AS p FROM events), f AS (SELECT 'event_type' AS field, t AS kinds, n FROM k UNION ALL SELECT 'user_id', u, n FROM k UNION ALL SELECT 'props', p, n FROM k)
+  SELECT field, kinds FROM f WHERE kinds >= 2 AND kinds <= greatest(50, least(200, n // 2))""")
+def c16_cluster_fields(spark, sf):
+    return review.cluster_fields(V.read(spark, sf, "events").select("event_id", "event_type", "user_id", "props", "value"), "event_id")
+
+
+@query("""SELECT DISTINCT upper(p_brand) AS name, p_brand AS feature, (CASE WHEN upper(p_brand) = p_brand THEN 0 ELSE 1 END)::BIGINT AS rank FROM part""")
+def n36_gene_match(spark, sf):
+    p = V.read(spark, sf, "part").select(F.col("p_brand").alias("feature")).distinct()
+    asked = p.select(F.upper("feature").alias("name"))
+    aliases = p.select(F.lit("none").alias("alias"), "feature").limit(1)
+    return rounded(review.gene_match(asked, p, aliases))
+
+
+@query("""WITH e(roi_id, class, xmin, ymin, xmax, ymax) AS (VALUES ('donut', 'tumour', 100, 100, 400, 400), ('ell', 'stroma', 300, 300, 700, 700), ('triangle', 'tumour', 600, 50, 950, 280), ('pair', 'immune', 50, 500, 950, 780), ('wide', NULL, 0, 400, 1000, 500))
+  SELECT roi_id, class, xmin + 60 * i AS x, ymin + 60 * j AS y, 100::BIGINT AS width, 100::BIGINT AS height FROM e, range(0, 20) a(i), range(0, 20) b(j) WHERE xmin + 60 * i + 100 <= xmax AND ymin + 60 * j + 100 <= ymax""")
+def g5_tile_rois(spark, sf):
+    return rounded(tiles.tile_rois(V.rois(spark).filter("size(geometry) > 0"), 100, 60))
+
+
+@query(V.with_(V.regions_sql()) + """SELECT roi_id FROM regions WHERE class IS NULL OR class <> 'stroma'""")
+def c6_export_filter(spark, sf):
+    table = review.presets(review.default_presets(spark), spark.sql("SELECT 'Stroma' AS class, NULL AS label, NULL AS color, false AS export"))
+    return review.exported(V.rois(spark), table).select("roi_id")
+
+
+@query(V.with_(V.regions_sql()) + """SELECT roi_id, CASE WHEN roi_id IN ('ell', 'wide') THEN 'necrosis' ELSE class END AS class FROM regions""")
+def c1_set_class(spark, sf):
+    return review.set_class(V.rois(spark), "necrosis", ["ell", "wide"]).select("roi_id", "class")
+
+
+@query(V.with_(V.PIXELS) + f""", h AS (SELECT *, {_hue} FROM pixels), a AS (SELECT tile_id, avg((v >= 0.6 AND s <= 0.5)::INT::DOUBLE) AS w, avg(v) AS v, avg(s) AS s FROM h GROUP BY tile_id)
+  SELECT s_suppkey AS tile_id FROM supplier LEFT JOIN a ON tile_id = s_suppkey WHERE NOT coalesce(w >= 0.05 OR (v >= 0.90 AND s <= 0.10), true)""")
+def h4_drop_whitespace(spark, sf):
+    t = V.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("tile_id"))
+    return P.flag_whitespace(t, V.pixels(spark, sf), "drop", bright=0.6, pale=0.5, fraction=0.05).select("tile_id")
+
+
+@query(V.with_(V.POINTS) + """SELECT point_id AS id, x * 0.5 + y * 0.1 - 20 AS x, y * 0.5 + 10 AS y FROM points WHERE x * 0.5 + y * 0.1 - 20 BETWEEN 0 AND 400 AND y * 0.5 + 10 BETWEEN 0 AND 400""")
+def n64_native_points(spark, sf):
+    p = V.points(spark, sf).select(F.col("point_id").alias("id"), "x", "y")
+    return experiment.native_points(p, [[0.5, 0.1, -20.0], [0.0, 0.5, 10.0], [0.0, 0.0, 1.0]], 400, 400)
+
+
+@query("""SELECT o_orderkey AS id, least(o_orderkey % 40 * 32.0 + 16, 1250)::DOUBLE AS x, least(o_custkey % 30 * 32.0 + 16, 950)::DOUBLE AS y, (o_orderkey % 40 * 32 + 32 > 1250 OR o_custkey % 30 * 32 + 32 > 950) AS padded FROM orders""")
+def n85_feature_geometry(spark, sf):
+    o = V.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 40).alias("col"), (F.col("o_custkey") % 30).alias("row"))
+    return experiment.feature_geometry(o, 32.0, 1250, 950).select("id", "x", "y", "padded")
+
+
+@query(V.with_(V.POINTS, """offsets AS (SELECT (i * 50)::DOUBLE AS d FROM range(-4, 5) t(i))""") + """, moved AS (SELECT a.d AS dx, b.d AS dy, x + a.d AS u, y + b.d AS v FROM points, offsets a, offsets b),
+  s AS (SELECT dx, dy, coalesce(avg(CASE WHEN u >= 150 AND u < 850 AND v >= 100 AND v < 650 THEN 1.0 ELSE 0.0 END) FILTER (u >= 0 AND u < 1000 AND v >= 0 AND v < 800), 0) * avg((u >= 0 AND u < 1000 AND v >= 0 AND v < 800)::INT::DOUBLE) AS score FROM moved GROUP BY ALL)
+  SELECT dx, dy, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, abs(dx) + abs(dy), dx, dy LIMIT 1""")
+def d6_tissue_translation(spark, sf):
+    mask = spark.range(14 * 11).select((F.floor(F.col("id") / 14) + 2).alias("row"), (F.col("id") % 14 + 3).alias("col"))
+    return rounded(experiment.tissue_translation(mask, V.points(spark, sf), 50.0, 1000, 800, [50.0 * k for k in range(-4, 5)], sample=None))
+
+
+@query("""SELECT 2.0::DOUBLE AS xx, 0.5::DOUBLE AS xy, -3.0::DOUBLE AS x0, -0.5::DOUBLE AS yx, 2.0::DOUBLE AS yy, 4.0::DOUBLE AS y0""")
+def d3_estimate_transform(spark, sf):
+    p = V.points(spark, sf).select("x", "y", (F.col("x") * 2 + F.col("y") * 0.5 - 3).alias("u"), (F.col("x") * -0.5 + F.col("y") * 2 + 4).alias("v"))
+    m = models.estimate_transform(p)
+    values = ", ".join(f"CAST({m[i][j]!r} AS DOUBLE) AS {n}" for i, j, n in ((0, 0, "xx"), (0, 1, "xy"), (0, 2, "x0"), (1, 0, "yx"), (1, 1, "yy"), (1, 2, "y0")))
+    return rounded(spark.sql(f"SELECT {values}"))
+
+
+@query("""SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0""")
+def n81_test_rows(spark, sf):
+    e = V.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    return models.test_rows(e, e.filter("id % 3 = 0"), "id")
+
+
+@query("""SELECT c_custkey AS id, c_name AS name, NULL::BIGINT AS size FROM customer UNION ALL SELECT p_partkey, p_name, p_size::BIGINT FROM part""")
+def n34_union_fill(spark, sf):
+    c = V.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return rounded(models.stacked(c, V.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))))
+
+
+@query("""SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT p_partkey, p_name FROM part""")
+def n33_align_features(spark, sf):
+    c = V.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_acctbal")
+    return models.aligned(c, V.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_size"), "id")
+
+
+@query(V.with_(V.POINTS) + """SELECT point_id, x, y FROM points WHERE x >= 100 AND x < 500 AND y >= 100 AND y < 400 ORDER BY point_id LIMIT 300""")
+def a24_registered_viewport(spark, sf):
+    p = V.points(spark, sf).select("point_id", "x", "y", F.col("point_id").alias("row"))
+    return tables.registered_viewport(p, (100.0, 100.0, 500.0, 400.0), 300)[0].drop("row")
+
+
+@query()
+def j1_signature(spark, sf):
+    return review.signature(V.read(spark, sf, "events"))
+
+
+@query()
+def n39_spot_spacing(spark, sf):
+    grid = spark.range(900).select("id", (F.col("id") % 30 * 40.0).alias("x"), (F.floor(F.col("id") / 30) * 40.0).alias("y"))
+    return proximity.spot_spacing(grid, "id")
+
+
+@query()
+def f6_measurement_report(spark, sf):
+    px = P.deconvolved(V.pixels(spark, sf), _ihc, ("hematoxylin", "dab", "rest")).withColumn("x", F.col("col") * 12.0 + 6).withColumn("y", F.col("row") * 12.0 + 6).select("x", "y", "hematoxylin", "dab")
+    return rounded(experiment.measurement_report(V.rois(spark), V.points(spark, sf), px, pixel_size=0.5)["ihc"])
