@@ -69,6 +69,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Ids must be unique; null ids are kept only where they stay alone."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """The rows of docs that stay, with all their columns; of rows without an id that share a text with such rows alone, all stay.
+
+    A row travels once, as it is: only where the hash finds a group is its text normalised again and compared.
+    """
+    copies = groups_of_copies(hashed(docs, id_col, text_col))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(normalized(F.col(text_col)))).alias("hash"))
+    own = normalized(F.col("row")[text_col])
+    met = rows.join(copies, (F.col("hash") == F.col("g_hash")) & (own >= F.col("g_norm")) & (own <= F.col("g_norm")), "left")
+    return met.filter(F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("best_id"))).select("row.*")
