@@ -1,7 +1,7 @@
 """WARC archives with revisit records.
 
 Headers (a digest, a length, an id) are shuffled by payload digest; of equal payloads one stays a response and the
-others become revisits that refer to it. Payloads are shuffled once, to be dealt out to archives. Archives (gzip
+others become revisits that refer to it. Payloads are shuffled once, where the revisits are many, or not at all. Archives (gzip
 files) are written by Spark's text writer, whose line separator is the CRLF CRLF that ends a WARC record, so any
 store that Spark knows will do and lost tasks are written again. Readers cut records by Content-Length, as payloads
 may hold anything.
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, work_path
+from .common import text_or_empty, work_path, written
 
 #: Payloads of fewer bytes are always written whole.
 LEAST_BYTES = 1000
@@ -69,12 +69,14 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
     payload = text_or_empty(F.col(payload_col))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
     headers = rows.select("id", F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    size = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]
+    size = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    most = max(1, int(archive_bytes * size["n"] // max(size["b"], 1)))
     revisits = resolved(headers, least_bytes).filter("refers_to IS NOT NULL AND id IS NOT NULL").select(F.col("id").alias("r_id"), F.col("sha1").alias("r_sha1"), "refers_to").distinct()
-    dealt = rows.withColumn("sha1", F.sha1("payload")).repartition(int(size // archive_bytes) + 1, "id", "sha1")
-    met = dealt.join(revisits, (F.col("id") == F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left")
+    # written first, so that Spark knows how many there are and moves payloads once at most
+    revisits = written(revisits, "revisits")
+    met = rows.withColumn("sha1", F.sha1("payload")).join(revisits, (F.col("id") == F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left")
     text = record(F.col("payload"), F.col("uri"), F.col("id"), F.col("sha1"), F.col("refers_to"), date)
-    met.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    met.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parsed(data: bytes) -> Iterator[dict]:
