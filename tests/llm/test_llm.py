@@ -384,6 +384,29 @@ def test_languages_held_out_accuracy(spark, empty):
     assert langid.languages(empty).count() == 0
 
 
+def test_language_rejection_of_noise_among_the_labelled_rows(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    n, r = docs.count(), random.Random(3)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(3, 9)))
+    # 1 % noise in labelled rows, 1 % of a language that no label names, without label, and one mislabelled row, short and long; clean texts of a few words and of many
+    noise = [(-1 - i, " ".join(word("abcdefghijklmnopqrstuvwxyz") for _ in range((8, 60, 900)[i % 3])), "en") for i in range(n // 100)]
+    unseen = [(-1001 - i, " ".join(f"{word('бвгджзкл')}а" for _ in range((8, 60, 900)[i % 3])), None) for i in range(n // 100)] + [(-2001, " ".join(word("ωστυθλκαιε") for _ in range(60)), "fr")]
+    first = docs.filter("lang = 'en'").limit(20).select((-F.col("doc_id") - 5_000_000).alias("doc_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"), "lang")
+    long = docs.filter("lang = 'de'").groupBy(F.expr("doc_id % 3 - 4000000").alias("doc_id")).agg(F.array_join(F.collect_list("text"), " ").alias("text"), F.lit("de").alias("lang"))
+    kept = {x[0] for x in langid.keep_identified(docs.union(spark.createDataFrame(noise + unseen, docs.schema)).union(first).union(long)).select("doc_id").collect()}
+    ids = lambda rows: {x[0] for x in rows.select("doc_id").collect()}
+    assert not kept & {x[0] for x in noise + unseen}
+    assert ids(long) <= kept and len(ids(first) - kept) <= 1 and len(ids(docs) - kept) < 0.005 * n
+
+
+def test_languages_of_few_rows_stay(spark):
+    rows = [(1, "the thing of the other thing", "en"), (2, "das ding", "de"), (3, "12", "en"), (4, None, "en"), (5, "la chose", None)]
+    kept = {x[0] for x in langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {1, 2} <= kept and not kept & {3, 4}
+
+
 def test_kneser_ney_against_the_textbook():
     r = random.Random(4)
     texts = {k: ["".join(r.choice(a) for _ in range(r.randint(1, 6))) for _ in range(60)] for k, a in (("x", "abc"), ("y", "bcd"))}
