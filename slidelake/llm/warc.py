@@ -14,9 +14,10 @@ Other columns are never read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,9 +49,12 @@ def _line(name: str, value: Column) -> Column:
     return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")))
 
 
-def record(payload: Column, uri: Column, id_: Column, digest: Column, refers_to: Column, date: str = DATE) -> Column:
+def record_urn(id_: Column) -> Column:
+    return F.concat(F.lit("<urn:record:"), id_.cast("string"), F.lit(">"))
+
+
+def record(payload: Column, uri: Column, id_: Column, digest: Column, refers_to: Column, date: str = DATE, urn: Callable[[Column], Column] = record_urn) -> Column:
     """The text of one record without the CRLF CRLF after it. The block of a revisit is the HTTP header alone."""
-    urn = lambda x: F.concat(F.lit("<urn:record:"), x.cast("string"), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit(END))
     revisit = refers_to.isNotNull()
     block = F.when(revisit, http).otherwise(F.concat(http, payload))
@@ -64,10 +68,10 @@ def record(payload: Column, uri: Column, id_: Column, digest: Column, refers_to:
     )
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", date: str = DATE) -> None:
-    """A record for every row of pages, in archives under path; equal payloads are written once."""
+def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", date: str = DATE, urn: Callable[[Column], Column] | None = None) -> None:
+    """A record for every row of pages, in archives under path; equal payloads are written once. Ids are numbers, unless urn makes record ids of them."""
     payload = text_or_empty(F.col(payload_col))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
+    rows = pages.select((F.col(id_col) if urn else F.col(id_col).cast("long")).alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
     headers = rows.select("id", F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     size = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     most = max(1, int(archive_bytes * size["n"] // max(size["b"], 1)))
@@ -75,12 +79,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
     # written first, so that Spark knows how many there are and moves payloads once at most
     revisits = written(revisits, "revisits")
     met = rows.withColumn("sha1", F.sha1("payload")).join(revisits, (F.col("id") == F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left")
-    text = record(F.col("payload"), F.col("uri"), F.col("id"), F.col("sha1"), F.col("refers_to"), date)
+    text = record(F.col("payload"), F.col("uri"), F.col("id"), F.col("sha1"), F.col("refers_to"), date, urn or record_urn)
     met.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parsed(data: bytes) -> Iterator[dict]:
-    """The records of an archive's bytes, cut by Content-Length: header fields in lower case, and `block`."""
+    """The records of an archive's bytes, cut by Content-Length: header fields in lower case, `block`, and `raw`: header and block as they were."""
     at = 0
     while at < len(data):
         head = data.index(b"\r\n\r\n", at)
@@ -89,7 +93,7 @@ def parsed(data: bytes) -> Iterator[dict]:
             name, _, value = line.partition(b":")
             fields[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
         size = int(fields["content-length"])
-        yield fields | {"block": data[head + 4 : head + 4 + size]}
+        yield fields | {"block": data[head + 4 : head + 4 + size], "raw": data[at : head + 4 + size]}
         at = head + 4 + size + 4
 
 
@@ -135,10 +139,62 @@ def archived(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     return revisit_resolution(read_archives(pages.sparkSession, path).drop("payload")).withColumnRenamed("id", id_col)
 
 
+def hex_digest(header: str | None) -> str | None:
+    """The SHA-1 of a WARC-Payload-Digest header in hex (crawls write Base32); None for other algorithms and values."""
+    algorithm, _, value = (header or "").partition(":")
+    try:
+        data = base64.b32decode(value.upper()) if len(value) == 32 else bytes.fromhex(value)
+    except ValueError:
+        return None
+    return data.hex() if algorithm.strip().lower() in ("sha1", "sha-1") and len(data) == 20 else None
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """A row a record of any archives: urn, number (that ends this library's ids), uri, record_type, refers_to (a urn), sha1 (of a response's payload, else as the header says), payload (of responses), raw (all others)."""
+
+    def row(r: dict) -> tuple:
+        urn, kind = r.get("warc-record-id"), r.get("warc-type", "")
+        tail = (urn or "").rpartition(":")[2].rstrip(">")
+        own = (urn or "").startswith("<urn:record:") and tail.lstrip("-").isdecimal()
+        payload = r["block"].partition(b"\r\n\r\n")[2] if kind == "response" else None
+        sha1 = hashlib.sha1(payload).hexdigest() if payload is not None else hex_digest(r.get("warc-payload-digest"))
+        return urn, int(tail) if own else None, r.get("warc-target-uri"), kind, r.get("warc-refers-to"), sha1, payload, r["raw"] if payload is None else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for packed in pdf["content"]:
+                lot = []
+                for r in parsed(gzip.decompress(packed) if packed[:2] == b"\x1f\x8b" else packed):
+                    lot.append(row(r))
+                    if len(lot) == 500:
+                        yield frame(lot)
+                        lot = []
+                if lot:
+                    yield frame(lot)
+
+    def frame(lot: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(lot, columns=["urn", "number", "uri", "record_type", "refers_to", "sha1", "payload", "raw"]).astype({"number": "Int64"})
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(run, "urn string, number long, uri string, record_type string, refers_to string, sha1 string, payload binary, raw binary")
+
+
 def rewritten(spark: SparkSession, source: str, target: str, least_bytes: int = LEAST_BYTES, **how) -> None:
-    """Writes the archives at source again, each payload once and with fresh headers; revisits among them are resolved first."""
-    records = read_archives(spark, source)
-    own = records.filter("record_type = 'response'").select("id", "uri", F.decode("payload", "UTF-8").alias("payload"))
-    originals = own.select(F.col("id").alias("o_id"), "payload")
-    others = records.filter("record_type = 'revisit'").select("id", "uri", "refers_to").join(originals, F.col("refers_to") == F.col("o_id")).select("id", "uri", "payload")
-    write_archives(own.unionByName(others), target, least_bytes, id_col="id", uri_col="uri", payload_col="payload", **how)
+    """Writes the archives at source again, each payload once and with fresh headers; revisits among them are resolved first.
+
+    A revisit is resolved by its digest, or by the response that it names where it has none and all responses of that
+    id have one payload. Revisits whose payload is not here, or is another than they say, and records that are neither
+    response nor revisit are written as they were.
+    """
+    records = written(read_records(spark, source), "records")
+    id_ = F.when(F.col("urn").isNotNull(), F.struct("number", "urn")).alias("id")
+    responses, revisits = records.filter("record_type = 'response'"), records.filter("record_type = 'revisit'")
+    named = responses.filter("urn IS NOT NULL").groupBy(F.col("urn").alias("o_urn")).agg(F.min("sha1").alias("o_sha1"), F.max("sha1").alias("most")).filter("o_sha1 = most").drop("most")
+    sought = revisits.drop("payload").join(named, F.col("sha1").isNull() & (F.col("refers_to") == F.col("o_urn")), "left").withColumn("sha1", F.coalesce("sha1", "o_sha1"))
+    originals = responses.select(F.col("sha1").alias("p_sha1"), "payload").dropDuplicates(["p_sha1"])
+    met = sought.join(originals, F.col("sha1") == F.col("p_sha1"), "left")
+    # a cast leaves bytes as they are, also where they are not UTF-8
+    pages = responses.unionByName(met.filter("p_sha1 IS NOT NULL").select(*responses.columns)).select(id_, "uri", F.col("payload").cast("string").alias("payload"))
+    write_archives(pages, target, least_bytes, id_col="id", uri_col="uri", payload_col="payload", urn=lambda x: x["urn"], **how)
+    others = records.filter("record_type NOT IN ('response', 'revisit')").select("raw").unionByName(met.filter("p_sha1 IS NULL").select("raw"))
+    others.select(F.col("raw").cast("string").alias("value")).write.mode("append").option("lineSep", END).option("compression", "gzip").text(target)

@@ -261,6 +261,37 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archived(none, str(tmp_path / "c")).count() == 0
 
 
+def test_rewritten_archives_lose_no_record(spark, tmp_path):
+    import base64
+    import gzip
+
+    def made(kind, urn, block, **fields):
+        lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {urn}", *[f"WARC-{k.replace('_', '-')}: {v}" for k, v in fields.items()], f"Content-Length: {len(block)}"]
+        return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block
+
+    http, big, other = b"HTTP/1.1 200 OK\r\n\r\n", b"\xff\xfe<p>" + b"x" * 2000, b"y" * 3000
+    digest = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    through = [
+        made("warcinfo", "<urn:uuid:0>", b"software: crawler\r\n\r\n"), made("request", "<urn:uuid:1>", b"GET / HTTP/1.1\r\n\r\n", Concurrent_To="<urn:uuid:a>"), made("resource", "<urn:uuid:2>", b"\x00\xff"),
+        made("revisit", "<urn:uuid:3>", http, Refers_To="<urn:uuid:elsewhere>", Payload_Digest=digest(b"not here")),
+        made("revisit", "<urn:uuid:4>", http, Refers_To="<urn:uuid:b>", Payload_Digest=digest(b"another")), made("revisit", "<urn:uuid:5>", http, Refers_To="<urn:uuid:b>"),
+    ]
+    # the id b is on two payloads; d names an original that is not here, whose payload is; e names one without a digest
+    rest = [
+        made("response", "<urn:uuid:a>", http + big), made("response", "<urn:uuid:b>", http + big), made("response", "<urn:uuid:b>", http + other),
+        made("revisit", "<urn:uuid:c>", http, Refers_To="<urn:uuid:b>", Payload_Digest=digest(big)), made("revisit", "<urn:uuid:d>", http, Refers_To="<urn:uuid:elsewhere>", Payload_Digest=digest(other)),
+        made("revisit", "<urn:uuid:e>", http, Refers_To="<urn:uuid:a>"),
+    ]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "crawl.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in through + rest))
+    warc.rewritten(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    got = warc.read_records(spark, str(tmp_path / "b")).collect()
+    raw = [bytes(r["raw"]) for r in got if r["raw"] is not None]
+    assert len(got) == 12 and all(raw.count(r) == 1 for r in through)
+    assert Counter((r["urn"], r["sha1"]) for r in got if r["urn"][-2] in "abcde") == Counter((f"<urn:uuid:{k}>", hashlib.sha1(p).hexdigest()) for k, p in [("a", big), ("b", big), ("b", other), ("c", big), ("d", other), ("e", big)])
+    assert sorted(bytes(r["payload"]) for r in got if r["payload"] is not None) == [other, big]
+
+
 # token counts
 
 
