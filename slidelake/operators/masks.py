@@ -6,10 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..sources.work import written
+from .links import smallest_members
 from .regions import areal, with_bbox
 
+#: The side of the blocks in which a mask is labelled.
+BLOCK = 256
+
 
 def rois_to_mask(rois: DataFrame, width: int, height: int, scale: float = 1.0, overlap: str = "last") -> DataFrame:
     """Row, col, label (roi_index + 1) of pixels whose centre lies in a region; where regions overlap the last or the first wins."""
@@ -47,31 +53,28 @@ def components(grid: np.ndarray, eight: bool = True) -> np.ndarray:
     return out
 
 
-def rings(cells: np.ndarray) -> list[list[tuple[float, float]]]:
-    """Closed rings around the true cells, corners only: cell edges with a cell on one side, followed with the inside on the right."""
-    grid = np.pad(cells, 1)
+def rings(edges: np.ndarray) -> list[list[tuple[float, float]]]:
+    """Closed rings from directed cell sides (x0, y0, x1, y1), with the cells on the right; corners only. Where four sides meet, the ring turns so that cells that touch by a corner stay together."""
     nxt: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c in zip(*np.nonzero(grid), strict=True):
-        for dr, dc, a, b in ((-1, 0, (c, r), (c + 1, r)), (0, 1, (c + 1, r), (c + 1, r + 1)), (1, 0, (c + 1, r + 1), (c, r + 1)), (0, -1, (c, r + 1), (c, r))):
-            if not grid[r + dr, c + dc]:
-                nxt.setdefault(a, []).append(b)
+    for x0, y0, x1, y1 in edges.tolist():
+        nxt.setdefault((x0, y0), []).append((x1, y1))
     out = []
-    while nxt:
-        start = min(nxt)
-        ring, at, way = [start], start, None
-        while True:
-            ways = nxt[at]
-            turn = lambda b: 0 if way is None else -(way[0] * (b[1] - at[1]) - way[1] * (b[0] - at[0]))  # noqa: B023, E731
-            b = min(ways, key=turn)
-            ways.remove(b)
-            if not ways:
-                del nxt[at]
-            way, at = (b[0] - at[0], b[1] - at[1]), b
-            ring.append(at)
-            if at == start:
-                break
-        kept = [p for k, p in enumerate(ring[:-1]) if (ring[k - 1 if k else -2][0] - p[0]) * (ring[k + 1][1] - p[1]) != (ring[k - 1 if k else -2][1] - p[1]) * (ring[k + 1][0] - p[0])]
-        out.append([(float(x) - 1, float(y) - 1) for x, y in [*kept, kept[0]]])
+    for start in sorted(nxt):
+        while start in nxt:
+            ring, at, way = [start], start, None
+            while True:
+                ways = nxt[at]
+                turn = lambda b: 0 if way is None else -(way[0] * (b[1] - at[1]) - way[1] * (b[0] - at[0]))  # noqa: B023, E731
+                b = min(ways, key=turn)
+                ways.remove(b)
+                if not ways:
+                    del nxt[at]
+                way, at = (b[0] - at[0], b[1] - at[1]), b
+                ring.append(at)
+                if at == start:
+                    break
+            kept = [p for k, p in enumerate(ring[:-1]) if (ring[k - 1 if k else -2][0] - p[0]) * (ring[k + 1][1] - p[1]) != (ring[k - 1 if k else -2][1] - p[1]) * (ring[k + 1][0] - p[0])]
+            out.append([(float(x), float(y)) for x, y in [*kept, kept[0]]])
     return out
 
 
@@ -79,54 +82,102 @@ def ring_area(ring: list[tuple[float, float]]) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
 
 
-def _parts(pdf: pd.DataFrame, least: int, eight: bool) -> list[tuple[int, int, np.ndarray, int, int]]:
-    """(label, component, cells, first row, first column) of one mask."""
-    r0, c0 = int(pdf["row"].min()), int(pdf["col"].min())
-    shape = (int(pdf["row"].max()) - r0 + 1, int(pdf["col"].max()) - c0 + 1)
-    out = []
-    for label, own in pdf.groupby("label"):
-        grid = np.zeros(shape, dtype=bool)
-        grid[own["row"] - r0, own["col"] - c0] = True
-        numbers = components(grid, eight)
-        kept = 0
-        for k in range(1, int(numbers.max()) + 1):
-            cells = numbers == k
-            if cells.sum() >= least:
-                kept += 1
-                out.append((int(label), kept, cells, r0, c0))
-    return out
+def holds(ring: list[tuple[float, float]], x: float, y: float) -> bool:
+    """Even-odd crossings of a ring of axis-parallel sides."""
+    return sum((a[1] > y) != (b[1] > y) and x < a[0] for a, b in zip(ring, ring[1:], strict=False)) % 2 == 1
 
 
-def mask_components(mask: DataFrame, least_area: int = 1, eight: bool = True) -> DataFrame:
-    """The connected components of each label of each mask: area and box in pixels. A mask (a tile) is one task's work."""
+def polygons(edges: np.ndarray) -> list[list[list[tuple[float, float]]]]:
+    """Shells with their holes. A hole belongs to the smallest shell that holds the cell on the right of its first side."""
+    found = rings(edges)
+    shells, holes = [[r] for r in found if ring_area(r) > 0], [r for r in found if ring_area(r) < 0]
+    for h in holes:
+        (x0, y0), (x1, y1) = h[:2]
+        dx, dy = np.sign(x1 - x0), np.sign(y1 - y0)
+        x, y = x0 + dx / 2 - dy / 2, y0 + dy / 2 + dx / 2
+        own = [s for s in shells if holds(s[0], x, y)]
+        min(own, key=lambda s: ring_area(s[0])).append(h)
+    return shells
+
+
+def blocks_labelled(mask: DataFrame, eight: bool) -> DataFrame:
+    """mask with `node`, which names the component of its pixel within a block of BLOCK x BLOCK: its first pixel in column-major order, as column * 2^32 + row."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for label, k, cells, r0, c0 in _parts(pdf, least_area, eight):
-            r, c = np.nonzero(cells)
-            out.append((pdf["mask_id"].iloc[0], label, k, len(r), c.min() + c0, r.min() + r0, c.max() + c0 + 1, r.max() + r0 + 1))
-        return pd.DataFrame(out, columns=["mask_id", "label", "component", "area", "xmin", "ymin", "xmax", "ymax"])
+        r0, c0 = int(pdf["row"].min()), int(pdf["col"].min())
+        pdf["node"] = np.int64(0)
+        for _, own in pdf.groupby("label"):
+            grid = np.zeros((int(own["row"].max()) - r0 + 1, int(own["col"].max()) - c0 + 1), dtype=bool)
+            r, c = own["row"].to_numpy() - r0, own["col"].to_numpy() - c0
+            grid[r, c] = True
+            numbers = components(grid, eight)[r, c]
+            place = (own["col"].to_numpy().astype(np.int64) << 32) + own["row"].to_numpy()
+            first = np.full(numbers.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, numbers, place)
+            pdf.loc[own.index, "node"] = first[numbers]
+        return pdf[["mask_id", "label", "row", "col", "node"]]
+
+    rows = mask.select(F.col("mask_id").cast("string").alias("mask_id"), F.col("label").cast("int").alias("label"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
+    at = [F.floor(F.col(c) / BLOCK).alias(f"b{c}") for c in ("row", "col")]
+    return rows.groupBy("mask_id", *at).applyInPandas(lambda pdf: run(pdf.reset_index(drop=True)), "mask_id string, label int, row int, col int, node long")
+
+
+def labelled(mask: DataFrame, eight: bool = True) -> DataFrame:
+    """mask(mask_id, label, row, col) with `root`, the component of its pixel: the first of its pixels in column-major order.
+
+    Blocks are labelled each in a task; a pixel at a block's low edge meets its neighbours in other blocks by an
+    equality join, and the links between blocks become components by rounds of joins. No task holds a mask.
+    """
+    held = written(blocks_labelled(mask, eight), "blocks")
+    steps = [(-1, 0), (0, -1)] + ([(-1, -1), (-1, 1)] if eight else [])
+    edge = "row % {0} = 0 OR col % {0} = 0 OR col % {0} = {1}".format(BLOCK, BLOCK - 1)
+    sent = held.filter(edge).withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])))
+    sent = sent.select("mask_id", "label", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), F.col("node").alias("a"))
+    met = sent.join(held.withColumnRenamed("node", "b"), ["mask_id", "label", "row", "col"]).filter("a <> b").select("mask_id", "label", "a", "b").distinct()
+    key = lambda c: F.struct("mask_id", "label", F.col(c).alias("node"))
+    links = written(met.select(key("a").alias("a"), key("b").alias("b")), "links")
+    if links.isEmpty():
+        return held.withColumnRenamed("node", "root")
+    roots = smallest_members(links).select("node.*", F.col("label").alias("to")).select("mask_id", "label", "node", F.col("to.node").alias("root"))
+    return held.join(roots, ["mask_id", "label", "node"], "left").select("mask_id", "label", "row", "col", F.coalesce("root", "node").alias("root"))
+
+
+def _numbered(pixels: DataFrame, least_area: int) -> DataFrame:
+    """mask_id, label, root, component, area and box of the components that are large enough, numbered from 1 in the order of their first pixels."""
+    area = pixels.groupBy("mask_id", "label", "root").agg(F.count("*").alias("area"), F.min("col").alias("xmin"), F.min("row").alias("ymin"), (F.max("col") + 1).alias("xmax"), (F.max("row") + 1).alias("ymax"))
+    place = F.row_number().over(Window.partitionBy("mask_id", "label").orderBy("root"))
+    return area.filter(F.col("area") >= least_area).withColumn("component", place)
+
 
-    return mask.groupBy("mask_id").applyInPandas(run, "mask_id string, label int, component int, area long, xmin int, ymin int, xmax int, ymax int")
+def mask_components(mask: DataFrame, least_area: int = 1, eight: bool = True) -> DataFrame:
+    """The connected components of each label of each mask: area and box in pixels."""
+    return _numbered(labelled(mask, eight), least_area).select("mask_id", "label", "component", "area", "xmin", "ymin", "xmax", "ymax")
 
 
 def mask_to_rois(mask: DataFrame, scale: float = 1.0, origin: tuple[float, float] = (0.0, 0.0), least_area: int = 1, eight: bool = True) -> DataFrame:
-    """Each component as a region: its outer ring and holes, scaled and shifted. With diagonal neighbours a component may have several shells."""
+    """Each component as a region: its outer ring and holes, scaled and shifted. With diagonal neighbours a component may have several shells.
+
+    A pixel's sides that no pixel of the component shares are what reaches the task that follows them into rings: a
+    component's outline, not its area.
+    """
+    pixels = written(labelled(mask, eight), "labelled")
+    table = _numbered(pixels, least_area)
+    # a side, as (x, y, vertical), with the way that has the pixel on its right
+    side = lambda x, y, vertical, way: F.struct(x.alias("x"), y.alias("y"), F.lit(vertical).alias("vertical"), F.lit(way).alias("way"))
+    r, c = F.col("row"), F.col("col")
+    sides = pixels.select("mask_id", "label", "root", F.explode(F.array(side(c, r, False, 1), side(c + 1, r, True, 1), side(c, r + 1, False, -1), side(c, r, True, -1))).alias("s"))
+    outline = sides.groupBy("mask_id", "label", "root", "s.x", "s.y", "s.vertical").agg(F.sum("s.way").alias("way")).filter("way <> 0")
+    long = outline.select("mask_id", "label", "root", "way", "x", "y", (F.col("x") + (~F.col("vertical")).cast("int")).alias("u"), (F.col("y") + F.col("vertical").cast("int")).alias("v"))
+    ahead = F.col("way") == 1
+    ways = long.select("mask_id", "label", "root", *[F.when(ahead, F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in (("x0", "x", "u"), ("y0", "y", "v"), ("x1", "u", "x"), ("y1", "v", "y"))])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for label, k, cells, r0, c0 in _parts(pdf, least_area, eight):
-            found = [[[(x + c0) * scale + origin[0], (y + r0) * scale + origin[1]] for x, y in ring] for ring in rings(cells)]
-            shells, holes = [r for r in found if ring_area(r) > 0], [r for r in found if ring_area(r) < 0]
-            polygons = [[s] for s in shells]
-            for h in holes:
-                x, y = h[0]
-                own = min(range(len(shells)), key=lambda i: (not (min(p[0] for p in shells[i]) <= x <= max(p[0] for p in shells[i]) and min(p[1] for p in shells[i]) <= y <= max(p[1] for p in shells[i])), abs(ring_area(shells[i]))))
-                polygons[own].append(h)
-            out.append((pdf["mask_id"].iloc[0], label, k, int(cells.sum()), polygons))
-        return pd.DataFrame(out, columns=["mask_id", "label", "component", "area", "geometry"])
-
-    return mask.groupBy("mask_id").applyInPandas(run, f"mask_id string, label int, component int, area long, geometry {G.GEOMETRY}")
+        found = polygons(pdf[["x0", "y0", "x1", "y1"]].to_numpy())
+        shape = [[[[x * scale + origin[0], y * scale + origin[1]] for x, y in ring] for ring in polygon] for polygon in found]
+        return pd.DataFrame({"mask_id": [pdf["mask_id"].iloc[0]], "label": [pdf["label"].iloc[0]], "component": [pdf["component"].iloc[0]], "area": [pdf["area"].iloc[0]], "geometry": [shape]})
+
+    met = ways.join(table.select("mask_id", "label", "root", "component", "area"), ["mask_id", "label", "root"])
+    return met.groupBy("mask_id", "label", "component").applyInPandas(run, f"mask_id string, label int, component int, area long, geometry {G.GEOMETRY}")
 
 
 def tissue_mask(pixels: DataFrame, saturation: float = 0.05, brightness: float = 0.8) -> DataFrame:

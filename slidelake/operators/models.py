@@ -8,8 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Features that a model may keep: the cross products of so many come to the driver.
-MAX_FEATURES = 2000
+from ..sources.work import deleted, written
 
 
 @dataclass
@@ -28,53 +27,51 @@ def fit_recipe(train: DataFrame, vector: str, max_features: int | None = None, s
     stats = long.groupBy("at").agg(F.count("*").alias("k"), F.avg("v").alias("m"), F.var_samp("v").alias("s2")).filter("k >= 2 AND s2 > 0")
     # filled in with the mean, missing values add nothing to the sum of squares
     stats = stats.withColumn("s2", F.col("s2") * (F.col("k") - 1) / F.lit(max(n - 1, 1)))
-    keep = min(max_features or MAX_FEATURES, MAX_FEATURES)
-    rows = sorted(stats.orderBy(F.col("s2").desc(), "at").limit(keep).collect(), key=lambda r: r["at"])
+    stats = stats.orderBy(F.col("s2").desc(), "at").limit(max_features) if max_features else stats
+    rows = sorted(stats.collect(), key=lambda r: r["at"])  # a row a feature
     return Recipe([r["at"] for r in rows], [r["m"] for r in rows], [r["s2"] ** 0.5 if scale else 1.0 for r in rows])
 
 
 def apply_recipe(df: DataFrame, recipe: Recipe, vector: str, out: str = "x") -> DataFrame:
     """The kept features centred and scaled, missing ones 0."""
-    one = lambda i, m, s: F.coalesce(F.nanvl((F.get(F.col(vector), F.lit(i)).cast("double") - m) / s, F.lit(0.0)), F.lit(0.0))
-    return df.withColumn(out, F.array(*[one(i, m, s) for i, m, s in zip(recipe.at, recipe.mean, recipe.scale, strict=True)]))
+    kept = F.arrays_zip(F.lit(recipe.at).alias("i"), F.lit(recipe.mean).alias("m"), F.lit(recipe.scale).alias("s"))
+    one = lambda f: F.coalesce(F.nanvl((F.get(F.col(vector), f["i"]).cast("double") - f["m"]) / f["s"], F.lit(0.0)), F.lit(0.0))
+    return df.withColumn(out, F.transform(kept, one) if recipe.at else F.array().cast("array<double>"))
 
 
-def moments(df: DataFrame, x: str, label: str, classes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """X'X, the sums of X by class, and the class sizes, from partial sums of each task's rows."""
-    p = len(df.select(x).first()[0])
+def summed(df: DataFrame, x: str, columns: list[str], part) -> np.ndarray:
+    """The sum over the batches of every task of part(matrix of x, frame of columns), a matrix; one matrix a task is summed by Spark."""
 
     def run(batches):
         import pandas as pd
 
-        xx, xy, n = np.zeros((p, p)), np.zeros((p, len(classes))), np.zeros(len(classes))
+        total = None
         for pdf in batches:
-            m = np.vstack(pdf["x"].to_numpy())
-            one = (pdf["y"].to_numpy()[:, None] == np.asarray(classes)).astype(float)
-            xx += m.T @ m
-            xy += m.T @ one
-            n += one.sum(axis=0)
-        flat = np.concatenate([xx.ravel(), xy.ravel(), n])
-        yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
-
-    sums = df.select(F.col(x).alias("x"), F.col(label).alias("y")).mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    flat = np.zeros(p * p + p * len(classes) + len(classes))
-    flat[sums["i"]] = sums["v"]
-    return flat[: p * p].reshape(p, p), flat[p * p : p * p + p * len(classes)].reshape(p, -1), flat[p * p + p * len(classes) :]
-
-
-def simpls(xx: np.ndarray, xy: np.ndarray, components: int) -> np.ndarray:
-    """SIMPLS weights R (features x components) from cross products of centred data."""
+            if len(pdf):
+                found = part(np.vstack(pdf["x"].to_numpy()), pdf)
+                total = found if total is None else total + found
+        if total is not None:
+            yield pd.DataFrame({"i": np.repeat(np.arange(total.shape[0]), total.shape[1]), "j": np.tile(np.arange(total.shape[1]), total.shape[0]), "v": total.ravel()})
+
+    sums = df.select(F.col(x).alias("x"), *columns).mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros((sums["i"].max() + 1, sums["j"].max() + 1))
+    out[sums["i"], sums["j"]] = sums["v"]
+    return out
+
+
+def simpls(df: DataFrame, x: str, xy: np.ndarray, components: int) -> np.ndarray:
+    """SIMPLS weights R (features x components) of centred data, from X'Y and a pass over the rows for each component: X'(X r), so that no features x features matrix is built."""
     s, weights, loads = xy.copy(), [], []
     for _ in range(components):
         if np.abs(s).max() < 1e-12:
             break
         r = np.linalg.svd(s, full_matrices=False)[0][:, 0]
         r = r * np.sign(r[np.argmax(np.abs(r))])
-        length = np.sqrt(r @ xx @ r)
+        p = summed(df, x, [], lambda m, _, r=r: (m.T @ (m @ r))[:, None])[:, 0]
+        length = np.sqrt(r @ p)
         if length < 1e-12:
             break
-        r = r / length
-        p = xx @ r
+        r, p = r / length, p / length
         v = p.copy()
         for w in loads:
             v -= w * (w @ p)
@@ -108,10 +105,14 @@ def train(df: DataFrame, vector: str, label: str, components: int = 2, max_featu
     if len(classes) < 2 or rows.count() < 3:
         raise ValueError("training needs at least 3 rows and 2 classes")
     recipe = fit_recipe(rows, vector, max_features)
-    xx, xs, n = moments(apply_recipe(rows, recipe, vector), "x", label, classes)
-    weights = simpls(xx, xs - np.outer(xs.sum(axis=1), n) / n.sum(), components)
+    held = written(apply_recipe(rows, recipe, vector).select("x", F.col(label).alias("y")), "prepared")
+    one = lambda pdf: (pdf["y"].to_numpy()[:, None] == np.asarray(classes)).astype(float)
+    both = summed(held, "x", ["y"], lambda m, pdf: np.vstack([m.T @ one(pdf), one(pdf).sum(axis=0)]))
+    xs, n = both[:-1], both[-1]
+    weights = simpls(held, "x", xs - np.outer(xs.sum(axis=1), n) / n.sum(), components)
     means = weights.T @ (xs / n)
-    within = weights.T @ xx @ weights - (means * n) @ means.T
+    within = summed(held, "x", [], lambda m, _: (m @ weights).T @ (m @ weights)) - (means * n) @ means.T
+    deleted(held)
     inverse = np.linalg.pinv(within / max(n.sum() - len(classes), 1))
     coefficients = inverse @ means
     return Classifier(recipe, classes, weights, coefficients, -0.5 * np.einsum("ik,ik->k", means, coefficients) + np.log(n / n.sum()))

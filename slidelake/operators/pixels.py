@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranges
+
 # fixed values: optical-density vectors of common stains
 HEMATOXYLIN_IHC, DAB = (0.650, 0.704, 0.286), (0.268, 0.570, 0.776)
 HEMATOXYLIN, EOSIN = (0.644, 0.717, 0.267), (0.093, 0.954, 0.283)
@@ -64,9 +66,10 @@ def normalised(pixels: DataFrame, source: np.ndarray, target: np.ndarray, target
     """Concentrations scaled to the target's percentile and put on the target's basis. One value a stain travels to all tasks."""
     names = ("c1", "c2")
     found = deconvolved(pixels, source, names, keep)
-    share = F.lit(percentile / 100)
-    high = found.agg(*[F.percentile(n, share).alias(f"{n}_high") for n in names])
-    met = found.crossJoin(F.broadcast(high))
+    met = found
+    for n in names:
+        high = ranges.percentiles(found, n, [percentile / 100]).select(F.get("q", F.lit(0)).alias(f"{n}_high"))
+        met = met.crossJoin(F.broadcast(high))  # one row
     ratio = lambda n, t: F.lit(float(t)) / F.when(F.coalesce(F.col(f"{n}_high"), F.lit(0.0)) > 0, F.col(f"{n}_high")).otherwise(F.lit(1.0))
     for n, t in zip(names, target_high, strict=True):
         met = met.withColumn(n, F.col(n) * ratio(n, t))
@@ -90,7 +93,7 @@ def estimated_basis(pixels: DataFrame, method: str = "macenko", od_threshold: fl
     plane = vectors[:, [2, 1]]
     plane = plane * np.where(plane.sum(axis=0) < 0, -1.0, 1.0)
     x, y = (sum((F.col(f"o{c}") * float(plane[i, k]) for i, c in enumerate("rgb")), F.lit(0.0)) for k in range(2))
-    low, high = od.agg(F.percentile(F.atan2(y, x), F.array(F.lit(percentile / 100), F.lit(1 - percentile / 100)))).first()[0]
+    low, high = ranges.percentiles(od.select(F.atan2(y, x).alias("angle")), "angle", [percentile / 100, 1 - percentile / 100]).first()[0]
     ends = [plane @ np.array([np.cos(t), np.sin(t)]) for t in (low, high)]
     ends = [np.abs(e) / np.linalg.norm(e) for e in ends]
     first, second = sorted(ends, key=lambda e: -e[0])
@@ -100,18 +103,20 @@ def estimated_basis(pixels: DataFrame, method: str = "macenko", od_threshold: fl
 def stain_intensity(long: DataFrame, by: list[str], threshold: float | None = None) -> DataFrame:
     """Finite values of each group: count, mean, median, sd (0 for one value), extremes, p10, p90 (type 7), share at or above the threshold."""
     fine = long.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
-    q = F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     positive = F.avg((F.col("value") >= F.lit(threshold).cast("double")).cast("double"))
-    table = fine.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), q.alias("q"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"), positive.alias("positive_fraction"))
+    table = fine.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"), positive.alias("positive_fraction"))
+    table = ranges.meet(table, ranges.percentiles(fine, "value", [0.1, 0.5, 0.9], tuple(by)), by)
     return table.select(*by, "n", "mean", F.col("q")[1].alias("median"), "sd", "min", "max", F.col("q")[0].alias("p10"), F.col("q")[2].alias("p90"), "positive_fraction")
 
 
 def ihc_intensity(pixels: DataFrame, dab_threshold: float = 0.1, pixel_size: float | None = None) -> DataFrame:
     """By region of pixels(roi_id, class, hematoxylin, dab): means, medians, positive pixels and area, DAB over hematoxylin."""
     table = pixels.groupBy("roi_id", "class").agg(
-        F.count("*").alias("n"), F.avg("dab").alias("dab_mean"), F.percentile("dab", F.lit(0.5)).alias("dab_median"), F.avg("hematoxylin").alias("hematoxylin_mean"),
-        F.percentile("hematoxylin", F.lit(0.5)).alias("hematoxylin_median"), F.sum((F.col("dab") >= dab_threshold).cast("long")).alias("positive"),
+        F.count("*").alias("n"), F.avg("dab").alias("dab_mean"), F.avg("hematoxylin").alias("hematoxylin_mean"), F.sum((F.col("dab") >= dab_threshold).cast("long")).alias("positive"),
     )
+    for c in ("dab", "hematoxylin"):
+        middle = ranges.percentiles(pixels, c, [0.5], ("roi_id", "class")).select("roi_id", "class", F.get("q", F.lit(0)).alias(f"{c}_median"))
+        table = ranges.meet(table, middle, ["roi_id", "class"])
     area = F.col("positive") * F.lit(pixel_size**2 if pixel_size else None).cast("double")
     return table.withColumn("positive_fraction", F.col("positive") / F.col("n")).withColumn("positive_um2", area).withColumn("ratio", F.when(F.col("hematoxylin_mean") > 1e-12, F.try_divide("dab_mean", "hematoxylin_mean")))
 

@@ -4,66 +4,72 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..sources.work import written
+from . import nearby, ranges
 from .regions import associate
 
 
-def nearest(query: DataFrame, target: DataFrame, qkey: str, tkey: str, side: float | None = None, exclude_self: bool = False) -> DataFrame:
-    """Each query point's nearest target by Euclidean distance, the smallest target key on ties.
+def finite(*columns: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    return out
 
-    Points fall into square cells. A query looks into the 3x3 cells about its own; what it finds within one side is
-    certain. Queries without a certain answer go on with cells four times as large, until a cell covers the whole
-    extent. Each round joins on cells and is written; only what is left takes part in the next.
+
+def _spots(points: DataFrame, key: str) -> DataFrame:
+    """x, y, t (the smallest key), n of each place with points; points without finite coordinates have none."""
+    at = points.select(F.col(key).alias("t"), *[F.col(c).cast("double").alias(c) for c in "xy"]).filter(finite("x", "y"))
+    return written(at.groupBy("x", "y").agg(F.min("t").alias("t"), F.count("*").alias("n")), "spots")
+
+
+def _boxed(spots: DataFrame, name: str) -> DataFrame:
+    return spots.select(F.col("t").alias(name), *[F.col(v).alias(f"{v}{i}") for i in (0, 1) for v in "xy"])
+
+
+def nearest(query: DataFrame, target: DataFrame, qkey: str, tkey: str) -> DataFrame:
+    """Each query point's nearest target by Euclidean distance, the smallest target key on ties; null without a target or finite coordinates.
+
+    Points at one place are one point of the search (nearby.candidates), so copies cost nothing.
     """
-    targets = written(target.select(F.col(tkey).alias("t_key"), F.col("x").cast("double").alias("tx"), F.col("y").cast("double").alias("ty")), "targets")
-    left = asking = written(query.select(F.col(qkey).alias("q_key"), F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy")), "asking")
-    box = targets.agg(F.count("*").alias("n"), F.min("tx").alias("x0"), F.max("tx").alias("x1"), F.min("ty").alias("y0"), F.max("ty").alias("y1")).first()
-    own = left.agg(F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1")).first()
-    empty = left.select("q_key", F.lit(None).cast(targets.schema["t_key"].dataType).alias("t_key"), F.lit(None).cast("double").alias("distance_px"))
-    if not box["n"] or own["x0"] is None:
-        return empty.select(F.col("q_key").alias(qkey), F.col("t_key").alias("nearest_id"), "distance_px")
-    extent = max(box["x1"] - box["x0"], box["y1"] - box["y0"], abs(box["x1"] - own["x0"]), abs(own["x1"] - box["x0"]), abs(box["y1"] - own["y0"]), abs(own["y1"] - box["y0"]), 1e-9)
-    side = side or max(extent / math.sqrt(max(box["n"], 1)), extent / 1e6)
-    cell = lambda v, s: F.floor(v / F.lit(s)).cast("long")
-    found = None
-    while True:
-        last = side >= extent
-        spread = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        asked = left.withColumn("o", F.explode(spread)).withColumn("gx", cell(F.col("qx"), side) + F.col("o.i")).withColumn("gy", cell(F.col("qy"), side) + F.col("o.j"))
-        listed = targets.withColumn("gx", cell(F.col("tx"), side)).withColumn("gy", cell(F.col("ty"), side))
-        met = asked.join(listed, ["gx", "gy"])
-        if exclude_self:
-            met = met.filter("q_key <> t_key")
-        d = F.sqrt((F.col("qx") - F.col("tx")) * (F.col("qx") - F.col("tx")) + (F.col("qy") - F.col("ty")) * (F.col("qy") - F.col("ty")))
-        best = met.groupBy("q_key").agg(F.min(F.struct(d.alias("d"), F.col("t_key").alias("t"))).alias("best"))
-        sure = best if last else best.filter(F.col("best.d") <= side)
-        sure = written(sure.select("q_key", F.col("best.t").alias("t_key"), F.col("best.d").alias("distance_px")), "nearest")
-        found = sure if found is None else found.unionByName(sure)
-        if last:
-            break
-        left = left.join(sure.select("q_key"), "q_key", "left_anti")
-        if left.isEmpty():
-            break
-        side *= 4
-    out = asking.select("q_key").join(found, "q_key", "left")
-    return out.select(F.col("q_key").alias(qkey), F.col("t_key").alias("nearest_id"), "distance_px")
+    asked, spots = _spots(query, qkey), _spots(target, tkey)
+    found = nearby.nearest_point(_boxed(asked, "q"), _boxed(spots, "t"))
+    rows = query.select(F.col(qkey), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if found is None:
+        return rows.select(qkey, F.lit(None).cast(spots.schema["t"].dataType).alias("nearest_id"), F.lit(None).cast("double").alias("distance_px"))
+    places = asked.join(found, asked["t"] == found["q"]).select("x", "y", found["t"].alias("nearest_id"), F.col("d").alias("distance_px"))
+    return rows.join(places, ["x", "y"], "left").select(qkey, "nearest_id", "distance_px")
 
 
 def nearest_cells(points: DataFrame, key: str, pixel_size: float | None = None) -> DataFrame:
-    """Each point's nearest other point."""
-    out = nearest(points, points, key, key, exclude_self=True)
-    return out.withColumn("distance_um", F.col("distance_px") * F.lit(pixel_size).cast("double"))
+    """Each point's nearest other point, the smallest key on ties. Keys are unique.
+
+    Of points at one place all but the first have that one as their nearest, and it has the second; only points that
+    are alone are searched for.
+    """
+    spots = _spots(points, key)
+    rows = points.select(F.col(key), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    shared = spots.filter("n > 1").select("x", "y", F.col("t").alias("first"))
+    second = rows.join(shared, ["x", "y"]).filter(F.col(key) != F.col("first")).groupBy("x", "y").agg(F.min(key).alias("second"))
+    found = nearby.nearest_point(_boxed(spots.filter("n = 1"), "q"), _boxed(spots, "t"), not_self=True)
+    if found is None:
+        found = spots.filter("false").select(F.col("t").alias("q"), "t", F.lit(0.0).alias("d"))
+    far = found.select(F.col("q").alias("first"), F.col("t").alias("other"), "d")
+    places = spots.select("x", "y", F.col("t").alias("first"), "n").join(second, ["x", "y"], "left").join(far, "first", "left")
+    met = rows.join(places, ["x", "y"], "left")
+    other = F.when(F.col("n") == 1, F.col("other")).when(F.col(key) == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    d = F.when(F.col("n") == 1, F.col("d")).when(F.col("n") > 1, F.lit(0.0))
+    return met.select(key, other.alias("nearest_id"), d.alias("distance_px"), (d * F.lit(pixel_size).cast("double")).alias("distance_um"))
 
 
 def proximity(points: DataFrame, rois: DataFrame, query_rois: list[str], target_rois: list[str], key: str, mpp: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Finite points of the query regions with their nearest point of the target regions; µm by the mean pixel size."""
-    finite = points.filter(~F.isnan("x") & ~F.isnan("y") & F.col("x").isNotNull() & F.col("y").isNotNull() & (F.abs("x") != float("inf")) & (F.abs("y") != float("inf")))
-    of = lambda ids: associate(finite, rois.filter(F.col("roi_id").isin(ids))).filter("roi_id IS NOT NULL")
+    fine = points.filter(finite("x", "y"))
+    of = lambda ids: associate(fine, rois.filter(F.col("roi_id").isin(ids))).filter("roi_id IS NOT NULL")
     query, target = written(of(query_rois), "query"), written(of(target_rois), "target")
     near = nearest(query, target, key, key)
     named = target.select(F.col(key).alias("nearest_id"), F.col("roi_id").alias("target_roi"))
@@ -71,22 +77,11 @@ def proximity(points: DataFrame, rois: DataFrame, query_rois: list[str], target_
     return out.withColumn("distance_um", F.col("distance_px") * F.lit((mpp[0] + mpp[1]) / 2))
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Ranks from 1 with ties averaged, within `by`."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def quantile_position(df: DataFrame, value: str) -> DataFrame:
-    """(average rank - 1) / (n - 1), one half where all values are equal, and the index of one of 101 colours.
-
-    The ranks come from counts of distinct values, so no task sorts the rows; the window runs over distinct values.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total, kinds = F.sum("__n").over(Window.partitionBy()), F.count("*").over(Window.partitionBy())
-    rank = upto - (F.col("__n") - 1) / 2
-    at = F.when(kinds == 1, F.lit(0.5)).otherwise(F.try_divide(rank - 1, total - 1))
+    """(average rank - 1) / (n - 1), one half where all values are equal, and the index of one of 101 colours. A row without a value has neither."""
+    counts = ranges.distinct_values(df.filter(F.col(value).isNotNull()), value)
+    rank = F.col("upto") - (F.col("n") - 1) / 2
+    at = F.when(F.col("n") == F.col("total"), F.lit(0.5)).otherwise(F.try_divide(rank - 1, F.col("total") - 1))
     met = df.join(counts.select(value, at.alias("position")), value, "left")
     return met.withColumn("colour_index", F.greatest(F.lit(1), F.least(F.lit(101), (F.floor(F.col("position") * 100) + 1).cast("int"))))
 
@@ -98,8 +93,8 @@ def binned(df: DataFrame, value: str, features: list[str], step: float = 0.005)
     """
     whole = df.dropna(subset=[value, *features])
     shares = [round(k * step, 10) for k in range(round(1 / step) + 1)]
-    breaks = whole.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(s) for s in shares]))).alias("breaks"))
-    met = whole.crossJoin(F.broadcast(breaks))
+    breaks = ranges.percentiles(whole, value, shares).select(F.array_distinct("q").alias("breaks"))
+    met = whole.crossJoin(F.broadcast(breaks))  # one row
     below = F.size(F.filter("breaks", lambda b: b < F.col(value)))
     bin_ = F.greatest(below, F.lit(1))
     edge = lambda i: F.element_at("breaks", i)
@@ -143,19 +138,26 @@ def t_probability(r: float | None, n: int | None) -> float | None:
     return min(1.0, front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b)
 
 
-t_probability_udf = F.udf(t_probability, DoubleType())
+def t_probabilities(r: Column, n: Column) -> Column:
+    def p(rs: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([t_probability(None if pd.isna(a) else a, None if pd.isna(b) else int(b)) for a, b in zip(rs, ns, strict=True)], dtype="float64")
+
+    return F.pandas_udf(p, "double")(r, n)
 
 
 def correlations(long: DataFrame, distances: DataFrame, key: str, distance: str, method: str = "pearson") -> DataFrame:
     """Each feature's correlation with the distance and its p, ordered by strength. Features with fewer than two values or no variance are left out.
 
-    p values come from one small Python call a feature, after the aggregation.
+    p values come from a vectorised call over the features, after the aggregation.
     """
     met = long.join(distances.select(key, F.col(distance).alias("d")), key).filter(F.col("value").isNotNull() & ~F.isnan("value") & F.col("d").isNotNull() & ~F.isnan("d"))
     if method == "spearman":
-        met = met.select("feature", average_rank("value", "feature").alias("value"), average_rank("d", "feature").alias("d"))
+        met = written(met.select("feature", "value", "d"), "ranked")
+        for c in ("value", "d"):
+            met = ranges.average_ranks(met, c, f"{c}_rank", ("feature",))
+        met = met.select("feature", F.col("value_rank").alias("value"), F.col("d_rank").alias("d"))
     stats = met.groupBy("feature").agg(F.count("*").alias("n"), F.try_divide(F.covar_samp("value", "d"), F.stddev_samp("value") * F.stddev_samp("d")).alias("r"), F.var_samp("value").alias("v"))
-    return stats.filter("n >= 2 AND v > 0").select("feature", "n", "r", t_probability_udf("r", "n").alias("p")).orderBy(F.abs("r").desc_nulls_last(), F.col("p").asc_nulls_last(), "feature")
+    return stats.filter("n >= 2 AND v > 0").select("feature", "n", "r", t_probabilities(F.col("r"), F.col("n")).alias("p")).orderBy(F.abs("r").desc_nulls_last(), F.col("p").asc_nulls_last(), "feature")
 
 
 def adjusted(table: DataFrame, p: str = "p") -> DataFrame:
@@ -183,6 +185,6 @@ def top_variance(long: DataFrame, k: int) -> DataFrame:
 def spot_spacing(points: DataFrame, key: str, centre_um: float = 100.0) -> DataFrame:
     """The median distance to the nearest spot and the pixel size it implies; null where the quartiles lie more than a quarter of the median apart."""
     d = nearest_cells(points, key).filter("distance_px > 0")
-    q = d.agg(F.percentile("distance_px", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = ranges.percentiles(d, "distance_px", [0.25, 0.5, 0.75])
     steady = (F.col("q")[2] - F.col("q")[0]) / F.col("q")[1] <= 0.25
     return q.select(F.col("q")[1].alias("spacing_px"), F.when(steady, F.lit(centre_um) / F.col("q")[1]).alias("mpp"))

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions.scalars import label_or
+from ..sources.work import deleted, written
+from . import nearby, ranges
 
 #: Rows of regions by cell that are sent to all tasks; beyond, both sides are shuffled by cell.
 MAX_BROADCAST_CELLS = 200_000
@@ -113,24 +115,47 @@ def summarise_rois(rois: DataFrame, points: DataFrame | None = None, pixel_size:
     return table.join(cells, "class", "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(0))).withColumn("density_px", F.try_divide("n_cells", "area_px"))
 
 
+def boundary_pieces(rois: DataFrame, pieces: int = 256) -> DataFrame:
+    """The segments of all rings: roi_index, roi_id, ax, ay, bx, by and a box. A long segment is several rows with its ends and the boxes of its parts, so that boxes stay small; a part is a 1/`pieces` of the regions' extent at most."""
+    rings = areal(rois).select("roi_index", "roi_id", F.explode(F.flatten("geometry")).alias("r"))
+    corner = rings.select("roi_index", "roi_id", F.posexplode("r").alias("k", "p"), "r")
+    end = F.get("r", F.col("k") + 1)
+    segments = corner.filter(F.col("k") + 1 < F.size("r")).select("roi_index", "roi_id", F.col("p")[0].alias("ax"), F.col("p")[1].alias("ay"), end[0].alias("bx"), end[1].alias("by"))
+    box = segments.agg(F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ay", "by")).alias("y1"), F.min(F.least("ay", "by")).alias("y0")).first()
+    step = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-9) / pieces if box["x0"] is not None else 1.0
+    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))) / step)).cast("int")
+    cut = segments.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda v, i: F.col(f"a{v}") + (F.col(f"b{v}") - F.col(f"a{v}")) * i / F.col("n")
+    for v in "xy":
+        u, w = at(v, F.col("i")), at(v, F.col("i") + 1)
+        cut = cut.withColumn(f"{v}0", F.least(u, w)).withColumn(f"{v}1", F.greatest(u, w))
+    return cut.drop("n", "i")
+
+
 def cells_to_roi(points: DataFrame, rois: DataFrame, key: str, pixel_size: float | None = None) -> DataFrame:
-    """Each point's nearest region boundary (the first region on ties), the distance, and whether the region holds the point.
+    """Each point's nearest region boundary (the first region on ties), the distance, and whether the region holds the point; null without a region or finite coordinates.
 
-    Regions travel as one list; the list is refused beyond 10,000 regions. A region can be nearest only if its box
-    is no farther than the nearest box's farthest corner, so few boundaries are measured.
+    Boundary segments are searched by cells (nearby.candidates), so any number of regions and corners will do. The
+    region's geometry meets the point once, for `inside`.
     """
-    boxes = with_bbox(areal(rois))
-    listed = boxes.groupBy().agg(F.sort_array(F.collect_list(F.struct("roi_index", "roi_id", "geometry", "xmin", "ymin", "xmax", "ymax"))).alias("all"))
-    if boxes.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 regions: tile them and measure tile by tile")
-    x, y = F.col("x"), F.col("y")
-    gap = lambda r: F.hypot(F.greatest(r["xmin"] - x, x - r["xmax"], F.lit(0.0)), F.greatest(r["ymin"] - y, y - r["ymax"], F.lit(0.0)))
-    far = lambda r: F.hypot(F.greatest(F.abs(x - r["xmin"]), F.abs(x - r["xmax"])), F.greatest(F.abs(y - r["ymin"]), F.abs(y - r["ymax"])))
-    met = points.crossJoin(F.broadcast(listed)).withColumn("reach", F.array_min(F.transform("all", far)))
-    near = F.transform(F.filter("all", lambda r: gap(r) <= F.col("reach")), lambda r: F.struct(G.boundary_distance(r["geometry"], x, y).alias("d"), r["roi_index"].alias("roi_index"), r["roi_id"].alias("roi_id"), G.contains(r["geometry"], x, y).alias("inside")))
-    best = met.withColumn("best", F.array_min(near))
-    um = F.col("best.d") * F.lit(pixel_size).cast("double")
-    return best.select(key, F.col("best.roi_index").alias("roi_index"), F.col("best.roi_id").alias("roi_id"), F.col("best.d").alias("distance_px"), um.alias("distance_um"), F.col("best.inside").alias("inside"))
+    xy = [F.col(c).cast("double").alias(c) for c in "xy"]
+    held = points.select(key, *xy).filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('infinity')" for c in "xy"))
+    spots = written(held.select("x", "y").distinct().withColumn("q", F.struct("x", "y")), "spots")
+    pieces = written(boundary_pieces(rois), "pieces")
+    segment = F.struct("roi_index", "roi_id", "ax", "ay", "bx", "by").alias("t")
+    met, rounds = nearby.candidates(spots.select("q", *[F.col(v).alias(f"{v}{i}") for i in (0, 1) for v in "xy"]), pieces.select(segment, *nearby.BOX))
+    if met is None:
+        nothing = [F.lit(None).cast(t).alias(n) for n, t in (("roi_index", "int"), ("roi_id", "string"), ("distance_px", "double"), ("distance_um", "double"), ("inside", "boolean"))]
+        return points.select(key, *nothing)
+    ends = [F.array(F.col(f"t.{e}x"), F.col(f"t.{e}y")) for e in "ab"]
+    d = G.segment_distance(F.col("q_x0"), F.col("q_y0"), *ends)
+    best = met.groupBy("q").agg(F.min(F.struct(d.alias("d"), "t.roi_index", "t.roi_id")).alias("best"))
+    best = written(best.select(F.col("q.x").alias("x"), F.col("q.y").alias("y"), "best.*"), "nearest")
+    deleted(*rounds, spots, pieces)
+    shapes = areal(rois).select("roi_index", "geometry")
+    inside = best.join(shapes, "roi_index").select("x", "y", "roi_index", "roi_id", "d", G.contains(F.col("geometry"), F.col("x"), F.col("y")).alias("inside"))
+    out = points.select(key, *xy).join(inside, ["x", "y"], "left")
+    return out.select(key, "roi_index", "roi_id", F.col("d").alias("distance_px"), (F.col("d") * F.lit(pixel_size).cast("double")).alias("distance_um"), "inside")
 
 
 def roi_distance(rois: DataFrame) -> DataFrame:
@@ -153,8 +178,12 @@ def group_summary(cells: DataFrame, by: list[str], channels: list[str], threshol
     aggs = [F.count("*").alias("n_cells")]
     for c in channels:
         positive = F.sum((F.col(c) >= threshold).cast("long"))
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.percentile(c, F.lit(0.5)).alias(f"{c}_median"), F.coalesce(positive, F.lit(0)).alias(f"{c}_positive"), F.try_divide(positive, F.count(c)).alias(f"{c}_positive_fraction")]
-    return cells.groupBy(*by).agg(*aggs)
+        aggs += [F.avg(c).alias(f"{c}_mean"), F.coalesce(positive, F.lit(0)).alias(f"{c}_positive"), F.try_divide(positive, F.count(c)).alias(f"{c}_positive_fraction")]
+    out = cells.groupBy(*by).agg(*aggs)
+    for c in channels:
+        middle = ranges.percentiles(cells, c, [0.5], tuple(by)).select(*by, F.get("q", F.lit(0)).alias(f"{c}_median"))
+        out = ranges.meet(out, middle, by)
+    return out
 
 
 def roi_counts(associated: DataFrame, rois: DataFrame, pixel_size: float | None = None) -> DataFrame:

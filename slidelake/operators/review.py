@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import label_or
+from . import ranges
 
 # fixed values: the preset classes, their colours and whether they are exported
 PRESETS = (
@@ -154,9 +155,8 @@ def cache_prune(files: DataFrame, max_bytes: int, max_age_days: float, now: floa
     """files(path, bytes, mtime) that a cache drops: those too old, then the least recent until 90 % of the cap is left, if the cap is passed."""
     old = (F.lit(now) - F.col("mtime")) > max_age_days * 86400
     young = files.filter(~old)
-    run = F.sum("bytes").over(Window.orderBy(F.col("mtime").desc(), "path").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = F.sum("bytes").over(Window.partitionBy())
-    full = young.withColumn("run", run).withColumn("whole", whole).filter((F.col("whole") > max_bytes) & (F.col("run") > 0.9 * max_bytes)).select("path", F.lit("size").alias("reason"))
+    summed = ranges.running(young, [F.col("mtime").desc(), F.col("path")], F.col("bytes"))
+    full = summed.filter((F.col("total") > max_bytes) & (F.col("upto") > 0.9 * max_bytes)).select("path", F.lit("size").alias("reason"))
     return files.filter(old).select("path", F.lit("age").alias("reason")).unionByName(full)
 
 
@@ -166,8 +166,8 @@ def thinned(df: DataFrame, order: str, most: int) -> DataFrame:
     if n <= most:
         return df
     step = -(-n // most)
-    at = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("__at", at).filter(F.col("__at") % step == 0).drop("__at")
+    placed = ranges.running(df, [F.col(order)], F.lit(1))
+    return placed.filter((F.col("upto") - 1) % step == 0).select(*df.columns)
 
 
 def class_summary(rois: DataFrame) -> DataFrame:
