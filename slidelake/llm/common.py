@@ -18,12 +18,14 @@ TOKENIZERS = "/opt/tokenizers"
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in tests, a temporary folder is set as the checkpoint folder.
+    A local session that names none, as in tests, gets a temporary folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slidelake-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
@@ -34,7 +36,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df written as Parquet in the shared folder and read again: lineage ends here."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def exists(spark: SparkSession, path: str, delete: bool = False) -> bool:
+    """Whether the path is there, in any store that Spark knows; it may be removed at once."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return store.delete(at, True) if delete else store.exists(at)
+
+
+def deleted(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for df in tables:
+        exists(df.sparkSession, df._work_path, delete=True)
 
 
 def text_or_empty(text: Column) -> Column:

@@ -6,12 +6,15 @@ knapsack over what remains of the counts settles the last words. Which documents
 decided by a seeded hash, so reruns agree.
 
 Defined results: a null text has no words; documents without words take none. Sources are ordered by code
-point, null last (null is a source of its own). An empty table gives an empty result. Rows that repeat an id
-are rows of their own. Columns beside id, text and source are never read.
+point, null last (null is a source of its own). An empty table gives an empty result. Rows that repeat an id, or id
+and text, are rows of their own, each taken as often as it is due: which of equal rows is taken makes no difference.
+Columns beside id, text and source are never read, and may have any names that do not begin with two underscores.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,8 +25,8 @@ from .common import word_count, written
 
 #: Words of the budget that the knapsack settles, beside what sharing in proportion leaves.
 RESERVE = 1 << 15
-#: Parts of a length's documents by their hash, so that no task ranks all documents of one length.
-PARTS = 256
+#: Bits of the hash that deal a length's documents into parts, at least.
+LEAST_BITS = 8
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0) -> DataFrame:
@@ -97,56 +100,57 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, reserve: in
 
 def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
     """For one source: turns that every document takes, and documents of each length that take one more."""
-    pdf = pdf.sort_values("size")
+    pdf = pdf.sort_values("__size")
     size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
     turns = int(target // size) if size else 0
-    words = pdf["size"].to_numpy() > 0
+    words = pdf["__size"].to_numpy() > 0
     pdf["turns"], pdf["extra"] = turns, 0
-    extra = fit_budget(pdf["size"].to_numpy()[words], pdf["n"].to_numpy()[words], round(target - turns * size))
+    extra = fit_budget(pdf["__size"].to_numpy()[words], pdf["n"].to_numpy()[words], round(target - turns * size))
     pdf.loc[words, "extra"] = extra
-    return pdf[["no_source", "src", "size", "source_size", "target", "turns", "extra"]]
+    return pdf[["__no_source", "__src", "__size", "source_size", "target", "turns", "extra"]]
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """For every row: id, size, source_size, target, taken (words the mix takes, repeats counted), repeats.
+def ranked(docs: DataFrame, keep: list, weights: tuple[int, ...], share: float, most: float, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The columns `keep` of every row with size, source_size, target, repeats.
 
-    The table is read once; what is kept of it are ids, sources and lengths. Documents of one source and length
-    fall into parts by their hash; parts below the quota are taken whole, the one at the quota by rank.
+    Sources, lengths and places are written once; the plan comes from their counts. A length's rows fall into parts by
+    the first bits of their hash, about as many parts as a part has rows; parts below the quota are taken whole, the
+    one at the quota by rank. So neither a task nor a sum has more than the square root of a length's rows.
     """
     source = F.col(source_col).cast("string")
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = written(
-        docs.select(
-            F.col(id_col).alias("id"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("src"), word_count(F.col(text_col)).alias("size"),
-            order.alias("place"), (F.shiftrightunsigned(order, 56) % PARTS).cast("int").alias("part"),
-        ),
-        "mix-rows",
-    )
-    parts = rows.groupBy("no_source", "src", "size", "part").agg(F.count("*").alias("n"))
-    lengths = parts.groupBy("no_source", "src", "size").agg(F.sum("n").alias("n"))
-    totals = lengths.groupBy("no_source", "src").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    goals = targets(totals.select(F.when(~F.col("no_source"), F.col("src")).alias("source"), "source_size"), weights, share, most)
-    goals = goals.select(F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), "source_size", "target")
-    plan = lengths.join(goals, ["no_source", "src"]).groupBy("no_source", "src").applyInPandas(
-        quotas, "no_source boolean, src string, size long, source_size long, target double, turns long, extra long"
+    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    own = [source.isNull().alias("__no_source"), F.coalesce(source, F.lit("")).alias("__src"), word_count(F.col(text_col)).alias("__size"), order.alias("__place")]
+    key = ["__no_source", "__src", "__size"]
+    rows = written(docs.select(*own), "mix-rows")
+    lengths = written(rows.groupBy(*key).agg(F.count("*").alias("n")), "mix-lengths")
+    longest = lengths.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    bits = min(48, max(LEAST_BITS, math.ceil(math.log2(longest) / 2)))
+    part = F.shiftrightunsigned("__place", 64 - bits)
+    parts = rows.groupBy(*key, part.alias("__part")).agg(F.count("*").alias("n"))
+    totals = lengths.groupBy("__no_source", "__src").agg(F.sum(F.col("n") * F.col("__size")).alias("source_size"))
+    goals = targets(totals.select(F.when(~F.col("__no_source"), F.col("__src")).alias("source"), "source_size"), weights, share, most)
+    goals = goals.select(F.col("source").isNull().alias("__no_source"), F.coalesce("source", F.lit("")).alias("__src"), "source_size", "target")
+    plan = lengths.join(goals, ["__no_source", "__src"]).groupBy("__no_source", "__src").applyInPandas(
+        quotas, "__no_source boolean, __src string, __size long, source_size long, target double, turns long, extra long"
     )
     plan = written(plan, "mix-plan")
-    key = ["no_source", "src", "size"]
-    up_to = F.sum("n").over(Window.partitionBy(*key).orderBy("part")) - F.col("n")
+    up_to = F.sum("n").over(Window.partitionBy(*key).orderBy("__part")) - F.col("n")
     share_of_part = parts.withColumn("before", up_to).join(plan, key).select(
-        *key, "part", "source_size", "target", "turns", F.least(F.col("n"), F.greatest(F.lit(0), F.col("extra") - F.col("before"))).alias("quota")
-    )
-    rank = F.row_number().over(Window.partitionBy(*key, "part").orderBy("place", "id"))
-    repeats = F.col("turns") + (F.col("rank") <= F.col("quota")).cast("long")
-    return (
-        rows.withColumn("rank", rank)
-        .join(share_of_part, [*key, "part"])
-        .select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), F.when(F.col("size") > 0, repeats).otherwise(F.lit(0)).alias("repeats"))
+        *key, "__part", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("turns").alias("__turns"), F.least(F.col("n"), F.greatest(F.lit(0), F.col("extra") - F.col("before"))).alias("__quota")
     )
+    rank = F.row_number().over(Window.partitionBy(*key, "__part").orderBy("__place"))
+    repeats = F.when(F.col("__size") > 0, F.col("__turns") + (F.col("__rank") <= F.col("__quota")).cast("long")).otherwise(F.lit(0).cast("long"))
+    met = docs.select(F.struct(*keep).alias("__row"), *own).withColumn("__part", part).withColumn("__rank", rank).join(share_of_part, [*key, "__part"])
+    return met.select("__row", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), repeats.alias("repeats"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """For every row: id, size, source_size, target, taken (words the mix takes, repeats counted), repeats."""
+    rows = ranked(docs, [F.col(id_col)], weights, share, most, seed, id_col, text_col, source_col)
+    return rows.select("__row.*", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs with each row as often as the mix takes it, with all its columns; ids must be unique."""
-    plan = mixed(docs, id_col=id_col, **how).select(F.col(id_col).alias("__id"), F.col("repeats").alias("__repeats")).filter("__repeats > 0")
-    met = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"]))
-    return met.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__repeats").cast("int")))).select(*docs.columns)
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with each row as often as the mix takes it, with all its columns, which travel with it: a row that repeats an id is taken as often as it is due itself."""
+    rows = ranked(docs, [F.col(c) for c in docs.columns], weights, share, most, seed, id_col, text_col, source_col).filter("repeats > 0")
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("__turn")).select("__row.*")
