@@ -2,9 +2,13 @@
 
 Every record hashes into one of thousands of slots; the slot never changes. A stored map, one version
 after another, says which shard holds which slot. The first version deals the slots out by their bytes;
-rebalancing edits the map and moves whole slots. The main path is DataFrame functions alone; what meets
+a run with a map at its path keeps to the newest version, and asked for more shards it edits that version and
+stores the next: slots move into the new shards alone. The main path is DataFrame functions alone; what meets
 on the driver is one row a slot, whose number is a parameter.
 
+The law is `bytes`: equal texts under different ids are records of their own and may lie in different shards, so
+that a group of copies, which may be a third of all bytes, is spread evenly like any other rows.
+
 Defined results: a null text has no bytes and the crc of the empty text. Rows that repeat id and text are
 one record and share a slot. An empty table gives an empty result and a map in which the slots are dealt
 out in turn. Columns beside id and text are never read.
@@ -14,13 +18,14 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_or_empty, work_path, written
+from .common import exists, text_or_empty, work_path, written
 
 #: Bytes that a record takes beside its text.
 OVERHEAD = 16
@@ -38,9 +43,9 @@ def records(docs: DataFrame, n_slots: int = SLOTS, id_col: str = "doc_id", text_
     )
 
 
-def slot_bytes(rows: DataFrame) -> dict[int, tuple[int, int]]:
+def slot_bytes(parts: DataFrame) -> dict[int, tuple[int, int]]:
     """Bytes and rows of each slot that has any; one row a slot comes to the driver."""
-    found = rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    found = parts.groupBy("vslot").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()
     return {r["vslot"]: (r["b"], r["n"]) for r in found}
 
 
@@ -81,45 +86,70 @@ def edited_map(held: list[int], stats: dict[int, tuple[int, int]], shards: int)
     return held
 
 
-def map_rows(spark: SparkSession, held: Iterable[int], stats: dict[int, tuple[int, int]], version: int) -> DataFrame:
-    """version, vslot, shard, first (the place in its shard at which the slot's rows begin): a row a slot."""
+def map_rows(spark: SparkSession, held: Iterable[int], stats: dict[int, tuple[int, int]]) -> DataFrame:
+    """vslot, shard, first (the place in its shard at which the slot's rows begin): a row a slot."""
     ends: dict[int, int] = {}
     rows = []
     for slot, shard in enumerate(held):
         rows.append([slot, shard, ends.get(shard, 0)])
         ends[shard] = ends.get(shard, 0) + stats.get(slot, (0, 0))[1]
-    kind = "array<array<bigint>>"
-    row = F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("r")
-    return spark.range(1).select(row).select(
-        F.lit(version).alias("version"), F.col("r")[0].cast("int").alias("vslot"), F.col("r")[1].cast("int").alias("shard"), F.col("r")[2].alias("first")
-    )
+    row = F.explode(F.from_json(F.lit(json.dumps(rows)), "array<array<bigint>>")).alias("r")
+    return spark.range(1).select(row).select(F.col("r")[0].cast("int").alias("vslot"), F.col("r")[1].cast("int").alias("shard"), F.col("r")[2].alias("first"))
+
+
+def store_map(spark: SparkSession, path: str, held: Iterable[int], version: int) -> None:
+    map_rows(spark, held, {}).drop("first").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
-def store_map(spark: SparkSession, path: str, held: Iterable[int], stats: dict[int, tuple[int, int]], version: int) -> None:
-    map_rows(spark, held, stats, version).drop("version").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]] | None:
+    """The number of a version, the newest unless told, and the shard of each slot; None where there is no map yet."""
+    if not exists(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    version = rows.agg(F.max("version")).first()[0] if version is None else version
+    return version, [r["shard"] for r in rows.filter(F.col("version") == version).select("vslot", "shard").orderBy("vslot").collect()]
 
 
-def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={version}").select(F.lit(version).alias("version"), "vslot", "shard", "first")
+def current_map(spark: SparkSession, path: str, stats: dict[int, tuple[int, int]], n_slots: int, shards: int) -> tuple[int, list[int]]:
+    """The map in force for so many shards: the newest, where it has them, else the next version, stored now."""
+    known = load_map(spark, path)
+    if known is None:
+        version, held = 1, first_map(stats, n_slots, shards)
+    else:
+        version, held = known
+        if len(held) != n_slots:
+            raise ValueError(f"the map at {path} has {len(held)} slots")
+        if max(held) + 1 == shards:
+            return version, held
+        if max(held) + 1 > shards:
+            raise ValueError(f"the map at {path} has more shards")
+        version, held = version + 1, edited_map(held, stats, shards)
+    store_map(spark, path, held, version)
+    return version, held
 
 
 def sharded(docs: DataFrame, shards: int = 40, n_slots: int = SLOTS, map_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
 
-    `slot` is the row's place within its shard, without gaps from 0: where its virtual slot begins, plus its
-    rank there. No task ranks a whole shard. The law is `bytes`: sizes of shards are near equal.
+    `slot` is the row's place within its shard, without gaps from 0: where its virtual slot begins, plus its rank
+    there. A slot's rows are ranked in parts by a further hash, about as many parts as a part has rows, so no task
+    ranks a whole slot.
     """
     spark = docs.sparkSession
     rows = written(records(docs, n_slots, id_col, text_col), "records")
-    stats = slot_bytes(rows)
-    path = map_path or work_path(spark, "slot-map")
-    store_map(spark, path, first_map(stats, n_slots, shards), stats, 1)
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("id", "text_crc32", "size"))
+    fullest = rows.groupBy("vslot").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("text_crc32", "size", "id"), F.lit(max(1, math.isqrt(fullest)))))
+    parts = rows.groupBy("vslot", "part").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    stats = slot_bytes(parts)
+    version, held = current_map(spark, map_path or work_path(spark, "slot-map"), stats, n_slots, shards)
+    before = F.sum("n").over(Window.partitionBy("vslot").orderBy("part")) - F.col("n")
+    starts = parts.withColumn("before", before).join(F.broadcast(map_rows(spark, held, stats)), "vslot")  # a row a slot
+    place = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("id", "text_crc32", "size"))
     return (
         rows.withColumn("rank", place)
-        .join(F.broadcast(load_map(spark, path, 1)), "vslot")
+        .join(starts.select("vslot", "part", "shard", (F.col("first") + F.col("before")).alias("start")), ["vslot", "part"])
         .select(
             F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-            (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version"),
+            (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(version).alias("map_version"),
         )
     )
