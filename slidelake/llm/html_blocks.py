@@ -1,9 +1,11 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over what each holds and what lies around it.
 
-A page becomes a list of blocks (text between block-level tags) with the words of each, the share of them in links,
-the same for the blocks before and after, and where the block stands: within or outside an article, in a landmark
-such as a menu or a form, under an element whose class, id or role speaks of boilerplate. The tree is grown here from
-LABELLED, a few pages whose wanted elements carry the attribute data-keep.
+A page becomes a list of blocks (text between block-level tags) with the words of each, the share of them in links and
+the same for the blocks before and after; further features are where it stands by its tags (in or out of the page's
+article, in a landmark such as a menu or a form) and whether an element about it has a class, id or role that speaks of
+boilerplate. Such an element, or landmark, counts for nothing where it wraps the page: where it holds the main heading
+and half of the words. The tree is grown here from `labelled`, small pages whose wanted elements carry data-keep; in
+pages without article or main it decides by words, links and neighbours.
 
 Defined results: null and empty pages give an empty text of 0 characters. White space is what str.split takes for it.
 A `br` is white space within its block. Unclosed comments and raw elements (scripts, styles) run to the end, a tag cut
@@ -14,6 +16,7 @@ gives an empty result.
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: names from the HTML standard, and words that class, id and role names use
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow ms mtext msub msup msubsup mfrac msqrt mroot mstyle munder mover munderover mpadded mphantom mspace semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option button".split())
+RAW = frozenset("script style noscript template svg annotation iframe canvas audio video head title textarea select option button".split())
 LANDMARK = frozenset("nav footer aside form menu dialog".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
@@ -49,9 +52,11 @@ class Block:
     linked: int
     #: 2 in an article, 1 in the main part, 0 else.
     within: int
-    #: Under a landmark such as a menu, or an element whose names speak of boilerplate.
-    aside: bool
-    heading: bool
+    #: The landmarks, and the elements whose names speak of boilerplate, about the block, by number.
+    landmarks: tuple[int, ...]
+    hints: tuple[int, ...]
+    #: 1 to 6 for headings, else 0.
+    heading: int
     keep: bool
 
 
@@ -65,20 +70,20 @@ def hinted(attributes: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     found: list[Block] = []
-    #: open elements: name, within, aside, keep
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    #: open elements: name, within, landmarks, hints, keep
+    stack: list[tuple[str, int, tuple[int, ...], tuple[int, ...], bool]] = [("", 0, (), (), False)]
     text: list[str] = []
     linked: list[str] = []
-    in_link = heading = False
-    pos = 0
+    in_link = False
+    heading = number = pos = 0
 
     def close() -> None:
         nonlocal text, linked
         words = html.unescape("".join(text)).split()
         if words:
-            _, within, aside, keep = stack[-1]
+            _, within, landmarks, hints, keep = stack[-1]
             links = len(html.unescape(" ".join(linked)).split()) if linked else 0
-            found.append(Block(" ".join(words), len(words), min(links, len(words)), within, aside, heading, keep))
+            found.append(Block(" ".join(words), len(words), min(links, len(words)), within, landmarks, hints, heading, keep))
         text, linked = [], []
 
     while True:
@@ -114,7 +119,7 @@ def blocks(page: str) -> list[Block]:
         close()
         if m[1]:
             if name in HEADING:
-                heading = False
+                heading = 0
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -123,29 +128,50 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if name in HEADING:
-            heading = True
+            heading = int(name[1])
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", *HEADING) and stack[-1][0] == name:
             stack.pop()
-        _, within, aside, keep = stack[-1]
-        within = max(within, {"article": 2, "main": 1}.get(name, 0))
-        aside = aside or name in LANDMARK or name == "header" and not within or hinted(m[3])
-        stack.append((name, within, aside, keep or "data-keep" in m[3]))
+        _, within, landmarks, hints, keep = stack[-1]
+        number += 1
+        if name in LANDMARK or name == "header" and not within:
+            landmarks = (*landmarks, number)
+        if name not in ("html", "body", "article", "main") and hinted(m[3]):
+            hints = (*hints, number)
+        stack.append((name, max(within, {"article": 2, "main": 1}.get(name, 0)), landmarks, hints, keep or "data-keep" in m[3]))
     close()
     return found
 
 
-FEATURES = ("standing", "words", "link_density", "before_words", "before_density", "after_words", "after_density", "heading")
+FEATURES = ("words", "link_density", "before_words", "before_density", "after_words", "after_density", "heading", "within", "landmark", "hint")
+
+
+def wrappers(found: list[Block]) -> set[int]:
+    """The landmarks and hinted elements that wrap the page: they hold its main heading (without one, four fifths of the words, and 40) and half of the words outside of links. Where there is an article or main part, its blocks alone count."""
+    most = max((b.within for b in found), default=0)
+    free = [(b.words - b.linked) * (b.within == most) for b in found]
+    heads = [(b.heading, i) for i, b in enumerate(found) if b.heading and b.within == most]
+    main = min(heads)[1] if heads else None
+    held: dict[int, int] = {}
+    for b, n in zip(found, free, strict=True):
+        for k in {*b.landmarks, *b.hints}:
+            held[k] = held.get(k, 0) + n
+    least = sum(free) * 0.5 if main is not None else max(sum(free) * 0.8, 40)
+    return {k for k, n in held.items() if n >= least and (main is None or k in found[main].landmarks or k in found[main].hints)}
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row a block, columns as FEATURES. standing: 0 aside or outside of the page's article (main part, where it has no article), 2 inside, 1 where the page has neither."""
+    """A row a block, columns as FEATURES. within: 2 in the page's article (main part, where it has no article), 0 outside of it, 1 where the page has neither."""
     n = len(found)
     words = np.array([b.words for b in found], dtype=np.float64)
     density = np.array([b.linked / b.words for b in found])
-    most = max((b.within for b in found if not b.aside), default=0)
-    standing = np.array([0.0 if b.aside or b.within < most else 2.0 if most else 1.0 for b in found])
-    before, after = np.r_[0.0, words[:-1]], np.r_[words[1:], 0.0]
-    return np.column_stack([standing, words, density, before, np.r_[0.0, density[:-1]], after, np.r_[density[1:], 0.0], [float(b.heading) for b in found]])
+    about = wrappers(found)
+    landmark = np.array([float(not about.issuperset(b.landmarks)) for b in found])
+    hint = np.array([float(not about.issuperset(b.hints)) for b in found])
+    most = max((b.within for b, a, h in zip(found, landmark, hint, strict=True) if not a and not h), default=0)
+    within = np.array([0.0 if b.within < most else 2.0 if most else 1.0 for b in found])
+    lead = lambda x: np.r_[x[1:], 0.0]
+    lag = lambda x: np.r_[0.0, x[: n - 1]]
+    return np.column_stack([words, density, lag(words), lag(density), lead(words), lead(density), [float(b.heading > 0) for b in found], within, landmark, hint])
 
 
 @dataclass
@@ -165,10 +191,10 @@ class Tree:
         return out
 
 
-def grow(rows: np.ndarray, keep: np.ndarray, depth: int = 6) -> Tree:
+def grow(rows: np.ndarray, keep: np.ndarray, depth: int = 8) -> Tree:
     """A classification tree by the Gini impurity; among equal splits the first feature and the lowest cut."""
     leaf = Tree(keep=bool(keep.mean() >= 0.5))
-    if depth == 0 or keep.all() or not keep.any():
+    if depth == 0 or len(keep) < 8 or keep.all() or not keep.any():
         return leaf
     best, n = (1e-9, -1, 0.0), len(keep)
     impurity = lambda k, m: 2 * k * (m - k) / m
@@ -193,23 +219,56 @@ def _words(n: int, first: int = 0) -> str:
     return " ".join(f"word{(first + i) % 97}" for i in range(n))
 
 
-def labelled() -> list[str]:
-    """The labelled table, as pages: elements with data-keep are wanted. Words are fillers; only counts, links and places teach."""
+def labelled(seed: int = 1, rounds: int = 12) -> list[str]:
+    """The labelled table, as pages: elements with data-keep are wanted. Words are fillers; only counts, links and places teach.
+
+    Lengths are drawn anew for each page. In articles and main parts anything may be short or linked, and what lies
+    outside may be long; landmarks and elements whose names speak hold text of any length; in pages of plain divs menus,
+    teasers and notes are told by their words, links and neighbours alone.
+    """
+    r = random.Random(seed)
     w, link = _words, lambda n: f'<a href="/x">{_words(n)}</a>'
-    menu = "<ul>" + "".join(f"<li>{link(k)}</li>" for k in (1, 1, 2, 1, 3, 1)) + "</ul>"
-    text = lambda *n: "".join(f"<p data-keep>{w(k)}</p>" for k in n)
-    return [
-        f'<nav>{menu}</nav><div class="ad">{w(6)}</div><article><h1 data-keep>{w(8)}</h1>{text(60, 1, 45, 2, 80)}</article><footer>{w(7)}</footer>',
-        f'<nav>{menu}</nav><div class="ad">{w(25)}</div><article><h1 data-keep>{w(1)}</h1>{text(3)}</article><footer>{w(30)}</footer>',
-        f'<header><h1>{w(3)}</h1>{menu}</header><main><h2 data-keep>{w(5)}</h2>{text(40, 5)}<p data-keep>{w(12)} {link(3)} {w(9)}</p><ul data-keep><li>{w(4)}</li><li>{w(9)}</li></ul><p data-keep>{link(2)}</p></main><aside><h3>{w(2)}</h3><p>{w(35)}</p>{menu}</aside><footer><p>{w(40)}</p></footer>',
-        f'<main><article><h1 data-keep>{w(6)}</h1>{text(30, 4, 50)}<aside><p>{w(20)}</p></aside>{text(22)}</article><section class="comments"><h2>{w(2)}</h2><p>{w(45)}</p><p>{w(15)}</p></section></main>',
-        f'<div id="cookie-notice"><p>{w(28)}</p></div><div id="top">{menu}</div><div class="content"><h1 data-keep>{w(7)}</h1>{text(70, 33, 12, 90)}</div><div class="sidebar"><p>{w(32)}</p>{menu}</div><form><p>{w(14)}</p></form><div id="comments"><p>{w(50)}</p></div><div class="footer">{w(18)}</div>',
-        f'<table><tr><td>{link(1)}</td><td>{link(2)}</td><td>{link(1)}</td></tr></table><h1 data-keep>{w(6)}</h1>{text(44, 61, 8, 37)}<p>{link(4)}</p><p>{link(3)} {w(1)} {link(4)}</p>{menu}<p>{w(4)}</p>',
-        f'<div>{link(2)} {link(1)} {link(2)}</div><div><h2 data-keep>{w(4)}</h2>{text(25, 52, 17)}</div><div>{link(3)}</div><div>{w(3)}</div>',
-        f'<div>{w(2)}</div>{menu}{text(55, 10, 24, 48)}<div>{link(5)}</div><div>{w(5)} {link(2)}</div>',
-        f'<article>{text(2, 1, 4, 7)}<nav>{menu}</nav><form><p>{w(10)}</p></form><div class="share">{link(1)} {link(1)}</div><p data-keep>{link(6)}</p></article>',
-        f'<div class="newsletter"><p>{w(24)}</p></div>{text(38, 29)}<div class="related"><p>{w(21)}</p>{menu}</div><dialog><p>{w(19)}</p></dialog>',
-    ]
+    any_ = lambda: r.choice((1, 2, 3, 5, 8, 13, 30, 60, 120))
+    menu = lambda: "<ul>" + "".join(f"<li>{link(r.randint(1, 4))}</li>" for _ in range(r.randint(3, 8))) + "</ul>"
+    notes = lambda: "".join(f"<p>{w(any_())}</p>" for _ in range(r.randint(1, 5)))
+
+    def text(low: int = 1) -> str:
+        """A title and paragraphs; those of fewer than `low` words stand between others."""
+        out = [f"<h1 data-keep>{w(r.randint(1, 9))}</h1>"]
+        for _ in range(r.randint(2, 5)):
+            out += [f"<p data-keep>{w(r.randint(max(low, 20), 110))}</p>", f"<p data-keep>{w(any_())}</p>", f"<p data-keep>{w(r.randint(8, 40))} {link(r.randint(1, 4))} {w(r.randint(5, 20))}</p>"]
+            if r.random() < 0.3:
+                out.append(f"<h2 data-keep>{w(r.randint(1, 6))}</h2>")
+        return "".join([*out, f"<p data-keep>{w(r.randint(20, 90))}</p>"])
+
+    def rich() -> str:
+        """As it comes in an article: lists of links, single words."""
+        odd = lambda: "".join(r.choice((f"<p data-keep>{w(any_())}</p>", f"<p data-keep>{link(any_())}</p>", f"<ul data-keep><li>{link(2)}</li><li>{w(any_())}</li></ul>")) for _ in range(r.randint(2, 9)))
+        return f"<h1 data-keep>{w(any_())}</h1>{odd()}"
+
+    def named() -> str:
+        name = r.choice(("ad", "sidebar", "comments", "share", "related", "footer", "cookie-notice", "newsletter"))
+        return f'<div class="{name}">{r.choice((notes(), w(any_()), menu(), link(any_())))}</div>'
+
+    def landmark() -> str:
+        name = r.choice(("nav", "footer", "aside", "form", "dialog"))
+        return f"<{name}>{r.choice((notes(), w(any_()), menu()))}</{name}>"
+
+    pages = []
+    for _ in range(rounds):
+        more = f"<h2>{w(r.randint(1, 3))}</h2>{menu()}"
+        pages += [
+            f"<nav>{menu()}</nav>{named()}<article>{rich()}{landmark()}{named()}<p data-keep>{w(any_())}</p></article><footer>{w(any_())}</footer>",
+            f'{landmark()}{notes()}<article class="post has-social-links">{rich()}</article>{named()}{notes()}',
+            r.choice(("", f"<nav>{menu()}</nav>")) + f"<article>{r.choice((rich(), '<p data-keep>' + w(any_()) + '</p>'))}</article>",
+            f"<div>{link(2)} {link(3)}</div>{menu()}{text()}",
+            f"<header><h1>{w(3)}</h1>{menu()}</header><main>{rich()}</main>{landmark()}{notes()}",
+            f'<body class="home search">{named()}<div>{menu()}</div><div class="content">{text()}</div>{named()}{named()}{landmark()}</body>',
+            f"<table><tr><td>{link(1)}</td><td>{link(2)}</td><td>{link(1)}</td></tr></table>{text()}{more}<div>{w(r.randint(2, 8))}</div>",
+            f"<div>{link(2)} {link(1)} {link(2)}</div><div>{w(r.randint(1, 7))}</div>{menu()}{text()}<div>{link(3)}</div>{more}<div>{w(2)} {link(4)}</div>",
+            f'<div>{w(r.randint(1, 7))}</div>{menu()}<div class="wrap menu">{text()}</div>{menu()}<div>{w(r.randint(1, 9))}</div><div>{link(5)}</div><div>{w(5)} {link(2)}</div>',
+        ]
+    return pages
 
 
 def trained() -> Tree:

@@ -115,12 +115,47 @@ def test_shards_are_even_and_growth_moves_into_new_shards_alone():
 
 
 def test_map_versions_are_stored(spark, tmp_path):
-    stats = {s: (10, 2) for s in range(16)}
-    first = sharding.first_map(stats, 16, 4)
-    sharding.store_map(spark, str(tmp_path), first, stats, 1)
-    sharding.store_map(spark, str(tmp_path), sharding.edited_map(first, stats, 5), stats, 2)
-    one, two = ({r["vslot"]: r["shard"] for r in sharding.load_map(spark, str(tmp_path), v).collect()} for v in (1, 2))
-    assert [one[s] for s in range(16)] == first and {s for s in range(16) if one[s] != two[s]} == {s for s in range(16) if two[s] == 4}
+    stats, path = {s: (10, 2) for s in range(16)}, str(tmp_path / "map")
+    assert sharding.load_map(spark, path) is None
+    first = sharding.current_map(spark, path, stats, 16, 4)
+    assert first == (1, sharding.first_map(stats, 16, 4)) == sharding.current_map(spark, path, {}, 16, 4)
+    version, two = sharding.current_map(spark, path, stats, 16, 5)
+    assert version == 2 and sharding.load_map(spark, path) == (2, two) and sharding.load_map(spark, path, 1) == first
+    assert {s for s in range(16) if first[1][s] != two[s]} == {s for s in range(16) if two[s] == 4}
+    with pytest.raises(ValueError):
+        sharding.current_map(spark, path, stats, 16, 4)
+
+
+def test_grown_data_moves_rows_into_new_shards_alone(spark, tmp_path):
+    made = lambda n: spark.createDataFrame([(i, text(i, 1 + i % 40)) for i in range(n)], "doc_id long, text string")
+    at = lambda n, shards: {r["doc_id"]: (r["shard"], r["slot"], r["map_version"]) for r in sharding.sharded(made(n), shards, 256, str(tmp_path / "m")).collect()}
+    one, grown, more = at(300, 6), at(900, 6), at(900, 8)
+    assert all(grown[i][0] == one[i][0] for i in one) and {v[2] for v in grown.values()} == {1}
+    assert all(more[i][0] == grown[i][0] or more[i][0] >= 6 for i in grown) and {v[2] for v in more.values()} == {2}
+    for found in (one, grown, more):
+        places = defaultdict(list)
+        for shard, slot, _ in found.values():
+            places[shard].append(slot)
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert {v[0] for v in more.values()} == set(range(8))
+
+
+def test_forty_shards_against_a_map_made_by_hand(spark):
+    """The query's own parameters on the smallest documents: sizes, slots and the map by plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = collected(sharding.sharded(docs))
+    by = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    load, slots = Counter(), defaultdict(int)
+    for r in got:
+        assert (r["size"], r["text_crc32"]) == (len(by[r["doc_id"]]) + 16, zlib.crc32(by[r["doc_id"]]))
+        load[r["shard"]] += r["size"]
+        slots[r["vslot"]] += r["size"]
+    loads = [(0, s) for s in range(40)]
+    for _, size in sorted(((s, b) for s, b in slots.items()), key=lambda x: (-x[1], x[0])):
+        loads.sort()
+        loads[0] = (loads[0][0] + size, loads[0][1])
+    assert sorted(load.values()) == sorted(x for x, _ in loads)
+    assert max(load.values()) <= 1.05 * min(load.values()) or max(load.values()) == max(slots.values())
 
 
 # mixing
@@ -550,6 +585,48 @@ def test_main_text():
     assert html_blocks.main_text("<article><p>" + "<b" * 50_000).startswith("<b<b")
 
 
+def test_names_that_wrap_a_page_are_not_boilerplate():
+    words = " ".join(WORDS[:60])
+    kept = f"Title words\n{words}\n{words}"
+    body = f"<h1>Title words</h1><p>{words}</p><p>{words}</p>"
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>a{i}</a></li>" for i in range(6)) + "</ul>"
+    for page in (
+        f"<body class='home search'><nav>{menu}</nav>{body}<div class=comments><p>{words}</p></div></body>",
+        f"<div id=page class=has-toc><div>{menu}</div>{body}</div>",
+        f"<form id=aspnet><div>{menu}</div>{body}</form>",
+        f"<article class='post has-social-links sponsored-no'>{body}<div class=share>Tell a friend</div></article>",
+        f"<div class='wrap sidebar-left'><article>{body}</article><aside><p>{words}</p></aside></div>",
+        f"<div>{menu}</div>{body}<h2>More</h2>{menu}",
+    ):
+        assert html_blocks.main_text(page) == kept
+    assert html_blocks.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article>") == "Let x=1 be."
+
+
+def test_neighbours_carry_splits_and_names_are_not_the_root():
+    used = []
+
+    def walk(tree, depth=0):
+        if tree.low is not None:
+            used.append((depth, html_blocks.FEATURES[tree.feature]))
+            walk(tree.low, depth + 1)
+            walk(tree.high, depth + 1)
+
+    walk(html_blocks.trained())
+    assert (0, "hint") not in used and {"words", "link_density"} <= {f for _, f in used} and {f for _, f in used} & {"before_words", "before_density", "after_words", "after_density"}
+    # on pages that the tree has not seen
+    pages = [html_blocks.blocks(p) for p in html_blocks.labelled(seed=77)]
+    right = [k == b.keep for p in pages for b, k in zip(p, html_blocks.trained().predict(html_blocks.features(p)))]
+    assert np.mean(right) > 0.97
+
+
+def test_extraction_of_odd_tables(spark):
+    """Clashing names, repeated ids, nulls and a very long page."""
+    long = "<article>" + "<p>one two three</p>" * 20_000 + "</article>"
+    rows = [(1, "u", "<article><p>a</p></article>", "x", 7), (1, "u", "<article><p>a</p></article>", "x", 7), (None, None, None, None, None), (2, "v", long, "y", 8)]
+    got = html_blocks.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 14 * 20_000 - 1)]
+
+
 def test_tree_learns_its_table():
     pages = [html_blocks.blocks(p) for p in html_blocks.labelled()]
     right = [k == b.keep for p in pages for b, k in zip(p, html_blocks.trained().predict(html_blocks.features(p)))]
@@ -571,6 +648,55 @@ def test_extracted_pages_against_their_articles(spark):
     assert html_blocks.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+# repeated rows, clashing names
+
+
+@pytest.fixture(scope="module")
+def repeats(spark):
+    """Rows that repeat id and text, nulls in every column, a very long text, and extra columns with clashing names."""
+    base, long = text(1, 18), text(2, 60_000)
+    made = [(1, base, "en", "a")] * 5 + [(2, text(3, 30), "en", "b"), (2, text(4, 31), "en", "b"), (3, None, None, None), (4, long, "de", "b"), (None, None, None, None), (None, base, None, None)]
+    return spark.createDataFrame([(*r, len(r[1] or ""), 1, "x", "y", 2, "z", 3.0) for r in made], DOCS + ", size long, id string, node string, repeats int, source_size string, score double")
+
+
+def test_repeated_rows_and_clashing_names_in_each_operator(spark, repeats):
+    n = repeats.count()
+    for got in (
+        exact_dedup.exact_groups(repeats), mixing.mixed(repeats), fingerprint.digests(repeats).select("doc_id", "n_chars", "fingerprint"), token_count.token_counts(repeats), bagminhash.near_classes(repeats),
+        langid.languages(repeats), sharding.sharded(repeats, 3, 16), unigram.encoded(repeats),
+    ):
+        assert got.count() == n
+        ones = [tuple(v for k, v in r.asDict().items() if k not in ("slot", "taken", "repeats")) for r in got.filter("doc_id = 1").collect()]
+        assert len(ones) == 5 and len({str(x) for x in ones}) == 1
+
+
+def test_mix_takes_repeated_rows_as_often_as_they_are_due(spark):
+    base = text(1, 18)
+    rows = [(1, base, "en", "a", 5)] * 5 + [(10 + i, text(i, 12), "en", "b", 5) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS)
+    plan = collected(mixing.mixed(docs))
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    ids = Counter(r["doc_id"] for r in got.collect())
+    assert ids[1] == sum(r["repeats"] for r in plan if r["doc_id"] == 1) <= 15
+    words = sum(r["taken"] for r in plan if r["doc_id"] == 1)
+    assert words == 18 * ids[1] and abs(words - next(r["target"] for r in plan if r["doc_id"] == 1)) <= 18
+
+
+def test_mix_ranks_a_length_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b", None, "s" if i % 3 else "t", 3) for i in range(900)], DOCS)
+    many = {r["doc_id"]: r["repeats"] for r in mixing.mixed(docs).collect()}
+    monkeypatch.setattr(mixing, "LEAST_BITS", 2)
+    assert {r["doc_id"]: r["repeats"] for r in mixing.mixed(docs).collect()} == many
+
+
+def test_language_model_is_refused_and_never_made_smaller(spark, docs):
+    with pytest.raises(ValueError, match="n-grams"):
+        langid.train(docs, model_rows=10)
+    model = langid.train(docs, least_count=3)
+    assert model.order == 4 and len(model.keys[3]) < len(langid.train(docs).keys[3])
+
+
 # pipeline
 
 
