@@ -5,7 +5,11 @@ What no piece covers is spelled in byte pieces. Spaces are the marker U+2581 and
 joins the pieces, turns markers into spaces and drops the first.
 
 No piece of the vocabulary continues with a marker after another character (this is checked), so the best
-segmentation of a text is that of its stretches between such places, and equal stretches are segmented once.
+segmentation of a text is that of its stretches between such places, and equal stretches are segmented once. Long
+stretches, as texts without spaces have, are cut further at places that no piece runs over; what cannot be cut there
+(as one letter a million times) goes by a plain loop. So no text is worked on byte by byte across few rows.
+
+No normaliser is applied: the text is encoded as it is.
 
 The public model file is of merges: its stored scores are minus the rank of the merge, no log probabilities. By
 default the log score of a piece is therefore that of Zipf's law over the rank; `scores="stored"` takes the file's.
@@ -13,7 +17,8 @@ default the log score of a piece is therefore that of Zipf's law over the rank;
 Defined results: null texts have null ids; the empty text has no ids. A byte costs `BYTE_PENALTY` more than the
 least likely piece. Of segmentations with equal scores the one whose last piece is longest wins, from the end on.
 A marker in the text itself decodes to a space, as in the original scheme; such texts are reported by `exact`.
-Rows that repeat an id are rows of their own; columns beside id and text are never read.
+Rows that repeat an id are rows of their own; columns beside id and text are never read. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +42,10 @@ MARK = "▁"
 BYTE_PENALTY = 10.0
 #: Stretches whose ids a task remembers; beyond, it begins anew.
 MEMORY = 300_000
+#: Bytes of a stretch that is cut further, and of what is left that goes by a plain loop.
+LONG, VERY_LONG = 64, 2048
+#: Bytes in which places to cut are looked for at once.
+STEP = 1 << 20
 #: A stretch: markers and what follows them up to the next.
 STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -128,6 +137,57 @@ class Encoder:
         for b, i in enumerate(pieces.bytes_):
             self.out[i] = bytes([b])
         self.held: dict[str, bytes] = {}
+        self.longest = max((len(t.encode()) for t in pieces.texts if t), default=1)
+
+    def cut(self, data: bytes) -> list[bytes]:
+        """data in parts that no piece runs over. From every place the trie is walked at once; a place is a cut where no match from before it ends after it."""
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        x = np.frombuffer(data, dtype=np.uint8)
+        cuts, far = [0], 0
+        for low in range(0, len(x), STEP):
+            part = x[low : low + STEP + self.longest]
+            at = np.arange(min(STEP, len(x) - low))
+            reach, node, depth = at + 1, np.zeros(len(at), dtype=np.int32), 0
+            while True:
+                inside = at + depth < len(part)
+                at, node = at[inside], node[inside]
+                nxt = base[node] + part[at + depth] + 1
+                goes = check[nxt] == node
+                at, node, depth = at[goes], nxt[goes], depth + 1
+                if not len(at):
+                    break
+                ends = at[value[node] >= 0]
+                reach[ends] = ends + depth
+            reach = np.maximum.accumulate(np.maximum(reach + low, far))
+            places = np.arange(low + 1, low + 1 + len(reach))
+            cuts += places[reach <= places].tolist()
+            far = int(reach[-1])
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def plain_viterbi(self, data: bytes) -> bytes:
+        """The ids of one long byte string, by a loop over its bytes; the same choice among equal scores as viterbi."""
+        base, check, value = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist()
+        scores, bytes_, n = self.scores.tolist(), self.bytes_.tolist(), len(data)
+        best, piece, back = [-math.inf] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            here, node, end = best[start], 0, start
+            score = here + scores[bytes_[0]]
+            if score > best[start + 1]:
+                best[start + 1], piece[start + 1], back[start + 1] = score, bytes_[data[start]], start
+            while end < n:
+                nxt = base[node] + data[end] + 1
+                if check[nxt] != node:
+                    break
+                node, end = nxt, end + 1
+                i = value[node]
+                if i >= 0 and here + scores[i] > best[end]:
+                    best[end], piece[end], back[end] = here + scores[i], i, start
+        ids, at = [], n
+        while at:
+            ids.append(piece[at])
+            at = back[at]
+        return np.asarray(ids[::-1], dtype=np.int32).tobytes()
 
     def viterbi(self, parts: list[bytes]) -> list[bytes]:
         """For each byte string the ids (int32 as bytes) with the highest sum of log scores; single bytes lead over what no piece covers.
@@ -178,17 +238,28 @@ class Encoder:
         return out
 
     def learn(self, new: list[str]) -> None:
-        """Segments the stretches; strings of like length go together, so that a long one makes no wide table."""
+        """Segments the stretches; strings of like length go together, so that a long one makes no wide table. Long ones are segmented part by part."""
+        long = {t: self.cut(t.encode("utf-8", "surrogatepass")) for t in new if len(t) > LONG}
+        if long:
+            parts = set().union(*long.values())
+            self.learn_parts(parts_held := {}, [p for p in parts if len(p) <= VERY_LONG])
+            parts_held |= {p: self.plain_viterbi(p) for p in parts if len(p) > VERY_LONG}
+            self.held.update({t: b"".join(map(parts_held.__getitem__, p)) for t, p in long.items()})
+        short = [t for t in new if len(t) <= LONG]
+        self.learn_parts(found := {}, [t.encode("utf-8", "surrogatepass") for t in short])
+        self.held.update({t: found[t.encode("utf-8", "surrogatepass")] for t in short})
+
+    def learn_parts(self, out: dict[bytes, bytes], new: list[bytes]) -> None:
         new = sorted(new, key=len)
         at = 0
         while at < len(new):
-            lot = [new[at].encode("utf-8", "surrogatepass")]
+            lot = [new[at]]
             limit = 2 * len(lot[0]) + 16
             at += 1
-            while at < len(new) and len(lot) * limit < 1 << 21 and len(part := new[at].encode("utf-8", "surrogatepass")) <= limit:
-                lot.append(part)
+            while at < len(new) and len(lot) * limit < 1 << 21 and len(new[at]) <= limit:
+                lot.append(new[at])
                 at += 1
-            self.held.update(zip(new[at - len(lot) : at], self.viterbi(lot), strict=True))
+            out.update(zip(lot, self.viterbi(lot), strict=True))
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The ids of each text; null gives None."""

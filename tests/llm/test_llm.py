@@ -548,6 +548,30 @@ def test_viterbi_against_brute_force_and_round_trip(encoder):
         assert not t or got == pytest.approx(brute_unigram(encoder.pieces, ("▁" + t.replace(" ", "▁")).encode()))
 
 
+def test_stretches_without_spaces(encoder, monkeypatch):
+    """Chinese, Base64, one letter many times and equal scores, as a plain search has them, and cut in small steps as in one."""
+    import base64
+    import time
+
+    r = random.Random(6)
+    chinese = "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(400)) + "。" + "的" * 80
+    coded = base64.b64encode(bytes(r.randrange(256) for _ in range(900))).decode()
+    texts = [chinese, coded, "a" * 700, "ab" * 300, "=" * 300 + "-" * 300, "internationalization" * 20, "x" * 5000]
+    for t, ids in zip(texts, encoder.encode_all(texts)):
+        data = ("▁" + t).encode()
+        assert encoder.decode(ids) == t
+        assert sum(encoder.pieces.scores[i] for i in ids) == pytest.approx(brute_unigram(encoder.pieces, data))
+        assert b"".join(encoder.cut(data)) == data
+    whole = [encoder.cut(t.encode()) for t in texts]
+    monkeypatch.setattr(unigram, "STEP", 100)
+    assert [encoder.cut(t.encode()) for t in texts] == whole
+    for t in ("ab" * 300, "a" * 700):
+        assert encoder.plain_viterbi(t.encode()) == encoder.viterbi([t.encode()])[0]
+    began = time.time()
+    assert encoder.decode(encoder.encode_all([coded * 800])[0]) == coded * 800
+    assert time.time() - began < 60
+
+
 def test_double_array_holds_each_piece():
     words = {b"a": 1, b"ab": 2, b"abc": 3, b"\xff\x00": 4, b"b": 5, bytes(range(1, 40)): 6}
     trie = unigram.DoubleArray(words)
