@@ -296,10 +296,27 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archived(none, str(tmp_path / "c")).count() == 0
 
 
+def test_records_of_many_members_and_archives_of_bounded_size(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    data = bytes(r.randrange(256) for _ in range(5000))
+    monkeypatch.setattr(warc, "MEMBER", 1000)
+    import gzip
+
+    assert gzip.decompress(warc.packed(data) + b"\0") == data and gzip.decompress(warc.packed(b"") + b"\0") == b""
+    rows = [(i, "u", "x" * (70_000 if i % 10 == 0 else 10) + str(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "a"), archive_bytes=100_000)
+    assert len(list((tmp_path / "a").glob("part-*"))) >= 7
+    got = {x["id"]: bytes(x["payload"]).decode() for x in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    assert got == {i: h for i, _, h in rows}
+
+
 def test_rewritten_archives_lose_no_record(spark, tmp_path):
     import base64
     import gzip
 
+    from pyspark.sql import functions as F
+
     def made(kind, urn, block, **fields):
         lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {urn}", *[f"WARC-{k.replace('_', '-')}: {v}" for k, v in fields.items()], f"Content-Length: {len(block)}"]
         return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block
@@ -313,14 +330,24 @@ def test_rewritten_archives_lose_no_record(spark, tmp_path):
     ]
     # the id b is on two payloads; d names an original that is not here, whose payload is; e names one without a digest
     rest = [
-        made("response", "<urn:uuid:a>", http + big), made("response", "<urn:uuid:b>", http + big), made("response", "<urn:uuid:b>", http + other),
+        made("response", "<urn:uuid:a>", http + big, Date="2020-02-02T00:00:00Z"), made("response", "<urn:uuid:b>", http + big), made("response", "<urn:uuid:b>", http + other),
         made("revisit", "<urn:uuid:c>", http, Refers_To="<urn:uuid:b>", Payload_Digest=digest(big)), made("revisit", "<urn:uuid:d>", http, Refers_To="<urn:uuid:elsewhere>", Payload_Digest=digest(other)),
         made("revisit", "<urn:uuid:e>", http, Refers_To="<urn:uuid:a>"),
     ]
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "crawl.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in through + rest))
     warc.rewritten(spark, str(tmp_path / "a"), str(tmp_path / "b"))
-    got = warc.read_records(spark, str(tmp_path / "b")).collect()
+    got = warc.read_records(spark, str(tmp_path / "b")).withColumn("sha1", F.coalesce("sha1", "digest")).collect()
+    assert {r["http"] is None or bytes(r["http"]) == http for r in got} == {True}
+    assert {r["date"] for r in got if r["urn"] == "<urn:uuid:a>"} == {"2020-02-02T00:00:00Z"}
+    # one gzip member a record
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "b").glob("part-*")))
+    members = 0
+    while data:
+        one = zlib.decompressobj(31)
+        assert one.decompress(data).startswith(b"WARC/1.")
+        data, members = one.unused_data, members + 1
+    assert members == 12
     raw = [bytes(r["raw"]) for r in got if r["raw"] is not None]
     assert len(got) == 12 and all(raw.count(r) == 1 for r in through)
     assert Counter((r["urn"], r["sha1"]) for r in got if r["urn"][-2] in "abcde") == Counter((f"<urn:uuid:{k}>", hashlib.sha1(p).hexdigest()) for k, p in [("a", big), ("b", big), ("b", other), ("c", big), ("d", other), ("e", big)])
