@@ -20,6 +20,7 @@ id and text are never read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,9 +187,10 @@ def bag_minhash(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int
     return held
 
 
-def signatures(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> tuple[list[bytes | None], list[list[int]]]:
-    """For each text: a 128-bit hash of its words, and its buckets (a hash of each band), empty without words."""
+def signatures(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> tuple[list[bytes | None], list[list[int]], list[int]]:
+    """For each text: a 128-bit hash of its words, its buckets (a hash of each band), empty without words, and the number of its shingles."""
     copies: list[bytes | None] = [None] * len(texts)
+    sizes = [0] * len(texts)
     buckets: list[list[int]] = [[] for _ in texts]
     band = np.arange(1, bands + 1, dtype=np.uint64) * M2
     for at, lot in document_words(texts):
@@ -210,17 +212,18 @@ def signatures(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) ->
         for j, words in enumerate(lot):
             if len(words):
                 buckets[at[j]] = h[j].tolist()
-    return copies, buckets
+                sizes[at[j]] = max(1, len(words) - SHINGLE + 1)
+    return copies, buckets, sizes
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            copies, buckets = signatures(pdf["text"].tolist(), bands, rows)
-            yield pd.DataFrame({"id": pdf["id"], "copy": copies, "buckets": buckets})
+            copies, buckets, sizes = signatures(pdf["text"].tolist(), bands, rows)
+            yield pd.DataFrame({"id": pdf["id"], "copy": copies, "buckets": buckets, "size": sizes})
 
     rows_in = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows_in.mapInPandas(run, "id long, copy binary, buckets array<long>")
+    return rows_in.mapInPandas(run, "id long, copy binary, buckets array<long>, size long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -299,12 +302,18 @@ def links_across(members: DataFrame, labels: DataFrame, texts: DataFrame, simila
     """Links between members of one bucket that have different labels so far, for buckets of four or more.
 
     (In smaller ones the leaders have met everyone.) Members outside the bucket's most frequent label ask all members.
-    Askers and members meet in blocks: each block of askers with each block of members, so that no task holds a whole
-    bucket and pairs are never rows.
+    Bags whose sizes differ by more than the threshold cannot be alike: a bucket falls into classes of sizes that grow by
+    1 / threshold, and a member is in its own class and the one below, where it meets the smaller ones that it can be
+    like. Within a class askers and members meet in blocks: each block of askers with each block of members, so that no
+    task holds a whole bucket and pairs are never rows.
     """
-    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    named = members.join(labels, "node", "left").select("bucket", "size", "node", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).filter("n > 3 AND a < b").select("bucket")
+    class_ = F.floor(F.log("size") / F.lit(-math.log(similarity))).cast("int")
+    named = named.join(mixed, "bucket").withColumn("class", F.explode(F.array(class_, class_ - 1))).withColumn("bucket", F.struct("bucket", "class")).drop("class", "size")
+    named = written(named, "classed")
     kinds = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    open_ = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k")).filter("n > 3 AND k > 1")
+    open_ = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k")).filter("k > 1")
     open_ = written(open_.select("bucket", F.col("top.label").alias("major"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("mb"), F.ceil((F.col("n") - F.col("top.n")) / ASKERS).cast("int").alias("ab")), "open")
     held = named.join(open_, "bucket")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -320,7 +329,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """For every row: id, class_id (the smallest id of its class)."""
     signs = written(signed(docs, id_col, text_col, bands, rows), "signs")
     reps = written(signs.filter("copy IS NOT NULL").groupBy("copy").agg(F.min("id").alias("node")), "reps")
-    held = signs.join(reps.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), F.explode("buckets").alias("bucket"))
+    held = signs.join(reps.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), "size", F.explode("buckets").alias("bucket"))
     shared = written(held.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"), "shared")
     members = written(held.join(shared, "bucket"), "members")
     spokes = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("e"))

@@ -418,6 +418,16 @@ def test_near_classes_against_brute_force(spark, docs, rows, empty):
     assert {r["doc_id"] for r in bagminhash.near_dedup(docs).collect()} == set(got.values())
 
 
+def test_recall_of_queries_against_all_documents(spark):
+    """Queries are the documents whose id 100 divides; brute force over all."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_classes(docs).collect()}
+    rows = docs.collect()
+    bags = {r["doc_id"]: bag(r["text"]) for r in rows}
+    pairs = [(a, b) for a in bags if a % 100 == 0 for b in bags if a != b and bags[a] and weighted(bags[a], bags[b]) >= 0.8]
+    assert all(got[a] == got[b] for a, b in pairs)
+
+
 def test_near_classes_of_large_and_chained_groups(spark):
     base = text(11, 200)
     rows = [(i, changed(base, [(3 * i) % 200])) for i in range(40)]
