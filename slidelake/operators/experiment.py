@@ -84,17 +84,112 @@ def native_points(scores: DataFrame, matrix: list[list[float]], width: float, he
     return moved.filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") <= width) & (F.col("y") <= height))
 
 
-def measurement_report(rois: DataFrame, cells: DataFrame | None = None, channel_pixels: DataFrame | None = None, key: str = "point_id", pixel_size: float | None = None, threshold: float = 0.1) -> dict[str, DataFrame]:
-    """up to seven tables: regions, classes, nearest cells, cell boundaries, stain values by region, IHC by region and by class.
+def measurement_report(rois: DataFrame, cells: DataFrame | None = None, channel_pixels: DataFrame | None = None, key: str = "point_id", pixel_size: float | None = None, threshold: float = 0.1, only: set[str] | None = None) -> dict[str, DataFrame]:
+    """up to seven tables: regions, classes, nearest cells, cell boundaries, stain values by region, IHC by region and by class; `only` names those wanted.
 
     channel_pixels(x, y, hematoxylin, dab) are placed in regions as points are.
     """
-    out = {"rois": regions.roi_table(rois, pixel_size), "classes": regions.summarise_rois(rois, cells, pixel_size)}
+    made = {"rois": lambda: regions.roi_table(rois, pixel_size), "classes": lambda: regions.summarise_rois(rois, cells, pixel_size)}
     if cells is not None:
-        out |= {"nearest_cells": proximity.nearest_cells(cells, key, pixel_size), "cells_to_roi": regions.cells_to_roi(cells, rois, key, pixel_size)}
+        made |= {"nearest_cells": lambda: proximity.nearest_cells(cells, key, pixel_size), "cells_to_roi": lambda: regions.cells_to_roi(cells, rois, key, pixel_size)}
     if channel_pixels is not None:
         placed = regions.all_regions(channel_pixels, rois)
         long = placed.select("roi_id", F.explode(F.create_map(F.lit("hematoxylin"), "hematoxylin", F.lit("dab"), "dab")).alias("channel", "value"))
-        by_roi = P.ihc_intensity(placed, threshold, pixel_size)
-        out |= {"stain": P.stain_intensity(long, ["roi_id", "channel"], threshold), "ihc": by_roi, "ihc_classes": P.ihc_classes(by_roi)}
-    return out
+        by_roi = lambda: P.ihc_intensity(placed, threshold, pixel_size)
+        made |= {"stain": lambda: P.stain_intensity(long, ["roi_id", "channel"], threshold), "ihc": by_roi, "ihc_classes": lambda: P.ihc_classes(by_roi())}
+    return {name: table() for name, table in made.items() if only is None or name in only}
+
+
+def coordinate_scale(coordinates: DataFrame, slide: tuple[float, float], fullres: tuple[float, float], scale: str = "auto", factors: dict[str, float] | None = None, image: tuple[float, float] | None = None, custom: tuple[float, float] | None = None) -> tuple[str, float, float]:
+    """The method and the factors that bring spot coordinates to the slide. auto: those of the object's image where points lie within 1.15 times it, else full resolution."""
+    full = (slide[0] / fullres[0], slide[1] / fullres[1])
+    if scale == "custom":
+        if not custom or min(custom) <= 0:
+            raise ValueError("a custom scale has two factors above 0")
+        return ("custom", *custom)
+    if scale == "none":
+        return ("none", 1.0, 1.0)
+    if scale == "fullres":
+        return ("fullres", *full)
+    if scale in ("hires", "lowres"):
+        if not (factors or {}).get(scale):
+            raise ValueError(f"no scale factor for {scale}")
+        return (scale, full[0] / factors[scale], full[1] / factors[scale])
+    if not image or min(image) <= 0:
+        return ("auto_fullres", *full)
+    own = (slide[0] / image[0], slide[1] / image[1])
+    if scale == "image":
+        return ("image", *own)
+    top = coordinates.agg(F.max("x").alias("x"), F.max("y").alias("y")).first()
+    within = (top["x"] or 0) <= 1.15 * image[0] and (top["y"] or 0) <= 1.15 * image[1]
+    return ("auto_image", *own) if within else ("auto_fullres", *full)
+
+
+def scaled(coordinates: DataFrame, found: tuple[str, float, float]) -> DataFrame:
+    """Coordinates by the factors of coordinate_scale."""
+    return coordinates.withColumn("x", F.col("x") * found[1]).withColumn("y", F.col("y") * found[2])
+
+
+def read_display_bundle(spark: SparkSession, path: str, sha256: str, most: int = 10_000) -> DataFrame:
+    """Observations of a display bundle (Parquet or JSON lines in one file), if its hash agrees and it has at most `most` rows; else an error."""
+    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).collect()
+    if [r["h"] for r in found] != [sha256]:
+        raise ValueError("the bundle's hash differs")
+    rows = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.json(path)
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} observations")
+    return rows
+
+
+def partition_features(files: DataFrame, width: int, most: int = 2000) -> DataFrame:
+    """files(path, content, sha256, rows: the row numbers wanted) of little-endian float32 rows of a width: path, row, features. A file whose hash differs or that lacks a row, and more rows than `most`, are errors."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for path, content, rows in zip(pdf["path"], pdf["content"], pdf["rows"], strict=True):
+                if len(rows) > most:
+                    raise ValueError(f"more than {most} rows of {path}")
+                table = np.frombuffer(content, dtype="<f4").reshape(-1, width)
+                if len(rows) and max(rows) >= len(table):
+                    raise ValueError(f"{path} has {len(table)} rows")
+                yield pd.DataFrame({"path": path, "row": list(rows), "features": [table[r].astype(float).tolist() for r in rows]})
+
+    differs = F.raise_error(F.concat(F.lit("hash differs: "), "path")).cast("boolean")
+    fine = files.filter(F.when(F.sha2("content", 256) == F.col("sha256"), F.lit(True)).otherwise(differs))
+    return fine.select("path", "content", "rows").mapInPandas(run, "path string, row int, features array<double>")
+
+
+def gradient(df: DataFrame, value: str, low: str = "#2B6CB0", mid: str = "#F8FAFC", high: str = "#B91C1C", out: str = "color") -> DataFrame:
+    """A colour from low over mid to high in Lab space by the value's place between the extremes; grey where it is not finite, low where all values are equal. Only the extremes travel."""
+    fine = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    ends = df.filter(fine).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    met = df.crossJoin(F.broadcast(ends))  # one row
+    flat = F.col("__lo").isNull() | (F.col("__hi") - F.col("__lo") < 1e-12)
+    t = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+    stops = [_lab(c) for c in (low, mid, high)]
+    k = F.when(t < 0.5, F.lit(0)).otherwise(F.lit(1))
+    u = t * 2 - k
+    lab = [F.when(k == 0, (1 - u) * stops[0][i] + u * stops[1][i]).otherwise((1 - u) * stops[1][i] + u * stops[2][i]) for i in range(3)]
+    fy = (lab[0] + 16) / 116
+    xyz = [F.when(f * f * f > 216 / 24389, f * f * f).otherwise((116 * f - 16) * 27 / 24389) * w for f, w in ((fy + lab[1] / 500, WHITE[0]), (fy, WHITE[1]), (fy - lab[2] / 200, WHITE[2]))]
+    linear = [sum((v * m for v, m in zip(xyz, row, strict=True)), F.lit(0.0)) for row in FROM_XYZ]
+    srgb = [F.when(v <= 0.0031308, v * 12.92).otherwise(F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) * 1.055 - 0.055) for v in linear]
+    part = lambda v: F.lpad(F.hex(F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), v * 255)) + 0.5)), 2, "0")
+    made = F.concat(F.lit("#"), *[part(v) for v in srgb])
+    return met.withColumn(out, F.when(~fine, F.when(F.col("__lo").isNull(), F.lit(low)).otherwise(F.lit("#999999"))).when(flat, F.lit(low)).otherwise(made)).drop("__lo", "__hi")
+
+
+# fixed values: the sRGB primaries and the D65 white
+TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+FROM_XYZ = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
+WHITE = (0.95047, 1.0, 1.08883)
+
+
+def _lab(colour: str) -> tuple[float, float, float]:
+    v = [int(colour[i : i + 2], 16) / 255 for i in (1, 3, 5)]
+    linear = [c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4 for c in v]
+    f = [(lambda q: q ** (1 / 3) if q > 216 / 24389 else (24389 / 27 * q + 16) / 116)(sum(a * b for a, b in zip(row, linear, strict=True)) / w) for row, w in zip(TO_XYZ, WHITE, strict=True)]
+    return 116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])

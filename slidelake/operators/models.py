@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,3 +162,16 @@ def test_rows(points: DataFrame, train_ids: DataFrame, key: str, slides: list[st
         by_slide = points.filter(F.col("slide_id").isin(slides or []))
         wanted = by_slide if members is None else by_slide.unionByName(points.join(members.select(key).distinct(), key, "left_semi")).dropDuplicates([key])
     return wanted.join(train_ids.select(key).distinct(), key, "left_anti")
+
+
+def write_classifier(spark, model: Classifier, path: str, mode: str = "error") -> None:
+    """The model as one JSON line; Spark's commit makes it appear whole or not at all."""
+    held = {"at": model.recipe.at, "mean": model.recipe.mean, "scale": model.recipe.scale, "classes": [str(c) for c in model.classes], "kind": type(model.classes[0]).__name__, "weights": model.weights.tolist(), "coefficients": model.coefficients.tolist(), "intercepts": model.intercepts.tolist()}
+    spark.range(1).select(F.lit(json.dumps(held)).alias("value")).coalesce(1).write.mode(mode).text(path)
+
+
+def read_classifier(spark, path: str) -> Classifier:
+    """A29."""
+    held = json.loads(spark.read.text(path).first()[0])
+    classes = [int(c) for c in held["classes"]] if held["kind"] == "int" else held["classes"]
+    return Classifier(Recipe(held["at"], held["mean"], held["scale"]), classes, np.array(held["weights"]), np.array(held["coefficients"]), np.array(held["intercepts"]))

@@ -13,6 +13,9 @@ from . import ranges
 HEMATOXYLIN_IHC, DAB = (0.650, 0.704, 0.286), (0.268, 0.570, 0.776)
 HEMATOXYLIN, EOSIN = (0.644, 0.717, 0.267), (0.093, 0.954, 0.283)
 EPSILON = 1 / 255
+# fixed values: colours of stain channels
+STAIN_COLOURS = ("#4b3f99", "#8b5a2b", "#d73027", "#008fd5", "#2ca25f", "#c51b8a", "#fdae61", "#7b3294")
+HE_COLOURS = {"Hematoxylin": "#4b3f99", "Eosin": "#e85b90", "Residual": "#6b7280"}
 
 
 def basis(*stains: tuple[float, float, float]) -> np.ndarray:
@@ -83,6 +86,8 @@ def estimated_basis(pixels: DataFrame, method: str = "macenko", od_threshold: fl
     """
     if method == "fixed":
         return basis(HEMATOXYLIN, EOSIN)
+    if method != "macenko":
+        raise ValueError(f"unknown method {method}")
     od = pixels.select(*[density(c).alias(f"o{c}") for c in "rgb"]).filter(F.greatest("or", "og", "ob") > od_threshold)
     pairs = [(a, b) for a in "rgb" for b in "rgb" if a <= b]
     sums = od.agg(*[F.sum(F.col(f"o{a}") * F.col(f"o{b}")).alias(a + b) for a, b in pairs]).first()
@@ -245,3 +250,48 @@ def pyramid_step(pixels: DataFrame, how: str = "mean") -> DataFrame:
     if how == "mode":
         return pixels.groupBy(*keys).agg(*[F.mode(c, True).alias(c) for c in "rgb"])
     return pixels.groupBy(*keys).agg(*[pick[how](c).alias(c) for c in "rgb"])
+
+
+def stain_channels(spark, names: tuple[str, ...] = ("Hematoxylin", "HRP/DAB"), vectors: tuple[tuple[float, float, float], ...] = (HEMATOXYLIN_IHC, DAB), colours: tuple[str, ...] | None = None) -> DataFrame:
+    """channel_index, name, vector (of length 1), colour of stains. Vectors that are not independent are an error."""
+    m = basis(*vectors)
+    colours = colours or tuple(STAIN_COLOURS[i % len(STAIN_COLOURS)] for i in range(len(names)))
+    rows = [(i, n, [float(v) for v in m[:, i]], c) for i, (n, c) in enumerate(zip(names, colours, strict=True))]
+    return spark.createDataFrame(rows, "channel_index int, name string, vector array<double>, colour string")
+
+
+def he_stain_channels(spark, hematoxylin: tuple[float, float, float] = HEMATOXYLIN, eosin: tuple[float, float, float] = EOSIN, residual: bool = True) -> DataFrame:
+    """Hematoxylin, eosin and, if wanted, the completing vector."""
+    third = tuple(float(v) for v in basis(hematoxylin, eosin)[:, 2])
+    names = ("Hematoxylin", "Eosin", "Residual")[: 3 if residual else 2]
+    return stain_channels(spark, names, (hematoxylin, eosin, third)[: len(names)], tuple(HE_COLOURS[n] for n in names))
+
+
+def estimated_he_channels(pixels: DataFrame, method: str = "macenko", residual: bool = True) -> DataFrame:
+    """The channels of the basis that pixels suggest."""
+    m = estimated_basis(pixels, method)
+    return he_stain_channels(pixels.sparkSession, tuple(m[:, 0]), tuple(m[:, 1]), residual)
+
+
+def channel_values(cells: DataFrame, channels: DataFrame, key: str, width: int, height: int, origin: tuple[float, float] = (0.0, 0.0), downsample: float = 1.0, radius: float = 0.0, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Each cell's mean of channels(channel_id, row, col, value) within a disk about its pixel, `in_bounds`, and with thresholds whether it is positive.
+
+    A cell asks for the pixels of its disk by an equality on row and column.
+    """
+    r = radius / downsample
+    reach = int(np.ceil(r))
+    disk = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i * i + j * j <= r * r]
+    at = lambda v, o: F.floor((F.col(v) - o) / downsample).cast("long")
+    placed = cells.select(key, at("y", origin[1]).alias("r0"), at("x", origin[0]).alias("c0"))
+    inside = F.coalesce(F.col("r0").between(0, height - 1) & F.col("c0").between(0, width - 1), F.lit(False))
+    placed = placed.withColumn("in_bounds", inside)
+    asked = placed.filter("in_bounds").withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in disk]))).select(key, (F.col("r0") + F.col("s.i")).alias("row"), (F.col("c0") + F.col("s.j")).alias("col"))
+    met = asked.join(channels.select("channel_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value").filter(~F.isnan("value")), ["row", "col"])
+    means = met.groupBy(key, "channel_id").agg(F.avg("value").alias("value"))
+    out = placed.select(key, "in_bounds").join(means, key, "left")
+    if thresholds:
+        limit = F.lit(None).cast("double")
+        for c, t in thresholds.items():
+            limit = F.when(F.col("channel_id") == c, F.lit(float(t))).otherwise(limit)
+        out = out.withColumn("positive", F.coalesce(F.col("value") >= limit, F.lit(False)))
+    return out

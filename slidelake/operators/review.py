@@ -172,3 +172,93 @@ def thinned(df: DataFrame, order: str, most: int) -> DataFrame:
 
 def class_summary(rois: DataFrame) -> DataFrame:
     return rois.groupBy(label_or(F.col("class"), "unclassified").alias("class")).agg(F.count("*").alias("n"))
+
+
+CHECKPOINT = "context_id string, source_signature string, revision long, selected_ids array<string>, records array<struct<id:string,status:string,label:string,reviewer:string,updated_at:string,action:string>>"
+
+
+def checkpoint(context_id: str, context_signature: DataFrame, selected: DataFrame, records: DataFrame, revision: int = 0) -> DataFrame:
+    """One row: a context's id and signature, the selected ids and a person's records. The selection is what a person picks, bounded by hand."""
+    ids = selected.select("id").distinct().agg(F.sort_array(F.collect_list("id")).alias("selected_ids"))
+    held = records.agg(F.sort_array(F.collect_list(F.struct("id", "status", "label", "reviewer", "updated_at", "action"))).alias("records"))
+    sig = context_signature.select(F.col("signature").alias("source_signature"))
+    if revision < 0:
+        raise ValueError("a revision is 0 or more")
+    return sig.crossJoin(ids).crossJoin(held).select(F.lit(context_id).alias("context_id"), "source_signature", F.lit(revision).cast("long").alias("revision"), "selected_ids", "records")  # one row each
+
+
+def validated_checkpoint(point: DataFrame, context_id: str, context_signature: DataFrame, observations: DataFrame) -> DataFrame:
+    """The checkpoint, if it belongs to the context as it is now and names none but its observations; else an error."""
+    sig = context_signature.select(F.col("signature").alias("now"))
+    named = point.select(F.explode(F.concat("selected_ids", F.transform("records", lambda r: r["id"]))).alias("id")).distinct().join(observations.select("id").distinct(), "id", "left_anti").agg(F.count("*").alias("strange"))
+    bad = lambda what: F.raise_error(F.lit(what)).cast("boolean")
+    met = point.crossJoin(sig).crossJoin(named)  # one row each
+    ok = F.when((F.col("context_id") != context_id) | (F.col("source_signature") != F.col("now")), bad("the checkpoint belongs to another or a changed context")).when(F.col("strange") > 0, bad("the checkpoint names what is no observation")).otherwise(F.lit(True))
+    return met.filter(ok).select(*point.columns)
+
+
+def write_checkpoint(point: DataFrame, path: str, mode: str = "error") -> None:
+    """As JSON; Spark's commit makes the file appear whole or not at all."""
+    point.coalesce(1).write.mode(mode).json(path)
+
+
+def read_checkpoint(spark: SparkSession, path: str, context_id: str, context_signature: DataFrame, observations: DataFrame) -> DataFrame:
+    """A checkpoint that was written, validated against its context."""
+    return validated_checkpoint(spark.read.schema(CHECKPOINT).json(path), context_id, context_signature, observations)
+
+
+def attach_spatial(observations: DataFrame, coordinates: DataFrame, metadata: DataFrame | None, matrix: list[list[float]], tissue_id: str, dataset_id: str = "spatial", confirmed: bool = False) -> DataFrame:
+    """The observations with those of coordinates(id, x, y) added, moved into the image by a confirmed affine; metadata(id, ...) becomes cluster_values by unique id."""
+    if not confirmed:
+        raise ValueError("a coordinate mapping must be confirmed")
+    x = F.col("x") * matrix[0][0] + F.col("y") * matrix[0][1] + matrix[0][2]
+    y = F.col("x") * matrix[1][0] + F.col("y") * matrix[1][1] + matrix[1][2]
+    new = coordinates.select("id", x.alias("x"), y.alias("y"))
+    values = F.create_map().cast("map<string,string>")
+    if metadata is not None:
+        fields = [c for c in metadata.columns if c != "id"]
+        new = matched(new, metadata, "id")
+        values = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(c).cast("string")) for c in fields]))
+    elif not duplicates(new, "id").isEmpty():
+        raise ValueError("repeated id")
+    made = new.select(F.concat_ws("::", F.lit(tissue_id), F.lit(dataset_id), "id").alias("id"), F.col("id").cast("string").alias("original_id"), F.lit(dataset_id).alias("dataset_id"), F.lit(tissue_id).alias("tissue_id"), F.lit("spot").alias("observation_unit"), "x", "y", values.alias("cluster_values"))
+    return observations.unionByName(made, allowMissingColumns=True)
+
+
+def inventory(df: DataFrame) -> DataFrame:
+    """Field, type of the columns of a spatial table."""
+    rows = ", ".join(f"('{f.name}', '{f.dataType.simpleString()}')" for f in df.schema)
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(field, type)")
+
+
+def spatial_clusters(spots: DataFrame, table: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """C17: the spots' ids with the cluster fields of a table by id; spots that it lacks have nulls, fields that it lacks are an error."""
+    fields = fields or [c for c in table.columns if c != "id"]
+    if missing := [f for f in fields if f not in table.columns]:
+        raise ValueError(f"no field {missing[0]}")
+    first = table.dropDuplicates(["id"]).select("id", *fields)
+    return spots.select("id").join(first, "id", "left")
+
+
+def tile_review(tiles: DataFrame, review: DataFrame, signature_now: str, tolerance: float = 0.51) -> DataFrame:
+    """Review rows(plan_id, signature, cx, cy, decision) that hold for the tiles of a plan: of its present signature, one a tile, with centres within half a pixel; others are an error."""
+    bad = lambda what: F.raise_error(F.lit(what)).cast("boolean")
+    met = review.join(tiles.select("plan_id", (F.col("x") + F.col("width") / 2).alias("tx"), (F.col("y") + F.col("height") / 2).alias("ty")), "plan_id", "left")
+    met = met.withColumn("n", F.count("*").over(Window.partitionBy("plan_id")))
+    far = (F.abs(F.col("cx") - F.col("tx")) > tolerance) | (F.abs(F.col("cy") - F.col("ty")) > tolerance)
+    ok = F.when(F.col("signature") != signature_now, bad("the review is of another plan")).when(F.col("tx").isNull(), bad("no such tile")).when(F.col("n") > 1, bad("a tile is reviewed twice")).when(far, bad("a centre lies elsewhere")).otherwise(F.lit(True))
+    return met.filter(ok).select("plan_id", "decision")
+
+
+def case_report(tables: dict[str, DataFrame], tile_variables: list[str]) -> dict[str, DataFrame]:
+    """The tables of a case report, for sources.tables.write_report: rows by table, regions by class, tiles by variable."""
+    counts = None
+    for name, df in sorted(tables.items()):
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    out = {} if counts is None else {"summary": counts}
+    if "rois" in tables:
+        out["classes"] = class_summary(tables["rois"])
+    if "tiles" in tables:
+        out["tiles"] = tile_report(tables["tiles"], tile_variables)
+    return out

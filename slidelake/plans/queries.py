@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as S
-from ..operators import candidates, cellindex, experiment, masks, models, proximity, regions, review, tiles
+from ..operators import candidates, cellindex, experiment, masks, models, proximity, regions, review, scope, slides, tiles
 from ..operators import pixels as P
 from ..sources import tables
 from ..streaming import patches
@@ -82,17 +82,16 @@ def n12_roi_measurements(spark, sf):
     return rounded(regions.roi_table(V.rois(spark), 0.5))
 
 
-_segment = """segs AS (SELECT p.point_id, e.ri, least(1.0, greatest(0.0, ((p.x - e.x1) * (e.x2 - e.x1) + (p.y - e.y1) * (e.y2 - e.y1)) / nullif((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1), 0))) AS t,
+_segment = """segs AS (SELECT p.point_id, e.ri, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((p.x - e.x1) * (e.x2 - e.x1) + (p.y - e.y1) * (e.y2 - e.y1)) / nullif((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1), 0))) AS t,
     p.x, p.y, e.x1, e.y1, e.x2, e.y2 FROM points p CROSS JOIN edges e),
-  near AS (SELECT point_id, ri, min(sqrt((x - x1 - t * (x2 - x1)) * (x - x1 - t * (x2 - x1)) + (y - y1 - t * (y2 - y1)) * (y - y1 - t * (y2 - y1)))) AS d FROM segs GROUP BY ALL)"""
+  near AS (SELECT point_id, ri, min(sqrt((x - (x1 + t * (x2 - x1))) * (x - (x1 + t * (x2 - x1))) + (y - (y1 + t * (y2 - y1))) * (y - (y1 + t * (y2 - y1))))) AS d FROM segs GROUP BY ALL)"""
 
 
 @query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS, _segment) + """, best AS (SELECT point_id, min(d) AS d FROM near GROUP BY point_id)
-  SELECT b.point_id, r.roi_id IS NOT NULL AS found, round(b.d, 6) AS distance_px, round(b.d * 0.5, 6) AS distance_um
-  FROM best b JOIN (SELECT n.point_id, min(n.ri) AS ri FROM near n JOIN best b ON b.point_id = n.point_id AND n.d = b.d GROUP BY 1) f USING (point_id) JOIN regions r ON r.ri = f.ri""")
+  SELECT b.point_id, r.ri::BIGINT AS roi_index, r.roi_id, h.ri IS NOT NULL AS inside, round(b.d, 6) AS distance_px, round(b.d * 0.5, 6) AS distance_um
+  FROM best b JOIN (SELECT n.point_id, min(n.ri) AS ri FROM near n JOIN best b ON b.point_id = n.point_id AND n.d = b.d GROUP BY 1) f USING (point_id) JOIN regions r ON r.ri = f.ri LEFT JOIN hits h ON h.point_id = b.point_id AND h.ri = f.ri""")
 def e4_cells_to_roi(spark, sf):
-    out = regions.cells_to_roi(V.points(spark, sf), V.rois(spark), "point_id", 0.5)
-    return rounded(out.select("point_id", F.col("roi_id").isNotNull().alias("found"), "distance_px", "distance_um"))
+    return rounded(regions.cells_to_roi(V.points(spark, sf), V.rois(spark), "point_id", 0.5))
 
 
 @query(V.with_(V.regions_sql(), V.edges_sql()) + """, points AS (SELECT DISTINCT ri * 1000000 + part * 10000 + ring * 100 + k AS point_id, ri AS pri, x1 AS x, y1 AS y FROM edges),
@@ -127,7 +126,8 @@ def n10_group_summary(spark, sf):
 _inside = """CASE WHEN x < 320 AND y < 320 THEN 1 ELSE 0 END"""
 
 
-@query()
+@query("""WITH g AS (SELECT (i * 25)::DOUBLE AS x, (j * 25)::DOUBLE AS y FROM range(0, 20) a(i), range(0, 20) b(j))
+  SELECT x, y, 20.0::DOUBLE AS width, 20.0::DOUBLE AS height, x >= 100 AND x + 20 <= 400 AND y >= 100 AND y + 20 <= 400 AND NOT (x < 300 AND x + 20 > 200 AND y < 300 AND y + 20 > 200) AS inside FROM g""")
 def c10_footprints(spark, sf):
     grid = spark.range(400).select(((F.col("id") % 20) * 25).cast("double").alias("x"), (F.floor(F.col("id") / 20) * 25).cast("double").alias("y"), F.lit(20.0).alias("width"), F.lit(20.0).alias("height"))
     both = grid.crossJoin(F.broadcast(V.rois(spark).filter("roi_index = 0").select("geometry")))
@@ -208,10 +208,11 @@ def n23_spearman(spark, sf):
     return rounded(proximity.correlations(*_long(spark, sf), "vec_id", "d", "spearman").select("feature", "n", "r"))
 
 
-@query()
+@query(f"WITH {_features}, c AS (SELECT feature, count(*) AS n, corr(value, d) AS r FROM long JOIN dist USING (vec_id) GROUP BY feature) SELECT feature, n, round(r, 6) AS r, row_number() OVER (ORDER BY abs(r) DESC, feature) AS rank FROM c")
 def n26_trajectory(spark, sf):
+    """p falls with the strength of r, as all features have the same number of rows; tests hold p itself."""
     long, d = _long(spark, sf)
-    return proximity.trajectory(long, d.select("vec_id", F.col("d").alias("distance_fraction"), F.col("vec_id").alias("row")), "vec_id")
+    return rounded(proximity.trajectory(long, d.select("vec_id", F.col("d").alias("distance_fraction"), F.col("vec_id").alias("row")), "vec_id").select("feature", "n", "r", "rank"))
 
 
 @query(f"WITH {_features} SELECT feature, count(*) AS n, round(var_samp(value), 6) AS variance FROM long GROUP BY feature ORDER BY var_samp(value) DESC, feature LIMIT 10")
@@ -360,13 +361,9 @@ def h16_stain_quality(spark, sf):
   c AS (SELECT *, sum(n) OVER w AS w0, sum(n * ((bin + 0.5::DOUBLE) / 256)) OVER w AS s0, sum(n) OVER (PARTITION BY tile_id) AS w1, sum(n * ((bin + 0.5::DOUBLE) / 256)) OVER (PARTITION BY tile_id) AS s1 FROM hist WINDOW w AS (PARTITION BY tile_id ORDER BY bin)),
   v AS (SELECT tile_id, bin, coalesce(w0 * (w1 - w0) * (s0 / w0 - (s1 - s0) / nullif(w1 - w0, 0)) * (s0 / w0 - (s1 - s0) / nullif(w1 - w0, 0)), 0.0) AS between_ FROM c),
   m AS (SELECT tile_id, max(between_) AS top FROM v GROUP BY tile_id)
-  SELECT tile_id, round(top, 4) AS between_variance FROM m""")
-def n44_otsu_variance(spark, sf):
-    low = P.otsu(V.pixels(spark, sf), "r", ["tile_id"])
-    hist = V.pixels(spark, sf).select("tile_id", F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.col("r") * 256).cast("int"))).alias("bin"))
-    met = hist.withColumn("m", (F.col("bin") + 0.5) / 256).join(low, "tile_id").withColumn("below", (F.col("bin") + 1) / 256 <= F.col("threshold"))
-    by = met.groupBy("tile_id").agg(F.sum(F.col("below").cast("long")).alias("w0"), F.sum((~F.col("below")).cast("long")).alias("w1"), F.avg(F.when(F.col("below"), F.col("m"))).alias("m0"), F.avg(F.when(~F.col("below"), F.col("m"))).alias("m1"))
-    return rounded(by.select("tile_id", F.coalesce(F.col("w0") * F.col("w1") * (F.col("m0") - F.col("m1")) * (F.col("m0") - F.col("m1")), F.lit(0.0)).alias("between_variance")), 4)
+  SELECT tile_id, round((min(bin) + 1) / 256::DOUBLE, 6) AS threshold FROM v JOIN m USING (tile_id) WHERE between_ = top GROUP BY tile_id""")
+def n44_otsu_threshold(spark, sf):
+    return rounded(P.otsu(V.pixels(spark, sf), "r", ["tile_id"]))
 
 
 @query(V.with_(V.GRID) + """SELECT tile_id, floor("row" / 2)::BIGINT AS "row", floor(col / 2)::BIGINT AS col, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM grid GROUP BY ALL""")
@@ -455,9 +452,12 @@ def n61_index_integrity(spark, sf):
     return cellindex.mismatches(V.cells(spark, sf), V.predictions(spark, sf).filter("row_id % 1000 <> 7"))
 
 
-@query(V.with_(V.CELLS) + "SELECT row_id, cell_id, x, y, NULL::DOUBLE AS top FROM cells")
+@query(V.with_(V.CELLS) + """SELECT row_id, cell_id, x, y, CASE WHEN row_id % 5 > 0 THEN greatest((row_id % 10) / 10.0::DOUBLE, round(1 - (row_id % 10) / 10.0::DOUBLE, 6)) END AS top FROM cells WHERE row_id % 7 <> 3 OR row_id % 5 = 0""")
 def n60_display_points(spark, sf):
-    return cellindex.display_points(V.cells(spark, sf))
+    """Every seventh vector does not sum to 1 and its cell goes; every fifth cell has none."""
+    i = F.col("row_id")
+    p = F.when(i % 5 > 0, F.array((i % 10) / 10.0, F.round(1 - (i % 10) / 10.0, 6), F.when(i % 7 == 3, F.lit(0.2)).otherwise(F.lit(0.0))))
+    return rounded(cellindex.display_points(V.cells(spark, sf).withColumn("raw_json", F.to_json(F.struct("x", "y", p.alias("probabilities"))))))
 
 
 @query("SELECT vec_id AS row_id, 'c' || vec_id AS cell_id, label::BIGINT AS label, len(embedding)::BIGINT AS n FROM embeddings")
@@ -591,10 +591,10 @@ def c1_set_class(spark, sf):
 
 
 @query(V.with_(V.PIXELS) + f""", h AS (SELECT *, {_hue} FROM pixels), a AS (SELECT tile_id, avg((v >= 0.6 AND s <= 0.5)::INT::DOUBLE) AS w, avg(v) AS v, avg(s) AS s FROM h GROUP BY tile_id)
-  SELECT s_suppkey AS tile_id FROM supplier LEFT JOIN a ON tile_id = s_suppkey WHERE NOT coalesce(w >= 0.05 OR (v >= 0.90 AND s <= 0.10), true)""")
+  SELECT s_suppkey AS tile_id FROM supplier LEFT JOIN a ON tile_id = s_suppkey WHERE NOT coalesce(w >= 0.16 OR (v >= 0.90 AND s <= 0.10), true)""")
 def h4_drop_whitespace(spark, sf):
     t = V.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("tile_id"))
-    return P.flag_whitespace(t, V.pixels(spark, sf), "drop", bright=0.6, pale=0.5, fraction=0.05).select("tile_id")
+    return P.flag_whitespace(t, V.pixels(spark, sf), "drop", bright=0.6, pale=0.5, fraction=0.16).select("tile_id")
 
 
 @query(V.with_(V.POINTS) + """SELECT point_id AS id, x * 0.5 + y * 0.1 - 20 AS x, y * 0.5 + 10 AS y FROM points WHERE x * 0.5 + y * 0.1 - 20 BETWEEN 0 AND 400 AND y * 0.5 + 10 BETWEEN 0 AND 400""")
@@ -654,13 +654,173 @@ def j1_signature(spark, sf):
     return review.signature(V.read(spark, sf, "events"))
 
 
-@query()
+@query(V.with_(V.POINTS) + """, d AS (SELECT a.point_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM points a JOIN points b ON a.point_id <> b.point_id GROUP BY a.point_id),
+  q AS (SELECT quantile_cont(d, [0.25, 0.5, 0.75]) AS q FROM d WHERE d > 0) SELECT round(q[2], 6) AS spacing_px, round(CASE WHEN (q[3] - q[1]) / q[2] <= 0.25 THEN 100 / q[2] END, 6) AS mpp FROM q""")
 def n39_spot_spacing(spark, sf):
-    grid = spark.range(900).select("id", (F.col("id") % 30 * 40.0).alias("x"), (F.floor(F.col("id") / 30) * 40.0).alias("y"))
-    return proximity.spot_spacing(grid, "id")
+    return rounded(proximity.spot_spacing(V.points(spark, sf), "point_id"))
 
 
-@query()
+@query(_stain_sql(_ihc, ("hematoxylin", "dab", "x"), "SELECT 1").replace("SELECT tile_id,", "SELECT tile_id, col * 12.0::DOUBLE + 6 AS px, \"row\" * 12.0::DOUBLE + 6 AS py,").removesuffix("SELECT 1").rstrip() + """, points AS (SELECT row_number() OVER () AS point_id, px AS x, py AS y, hematoxylin, dab FROM stains),
+  """ + ",\n".join([V.regions_sql(), V.edges_sql(), V.HITS]) + """ SELECT r.roi_id, r.class, count(*) AS n, round(avg(dab), 6) AS dab_mean, round(avg(hematoxylin), 6) AS hematoxylin_mean, count(*) FILTER (dab >= 0.1) AS positive, round(quantile_cont(dab, 0.5), 6) AS dab_median, round(quantile_cont(hematoxylin, 0.5), 6) AS hematoxylin_median,
+  round(count(*) FILTER (dab >= 0.1) / count(*), 6) AS positive_fraction, round(count(*) FILTER (dab >= 0.1) * 0.25::DOUBLE, 6) AS positive_um2, round(CASE WHEN avg(hematoxylin) > 1e-12 THEN avg(dab) / avg(hematoxylin) END, 6) AS ratio
+  FROM hits JOIN points USING (point_id) JOIN regions r USING (ri) GROUP BY ALL""")
 def f6_measurement_report(spark, sf):
+    """One of the report's seven tables; the others are f1 to f5, e3, e4 and n12."""
     px = P.deconvolved(V.pixels(spark, sf), _ihc, ("hematoxylin", "dab", "rest")).withColumn("x", F.col("col") * 12.0 + 6).withColumn("y", F.col("row") * 12.0 + 6).select("x", "y", "hematoxylin", "dab")
-    return rounded(experiment.measurement_report(V.rois(spark), V.points(spark, sf), px, pixel_size=0.5)["ihc"])
+    return rounded(experiment.measurement_report(V.rois(spark), V.points(spark, sf), px, pixel_size=0.5, only={"ihc"})["ihc"])
+
+
+# slides and tiles of pixels
+
+
+_grid_sql = """tiles AS (SELECT 's' || s AS slide_id, printf('s%d_R%05d_C%05d', s, r + 1, c + 1) AS tile_id, c * 48 AS x, r * 48 AS y FROM range(0, 2) t(s), range(0, 9) a(r), range(0, 14) b(c) WHERE c * 48 + 64 <= 704 AND r * 48 + 64 <= 448)"""
+
+
+def _grid(spark):
+    out = None
+    for s in ("s0", "s1"):
+        one = tiles.tile_grid(tiles.slide(spark, 704, 448, (1,)), 64, 16).withColumn("slide_id", F.lit(s)).withColumn("tile_id", F.concat(F.lit(s), F.substring("tile_id", 3, 100)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(V.with_(V.LEVELS) + """SELECT slide_id, "row" - 50 AS "row", col - 100 AS col, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM levels WHERE "row" >= 50 AND "row" < 110 AND col >= 100 AND col < 180""")
+def a11_read_region(spark, sf):
+    return rounded(slides.read_region(V.levels(spark, sf), 100, 50, 80, 60).drop("level"))
+
+
+@query(V.with_(V.LEVELS) + """SELECT slide_id, "row" // 8 AS "row", col // 8 AS col, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM levels GROUP BY ALL""")
+def a10_thumbnail(spark, sf):
+    return rounded(slides.thumbnail(V.levels(spark, sf), spark.sql("SELECT * FROM VALUES ('s0', 704), ('s1', 704) AS t(slide_id, level_width)"), 100))
+
+
+@query(V.with_(V.LEVELS, _grid_sql) + """SELECT tile_id, count(*) AS n, round(avg(r), 6) AS r, min("row" - y)::BIGINT AS row0, max(col - x)::BIGINT AS col1 FROM tiles JOIN levels USING (slide_id) WHERE "row" >= y AND "row" < y + 64 AND col >= x AND col < x + 64 GROUP BY tile_id""")
+def a12_read_grid(spark, sf):
+    held = slides.read_grid(V.levels(spark, sf), _grid(spark))
+    return rounded(held.groupBy("tile_id").agg(F.count("*").alias("n"), F.avg("r").alias("r"), F.min("row").alias("row0"), F.max("col").alias("col1")))
+
+
+@query(V.with_(V.LEVELS, _grid_sql) + f""", h AS (SELECT tile_id, {_hue} FROM tiles JOIN levels USING (slide_id) WHERE "row" >= tiles.y AND "row" < tiles.y + 64 AND col >= x AND col < x + 64),
+  a AS (SELECT tile_id, avg((v >= 0.5 AND s <= 0.5)::INT::DOUBLE) AS w, avg(v) AS v, avg(s) AS s FROM h GROUP BY tile_id) SELECT tile_id FROM a WHERE NOT (w >= 0.2 OR (v >= 0.90 AND s <= 0.10))""")
+def g3_tiles_without_whitespace(spark, sf):
+    grid = _grid(spark)
+    return P.flag_whitespace(grid, slides.read_grid(V.levels(spark, sf), grid), "drop", bright=0.5, pale=0.5, fraction=0.2).select("tile_id")
+
+
+@query(V.with_(V.GRID) + f""", h AS (SELECT *, {_grey}, {_hue.replace(" AS v", " AS w")}, list_sort([r, g, b]) AS o FROM grid),
+  e AS (SELECT *, abs(lead(v) OVER (PARTITION BY tile_id, "row" ORDER BY col) - v) AS dx, abs(lead(v) OVER (PARTITION BY tile_id, col ORDER BY "row") - v) AS dy FROM h),
+  m AS (SELECT tile_id, avg(w) AS mean, coalesce(stddev_samp(w), 0) AS sd, avg((w <= 0.18)::INT::DOUBLE) AS dark, avg((w >= 0.92)::INT::DOUBLE) AS bright, avg((o[3] >= 1.25::DOUBLE * o[2] AND s >= 0.45)::INT::DOUBLE) AS pen,
+    avg((w <= 0.28 AND s >= 0.25)::INT::DOUBLE) AS fold, coalesce((coalesce(sum(dx), 0) + coalesce(sum(dy), 0)) / nullif(count(dx) + count(dy), 0), 0) AS edge FROM e GROUP BY tile_id),
+  f AS (SELECT tile_id, ((mean <= 0.12 OR dark >= 0.8)::INT + (mean >= 0.92 OR bright >= 0.8)::INT + (edge <= 0.012)::INT + (edge <= 0.008 AND sd <= 0.025)::INT + (pen >= 0.01)::INT + (fold >= 0.08)::INT) / 7.0::DOUBLE AS score FROM m)
+  SELECT s_suppkey AS tile_id, round(score, 6) AS artifact_score, coalesce(score > 0, false) AS artifact FROM supplier LEFT JOIN f ON tile_id = s_suppkey""")
+def h6_flag_artifacts(spark, sf):
+    return rounded(slides.flag_artifacts(V.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("tile_id")), V.grid_pixels(spark, sf)).select("tile_id", "artifact_score", "artifact"))
+
+
+@query(V.with_(V.PIXELS) + f""", h AS (SELECT tile_id, {_hue} FROM pixels), a AS (SELECT tile_id, avg(s) AS s FROM h GROUP BY tile_id), n AS (SELECT max(s_suppkey // 10) + 1 AS rows FROM supplier)
+  SELECT (i + 1)::BIGINT AS "row", (j + 1)::BIGINT AS col, round(a.s, 6) AS value FROM n, range(0, 10000) x(i), range(0, 10) y(j) LEFT JOIN a ON a.tile_id = i * 10 + j WHERE i < rows""")
+def n51_matrix(spark, sf):
+    grid = V.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("tile_id"), (F.floor(F.col("s_suppkey") / 10) + 1).cast("int").alias("row"), (F.col("s_suppkey") % 10 + 1).cast("int").alias("col"))
+    held = grid.join(P.whitespace(V.pixels(spark, sf)), "tile_id", "left")
+    return rounded(slides.matrix(held, "saturation_mean").select("row", F.posexplode("values").alias("i", "value")).select("row", (F.col("i") + 1).alias("col"), "value"))
+
+
+@query(V.with_(V.LEVELS, "od AS (SELECT *, " + ", ".join(f"-ln(greatest({c}, {P.EPSILON!r}::DOUBLE)) AS o_{c}" for c in "rgb") + " FROM levels)") + "SELECT slide_id, count(*) AS n, " + ", ".join(
+    f"round(avg(greatest(0.0::DOUBLE, {' + '.join(f'o_{c} * ({float(v)!r}::DOUBLE)' for c, v in zip('rgb', P.np.linalg.inv(_ihc)[i], strict=True))})), 6) AS {n}" for i, n in enumerate("hd")) + """ FROM od WHERE "row" >= 0 AND "row" < 200 AND col >= 64 AND col < 364 GROUP BY slide_id""")
+def h26_deconvolved_region(spark, sf):
+    out = slides.deconvolved_region(V.levels(spark, sf), (64, 0, 300, 200), _ihc, ("h", "d", "x"))
+    return rounded(out.groupBy("slide_id").agg(F.count("*").alias("n"), F.avg("h").alias("h"), F.avg("d").alias("d")))
+
+
+@query("SELECT i::BIGINT AS channel_index, n AS name, c AS colour, round(a / sqrt(a * a + b * b + d * d), 6) AS r, round(b / sqrt(a * a + b * b + d * d), 6) AS g, round(d / sqrt(a * a + b * b + d * d), 6) AS b FROM (VALUES (0, 'Hematoxylin', '#4b3f99', 0.65::DOUBLE, 0.704::DOUBLE, 0.286::DOUBLE), (1, 'HRP/DAB', '#8b5a2b', 0.268, 0.57, 0.776)) AS t(i, n, c, a, b, d)")
+def h18_stain_channels(spark, sf):
+    return rounded(P.stain_channels(spark).select("channel_index", "name", "colour", *[F.col("vector")[i].alias(c) for i, c in enumerate("rgb")]))
+
+
+@query(V.with_(V.POINTS, V.GRID, """plane AS (SELECT "row", col, avg(r) AS value FROM grid GROUP BY ALL)""") + """, placed AS (SELECT point_id, floor(x / 16)::BIGINT AS c0, floor(y / 16)::BIGINT AS r0 FROM points),
+  m AS (SELECT point_id, avg(value) AS v FROM placed JOIN plane ON "row" BETWEEN r0 - 2 AND r0 + 2 AND col BETWEEN c0 - 2 AND c0 + 2 AND ("row" - r0) * ("row" - r0) + (col - c0) * (col - c0) <= 4 WHERE r0 < 40 AND c0 < 64 GROUP BY point_id)
+  SELECT point_id, r0 < 40 AND c0 < 64 AS in_bounds, round(v, 6) AS value, coalesce(v >= 0.5, false) AS positive FROM placed LEFT JOIN m USING (point_id)""")
+def n9_channel_values(spark, sf):
+    plane = V.grid_pixels(spark, sf).groupBy("row", "col").agg(F.avg("r").alias("value")).withColumn("channel_id", F.lit("r"))
+    return rounded(P.channel_values(V.points(spark, sf), plane, "point_id", 64, 40, downsample=16.0, radius=32.0, thresholds={"r": 0.5}).drop("channel_id"))
+
+
+# scope
+
+
+@query(V.with_(V.regions_sql()) + "SELECT roi_id FROM regions WHERE roi_id = 'line' OR ri = 1 OR class = 'tumour'")
+def n15_selected_regions(spark, sf):
+    return scope.selected(V.rois(spark), ["roi:line", "roi_index:1", "class:TUMOUR", "__all__", "", "roi_index:99"]).select("roi_id")
+
+
+@query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS) + """, ok AS (SELECT h.point_id, min(h.ri) AS ri FROM hits h JOIN points p USING (point_id) WHERE h.ri IN (0, 1, 4) AND (h.ri <> 0 OR p.cell_class = 'click') GROUP BY 1)
+  SELECT p.point_id, ok.ri::BIGINT AS roi_index, r.roi_id, CASE WHEN ok.ri IS NOT NULL THEN coalesce(r.class, 'unclassified') END AS label FROM points p LEFT JOIN ok USING (point_id) LEFT JOIN regions r ON r.ri = ok.ri""")
+def n16_assigned_points(spark, sf):
+    rois = V.rois(spark).withColumn("scope", F.when(F.col("roi_id") == "donut", F.create_map(F.lit("project_image"), F.lit("CLICK"))))
+    p = V.points(spark, sf).select("point_id", "x", "y", F.col("cell_class").alias("image"))
+    return rounded(scope.assign_points(p, rois, ["donut", "ell", "wide"]).drop("x", "y", "image"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'view' AND user_id % 3 = 1")
+def n18_project_scope(spark, sf):
+    e = V.read(spark, sf, "events").select("event_id", F.col("event_type").alias("project_key"), (F.col("user_id") % 3).alias("project_section_index"), F.lit("a").alias("project_image"))
+    return scope.in_project(e, {"project_key": "view", "project_image": "b", "project_section_index": 1, "project_section": "q"}).select("event_id")
+
+
+@query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS) + """SELECT p.point_id, 'tumour' AS label, x >= 110 AND x <= 390 AND y >= 110 AND y <= 390 AND NOT (x - 10 < 300 AND x + 10 > 200 AND y - 10 < 300 AND y + 10 > 200) AS accepted FROM points p JOIN hits h USING (point_id) WHERE h.ri = 0""")
+def n32_roi_training(spark, sf):
+    p = V.points(spark, sf).select("point_id", "x", "y", F.lit(20.0).alias("width"), F.lit(20.0).alias("height"))
+    return scope.roi_training(p, V.rois(spark), ["roi:donut"], "point_id")
+
+
+@query("""SELECT 'c' || event_id AS cell_id, 's' || event_id AS source_id, CASE WHEN event_id % 3 < 2 AND event_id % 5 > 0 THEN 'available' ELSE 'unavailable' END AS status, CASE WHEN event_id % 3 < 2 THEN event_id % 2 = 0 END AS disagreement,
+  CASE WHEN event_id % 3 < 2 THEN event_id % 2 = 0 OR event_id % 4 = 1 END AS review_required, CASE WHEN event_id % 3 < 2 THEN (event_id % 11) / 10.0::DOUBLE END AS iou, CASE WHEN event_id % 3 < 2 THEN 1.0::DOUBLE END AS coverage FROM events""")
+def n84_segmentation_review(spark, sf):
+    e, i = V.read(spark, sf, "events"), F.col("event_id")
+    cells = e.select(F.concat(F.lit("c"), i).alias("cell_id"), F.concat(F.lit("s"), i).alias("source_id"))
+    rows = e.filter(i % 3 < 2).select(F.concat(F.when(i % 3 == 0, F.lit("c")).otherwise(F.lit("s")), i).alias("cell_id"), F.when(i % 5 == 0, F.lit("unavailable")).alias("status"), (i % 2 == 0).alias("disagreement"), F.when(i % 4 == 1, F.lit("adjust_boundary")).otherwise(F.lit("retain_original")).alias("action"), ((i % 11) / 10.0).alias("iou"), F.lit(1.0).alias("coverage"))
+    return rounded(scope.segmentation_review(cells, rows))
+
+
+@query(V.with_(V.edges_sql()) + """, a AS (SELECT ri, part, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area, count(*) AS n FROM edges WHERE ring = 0 GROUP BY ALL) SELECT ri::BIGINT AS roi_index, part::BIGINT AS part, round(area, 6) AS area, (CASE WHEN n * 4 <= 20 THEN n * 4 ELSE n * 2 END + 1)::BIGINT AS corners FROM a""")
+def n47_smoothed(spark, sf):
+    """Areas stay, each round doubles the corners up to the limit (checked round by round)."""
+    shells = V.rois(spark).select("roi_index", F.posexplode("geometry").alias("part", "p")).select("roi_index", "part", G.chaikin(F.col("p")[0], 2, most=20).alias("r"))
+    return rounded(shells.select("roi_index", "part", G.ring_area(F.col("r")).alias("area"), F.size("r").alias("corners")))
+
+
+@query(V.with_(V.regions_sql(), V.edges_sql()) + """SELECT ri::BIGINT AS roi_index, (count(*) + count(DISTINCT part * 10 + ring))::BIGINT AS corners FROM edges GROUP BY ri HAVING max(x1) >= 750 AND min(x1) <= 900 AND max(y1) >= 450 AND min(y1) <= 600""")
+def n67_geojson_viewport(spark, sf):
+    return rounded(slides.geojson_viewport(V.rois(spark), (750.0, 450.0, 900.0, 600.0)).select("roi_index", "corners"))
+
+
+@query("""SELECT 'u' || d.doc_id AS id, lang, source FROM documents d WHERE doc_id % 2 = 0 UNION ALL SELECT 'u' || doc_id, NULL, NULL FROM documents WHERE doc_id % 2 = 1""")
+def c17_spatial_clusters(spark, sf):
+    d = V.read(spark, sf, "documents").withColumn("id", F.concat(F.lit("u"), "doc_id"))
+    return review.spatial_clusters(d.select("id"), d.filter("doc_id % 2 = 0").select("id", "lang", "source", "n_chars"), ["lang", "source"])
+
+
+@query(V.with_(V.POINTS) + """SELECT 't1::spatial::' || point_id AS id, point_id::VARCHAR AS original_id, 't1' AS tissue_id, round(x * 2 + 5, 6) AS x, round(y * 0.5 - 1, 6) AS y, cell_class AS cluster FROM points""")
+def e6_attached_spatial(spark, sf):
+    p = V.points(spark, sf).withColumn("id", F.col("point_id").cast("string"))
+    none = spark.sql("SELECT '' AS id, '' AS original_id, '' AS dataset_id, '' AS tissue_id, '' AS observation_unit, 0D AS x, 0D AS y, CAST(NULL AS map<string,string>) AS cluster_values WHERE false")
+    out = review.attach_spatial(none, p.select("id", "x", "y"), p.select("id", "cell_class"), [[2.0, 0.0, 5.0], [0.0, 0.5, -1.0], [0.0, 0.0, 1.0]], "t1", confirmed=True)
+    return rounded(out.select("id", "original_id", "tissue_id", "x", "y", F.col("cluster_values")["cell_class"].alias("cluster")))
+
+
+@query(V.with_(V.POINTS) + "SELECT point_id, x * 2 AS x, y * 4 AS y FROM points")
+def n37_scaled_coordinates(spark, sf):
+    """Points beyond 1.15 times the object's image are in full resolution."""
+    p = V.points(spark, sf).select("point_id", "x", "y")
+    return experiment.scaled(p, experiment.coordinate_scale(p, (2000, 3200), (1000, 800), image=(500, 400)))
+
+
+@query("""SELECT 'rois' AS "table", 6 AS n UNION ALL SELECT 'tiles', count(*) FROM orders""")
+def b20_case_report(spark, sf):
+    return review.case_report({"rois": V.rois(spark), "tiles": V.read(spark, sf, "orders")}, ["o_orderstatus"])["summary"]
+
+
+@query("""SELECT s AS slide_id, i AS images FROM (VALUES ('a', 'label,macro'), ('b', '')) AS t(s, i)""")
+def a8_associated_images(spark, sf):
+    rows = spark.sql("SELECT 'a' AS slide_id, map('openslide.associated.macro.width', '5', 'openslide.associated.label.width', '9', 'openslide.associated.label.height', '4') AS properties UNION ALL SELECT 'b', map('x', 'y')")
+    return slides.associated_images(rows).select("slide_id", F.concat_ws(",", "images").alias("images"))

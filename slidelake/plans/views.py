@@ -62,6 +62,14 @@ def grid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).groupBy("tile_id", "row", "col").agg(*[F.round(F.avg(c), 9).alias(c) for c in "rgb"])
 
 
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slide_id, level, row, col, r, g, b: the tiles laid side by side on two slides."""
+    at = grid_pixels(spark, sf_dir)
+    t = F.col("tile_id")
+    placed = at.select(F.concat(F.lit("s"), (t % 2).cast("string")).alias("slide_id"), F.lit(0).alias("level"), (F.col("row") + 64 * (t % 7)).cast("int").alias("row"), (F.col("col") + 64 * (t % 11)).cast("int").alias("col"), *"rgb")
+    return placed.groupBy("slide_id", "level", "row", "col").agg(*[F.round(F.avg(c), 9).alias(c) for c in "rgb"])
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     raw = F.to_json(F.struct("x", "y"))
@@ -102,6 +110,7 @@ POINTS = """points AS (SELECT event_id AS point_id, ((event_id * 7919) % 1000)::
 PIXELS = """pixels AS (SELECT l_suppkey AS tile_id, (l_orderkey % 64)::INT AS "row", (l_partkey % 64)::INT AS col,
     least(1.0::DOUBLE, l_quantity / 50) AS r, least(1.0::DOUBLE, l_discount * 10) AS g, least(1.0::DOUBLE, l_tax * 12.5) AS b FROM lineitem)"""
 GRID = PIXELS + """, grid AS (SELECT tile_id, "row", col, round(avg(r), 9) AS r, round(avg(g), 9) AS g, round(avg(b), 9) AS b FROM pixels GROUP BY ALL)"""
+LEVELS = GRID + """, levels AS (SELECT 's' || (tile_id % 2) AS slide_id, 0 AS level, "row" + 64 * (tile_id % 7) AS "row", col + 64 * (tile_id % 11) AS col, round(avg(r), 9) AS r, round(avg(g), 9) AS g, round(avg(b), 9) AS b FROM grid GROUP BY ALL)"""
 HITS = """crossed AS (SELECT p.point_id, e.ri, e.part, e.ring,
     sum(CASE WHEN (e.y2 > p.y) <> (e.y1 > p.y) AND p.x < (e.x1 - e.x2) * (p.y - e.y2) / (e.y1 - e.y2) + e.x2 THEN 1 ELSE 0 END) % 2 AS odd
     FROM points p CROSS JOIN edges e GROUP BY ALL),

@@ -165,3 +165,44 @@ def registered_viewport(points: DataFrame, box: tuple[float, float, float, float
 
 def with_class(rois: DataFrame, other: str = "unclassified") -> DataFrame:
     return rois.withColumn("class", label_or(F.col("class"), other))
+
+
+def read_masks(spark: SparkSession, path: str, glob: str = "*.pgm") -> DataFrame:
+    """mask(mask_id, row, col, label) of binary PGM images, pixels of 0 left out; masks.mask_to_rois makes regions of them. One image is one task's work at a time."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                parts = data.split(None, 4)
+                w, h, top = int(parts[1]), int(parts[2]), int(parts[3])
+                kind = ">u2" if top > 255 else np.uint8
+                v = np.frombuffer(data[len(data) - w * h * np.dtype(kind).itemsize :], dtype=kind).reshape(h, w)
+                r, c = np.nonzero(v)
+                yield pd.DataFrame({"mask_id": name.rpartition("/")[2].rpartition(".")[0], "row": r, "col": c, "label": v[r, c].astype(int)})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    return files.mapInPandas(run, "mask_id string, row int, col int, label int")
+
+
+def read_phenotype_project(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """`outputs` (name, path) of a project's 00_execution/project_outputs.tsv, and `cells` of its cell tables, where local coordinates are shifted: x is x_orig, else x + dx."""
+    outputs = spark.read.csv(f"{path}/00_execution/project_outputs.tsv", header=True, sep="\t")
+    lower = {c.lower(): c for c in outputs.columns}
+    name = next(lower[c] for c in ("name", "output", "type", "key") if c in lower)
+    held = outputs.select(F.col(name).alias("name"), F.col(lower["path"]).alias("path"))
+    files = [r["path"] for r in held.filter(F.lower("name").isin("cells", "cell_table")).collect()]
+    out = {"outputs": held}
+    if files:
+        rows = spark.read.csv([f if "/" in f[:1] or "://" in f else f"{path}/{f}" for f in files], header=True)
+        number = lambda c: F.col(c).try_cast("double") if c in rows.columns else F.lit(None).cast("double")
+        moved = {v: F.coalesce(number(f"{v}_orig"), number(v) + F.coalesce(number(f"d{v}"), F.lit(0.0))) for v in "xy"}
+        out["cells"] = rows.withColumns(moved)
+    return out
+
+
+def write_associations(associated: DataFrame, path: str, mode: str = "error") -> None:
+    """B2: points with their regions as CSV."""
+    associated.write.mode(mode).csv(path, header=True)
