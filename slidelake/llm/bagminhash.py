@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 #: 28 bands of 6 registers miss a pair at the threshold with a probability of 0.0002, and ever fewer above.
 BANDS, ROWS = 28, 6
 #: Bytes of text that are worked on at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Members and askers of a bucket that meet in one block, about.
 MEMBERS, ASKERS = 1024, 256
 

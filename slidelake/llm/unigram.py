@@ -41,7 +41,7 @@ MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 MARK = "▁"
 BYTE_PENALTY = 10.0
 #: Stretches whose ids a task remembers; beyond, it begins anew.
-MEMORY = 300_000
+MEMORY = 150_000
 #: Bytes of a stretch that is cut further, and of what is left that goes by a plain loop.
 LONG, VERY_LONG = 64, 2048
 #: Bytes in which places to cut are looked for at once.
