@@ -79,10 +79,10 @@ def proximity(points: DataFrame, rois: DataFrame, query_rois: list[str], target_
 
 def quantile_position(df: DataFrame, value: str) -> DataFrame:
     """(average rank - 1) / (n - 1), one half where all values are equal, and the index of one of 101 colours. A row without a value has neither."""
-    counts = ranges.distinct_values(df.filter(F.col(value).isNotNull()), value)
+    counts = ranges.distinct_values(df.filter(F.col(value).isNotNull()).select(F.col(value).alias("__v")), "__v")
     rank = F.col("upto") - (F.col("n") - 1) / 2
     at = F.when(F.col("n") == F.col("total"), F.lit(0.5)).otherwise(F.try_divide(rank - 1, F.col("total") - 1))
-    met = df.join(counts.select(value, at.alias("position")), value, "left")
+    met = df.join(counts.select(F.col("__v").alias(value), at.alias("position")), value, "left")
     return met.withColumn("colour_index", F.greatest(F.lit(1), F.least(F.lit(101), (F.floor(F.col("position") * 100) + 1).cast("int"))))
 
 

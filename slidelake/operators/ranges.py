@@ -40,11 +40,18 @@ def distinct_values(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> Data
     return running(counts, [F.col(value)], F.col("n"), by)
 
 
+def _renamed(df: DataFrame, value: str, by: tuple[str, ...]) -> tuple[DataFrame, tuple[str, ...]]:
+    """The rows with a value as __v and the groups as __b0, ..., so that no name clashes with those made here."""
+    keys = tuple(f"__b{i}" for i in range(len(by)))
+    return df.filter(F.col(value).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(value).alias("__v")), keys
+
+
 def average_ranks(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
     """df with `out`: the rank from 1 within `by`, ties averaged. Rows with a null value go."""
-    fine = df.filter(F.col(value).isNotNull())
-    ranks = distinct_values(fine, value, by).select(*by, value, (F.col("upto") - (F.col("n") - 1) / 2).alias(out))
-    return meet(fine, ranks, [*by, value])
+    held, keys = _renamed(df, value, by)
+    ranks = distinct_values(held, "__v", keys).withColumn(out, F.col("upto") - (F.col("n") - 1) / 2)
+    ranks = ranks.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], F.col("__v").alias(value), out)
+    return meet(df.filter(F.col(value).isNotNull()), ranks, [*by, value])
 
 
 def percentiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, ...] = (), out: str = "q") -> DataFrame:
@@ -52,7 +59,8 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, .
 
     Of the range that holds a wanted place only the value at that place travels on.
     """
-    held = distinct_values(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v")), "__v", by)
+    held, keys = _renamed(df, value, by)
+    held = distinct_values(held.withColumn("__v", F.col("__v").cast("double")), "__v", keys)
     at = F.array(*[F.lit(float(s)) for s in shares])
     wanted = F.transform(at, lambda s, k: F.struct(k.alias("k"), (s * (F.col("total") - 1)).alias("h")))
     first = F.col("upto") - F.col("n")
@@ -60,7 +68,7 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, .
     low, high = (lambda w: F.floor(w["h"])), (lambda w: F.ceil(w["h"]))
     hits = held.filter(F.exists(wanted, lambda w: holds(low(w)) | holds(high(w)))).withColumn("w", F.explode(wanted))
     part = lambda f, n: F.max(F.when(holds(f(F.col("w"))), F.col("__v"))).alias(n)
-    each = hits.groupBy(*by, F.col("w.k").alias("k")).agg(part(low, "lo"), part(high, "hi"), F.max("w.h").alias("h"))
+    each = hits.groupBy(*keys, F.col("w.k").alias("k")).agg(part(low, "lo"), part(high, "hi"), F.max("w.h").alias("h"))
     between = F.col("lo") + (F.col("h") - F.floor("h")) * (F.col("hi") - F.col("lo"))
     q = F.transform(F.sort_array(F.collect_list(F.struct("k", between.alias("v")))), lambda s: s["v"])
-    return each.groupBy(*by).agg(q.alias(out))
+    return each.groupBy(*keys).agg(q.alias("q")).select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], F.col("q").alias(out))
