@@ -38,6 +38,8 @@ BANDS, ROWS = 28, 6
 CHUNK = 1 << 20
 #: Members and askers of a bucket that meet in one block, about.
 MEMBERS, ASKERS = 1024, 256
+#: Bits of the map of wanted nodes: 2^20 rows of 64 bits at most, whatever the input.
+MAP_BITS = 1 << 26
 
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x5851F42D4C957F2D)
@@ -298,6 +300,19 @@ def block_links(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (node, text) of docs whose node is among the nodes.
+
+    A bit map over hashes of the nodes, of a fixed size and so broadcast, drops most other rows before texts move;
+    the join on the node itself drops the rest. A map that fills up on a very large input lets more rows through.
+    """
+    at = F.pmod(F.xxhash64("node"), F.lit(MAP_BITS))
+    word, bit = F.shiftright(at, 6), F.expr("shiftleft(1L, CAST({} AS INT))".format(f"pmod(xxhash64(node), {MAP_BITS}L) & 63L"))
+    held = written(nodes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")), "map")
+    near = docs.withColumn("word", word).join(F.broadcast(held), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select("node", "text")
+    return near.join(nodes, "node", "left_semi")
+
+
 def links_across(members: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links between members of one bucket that have different labels so far, for buckets of four or more.
 
@@ -334,9 +349,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = written(held.join(shared, "bucket"), "members")
     spokes = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("e"))
     pairs = written(spokes.filter("e.a < e.b").select("e.a", "e.b").distinct(), "pairs")
-    wanted = members.select("node").distinct()
+    wanted = written(members.select("node").distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    texts = written(texts.join(wanted, "node", "left_semi"), "texts")
+    texts = written(texts_of(texts, wanted), "texts")
     links = written(verified(pairs, texts, similarity), "links")
     labels = components(links)
     more = written(links_across(members, labels, texts, similarity), "links")
