@@ -345,10 +345,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signs = written(signed(docs, id_col, text_col, bands, rows), "signs")
     reps = written(signs.filter("copy IS NOT NULL").groupBy("copy").agg(F.min("id").alias("node")), "reps")
     held = signs.join(reps.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), "size", F.explode("buckets").alias("bucket"))
-    shared = written(held.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"), "shared")
+    one = F.struct("node", "size")
+    shared = written(held.groupBy("bucket").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo.node < hi.node"), "shared")
     members = written(held.join(shared, "bucket"), "members")
-    spokes = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("e"))
-    pairs = written(spokes.filter("e.a < e.b").select("e.a", "e.b").distinct(), "pairs")
+    spokes = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), one.alias("b")), F.struct(one.alias("a"), F.col("hi").alias("b")))).alias("e"))
+    # bags cannot be more alike than their sizes
+    spokes = spokes.filter(F.col("e.a.node") < F.col("e.b.node")).filter(F.least("e.a.size", "e.b.size") >= F.lit(similarity * (1 - 1e-9)) * F.greatest("e.a.size", "e.b.size"))
+    pairs = written(spokes.select(F.col("e.a.node").alias("a"), F.col("e.b.node").alias("b")).distinct(), "pairs")
     wanted = written(members.select("node").distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     texts = written(texts_of(texts, wanted), "texts")
