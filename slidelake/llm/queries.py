@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .bagminhash import near_classes
+from .bit_planes import id_digest
+from .collocations import collocations
 from .common import table
 from .exact_dedup import exact_groups
+from .fill_middle import fim_digest
 from .fingerprint import digests
 from .html_blocks import extracted
 from .langid import languages
@@ -55,11 +58,24 @@ def op10_html_extraction(spark, sf_dir):
     return extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_token_ids(spark, sf_dir):
+    return id_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    return fim_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_fingerprints, op3_warc, op4_exact_dedup, op5_token_counts, op6_near_dedup,
         op7_language_id, op8_sharding, op9_sentencepiece, op10_html_extraction,
+        op11_token_ids, op12_collocations, op13_fill_in_middle,
     )
 }
 
@@ -85,4 +101,56 @@ ORACLE = {
                doc_id = first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS kept,
                sha256(norm) AS text_sha256
         FROM d""",
+    "op12_collocations": r"""
+        WITH d AS (
+          SELECT coalesce(lang, 'und') AS lang,
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+          FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        o AS (SELECT lang, ws[i:i + k - 1] AS ws, k FROM i, (VALUES (1), (2), (3), (4)) AS ks(k) WHERE i + k - 1 <= len(ws)),
+        f AS (SELECT lang, ws, k, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 30),
+        n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+        inside AS (
+          SELECT lang, ws[j:j + m - 1] AS ws, max(f) AS longer
+          FROM f, (VALUES (2), (3)) AS ms(m), (VALUES (1), (2), (3)) AS js(j)
+          WHERE m < k AND j + m - 1 <= k GROUP BY ALL),
+        c AS (
+          SELECT f.* FROM f LEFT JOIN inside USING (lang, ws)
+          WHERE k >= 2 AND (longer IS NULL OR 100 * longer::HUGEINT < 80 * f.f::HUGEINT)),
+        cuts AS (
+          SELECT c.lang, c.ws, c.f AS a, cut, l.f AS l, r.f AS r, ((2000000 * c.f::HUGEINT) // (l.f + r.f))::BIGINT AS score
+          FROM c JOIN (VALUES (1), (2), (3)) AS x(cut) ON cut < c.k
+          JOIN f AS l ON l.lang = c.lang AND l.ws = c.ws[1:cut]
+          JOIN f AS r ON r.lang = c.lang AND r.ws = c.ws[cut + 1:]),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1),
+        ranked AS (
+          SELECT lang, array_to_string(ws, ' ') AS phrase, a, l, r, score,
+                 row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ws, ' ')) AS rank
+          FROM best)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_fill_in_middle": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls,
+                 sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+          FROM documents),
+        e AS (
+          SELECT *, len(ls) AS n, ('0x' || h[1:8])::BIGINT % (len(ls) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(ls) + 1) AS c2,
+                 ('0x' || h[17:24])::BIGINT % 100 AS chosen, ('0x' || h[25:32])::BIGINT % 100 AS way
+          FROM d),
+        f AS (
+          SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR chosen >= 100 THEN 'plain'
+                         WHEN way < 50 THEN 'spm' ELSE 'psm' END AS form,
+                 array_to_string(ls[1:least(c1, c2)], '') AS pre,
+                 array_to_string(ls[least(c1, c2) + 1:greatest(c1, c2)], '') AS mid,
+                 array_to_string(ls[greatest(c1, c2) + 1:], '') AS suf
+          FROM e)
+        SELECT doc_id, n, form,
+               CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                                WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM f""",
 }
