@@ -183,12 +183,15 @@ class Encoder(dict):
     def pieces(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. What is new in any of them is learned at once; of long words and those with the control character nothing is remembered."""
         split = [text.split() for text in texts]
-        new = {w for words in split for w, ids in zip(words, map(self.get, words), strict=True) if ids is None}
+        found = [list(map(self.get, words)) for words in split]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        new = {w for k in lacking for w, ids in zip(split[k], found[k], strict=True) if ids is None}
         if len(self) + len(new) > MEMORY:
             self.clear()
-            new = {w for words in split for w in words}
         self.learn([w for w in new if len(w) <= LONGEST and b"\x01" not in w])
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        for k in lacking:
+            found[k] = [self[w] if ids is None else ids for w, ids in zip(split[k], found[k], strict=True)]
+        return list(map(b"".join, found))
 
     def texts(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """The ids of each text in turn; texts are taken together up to a size, longer ones cut at spaces."""
