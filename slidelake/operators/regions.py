@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,8 +13,10 @@ from ..functions.scalars import label_or
 from ..sources.work import deleted, written
 from . import nearby, ranges
 
-#: Rows of regions by cell that are sent to all tasks; beyond, both sides are shuffled by cell.
-MAX_BROADCAST_CELLS = 200_000
+#: Bytes of regions by cell that are sent to all tasks, all levels together; beyond, both sides are shuffled by cell.
+MAX_BROADCAST_BYTES = 64 << 20
+#: Bytes of a corner, and of a region besides, in the lists.
+CORNER, REGION = 40, 256
 
 
 def with_bbox(rois: DataFrame) -> DataFrame:
@@ -25,37 +29,53 @@ def areal(rois: DataFrame) -> DataFrame:
     return rois.filter(F.size("geometry") > 0)
 
 
-def cell_size(rois: DataFrame, per_cell: float = 2.0) -> float:
-    """The side of a grid cell: twice the mean side of the boxes, so that a box falls into a few cells."""
-    side = F.sqrt(F.greatest((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")), F.lit(1.0)))
-    return float(rois.agg(F.coalesce(F.avg(side), F.lit(1.0))).first()[0]) * per_cell
+def box_level(boxes: DataFrame) -> DataFrame:
+    """boxes with `level`: that of the squares of a side 4^level, the smallest that is no less than the box's longer side. A box touches four squares of its level at most."""
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    level = F.greatest(F.lit(-10), F.ceil(F.log(side) / F.lit(math.log(4))).cast("int"))
+    level = F.when(F.pow(F.lit(4.0), level) < side, level + 1).otherwise(level)
+    return boxes.withColumn("level", F.when(side > 0, level).otherwise(F.lit(-10)))
 
 
-def _cell(v: Column, side: float) -> Column:
-    return F.floor(v / F.lit(side)).cast("long")
+def _cell(v: Column, level: Column | int) -> Column:
+    return F.floor(v / F.pow(F.lit(4.0), F.lit(level) if isinstance(level, int) else level)).cast("long")
 
 
-def candidates(points: DataFrame, rois: DataFrame, side: float | None = None) -> DataFrame:
+def candidates(points: DataFrame, rois: DataFrame) -> DataFrame:
     """Each point with `near`, the regions whose box holds it, ascending by roi_index: one row a point.
 
-    Regions are listed by the grid cells that their boxes touch, and a point meets the list of its own cell.
-    The lists go to all tasks only where they are few; else both sides are shuffled by cell.
+    Regions lie in a quadtree at the level of their box, so small and large ones do not disturb each other: each is
+    listed in four cells at most, and a point meets one list a level. The levels (some ten, however many regions) and
+    their bytes come to the driver; lists go to all tasks while all of them together are small, lightest levels first,
+    other levels are joined by their cells.
     """
-    boxes = with_bbox(areal(rois))
-    side = side or cell_size(boxes)
-    span = lambda lo, hi: F.sequence(_cell(F.col(lo), side), _cell(F.col(hi), side))
-    listed = boxes.withColumn("gx", F.explode(span("xmin", "xmax"))).withColumn("gy", F.explode(span("ymin", "ymax")))
-    by_cell = listed.groupBy("gx", "gy").agg(F.sort_array(F.collect_list(F.struct("roi_index", *[c for c in boxes.columns if c != "roi_index"]))).alias("near"))
-    few = listed.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS
-    met = points.withColumn("gx", _cell(F.col("x"), side)).withColumn("gy", _cell(F.col("y"), side)).join(F.broadcast(by_cell) if few else by_cell, ["gx", "gy"], "left")
+    boxes = box_level(with_bbox(areal(rois)))
+    size = (F.size(G.points(F.col("geometry"))) * CORNER + REGION) * 4
+    levels = boxes.groupBy("level").agg(F.sum(size.cast("long")).alias("bytes")).collect()
     holds = lambda r: (F.col("x") >= r["xmin"]) & (F.col("x") <= r["xmax"]) & (F.col("y") >= r["ymin"]) & (F.col("y") <= r["ymax"])
-    return met.withColumn("near", F.filter("near", holds)).drop("gx", "gy")
+    fields = ["roi_index", *[c for c in boxes.columns if c not in ("roi_index", "level")]]
+    met, left, lists = points, MAX_BROADCAST_BYTES, []
+    for level, held in sorted(map(tuple, levels), key=lambda r: (r[1], r[0])):
+        span = lambda lo, hi, level=level: F.sequence(_cell(F.col(lo), level), _cell(F.col(hi), level))
+        listed = boxes.filter(F.col("level") == level).withColumn("__gx", F.explode(span("xmin", "xmax"))).withColumn("__gy", F.explode(span("ymin", "ymax")))
+        name = f"__near{len(lists)}"
+        by_cell = listed.groupBy("__gx", "__gy").agg(F.collect_list(F.struct(*fields)).alias(name))
+        left -= held
+        met = met.withColumn("__gx", _cell(F.col("x"), level)).withColumn("__gy", _cell(F.col("y"), level))
+        met = met.join(F.broadcast(by_cell) if left >= 0 else by_cell, ["__gx", "__gy"], "left").drop("__gx", "__gy")
+        met = met.withColumn(name, F.filter(name, holds))
+        lists.append(name)
+    if not lists:
+        kind = boxes.select(F.struct(*fields).alias("r")).schema["r"].dataType.simpleString()
+        return met.withColumn("near", F.lit(None).cast(f"array<{kind}>"))
+    found = [F.coalesce(n, F.array().cast(met.schema[n].dataType)) for n in lists]
+    return met.withColumn("near", F.sort_array(F.concat(*found))).drop(*lists)
 
 
 def associate(points: DataFrame, rois: DataFrame, include_all: bool = True, only: list[str] | None = None) -> DataFrame:
     """Every point with roi_index, roi_id, class of the first region (by index) that holds it, null where none does.
 
-    `only` names region ids; it is heeded when include_all is false. No shuffle where regions are few, and no
+    `only` names region ids; it is heeded when include_all is false. No shuffle where regions are small, and no
     aggregation: a point's list is searched in order.
     """
     if only is not None and not include_all:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as S
-from ..operators import candidates, cellindex, experiment, masks, models, proximity, regions, review, scope, slides, tiles
+from ..operators import candidates, cellindex, experiment, masks, models, overlay, proximity, regions, review, scope, slides, tiles
 from ..operators import pixels as P
 from ..sources import tables
 from ..streaming import patches
@@ -45,17 +45,17 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 @query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS) + """SELECT p.point_id, f.ri::BIGINT AS roi_index, r.roi_id, r.class FROM points p LEFT JOIN firsts f USING (point_id) LEFT JOIN regions r ON r.ri = f.ri""")
 def e1_associate_annotations(spark, sf):
-    return rounded(regions.associate(V.points(spark, sf).select("point_id", "x", "y"), V.rois(spark)).drop("x", "y"))
+    return rounded(regions.associate(V.points(spark, sf).select("point_id", "x", "y"), V.rois(spark, sf)).drop("x", "y"))
 
 
 @query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS) + """SELECT p.point_id, coalesce(r.class, r.roi_id, 'Unassigned') AS annotation FROM points p LEFT JOIN firsts f USING (point_id) LEFT JOIN regions r ON r.ri = f.ri""")
 def e2_annotate_cells(spark, sf):
-    return regions.annotate(V.points(spark, sf).select("point_id", "x", "y"), V.rois(spark)).drop("x", "y")
+    return regions.annotate(V.points(spark, sf).select("point_id", "x", "y"), V.rois(spark, sf)).drop("x", "y")
 
 
 @query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS) + "SELECT p.point_id, " + ", ".join(f"(coalesce(f.ri, -1) = {i})::BIGINT AS {n}" for i, n, _, _ in V.REGIONS) + " FROM points p LEFT JOIN firsts f USING (point_id)")
 def e9_association_matrix(spark, sf):
-    met = regions.associate(V.points(spark, sf).select("point_id", "x", "y"), V.rois(spark))
+    met = regions.associate(V.points(spark, sf).select("point_id", "x", "y"), V.rois(spark, sf))
     return rounded(regions.association_matrix(met, "point_id", [n for _, n, _, _ in V.REGIONS]))
 
 
@@ -63,14 +63,14 @@ def e9_association_matrix(spark, sf):
   round(area_px * 0.25 / 1e6, 6) AS area_mm2, count(h.point_id) AS n, round(count(h.point_id) / area_px, 6) AS density_px, round(count(h.point_id) / (area_px * 0.25 / 1e6), 6) AS density_mm2
   FROM areas a LEFT JOIN hits h ON h.ri = a.ri WHERE area_px > 0 GROUP BY a.ri, a.roi_id, a.class, area_px""")
 def f1_cell_density(spark, sf):
-    return rounded(regions.cell_density(V.points(spark, sf), V.rois(spark), 0.5))
+    return rounded(regions.cell_density(V.points(spark, sf), V.rois(spark, sf), 0.5))
 
 
 @query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS, V.AREAS) + """, per AS (SELECT coalesce(a.class, 'unclassified') AS class, a.ri, area_px, count(h.point_id) AS n FROM areas a LEFT JOIN hits h ON h.ri = a.ri GROUP BY ALL)
   SELECT class, count(*) AS n_rois, round(sum(area_px), 6) AS area_px, round(sum(area_px * 0.25 / 1e6), 6) AS area_mm2, round(sum(area_px) * 100 / sum(sum(area_px)) OVER (), 6) AS area_percent,
   sum(CASE WHEN area_px > 0 THEN n ELSE 0 END)::BIGINT AS n_cells, round(sum(CASE WHEN area_px > 0 THEN n ELSE 0 END) / nullif(sum(area_px), 0), 6) AS density_px FROM per GROUP BY class""")
 def f2_summarise_rois(spark, sf):
-    return rounded(regions.summarise_rois(V.rois(spark), V.points(spark, sf), 0.5))
+    return rounded(regions.summarise_rois(V.rois(spark, sf), V.points(spark, sf), 0.5))
 
 
 @query(V.with_(V.regions_sql(), V.edges_sql(), V.AREAS) + """, shells AS (SELECT ri, part, sum(x1 * y2 - x2 * y1) AS a, sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS mx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS my FROM edges WHERE ring = 0 GROUP BY ALL),
@@ -79,7 +79,7 @@ def f2_summarise_rois(spark, sf):
   SELECT ri::BIGINT AS roi_index, roi_id, coalesce(class, 'unclassified') AS class, round(area_px, 6) AS area_px, round(area_px * 0.25, 6) AS area_um2, round(area_px * 0.25 / 1e6, 6) AS area_mm2,
   round(area_px * 100 / sum(area_px) OVER (), 6) AS area_percent, round(cx, 6) AS cx, round(cy, 6) AS cy, xmin, ymin, xmax, ymax FROM areas LEFT JOIN centres USING (ri) LEFT JOIN boxes USING (ri)""")
 def n12_roi_measurements(spark, sf):
-    return rounded(regions.roi_table(V.rois(spark), 0.5))
+    return rounded(regions.roi_table(V.rois(spark, sf), 0.5))
 
 
 _segment = """segs AS (SELECT p.point_id, e.ri, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((p.x - e.x1) * (e.x2 - e.x1) + (p.y - e.y1) * (e.y2 - e.y1)) / nullif((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1), 0))) AS t,
@@ -91,46 +91,47 @@ _segment = """segs AS (SELECT p.point_id, e.ri, least(1.0::DOUBLE, greatest(0.0:
   SELECT b.point_id, r.ri::BIGINT AS roi_index, r.roi_id, h.ri IS NOT NULL AS inside, round(b.d, 6) AS distance_px, round(b.d * 0.5, 6) AS distance_um
   FROM best b JOIN (SELECT n.point_id, min(n.ri) AS ri FROM near n JOIN best b ON b.point_id = n.point_id AND n.d = b.d GROUP BY 1) f USING (point_id) JOIN regions r ON r.ri = f.ri LEFT JOIN hits h ON h.point_id = b.point_id AND h.ri = f.ri""")
 def e4_cells_to_roi(spark, sf):
-    return rounded(regions.cells_to_roi(V.points(spark, sf), V.rois(spark), "point_id", 0.5))
+    return rounded(regions.cells_to_roi(V.points(spark, sf), V.rois(spark, sf), "point_id", 0.5))
 
 
 @query(V.with_(V.regions_sql(), V.edges_sql()) + """, points AS (SELECT DISTINCT ri * 1000000 + part * 10000 + ring * 100 + k AS point_id, ri AS pri, x1 AS x, y1 AS y FROM edges),
   """ + _segment + """, pairs AS (SELECT least(p.pri, n.ri) AS i, greatest(p.pri, n.ri) AS j, min(d) AS d FROM near n JOIN points p USING (point_id) WHERE p.pri <> n.ri GROUP BY ALL)
   SELECT i::BIGINT AS i, j::BIGINT AS j, a.roi_id AS roi_a, b.roi_id AS roi_b, round(d, 6) AS distance_px FROM pairs JOIN regions a ON a.ri = i JOIN regions b ON b.ri = j""")
 def e5_roi_distance(spark, sf):
-    return rounded(regions.roi_distance(V.rois(spark)))
+    return rounded(regions.roi_distance(V.rois(spark, sf)))
 
 
 @query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS) + """, met AS (SELECT p.*, coalesce(r.class, 'unassigned') AS class FROM points p LEFT JOIN firsts f USING (point_id) LEFT JOIN regions r ON r.ri = f.ri),
   names AS (SELECT DISTINCT class FROM regions WHERE class IS NOT NULL UNION SELECT 'unassigned')
   SELECT n.class, count(m.point_id) AS n, round(avg(m.marker), 6) AS mean_marker FROM names n LEFT JOIN met m USING (class) GROUP BY n.class""")
 def n11_class_counts(spark, sf):
-    met = regions.associate(V.points(spark, sf), V.rois(spark))
-    return rounded(regions.class_counts(met, V.rois(spark).filter("class IS NOT NULL")))
+    met = regions.associate(V.points(spark, sf), V.rois(spark, sf))
+    return rounded(regions.class_counts(met, V.rois(spark, sf).filter("class IS NOT NULL")))
 
 
 @query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS, V.AREAS) + """SELECT a.ri::BIGINT AS roi_index, a.roi_id, coalesce(a.class, 'unclassified') AS class, round(area_px, 6) AS area_px, round(area_px * 0.25, 6) AS area_um2,
   count(f.point_id) AS n_cells, round(count(f.point_id) / nullif(area_px, 0), 6) AS density_px FROM areas a LEFT JOIN firsts f ON f.ri = a.ri GROUP BY a.ri, a.roi_id, a.class, area_px""")
 def f7_cell_counts(spark, sf):
-    met = regions.associate(V.points(spark, sf), V.rois(spark))
-    return rounded(regions.roi_counts(met, V.rois(spark), 0.5))
+    met = regions.associate(V.points(spark, sf), V.rois(spark, sf))
+    return rounded(regions.roi_counts(met, V.rois(spark, sf), 0.5))
 
 
-@query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS) + """SELECT r.roi_id, p.cell_class, count(*) AS n_cells, round(avg(marker), 6) AS marker_mean, round(quantile_cont(marker, 0.5), 6) AS marker_median,
-  count(*) FILTER (marker >= 50) AS marker_positive, round(count(*) FILTER (marker >= 50) / count(marker), 6) AS marker_positive_fraction FROM points p LEFT JOIN firsts f USING (point_id) LEFT JOIN regions r ON r.ri = f.ri GROUP BY ALL""")
+@query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS) + """SELECT r.roi_id, p.cell_class, count(*) AS n_cells, round(avg(marker), 10) AS marker_mean, round(quantile_cont(marker, 0.5), 10) AS marker_median,
+  count(*) FILTER (marker >= 50) AS marker_positive, round(count(*) FILTER (marker >= 50) / count(marker), 10) AS marker_positive_fraction FROM points p LEFT JOIN firsts f USING (point_id) LEFT JOIN regions r ON r.ri = f.ri GROUP BY ALL""")
 def n10_group_summary(spark, sf):
-    met = regions.associate(V.points(spark, sf), V.rois(spark))
-    return rounded(regions.group_summary(met, ["roi_id", "cell_class"], ["marker"], 50.0))
+    met = regions.associate(V.points(spark, sf), V.rois(spark, sf))
+    return rounded(regions.group_summary(met, ["roi_id", "cell_class"], ["marker"], 50.0), 10)
 
 
 _inside = """CASE WHEN x < 320 AND y < 320 THEN 1 ELSE 0 END"""
 
 
-@query("""WITH g AS (SELECT (i * 25)::DOUBLE AS x, (j * 25)::DOUBLE AS y FROM range(0, 20) a(i), range(0, 20) b(j))
-  SELECT x, y, 20.0::DOUBLE AS width, 20.0::DOUBLE AS height, x >= 100 AND x + 20 <= 400 AND y >= 100 AND y + 20 <= 400 AND NOT (x < 300 AND x + 20 > 200 AND y < 300 AND y + 20 > 200) AS inside FROM g""")
+@query("""WITH g AS (SELECT p_partkey, ((p_partkey * 25) % 500)::DOUBLE AS x, ((p_partkey * 45) % 495)::DOUBLE AS y FROM part)
+  SELECT p_partkey, x, y, 20.0::DOUBLE AS width, 20.0::DOUBLE AS height, x >= 100 AND x + 20 <= 400 AND y >= 100 AND y + 20 <= 400 AND NOT (x < 300 AND x + 20 > 200 AND y < 300 AND y + 20 > 200) AS inside FROM g""")
 def c10_footprints(spark, sf):
-    grid = spark.range(400).select(((F.col("id") % 20) * 25).cast("double").alias("x"), (F.floor(F.col("id") / 20) * 25).cast("double").alias("y"), F.lit(20.0).alias("width"), F.lit(20.0).alias("height"))
-    both = grid.crossJoin(F.broadcast(V.rois(spark).filter("roi_index = 0").select("geometry")))
+    key = F.col("p_partkey")
+    grid = V.read(spark, sf, "part").select(key, ((key * 25) % 500).cast("double").alias("x"), ((key * 45) % 495).cast("double").alias("y"), F.lit(20.0).alias("width"), F.lit(20.0).alias("height"))
+    both = grid.crossJoin(F.broadcast(V.rois(spark, sf).filter("roi_index = 0").select("geometry")))
     return regions.footprints_in_roi(both, F.col("geometry")).drop("geometry")
 
 
@@ -141,7 +142,7 @@ def c10_footprints(spark, sf):
   SELECT ri::BIGINT AS roi_index, round(min(x), 6) AS xmin, round(min(y), 6) AS ymin, round(max(x), 6) AS xmax, round(max(y), 6) AS ymax FROM moved GROUP BY ri""")
 def d4_transform_rois(spark, sf):
     m = G.matmul(G.translation(5, 7), G.orientation(800, 1000, "none", 90))
-    moved = V.rois(spark).filter(F.size("geometry") > 0).withColumn("geometry", G.affine(F.col("geometry"), m))
+    moved = V.rois(spark, sf).filter(F.size("geometry") > 0).withColumn("geometry", G.affine(F.col("geometry"), m))
     return rounded(regions.with_bbox(moved).select("roi_index", "xmin", "ymin", "xmax", "ymax"))
 
 
@@ -172,7 +173,7 @@ def e3_nearest_cells(spark, sf):
   best AS (SELECT a.point_id, arg_min(b.point_id, struct_pack(d := sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), t := b.point_id)) AS nearest_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM a CROSS JOIN b GROUP BY 1)
   SELECT a.point_id, a.roi_id AS query_roi, a.x, a.y, best.nearest_id, round(d, 6) AS distance_px, b.roi_id AS target_roi, round(d * 0.375, 6) AS distance_um FROM a JOIN best USING (point_id) JOIN b ON b.point_id = best.nearest_id""")
 def n20_proximity(spark, sf):
-    out = proximity.proximity(V.points(spark, sf).select("point_id", "x", "y"), V.rois(spark), ["donut"], ["triangle", "pair"], "point_id", (0.5, 0.25))
+    out = proximity.proximity(V.points(spark, sf).select("point_id", "x", "y"), V.rois(spark, sf), ["donut"], ["triangle", "pair"], "point_id", (0.5, 0.25))
     return rounded(out)
 
 
@@ -223,10 +224,13 @@ def n24_top_variance(spark, sf):
 # tiles
 
 
-@query("""SELECT 'slide' AS slide_id, printf('L1_R%05d_C%05d', r + 1, c + 1) AS tile_id, c * 1920 AS x, r * 1920 AS y, least(512, 2500 - c * 480)::BIGINT AS width, least(512, 2000 - r * 480)::BIGINT AS height, 1::BIGINT AS level, r + 1 AS row, c + 1 AS col, 4.0::DOUBLE AS downsample
-  FROM range(0, 5) a(r), range(0, 6) b(c)""")
+_slides = "slides AS (SELECT 'n' || n_nationkey AS slide_id, 4000.0::DOUBLE + n_nationkey * 250 AS width, 3000.0::DOUBLE + n_nationkey * 130 AS height FROM nation)"
+
+
+@query(V.with_(_slides) + """SELECT slide_id, printf('L1_R%05d_C%05d', r + 1, c + 1) AS tile_id, c * 1920 AS x, r * 1920 AS y, least(512, ceil(width / 4 - c * 480))::BIGINT AS width, least(512, ceil(height / 4 - r * 480))::BIGINT AS height, 1::BIGINT AS level, r + 1 AS row, c + 1 AS col, 4.0::DOUBLE AS downsample
+  FROM slides, range(0, 10) a(r), range(0, 10) b(c) WHERE r * 480 < height / 4 AND c * 480 < width / 4""")
 def g1_tile_grid(spark, sf):
-    return rounded(tiles.tile_grid(tiles.slide(spark), 512, 32, 1, True))
+    return rounded(tiles.tile_grid(V.slides(spark, sf), 512, 32, 1, True))
 
 
 @query(V.with_(V.POINTS) + """, t AS (SELECT point_id, round_even(x - 32, 0) AS x, round_even(y - 32, 0) AS y FROM points)
@@ -253,11 +257,14 @@ def n42_split(spark, sf):
     return tiles.split(V.tiles(spark, sf), "tile_key", {"train": 0.7, "val": 0.2, "test": 0.1}, seed=7)
 
 
-@query("""WITH m AS (SELECT r AS "row", c AS col, (r * 7 + c * 3) % 5 < 2 AS tissue FROM range(0, 40) a(r), range(0, 50) b(c)), t AS (SELECT printf('L0_R%05d_C%05d', r + 1, c + 1) AS tile_id, c * 512 AS x, r * 512 AS y FROM range(0, 15) a(r), range(0, 19) b(c))
-  SELECT tile_id, round(avg(tissue::INT::DOUBLE), 6) AS tissue_fraction FROM t JOIN m ON m.col >= floor(x / 200) AND m.col <= ceil((x + 512) / 200) - 1 AND m."row" >= floor(y / 200) AND m."row" <= ceil((y + 512) / 200) - 1 GROUP BY tile_id""")
+@query("""WITH m AS (SELECT s_suppkey // 10 AS "row", s_suppkey % 10 AS col, s_acctbal > 4000 AS tissue FROM supplier), t AS (SELECT p_partkey AS tile_id, (p_partkey * 64) % 1000 AS x, (p_partkey * 23) % (SELECT 20 * count(*) FROM supplier) AS y FROM part)
+  SELECT tile_id, round(avg(tissue::INT::DOUBLE), 6) AS tissue_fraction FROM t LEFT JOIN m ON m.col >= floor(x / 200.0) AND m.col <= ceil((x + 512) / 200.0) - 1 AND m."row" >= floor(y / 200.0) AND m."row" <= ceil((y + 512) / 200.0) - 1 GROUP BY tile_id""")
 def n43_tissue_fraction(spark, sf):
-    mask = spark.range(2000).select(F.floor(F.col("id") / 50).cast("int").alias("row"), (F.col("id") % 50).cast("int").alias("col")).withColumn("tissue", (F.col("row") * 7 + F.col("col") * 3) % 5 < 2)
-    return rounded(tiles.tissue_fraction(tiles.tile_grid(tiles.slide(spark), 512), mask, 200.0).select("tile_id", "tissue_fraction"))
+    s = V.read(spark, sf, "supplier")
+    k, part = F.col("s_suppkey"), F.col("p_partkey")
+    mask = s.select(F.floor(k / 10).cast("int").alias("row"), (k % 10).cast("int").alias("col"), (F.col("s_acctbal") > 4000).alias("tissue"))
+    grid = V.read(spark, sf, "part").select(part.alias("tile_id"), ((part * 64) % 1000).alias("x"), ((part * 23) % (20 * s.count())).alias("y"), F.lit(512).alias("width"), F.lit(512).alias("height"), F.lit(1.0).alias("downsample"))
+    return rounded(tiles.tissue_fraction(grid, mask, 200.0).select("tile_id", "tissue_fraction"))
 
 
 @query(V.with_(V.POINTS) + """, t AS (SELECT cell_class AS tissue_id, floor(x / 112) * 112 AS x, floor(y / 112) * 112 AS y, count(*) AS n FROM points GROUP BY ALL) SELECT tissue_id, x, y, 112.0::DOUBLE AS width, 112.0::DOUBLE AS height, n FROM t WHERE x + 112 <= 1000 AND y + 112 <= 800""")
@@ -267,10 +274,10 @@ def f8_review_plan(spark, sf):
     return rounded(tiles.review_plan(p, images, 112.0, max_tiles=100_000).select("tissue_id", "x", "y", "width", "height", "n"))
 
 
-@query("""WITH l AS (SELECT k AS level, power(2.0::DOUBLE, 14 - k) AS d, ceil(10000 / power(2.0::DOUBLE, 14 - k)) AS lw, ceil(8000 / power(2.0::DOUBLE, 14 - k)) AS lh FROM range(0, 15) t(k))
-  SELECT level, count(*) AS n, round(sum(d), 6) AS d, max(tx) AS tx, max(ty) AS ty FROM l, range(0, 20) a(tx), range(0, 16) b(ty) WHERE tx < greatest(ceil(lw / 512), 1) AND ty < greatest(ceil(lh / 512), 1) GROUP BY level""")
+@query(V.with_(_slides) + """, l AS (SELECT slide_id, k AS level, power(2.0::DOUBLE, m - k) AS d, ceil(width / power(2.0::DOUBLE, m - k)) AS lw, ceil(height / power(2.0::DOUBLE, m - k)) AS lh FROM (SELECT *, ceil(log2(greatest(width, height)))::INT AS m FROM slides), range(0, 20) t(k) WHERE k <= m)
+  SELECT slide_id, level, count(*) AS n, round(sum(d), 6) AS d, max(tx) AS tx, max(ty) AS ty FROM l, range(0, 24) a(tx), range(0, 24) b(ty) WHERE tx < greatest(ceil(lw / 512), 1) AND ty < greatest(ceil(lh / 512), 1) GROUP BY slide_id, level""")
 def n69_deep_zoom(spark, sf):
-    return rounded(tiles.deep_zoom(tiles.slide(spark)).groupBy("level").agg(F.count("*").alias("n"), F.sum("downsample").alias("d"), F.max("tx").alias("tx"), F.max("ty").alias("ty")))
+    return rounded(tiles.deep_zoom(V.slides(spark, sf)).groupBy("slide_id", "level").agg(F.count("*").alias("n"), F.sum("downsample").alias("d"), F.max("tx").alias("tx"), F.max("ty").alias("ty")))
 
 
 # pixels
@@ -401,7 +408,7 @@ def h17_understained(spark, sf):
 
 @query(V.with_(V.edges_sql(), """points AS (SELECT y * 100 + x AS point_id, (x + 0.5) * 10.0::DOUBLE AS x, (y + 0.5) * 10.0::DOUBLE AS y FROM range(0, 100) a(x), range(0, 80) b(y))""", V.HITS) + """SELECT (point_id // 100)::BIGINT AS "row", (point_id % 100)::BIGINT AS col, (max(ri) + 1)::BIGINT AS label FROM hits GROUP BY point_id""")
 def h31_rois_to_mask(spark, sf):
-    return rounded(masks.rois_to_mask(V.rois(spark), 100, 80, 10.0))
+    return rounded(masks.rois_to_mask(V.rois(spark, sf), 100, 80, 10.0))
 
 
 @query()
@@ -411,7 +418,7 @@ def n45_tissue_components(spark, sf):
 
 @query()
 def h32_mask_to_rois(spark, sf):
-    mask = masks.rois_to_mask(V.rois(spark), 100, 80, 10.0).withColumn("mask_id", F.lit("m"))
+    mask = masks.rois_to_mask(V.rois(spark, sf), 100, 80, 10.0).withColumn("mask_id", F.lit("m"))
     out = masks.mask_to_rois(mask, 10.0)
     return out.select("mask_id", "label", "component", "area", G.area(F.col("geometry")).alias("area_px"), F.size("geometry").alias("parts"))
 
@@ -508,16 +515,21 @@ def n82_tile_report(spark, sf):
     return review.tile_report(V.read(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
-@query("""SELECT c AS class, l AS label, k AS color, e AS export FROM (VALUES ('Tumour', 'tumour', '#112233', true), ('new', 'n', '#010203', false), ('stroma', 'stroma', '#4575B4', true), ('necrosis', 'necrosis', '#7F7F7F', true), ('normal', 'normal', '#1A9850', true),
-  ('artefact', 'artefact', '#984EA3', false), ('exclusion', 'exclusion', '#000000', false), ('invasive front', 'invasive front', '#F46D43', true)) AS t(c, l, k, e)""")
+_presets = """presets(class, color, export) AS (VALUES ('tumour', '#D73027', true), ('stroma', '#4575B4', true), ('necrosis', '#7F7F7F', true), ('normal', '#1A9850', true), ('artefact', '#984EA3', false), ('exclusion', '#000000', false), ('invasive front', '#F46D43', true))"""
+
+
+@query(f"""WITH {_presets}, own AS (SELECT DISTINCT p_type AS class, '#' || printf('%06d', length(p_type) * 4711) AS color, length(p_type) % 2 = 0 AS export FROM part UNION ALL SELECT 'Tumour', '#112233', NULL)
+  SELECT coalesce(o.class, d.class) AS class, coalesce(d.class, o.class) AS label, coalesce(o.color, d.color) AS color, coalesce(o.export, d.export, true) AS export FROM presets d FULL JOIN own o ON lower(o.class) = d.class""")
 def c2_presets(spark, sf):
-    own = spark.sql("SELECT * FROM VALUES ('Tumour', NULL, '#112233', NULL), ('new', 'n', '#010203', false) AS t(class, label, color, export)")
+    size = F.length("p_type")
+    own = V.read(spark, sf, "part").select("p_type").distinct().select(F.col("p_type").alias("class"), F.concat(F.lit("#"), F.format_string("%06d", size * 4711)).alias("color"), (size % 2 == 0).alias("export"))
+    own = own.unionByName(spark.sql("SELECT 'Tumour' AS class, '#112233' AS color, CAST(NULL AS boolean) AS export")).withColumn("label", F.lit(None).cast("string"))
     return review.presets(review.default_presets(spark), own)
 
 
-@query("""SELECT roi_id, color FROM (VALUES ('donut', '#D73027'), ('ell', '#4575B4'), ('triangle', '#D73027'), ('pair', NULL), ('wide', NULL), ('line', '#4575B4')) AS t(roi_id, color)""")
+@query(V.with_(V.regions_sql(), _presets) + """SELECT roi_id, color FROM regions LEFT JOIN presets USING (class)""")
 def c5_apply_presets(spark, sf):
-    return review.apply_presets(V.rois(spark).withColumn("color", F.lit(None).cast("string")), review.default_presets(spark)).select("roi_id", "color")
+    return review.apply_presets(V.rois(spark, sf).withColumn("color", F.lit(None).cast("string")), review.default_presets(spark)).select("roi_id", "color")
 
 
 @query("""WITH c AS (SELECT DISTINCT c_mktsegment AS name FROM customer) SELECT name, ['#00BFC4', '#F8766D', '#7CAE00', '#C77CFF', '#E69F00', '#56B4E9', '#CC79A7'][list_sum([ord(lower(name)[i]) * i for i in range(1, length(name) + 1)])::BIGINT % 7 + 1] AS color FROM c""")
@@ -532,11 +544,19 @@ def k9_cache_prune(spark, sf):
     return review.cache_prune(files, 1000, 30, 3456000.0)
 
 
-@query("""SELECT 's1' AS slide_id, 0.25::DOUBLE AS mpp_x, 0.25::DOUBLE AS mpp_y, 40.0::DOUBLE AS objective_power UNION ALL SELECT 's2', 0.6, 0.6, NULL UNION ALL SELECT 's3', 0.5, 0.5, 20.0""")
+@query("""WITH k AS (SELECT s_suppkey AS slide_id, s_suppkey % 4 AS kind, (s_suppkey % 7 + 1) / 20.0::DOUBLE AS v FROM supplier)
+  SELECT slide_id, round(CASE kind WHEN 0 THEN v WHEN 1 THEN 0.6 WHEN 2 THEN 10000 / (20000 + slide_id) ELSE v END, 6) AS mpp_x, round(CASE kind WHEN 0 THEN v WHEN 1 THEN 0.6 WHEN 2 THEN 10000 / (20000 + slide_id) ELSE v * 2 END, 6) AS mpp_y, CASE kind WHEN 0 THEN 40.0::DOUBLE WHEN 2 THEN 20.0 END AS objective_power FROM k""")
 def a6_pixel_size(spark, sf):
-    rows = spark.sql("""SELECT 's1' AS slide_id, map('openslide.mpp-x', '0.25', 'openslide.objective-power', '40') AS properties
-      UNION ALL SELECT 's2', map('openslide.mpp-x', 'none', 'mpp-y', '0.6') UNION ALL SELECT 's3', map('tiff.XResolution', '20000', 'tiff.ResolutionUnit', 'centimeter', 'aperio.AppMag', '20')""")
-    return tables.pixel_size(rows)
+    key = F.col("s_suppkey")
+    v = ((key % 7 + 1) / 20.0).cast("string")
+    given = lambda **named: F.create_map(*[x for n, c in named.items() for x in (F.lit(n.replace("__", ".").replace("_", "-") if n.startswith(("openslide", "mpp")) else n.replace("__", ".")), c)])
+    properties = (
+        F.when(key % 4 == 0, given(openslide__mpp_x=v, openslide__objective_power=F.lit("40")))
+        .when(key % 4 == 1, given(openslide__mpp_x=F.lit("none"), mpp_y=F.lit("0.6")))
+        .when(key % 4 == 2, given(tiff__XResolution=(key + 20000).cast("string"), tiff__ResolutionUnit=F.lit("centimeter"), aperio__AppMag=F.lit("20")))
+        .otherwise(given(openslide__mpp_x=v, openslide__mpp_y=((key % 7 + 1) / 10.0).cast("string")))
+    )
+    return rounded(tables.pixel_size(V.read(spark, sf, "supplier").select(key.alias("slide_id"), properties.alias("properties"))))
 
 
 # models
@@ -573,21 +593,22 @@ def n36_gene_match(spark, sf):
     return rounded(review.gene_match(asked, p, aliases))
 
 
-@query("""WITH e(roi_id, class, xmin, ymin, xmax, ymax) AS (VALUES ('donut', 'tumour', 100, 100, 400, 400), ('ell', 'stroma', 300, 300, 700, 700), ('triangle', 'tumour', 600, 50, 950, 280), ('pair', 'immune', 50, 500, 950, 780), ('wide', NULL, 0, 400, 1000, 500))
-  SELECT roi_id, class, xmin + 60 * i AS x, ymin + 60 * j AS y, 100::BIGINT AS width, 100::BIGINT AS height FROM e, range(0, 20) a(i), range(0, 20) b(j) WHERE xmin + 60 * i + 100 <= xmax AND ymin + 60 * j + 100 <= ymax""")
+@query(V.with_(V.regions_sql(), V.edges_sql()) + """, e AS (SELECT roi_id, class, min(x1) AS xmin, min(y1) AS ymin, max(x1) AS xmax, max(y1) AS ymax FROM edges JOIN regions USING (ri) GROUP BY ALL)
+  SELECT roi_id, class, (round_even(xmin, 0) + 60 * i)::BIGINT AS x, (round_even(ymin, 0) + 60 * j)::BIGINT AS y, 100::BIGINT AS width, 100::BIGINT AS height FROM e, range(0, 20) a(i), range(0, 20) b(j)
+  WHERE xmax - xmin >= 100 AND ymax - ymin >= 100 AND round_even(xmin, 0) + 60 * i <= floor(xmax - 100) AND round_even(ymin, 0) + 60 * j <= floor(ymax - 100)""")
 def g5_tile_rois(spark, sf):
-    return rounded(tiles.tile_rois(V.rois(spark).filter("size(geometry) > 0"), 100, 60))
+    return rounded(tiles.tile_rois(V.rois(spark, sf).filter("size(geometry) > 0"), 100, 60))
 
 
 @query(V.with_(V.regions_sql()) + """SELECT roi_id FROM regions WHERE class IS NULL OR class <> 'stroma'""")
 def c6_export_filter(spark, sf):
     table = review.presets(review.default_presets(spark), spark.sql("SELECT 'Stroma' AS class, NULL AS label, NULL AS color, false AS export"))
-    return review.exported(V.rois(spark), table).select("roi_id")
+    return review.exported(V.rois(spark, sf), table).select("roi_id")
 
 
 @query(V.with_(V.regions_sql()) + """SELECT roi_id, CASE WHEN roi_id IN ('ell', 'wide') THEN 'necrosis' ELSE class END AS class FROM regions""")
 def c1_set_class(spark, sf):
-    return review.set_class(V.rois(spark), "necrosis", ["ell", "wide"]).select("roi_id", "class")
+    return review.set_class(V.rois(spark, sf), "necrosis", ["ell", "wide"]).select("roi_id", "class")
 
 
 @query(V.with_(V.PIXELS) + f""", h AS (SELECT *, {_hue} FROM pixels), a AS (SELECT tile_id, avg((v >= 0.6 AND s <= 0.5)::INT::DOUBLE) AS w, avg(v) AS v, avg(s) AS s FROM h GROUP BY tile_id)
@@ -667,7 +688,7 @@ def n39_spot_spacing(spark, sf):
 def f6_measurement_report(spark, sf):
     """One of the report's seven tables; the others are f1 to f5, e3, e4 and n12."""
     px = P.deconvolved(V.pixels(spark, sf), _ihc, ("hematoxylin", "dab", "rest")).withColumn("x", F.col("col") * 12.0 + 6).withColumn("y", F.col("row") * 12.0 + 6).select("x", "y", "hematoxylin", "dab")
-    return rounded(experiment.measurement_report(V.rois(spark), V.points(spark, sf), px, pixel_size=0.5, only={"ihc"})["ihc"])
+    return rounded(experiment.measurement_report(V.rois(spark, sf), V.points(spark, sf), px, pixel_size=0.5, only={"ihc"})["ihc"])
 
 
 # slides and tiles of pixels
@@ -732,9 +753,14 @@ def h26_deconvolved_region(spark, sf):
     return rounded(out.groupBy("slide_id").agg(F.count("*").alias("n"), F.avg("h").alias("h"), F.avg("d").alias("d")))
 
 
-@query("SELECT i::BIGINT AS channel_index, n AS name, c AS colour, round(a / sqrt(a * a + b * b + d * d), 6) AS r, round(b / sqrt(a * a + b * b + d * d), 6) AS g, round(d / sqrt(a * a + b * b + d * d), 6) AS b FROM (VALUES (0, 'Hematoxylin', '#4b3f99', 0.65::DOUBLE, 0.704::DOUBLE, 0.286::DOUBLE), (1, 'HRP/DAB', '#8b5a2b', 0.268, 0.57, 0.776)) AS t(i, n, c, a, b, d)")
+@query(V.with_(V.PIXELS) + f""", o AS (SELECT tile_id % 2 AS i, avg(-ln(greatest(r, {P.EPSILON!r}::DOUBLE))) AS a, avg(-ln(greatest(g, {P.EPSILON!r}::DOUBLE))) AS b, avg(-ln(greatest(b, {P.EPSILON!r}::DOUBLE))) AS d FROM pixels WHERE (tile_id % 2 = 0) = (r > g) GROUP BY 1)
+  SELECT i::BIGINT AS channel_index, CASE i WHEN 0 THEN 'Hematoxylin' ELSE 'HRP/DAB' END AS name, CASE i WHEN 0 THEN '#4b3f99' ELSE '#8b5a2b' END AS colour, round(a / sqrt(a * a + b * b + d * d), 6) AS r, round(b / sqrt(a * a + b * b + d * d), 6) AS g, round(d / sqrt(a * a + b * b + d * d), 6) AS b FROM o""")
 def h18_stain_channels(spark, sf):
-    return rounded(P.stain_channels(spark).select("channel_index", "name", "colour", *[F.col("vector")[i].alias(c) for i, c in enumerate("rgb")]))
+    """Channels of the mean densities of two kinds of pixels."""
+    density = [F.avg(-F.log(F.greatest(F.col(c), F.lit(P.EPSILON)))).alias(c) for c in "rgb"]
+    kinds = V.pixels(spark, sf).filter((F.col("tile_id") % 2 == 0) == (F.col("r") > F.col("g"))).groupBy((F.col("tile_id") % 2).alias("i")).agg(*density).orderBy("i").collect()
+    found = P.stain_channels(spark, vectors=tuple((k["r"], k["g"], k["b"]) for k in kinds))
+    return rounded(found.select("channel_index", "name", "colour", *[F.col("vector")[i].alias(c) for i, c in enumerate("rgb")]))
 
 
 @query(V.with_(V.POINTS, V.GRID, """plane AS (SELECT "row", col, avg(r) AS value FROM grid GROUP BY ALL)""") + """, placed AS (SELECT point_id, floor(x / 16)::BIGINT AS c0, floor(y / 16)::BIGINT AS r0 FROM points),
@@ -748,15 +774,15 @@ def n9_channel_values(spark, sf):
 # scope
 
 
-@query(V.with_(V.regions_sql()) + "SELECT roi_id FROM regions WHERE roi_id = 'line' OR ri = 1 OR class = 'tumour'")
+@query(V.with_(V.regions_sql()) + "SELECT roi_id FROM regions WHERE roi_id = 'line' OR ri IN (1, 99) OR class = 'tumour'")
 def n15_selected_regions(spark, sf):
-    return scope.selected(V.rois(spark), ["roi:line", "roi_index:1", "class:TUMOUR", "__all__", "", "roi_index:99"]).select("roi_id")
+    return scope.selected(V.rois(spark, sf), ["roi:line", "roi_index:1", "class:TUMOUR", "__all__", "", "roi_index:99"]).select("roi_id")
 
 
 @query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS) + """, ok AS (SELECT h.point_id, min(h.ri) AS ri FROM hits h JOIN points p USING (point_id) WHERE h.ri IN (0, 1, 4) AND (h.ri <> 0 OR p.cell_class = 'click') GROUP BY 1)
   SELECT p.point_id, ok.ri::BIGINT AS roi_index, r.roi_id, CASE WHEN ok.ri IS NOT NULL THEN coalesce(r.class, 'unclassified') END AS label FROM points p LEFT JOIN ok USING (point_id) LEFT JOIN regions r ON r.ri = ok.ri""")
 def n16_assigned_points(spark, sf):
-    rois = V.rois(spark).withColumn("scope", F.when(F.col("roi_id") == "donut", F.create_map(F.lit("project_image"), F.lit("CLICK"))))
+    rois = V.rois(spark, sf).withColumn("scope", F.when(F.col("roi_id") == "donut", F.create_map(F.lit("project_image"), F.lit("CLICK"))))
     p = V.points(spark, sf).select("point_id", "x", "y", F.col("cell_class").alias("image"))
     return rounded(scope.assign_points(p, rois, ["donut", "ell", "wide"]).drop("x", "y", "image"))
 
@@ -770,7 +796,7 @@ def n18_project_scope(spark, sf):
 @query(V.with_(V.POINTS, V.regions_sql(), V.edges_sql(), V.HITS) + """SELECT p.point_id, 'tumour' AS label, x >= 110 AND x <= 390 AND y >= 110 AND y <= 390 AND NOT (x - 10 < 300 AND x + 10 > 200 AND y - 10 < 300 AND y + 10 > 200) AS accepted FROM points p JOIN hits h USING (point_id) WHERE h.ri = 0""")
 def n32_roi_training(spark, sf):
     p = V.points(spark, sf).select("point_id", "x", "y", F.lit(20.0).alias("width"), F.lit(20.0).alias("height"))
-    return scope.roi_training(p, V.rois(spark), ["roi:donut"], "point_id")
+    return scope.roi_training(p, V.rois(spark, sf), ["roi:donut"], "point_id")
 
 
 @query("""SELECT 'c' || event_id AS cell_id, 's' || event_id AS source_id, CASE WHEN event_id % 3 < 2 AND event_id % 5 > 0 THEN 'available' ELSE 'unavailable' END AS status, CASE WHEN event_id % 3 < 2 THEN event_id % 2 = 0 END AS disagreement,
@@ -782,16 +808,16 @@ def n84_segmentation_review(spark, sf):
     return rounded(scope.segmentation_review(cells, rows))
 
 
-@query(V.with_(V.edges_sql()) + """, a AS (SELECT ri, part, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area, count(*) AS n FROM edges WHERE ring = 0 GROUP BY ALL) SELECT ri::BIGINT AS roi_index, part::BIGINT AS part, round(area, 6) AS area, (CASE WHEN n * 4 <= 20 THEN n * 4 ELSE n * 2 END + 1)::BIGINT AS corners FROM a""")
+@query(V.with_(V.edges_sql()) + """, a AS (SELECT ri, part, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area, count(*) AS n FROM edges WHERE ring = 0 GROUP BY ALL) SELECT ri::BIGINT AS roi_index, part::BIGINT AS part, round(area, 10) AS area, (CASE WHEN n * 4 <= 20 THEN n * 4 ELSE n * 2 END + 1)::BIGINT AS corners FROM a""")
 def n47_smoothed(spark, sf):
     """Areas stay, each round doubles the corners up to the limit (checked round by round)."""
-    shells = V.rois(spark).select("roi_index", F.posexplode("geometry").alias("part", "p")).select("roi_index", "part", G.chaikin(F.col("p")[0], 2, most=20).alias("r"))
-    return rounded(shells.select("roi_index", "part", G.ring_area(F.col("r")).alias("area"), F.size("r").alias("corners")))
+    shells = V.rois(spark, sf).select("roi_index", F.posexplode("geometry").alias("part", "p")).select("roi_index", "part", G.chaikin(F.col("p")[0], 2, most=20).alias("r"))
+    return rounded(shells.select("roi_index", "part", G.ring_area(F.col("r")).alias("area"), F.size("r").alias("corners")), 10)
 
 
 @query(V.with_(V.regions_sql(), V.edges_sql()) + """SELECT ri::BIGINT AS roi_index, (count(*) + count(DISTINCT part * 10 + ring))::BIGINT AS corners FROM edges GROUP BY ri HAVING max(x1) >= 750 AND min(x1) <= 900 AND max(y1) >= 450 AND min(y1) <= 600""")
 def n67_geojson_viewport(spark, sf):
-    return rounded(slides.geojson_viewport(V.rois(spark), (750.0, 450.0, 900.0, 600.0)).select("roi_index", "corners"))
+    return rounded(slides.geojson_viewport(V.rois(spark, sf), (750.0, 450.0, 900.0, 600.0)).select("roi_index", "corners"))
 
 
 @query("""SELECT 'u' || d.doc_id AS id, lang, source FROM documents d WHERE doc_id % 2 = 0 UNION ALL SELECT 'u' || doc_id, NULL, NULL FROM documents WHERE doc_id % 2 = 1""")
@@ -815,12 +841,29 @@ def n37_scaled_coordinates(spark, sf):
     return experiment.scaled(p, experiment.coordinate_scale(p, (2000, 3200), (1000, 800), image=(500, 400)))
 
 
-@query("""SELECT 'rois' AS "table", 6 AS n UNION ALL SELECT 'tiles', count(*) FROM orders""")
+@query("""SELECT 'rois' AS "table", count(*) AS n FROM supplier UNION ALL SELECT 'tiles', count(*) FROM orders""")
 def b20_case_report(spark, sf):
-    return review.case_report({"rois": V.rois(spark), "tiles": V.read(spark, sf, "orders")}, ["o_orderstatus"])["summary"]
+    return review.case_report({"rois": V.rois(spark, sf), "tiles": V.read(spark, sf, "orders")}, ["o_orderstatus"])["summary"]
 
 
-@query("""SELECT s AS slide_id, i AS images FROM (VALUES ('a', 'label,macro'), ('b', '')) AS t(s, i)""")
+@query("""SELECT s_suppkey AS slide_id, CASE s_suppkey % 3 WHEN 0 THEN 'label,macro' WHEN 1 THEN 'n' || s_nationkey ELSE '' END AS images FROM supplier""")
 def a8_associated_images(spark, sf):
-    rows = spark.sql("SELECT 'a' AS slide_id, map('openslide.associated.macro.width', '5', 'openslide.associated.label.width', '9', 'openslide.associated.label.height', '4') AS properties UNION ALL SELECT 'b', map('x', 'y')")
-    return slides.associated_images(rows).select("slide_id", F.concat_ws(",", "images").alias("images"))
+    key = F.col("s_suppkey")
+    name = lambda n, of: F.concat(F.lit("openslide.associated."), n, F.lit(f".{of}"))
+    two = F.create_map(name(F.lit("macro"), "width"), F.lit("5"), name(F.lit("label"), "width"), F.lit("9"), name(F.lit("label"), "height"), F.lit("4"))
+    one = F.create_map(name(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), "width"), F.lit("7"))
+    properties = F.when(key % 3 == 0, two).when(key % 3 == 1, one).otherwise(F.create_map(F.lit("x"), F.lit("y")))
+    return slides.associated_images(V.read(spark, sf, "supplier").select(key.alias("slide_id"), properties.alias("properties"))).select("slide_id", F.concat_ws(",", "images").alias("images"))
+
+
+@query("""WITH b AS (SELECT o_custkey AS k, o_orderstatus = 'O' AS a, (o_orderkey * 37) % 900 AS x0, (o_orderkey * 91) % 700 AS y0, 20 + o_orderkey % 180 AS w, 20 + o_orderkey % 150 AS h FROM orders),
+  xs AS (SELECT k, x, lead(x) OVER (PARTITION BY k ORDER BY x) - x AS w FROM (SELECT k, x0 AS x FROM b UNION SELECT k, x0 + w FROM b)),
+  ys AS (SELECT k, y, lead(y) OVER (PARTITION BY k ORDER BY y) - y AS h FROM (SELECT k, y0 AS y FROM b UNION SELECT k, y0 + h FROM b)),
+  c AS (SELECT xs.k, x, y, any_value(xs.w * ys.h) AS area, bool_or(a) AS a, bool_or(NOT a) AS b FROM xs JOIN ys ON ys.k = xs.k JOIN b ON b.k = xs.k AND x >= x0 AND x < x0 + b.w AND y >= y0 AND y < y0 + b.h WHERE xs.w IS NOT NULL AND ys.h IS NOT NULL GROUP BY xs.k, x, y),
+  o(operation, i) AS (VALUES ('union', 0), ('intersection', 1), ('difference', 2), ('xor', 3))
+  SELECT k AS c_custkey, operation, round(coalesce(sum(area) FILTER (CASE operation WHEN 'union' THEN a OR b WHEN 'intersection' THEN a AND b WHEN 'difference' THEN a AND NOT b ELSE a <> b END), 0)::DOUBLE, 6) AS area_px FROM c, o GROUP BY k, operation""")
+def n75_overlay(spark, sf):
+    """Orders as boxes: a customer's open ones against the others."""
+    boxes = V.boxes(spark, sf)
+    found = overlay.overlays(boxes.filter("first"), boxes.filter("NOT first"), key="c_custkey")
+    return rounded(found.select("c_custkey", "operation", G.area(F.col("geometry")).alias("area_px")))

@@ -77,8 +77,19 @@ def test_association_with_many_regions_against_brute_force(spark, monkeypatch):
     want = {i: next((f"r{k}" for k, (x, y, w, h) in enumerate(boxes) if x <= px < x + w and y <= py < y + h), None) for i, px, py in points}
     df = spark.createDataFrame(points, "k int, x double, y double")
     assert {x["k"]: x["roi_id"] for x in regions.associate(df, rois).collect()} == want
-    monkeypatch.setattr(regions, "MAX_BROADCAST_CELLS", 10)
-    assert {x["k"]: x["roi_id"] for x in regions.associate(df, rois).collect()} == want
+    for limit in (0, 20_000):
+        monkeypatch.setattr(regions, "MAX_BROADCAST_BYTES", limit)
+        assert {x["k"]: x["roi_id"] for x in regions.associate(df, rois).collect()} == want
+
+
+def test_regions_are_listed_in_four_cells_at_most(spark):
+    sides = [(0, 0.0), (1, 0.0), (2, 1e-7), (3, 1.0), (4, 4.0), (5, 4.000001), (6, 20_000.0), (7, 1e6), (8, 10.0), (9, 63.9)]
+    boxes = spark.createDataFrame([(i, 0.3, 0.3, 0.3 + s, 0.3 + s / 2) for i, s in sides], "roi_index int, xmin double, ymin double, xmax double, ymax double")
+    level = {x["roi_index"]: x["level"] for x in regions.box_level(boxes).collect()}
+    for i, s in sides:
+        side = 4.0 ** level[i]
+        assert side >= s and (side / 4 < s or level[i] == -10)
+        assert (math.floor((0.3 + s) / side) - math.floor(0.3 / side) + 1) <= 2
 
 
 def test_transforms(spark, two):
