@@ -46,7 +46,7 @@ END = 1
 BLOCK, FILE = 1 << 16, 1 << 24
 MAGIC = b"IDPLANES"
 #: Words that a worker remembers, and the longest of them in bytes; text that is looked at in one go.
-MEMORY, LONGEST, PIECE = 1 << 19, 64, 1 << 20
+MEMORY, LONGEST, PIECE = 3 << 19, 64, 1 << 20
 #: Words that are encoded in one go.
 TOGETHER = 200
 UNITS = {"bit": 1, "byte": 8}
