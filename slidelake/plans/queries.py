@@ -14,7 +14,8 @@ from ..functions import geometry as G
 from ..functions import scalars as S
 from ..operators import candidates, cellindex, experiment, masks, models, overlay, proximity, regions, review, scope, slides, tiles
 from ..operators import pixels as P
-from ..sources import tables
+from ..sources import rasters, tables
+from ..sources.work import work_path
 from ..streaming import patches
 from . import views as V
 
@@ -867,3 +868,47 @@ def n75_overlay(spark, sf):
     boxes = V.boxes(spark, sf)
     found = overlay.overlays(boxes.filter("first"), boxes.filter("NOT first"), key="c_custkey")
     return rounded(found.select("c_custkey", "operation", G.area(F.col("geometry")).alias("area_px")))
+
+
+def _levels_sql(n: int) -> str:
+    """l0, l1, ...: levels of halved means, of the places of `levels`."""
+    steps = ["l0 AS (SELECT slide_id, \"row\", col, r, g, b FROM levels)"]
+    for k in range(1, n):
+        steps.append(f"l{k} AS (SELECT slide_id, \"row\" // 2 AS \"row\", col // 2 AS col, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM l{k - 1} GROUP BY ALL)")
+    return ", ".join(steps)
+
+
+#: Means of means often end in a 5; added before rounding, so that the last bit of a sum decides nothing.
+_OFF = 1.23456789e-8
+
+
+@query(V.with_(V.LEVELS, _levels_sql(5)) + " UNION ALL ".join(f"""SELECT slide_id, {k}::BIGINT AS level, "row"::BIGINT AS "row", col::BIGINT AS col, round(r + {_OFF}::DOUBLE, 6) AS r, round(g + {_OFF}::DOUBLE, 6) AS g, round(b + {_OFF}::DOUBLE, 6) AS b FROM l{k}""" for k in range(5)))
+def b12_tiff_pyramid(spark, sf):
+    """Slides written as pyramids of tiled TIFF, whose levels end with one tile, and read back. Values are doubles, places without a pixel -1."""
+    path = work_path(spark, "pyramids")
+    rasters.write_pyramids(V.levels(spark, sf).drop("level"), path, tile=64, kind="<f8", top=1.0, empty=-1.0)
+    # tiles without any pixel read as 0 in all bands and lie outside
+    found = rasters.as_rgb(rasters.read_tiff(spark, path), 1.0).filter("r >= 0")
+    kept = V.levels(spark, sf).select("slide_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("level"), "row", "col")
+    kept = kept.select("slide_id", "level", *[F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("int").alias(c) for c in ("row", "col")]).distinct()
+    found = found.join(kept, ["slide_id", "level", "row", "col"], "left_semi")
+    return rounded(found.select("slide_id", "level", "row", "col", *[(F.col(c) + _OFF).alias(c) for c in "rgb"]))
+
+
+@query(V.with_(V.LEVELS, _levels_sql(2)) + """SELECT slide_id, channel, "row"::BIGINT AS "row", col::BIGINT AS col, round(CASE channel WHEN 0 THEN r WHEN 1 THEN g ELSE b END, 6) AS value FROM l1, (VALUES (0::BIGINT), (1), (2)) AS c(channel) WHERE slide_id = 's1' AND "row" BETWEEN 40 AND 90 AND col >= 100 AND col < 200""")
+def a20_zarr_window(spark, sf):
+    """Slides written as OME-Zarr; a window of the second level of one, of which no other chunk is read."""
+    path = work_path(spark, "zarr")
+    rasters.write_zarr(V.levels(spark, sf).drop("level"), path, tile=64, kind="<f8", top=1.0, empty=-1.0)
+    box = rasters.read_zarr(spark, path).filter("slide_id = 's1' AND level = 1 AND row >= 40 AND row <= 90 AND col >= 100 AND col < 200 AND value >= 0")
+    return rounded(box.select("slide_id", "channel", "row", "col", "value"))
+
+
+@query(V.with_(V.LEVELS) + """, s AS (SELECT slide_id, max(col) + 1 AS w, max("row") + 1 AS h FROM levels GROUP BY 1), n AS (SELECT *, ceil(log2(greatest(ceil(w / 64), ceil(h / 64))))::INT + 1 AS n FROM s)
+  SELECT slide_id, k::BIGINT AS level, greatest(1, ceil(w / power(2, k)))::BIGINT AS width, greatest(1, ceil(h / power(2, k)))::BIGINT AS height, '40000.0' AS resolution FROM n, range(0, 20) t(k) WHERE k < n""")
+def a3_tiff_levels(spark, sf):
+    """Slides written as TIFF: sizes of levels and the resolution, from the directories of the files."""
+    path = work_path(spark, "slides")
+    rasters.write_pyramids(V.levels(spark, sf).drop("level"), path, tile=64, pixel_size=0.25)
+    found = rasters.open_slides(spark, path).select("slide_id", F.col("properties")["tiff.XResolution"].alias("resolution"), F.inline("levels"))
+    return rounded(found.select("slide_id", "level", "width", "height", "resolution"))
