@@ -4,7 +4,9 @@ A page becomes a list of blocks (text between block-level tags) with the words o
 the same for the blocks before and after; further features are where it stands by its tags (in or out of the page's
 article, in a landmark such as a menu or a form) and whether an element about it has a class, id or role that speaks of
 boilerplate. Such an element, or landmark, counts for nothing where it wraps the page: where it holds the main heading
-and half of the words. The tree is grown here from `labelled`, small pages whose wanted elements carry data-keep; in
+and half of the words. An inline element that is hidden or named so goes with its text. Of several articles beside each
+other, one with more than half of their words is the page's; one within another is a landmark, as comments and teasers
+are written so. The tree is grown here from `labelled`, small pages whose wanted elements carry data-keep; in
 pages without article or main it decides by words, links and neighbours.
 
 Defined results: null and empty pages give an empty text of 0 characters. White space is what str.split takes for it.
@@ -33,10 +35,10 @@ RAW = frozenset("script style noscript template svg annotation iframe canvas aud
 LANDMARK = frozenset("nav footer aside form menu dialog".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
-    "ad ads adv advert advertisement adverts advertising alert banner breadcrumb breadcrumbs byline comment commentlist comments consent contentinfo cookie cookies copyright dialog disclaimer "
-    "disqus footer footnote gdpr hidden legal links login masthead menu menubar modal nav navbar navigation navigator newsletter notice notification overlay pager paginate pagination paywall "
+    "ad ads adv advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment commentlist comments consent contentinfo cookie cookies copyright dialog disclaimer "
+    "discussion discussions disqus footer footnote gdpr hidden legal links login masthead menu menubar modal nav navbar navigation navigator newsletter notice notification overlay pager paginate pagination paywall "
     "popup popular print promo promoted promotion recommend recommended related replies reply respond search share sharing shop sidebar signup sitemap skip social sponsor sponsored subscribe "
-    "subscription tagcloud toc toolbar topbar trending widget".split()
+    "subscription tagcloud teaser teasers toc toolbar topbar trending widget".split()
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']+|\"[^\"<]*\"|'[^'<]*')*+)[^<>]*(?:>|\Z)|<[!?/][^<>]*(?:>|\Z)", re.S)
@@ -58,6 +60,8 @@ class Block:
     #: 1 to 6 for headings, else 0.
     heading: int
     keep: bool
+    #: The number of the outermost article about the block, else 0.
+    article: int = 0
 
 
 def hinted(attributes: str) -> bool:
@@ -70,26 +74,28 @@ def hinted(attributes: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     found: list[Block] = []
-    #: open elements: name, within, landmarks, hints, keep
-    stack: list[tuple[str, int, tuple[int, ...], tuple[int, ...], bool]] = [("", 0, (), (), False)]
+    #: open elements: name, within, landmarks, hints, keep, article
+    stack: list[tuple[str, int, tuple[int, ...], tuple[int, ...], bool, int]] = [("", 0, (), (), False, 0)]
     text: list[str] = []
     linked: list[str] = []
     in_link = False
+    #: the inline element whose text is left out, and how many of its name are open
+    muted, open_muted = "", 0
     heading = number = pos = 0
 
     def close() -> None:
         nonlocal text, linked
         words = html.unescape("".join(text)).split()
         if words:
-            _, within, landmarks, hints, keep = stack[-1]
+            _, within, landmarks, hints, keep, article = stack[-1]
             links = len(html.unescape(" ".join(linked)).split()) if linked else 0
-            found.append(Block(" ".join(words), len(words), min(links, len(words)), within, landmarks, hints, heading, keep))
+            found.append(Block(" ".join(words), len(words), min(links, len(words)), within, landmarks, hints, heading, keep, article))
         text, linked = [], []
 
     while True:
         m = TOKEN.search(page, pos)
         piece = page[pos : m.start() if m else len(page)]
-        if piece:
+        if piece and not muted:
             text.append(piece)
             if in_link:
                 linked.append(piece)
@@ -111,11 +117,19 @@ def blocks(page: str) -> list[Block]:
                 text.append(" ")
             continue
         if name in INLINE:
+            if muted:
+                if name == muted:
+                    open_muted += -1 if m[1] else 1
+                    muted = muted if open_muted else ""
+            elif not m[1] and name not in VOID and hinted(m[3]) and not m[0].endswith("/>"):
+                muted, open_muted = name, 1
             if name == "a":
                 in_link = not m[1]
             elif name == "br":
                 text.append(" ")
             continue
+        # an inline element that is not closed ends with its block
+        muted, open_muted = "", 0
         close()
         if m[1]:
             if name in HEADING:
@@ -131,13 +145,13 @@ def blocks(page: str) -> list[Block]:
             heading = int(name[1])
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", *HEADING) and stack[-1][0] == name:
             stack.pop()
-        _, within, landmarks, hints, keep = stack[-1]
+        _, within, landmarks, hints, keep, article = stack[-1]
         number += 1
-        if name in LANDMARK or name == "header" and not within:
+        if name in LANDMARK or name == "header" and not within or name == "article" and article:
             landmarks = (*landmarks, number)
-        if name not in ("html", "body", "article", "main") and hinted(m[3]):
+        if name not in ("html", "body", "main") and hinted(m[3]):
             hints = (*hints, number)
-        stack.append((name, max(within, {"article": 2, "main": 1}.get(name, 0)), landmarks, hints, keep or "data-keep" in m[3]))
+        stack.append((name, max(within, {"article": 2, "main": 1}.get(name, 0)), landmarks, hints, keep or "data-keep" in m[3], article or number * (name == "article")))
     close()
     return found
 
@@ -167,8 +181,15 @@ def features(found: list[Block]) -> np.ndarray:
     about = wrappers(found)
     landmark = np.array([float(not about.issuperset(b.landmarks)) for b in found])
     hint = np.array([float(not about.issuperset(b.hints)) for b in found])
-    most = max((b.within for b, a, h in zip(found, landmark, hint, strict=True) if not a and not h), default=0)
-    within = np.array([0.0 if b.within < most else 2.0 if most else 1.0 for b in found])
+    plain = [b for b, a, h in zip(found, landmark, hint, strict=True) if not a and not h]
+    most = max((b.within for b in plain), default=0)
+    held: dict[int, int] = {}
+    for b in plain:
+        if b.article:
+            held[b.article] = held.get(b.article, 0) + b.words - b.linked
+    top = max(held, key=lambda k: (held[k], -k), default=0)
+    other = held.keys() - {top} if top and 2 * held[top] > sum(held.values()) else set()
+    within = np.array([0.0 if b.within < most or most == 2 and b.article in other else 2.0 if most else 1.0 for b in found])
     lead = lambda x: np.r_[x[1:], 0.0]
     lag = lambda x: np.r_[0.0, x[: n - 1]]
     return np.column_stack([words, density, lag(words), lag(density), lead(words), lead(density), [float(b.heading > 0) for b in found], within, landmark, hint])

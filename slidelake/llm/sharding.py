@@ -1,10 +1,12 @@
 """Sharding by fixed virtual slots.
 
 Every record hashes into one of thousands of slots; the slot never changes. A stored map, one version
-after another, says which shard holds which slot. The first version deals the slots out by their bytes;
-a run with a map at its path keeps to the newest version, and asked for more shards it edits that version and
-stores the next: slots move into the new shards alone. The main path is DataFrame functions alone; what meets
-on the driver is one row a slot, whose number is a parameter.
+after another, says which shard holds which slot, and how many shards there are. The first version deals the slots out
+by their bytes. A run with a map at its path keeps to the newest version while that is even enough; else it edits it
+and stores the next: asked for more shards, slots move into the new ones alone; with as many as before, slots move from
+the fullest to the emptiest shards until none has more than SLACK over its share. Where nothing would move no version
+is made; a version that is there is never written over, so of two writers one fails. The main path is DataFrame
+functions alone; what meets on the driver is one row a slot, whose number is a parameter.
 
 The law is `bytes`: equal texts under different ids are records of their own and may lie in different shards, so
 that a group of copies, which may be a third of all bytes, is spread evenly like any other rows.
@@ -16,6 +18,7 @@ out in turn. Columns beside id and text are never read.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 import math
@@ -30,6 +33,8 @@ from .common import exists, text_or_empty, work_path, written
 #: Bytes that a record takes beside its text.
 OVERHEAD = 16
 SLOTS = 8192
+#: What a shard may hold over its share of bytes before a map of as many shards is edited.
+SLACK = 0.1
 
 
 def records(docs: DataFrame, n_slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,30 +64,56 @@ def first_map(stats: dict[int, tuple[int, int]], n_slots: int, shards: int) -> l
     return held
 
 
-def edited_map(held: list[int], stats: dict[int, tuple[int, int]], shards: int) -> list[int]:
-    """The map for `shards` shards, more than before: slots move only into the new shards, each time from the fullest old one, until the new ones hold their share of bytes."""
-    held, size = list(held), lambda s: stats.get(s, (0, 0))[0]
-    old, share = max(held) + 1, sum(b for b, _ in stats.values()) / shards
+def edited_map(held: list[int], stats: dict[int, tuple[int, int]], old: int, shards: int) -> list[int]:
+    """The map for `shards` shards, more than the `old` ones: slots move only into the new shards, each time from the fullest old one, until the new ones hold their share. A slot weighs its bytes and one, so empty slots are dealt out too."""
+    held, size = list(held), lambda s: stats.get(s, (0, 0))[0] + 1
+    share = sum(map(size, range(len(held)))) / shards
     own: dict[int, list[int]] = {s: [] for s in range(old)}
     for slot, shard in enumerate(held):
         own[shard].append(slot)
     for slots in own.values():
         slots.sort(key=lambda s: (size(s), s))
     fullest = [(-sum(map(size, own[s])), s) for s in range(old)]
-    heapq.heapify(fullest)
     for new in range(old, shards):
-        load = 0
-        while load < share and fullest:
+        heapq.heapify(fullest)
+        load, count, passed = 0, 0, []
+        # few slots with all the bytes would else leave the other new shards without any
+        while load < share and count < 2 * len(held) / shards and fullest:
             minus, shard = heapq.heappop(fullest)
-            fits = [s for s in own[shard] if 0 < size(s) <= share - load]
-            if not fits:
+            # slots are in order of size: the largest that fits
+            at = bisect.bisect_right(own[shard], share - load, key=size) - 1
+            if at < 0 or len(own[shard]) == 1:
+                passed.append((minus, shard))
                 continue
-            held[fits[-1]] = new
-            own[shard].remove(fits[-1])
-            load += size(fits[-1])
-            heapq.heappush(fullest, (minus + size(fits[-1]), shard))
-        fullest = [(-sum(map(size, own[s])), s) for s in range(old)]
-        heapq.heapify(fullest)
+            slot = own[shard].pop(at)
+            held[slot] = new
+            load, count = load + size(slot), count + 1
+            heapq.heappush(fullest, (minus + size(slot), shard))
+        fullest += passed
+    return held
+
+
+def rebalanced_map(held: list[int], stats: dict[int, tuple[int, int]], shards: int, slack: float = SLACK) -> list[int]:
+    """The map with as many shards where none has more than `slack` over its share of bytes, if slots allow: each time the largest slot that narrows the gap moves from the fullest to the emptiest shard."""
+    held, size = list(held), lambda s: stats.get(s, (0, 0))[0]
+    own: dict[int, list[int]] = {s: [] for s in range(shards)}
+    for slot, shard in enumerate(held):
+        own[shard].append(slot)
+    for slots in own.values():
+        slots.sort(key=lambda s: (size(s), s))
+    load = {s: sum(map(size, own[s])) for s in own}
+    share = sum(load.values()) / shards
+    while (full := max(load, key=lambda s: (load[s], -s))) is not None and load[full] > (1 + slack) * share:
+        empty = min(load, key=lambda s: (load[s], s))
+        # a slot of less than the gap makes the larger of the two loads smaller
+        at = bisect.bisect_right(own[full], (load[full] - load[empty]) / 2, key=size) - 1
+        if at < 0 or not size(own[full][at]):
+            at = bisect.bisect_left(own[full], load[full] - load[empty], key=size) - 1
+        if at < 0 or not size(own[full][at]):
+            break
+        slot = own[full].pop(at)
+        bisect.insort(own[empty], slot, key=lambda s: (size(s), s))
+        held[slot], load[full], load[empty] = empty, load[full] - size(slot), load[empty] + size(slot)
     return held
 
 
@@ -97,38 +128,40 @@ def map_rows(spark: SparkSession, held: Iterable[int], stats: dict[int, tuple[in
     return spark.range(1).select(row).select(F.col("r")[0].cast("int").alias("vslot"), F.col("r")[1].cast("int").alias("shard"), F.col("r")[2].alias("first"))
 
 
-def store_map(spark: SparkSession, path: str, held: Iterable[int], version: int) -> None:
-    map_rows(spark, held, {}).drop("first").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+def store_map(spark: SparkSession, path: str, held: Iterable[int], version: int, shards: int) -> None:
+    map_rows(spark, held, {}).drop("first").withColumn("shards", F.lit(shards)).coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
 
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]] | None:
-    """The number of a version, the newest unless told, and the shard of each slot; None where there is no map yet."""
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int], int] | None:
+    """The number of a version, the newest unless told, the shard of each slot and the number of shards; None where there is no map yet."""
     if not exists(spark, path):
         return None
     rows = spark.read.parquet(path)
     version = rows.agg(F.max("version")).first()[0] if version is None else version
-    return version, [r["shard"] for r in rows.filter(F.col("version") == version).select("vslot", "shard").orderBy("vslot").collect()]
+    found = rows.filter(F.col("version") == version).select("vslot", "shard", "shards").orderBy("vslot").collect()
+    return version, [r["shard"] for r in found], found[0]["shards"]
 
 
-def current_map(spark: SparkSession, path: str, stats: dict[int, tuple[int, int]], n_slots: int, shards: int) -> tuple[int, list[int]]:
-    """The map in force for so many shards: the newest, where it has them, else the next version, stored now."""
+def current_map(spark: SparkSession, path: str, stats: dict[int, tuple[int, int]], n_slots: int, shards: int, slack: float = SLACK) -> tuple[int, list[int]]:
+    """The map in force for so many shards: the newest, where it has them and is even enough, else the next version, stored now."""
     known = load_map(spark, path)
     if known is None:
         version, held = 1, first_map(stats, n_slots, shards)
     else:
-        version, held = known
-        if len(held) != n_slots:
-            raise ValueError(f"the map at {path} has {len(held)} slots")
-        if max(held) + 1 == shards:
-            return version, held
-        if max(held) + 1 > shards:
+        last, before, old = known
+        if len(before) != n_slots:
+            raise ValueError(f"the map at {path} has {len(before)} slots")
+        if old > shards:
             raise ValueError(f"the map at {path} has more shards")
-        version, held = version + 1, edited_map(held, stats, shards)
-    store_map(spark, path, held, version)
+        held = rebalanced_map(before, stats, shards, slack) if old == shards else edited_map(before, stats, old, shards)
+        if old == shards and held == before:
+            return last, before
+        version = last + 1
+    store_map(spark, path, held, version, shards)
     return version, held
 
 
-def sharded(docs: DataFrame, shards: int = 40, n_slots: int = SLOTS, map_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 40, n_slots: int = SLOTS, map_path: str | None = None, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
 
     `slot` is the row's place within its shard, without gaps from 0: where its virtual slot begins, plus its rank
@@ -141,7 +174,7 @@ def sharded(docs: DataFrame, shards: int = 40, n_slots: int = SLOTS, map_path: s
     rows = rows.withColumn("part", F.pmod(F.xxhash64("text_crc32", "size", "id"), F.lit(max(1, math.isqrt(fullest)))))
     parts = rows.groupBy("vslot", "part").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
     stats = slot_bytes(parts)
-    version, held = current_map(spark, map_path or work_path(spark, "slot-map"), stats, n_slots, shards)
+    version, held = current_map(spark, map_path or work_path(spark, "slot-map"), stats, n_slots, shards, slack)
     before = F.sum("n").over(Window.partitionBy("vslot").orderBy("part")) - F.col("n")
     starts = parts.withColumn("before", before).join(F.broadcast(map_rows(spark, held, stats)), "vslot")  # a row a slot
     place = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("id", "text_crc32", "size"))

@@ -108,7 +108,7 @@ def test_shards_are_even_and_growth_moves_into_new_shards_alone():
     load = lambda held, n: [sum(stats[s][0] for s in range(2000) if held[s] == k) for k in range(n)]
     first = sharding.first_map(stats, 2000, 40)
     assert max(load(first, 40)) <= 1.01 * min(load(first, 40))
-    grown = sharding.edited_map(first, stats, 42)
+    grown = sharding.edited_map(first, stats, 40, 42)
     assert all(a == b or b >= 40 for a, b in zip(first, grown))
     assert max(load(grown, 42)) <= 1.1 * sum(v[0] for v in stats.values()) / 42
     assert min(load(grown, 42)) >= 0.9 * sum(v[0] for v in stats.values()) / 42
@@ -120,15 +120,40 @@ def test_map_versions_are_stored(spark, tmp_path):
     first = sharding.current_map(spark, path, stats, 16, 4)
     assert first == (1, sharding.first_map(stats, 16, 4)) == sharding.current_map(spark, path, {}, 16, 4)
     version, two = sharding.current_map(spark, path, stats, 16, 5)
-    assert version == 2 and sharding.load_map(spark, path) == (2, two) and sharding.load_map(spark, path, 1) == first
+    assert version == 2 and sharding.load_map(spark, path) == (2, two, 5) and sharding.load_map(spark, path, 1) == (*first, 4)
     assert {s for s in range(16) if first[1][s] != two[s]} == {s for s in range(16) if two[s] == 4}
     with pytest.raises(ValueError):
         sharding.current_map(spark, path, stats, 16, 4)
 
 
+@pytest.mark.parametrize("stats", [{}, {5: (300, 1), 77: (20, 1)}, {s: (1000 + s, 1) for s in range(20)}])
+def test_growth_on_few_rows_makes_one_version(spark, tmp_path, stats):
+    path = str(tmp_path / "few")
+    made = [sharding.current_map(spark, path, stats, 512, n) for n in (40, 40, 60, 60, 60)]
+    assert [v for v, _ in made] == [1, 1, 2, 2, 2] and set(made[-1][1]) == set(range(60))
+    assert all(a == b or b >= 40 for a, b in zip(made[0][1], made[2][1]))
+    with pytest.raises(Exception, match="exists"):
+        sharding.store_map(spark, path, made[0][1], 2, 40)
+
+
+def test_an_uneven_map_of_as_many_shards_is_edited(spark, tmp_path):
+    r, path = random.Random(4), str(tmp_path / "uneven")
+    before = {s: (r.randint(1, 500), 1) for s in range(1000)}
+    one = sharding.current_map(spark, path, before, 1000, 10)
+    after = {s: (b * (8 if one[1][s] == 3 else 1), n) for s, (b, n) in before.items()}
+    version, held = sharding.current_map(spark, path, after, 1000, 10)
+    load = lambda held, stats: [sum(stats[s][0] for s in range(1000) if held[s] == k) for k in range(10)]
+    share = sum(b for b, _ in after.values()) / 10
+    assert version == 2 and max(load(held, after)) <= 1.1 * share < max(load(one[1], after))
+    assert {one[1][s] for s in range(1000) if one[1][s] != held[s]} == {3}
+    assert sharding.current_map(spark, path, after, 1000, 10) == (2, held)
+    # one slot that is more than a share cannot be split
+    assert sharding.rebalanced_map([0, 0, 1], {0: (100, 1), 1: (1, 1), 2: (1, 1)}, 2) in ([0, 1, 1], [1, 0, 1], [1, 0, 0])
+
+
 def test_grown_data_moves_rows_into_new_shards_alone(spark, tmp_path):
     made = lambda n: spark.createDataFrame([(i, text(i, 1 + i % 40)) for i in range(n)], "doc_id long, text string")
-    at = lambda n, shards: {r["doc_id"]: (r["shard"], r["slot"], r["map_version"]) for r in sharding.sharded(made(n), shards, 256, str(tmp_path / "m")).collect()}
+    at = lambda n, shards: {r["doc_id"]: (r["shard"], r["slot"], r["map_version"]) for r in sharding.sharded(made(n), shards, 256, str(tmp_path / "m"), slack=9.0).collect()}
     one, grown, more = at(300, 6), at(900, 6), at(900, 8)
     assert all(grown[i][0] == one[i][0] for i in one) and {v[2] for v in grown.values()} == {1}
     assert all(more[i][0] == grown[i][0] or more[i][0] >= 6 for i in grown) and {v[2] for v in more.values()} == {2}
@@ -643,6 +668,18 @@ def test_main_text():
     assert html_blocks.main_text(plain) == f"{words}\n{words}"
     assert html_blocks.main_text("<main><p>Text <a href='x>y'>link</a> on</p></main><form><p>q</p></form>") == "Text link on"
     assert html_blocks.main_text("<article><p>a <b") == "a"
+    long = " ".join(f"word{i}" for i in range(60))
+    article = f"<article><h1>Title here</h1><div class='byline'>By Ann</div><p>Buy {long} <span class='ad'>BUY <span>NOW</span></span>or <em hidden>secret</em>not<br>so.</p>{{}}</article>"
+    kept = f"Title here\nBy Ann\nBuy {long} or not so."
+    for after in (
+        "", "<article class='comment'><p>Nice " + "story " * 30 + "</p></article>", "<article class='teaser'><h2>Other story</h2><p>" + "other " * 20 + "</p></article>",
+        "<article><p>" + "someone else " * 12 + "</p></article>", "<section class='reader-discussion'><p>" + "I think " * 25 + "</p><p>So do I.</p></section>",
+    ):
+        assert html_blocks.main_text(article.format("") + after) == kept
+        assert html_blocks.main_text(article.format(after)) == kept
+    assert html_blocks.main_text("<article><p>One <b class='ad'>x</p><p>two</p></article>") == "One\ntwo"
+    both = "<article><p>" + long + "</p></article>"
+    assert html_blocks.main_text(both + both) == f"{long}\n{long}"
     assert html_blocks.main_text("<article><p>" + "<b" * 50_000).startswith("<b<b")
 
 
