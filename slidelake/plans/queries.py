@@ -912,3 +912,10 @@ def a3_tiff_levels(spark, sf):
     rasters.write_pyramids(V.levels(spark, sf).drop("level"), path, tile=64, pixel_size=0.25)
     found = rasters.open_slides(spark, path).select("slide_id", F.col("properties")["tiff.XResolution"].alias("resolution"), F.inline("levels"))
     return rounded(found.select("slide_id", "level", "width", "height", "resolution"))
+
+
+@query()
+def h22_vahadane(spark, sf):
+    """The basis of all tissue pixels by sparse non-negative factors."""
+    m = P.estimated_basis(V.pixels(spark, sf), "vahadane", passes=20)
+    return rounded(spark.createDataFrame([(k, *map(float, m[:, k])) for k in range(3)], "stain int, r double, g double, b double"), 4)

@@ -79,7 +79,7 @@ def test_gradient_and_stains(spark):
     names = [r["name"] for r in P.he_stain_channels(spark).orderBy("channel_index").collect()]
     assert names == ["Hematoxylin", "Eosin", "Residual"]
     with pytest.raises(ValueError):
-        P.estimated_basis(df, "vahadane")
+        P.estimated_basis(df, "unheard of")
 
 
 def test_feature_partitions_are_checked(spark):
