@@ -44,11 +44,11 @@ def experiment_features(spark: SparkSession, base: str, tissues: DataFrame, feat
     return out
 
 
-def tissue_translation(mask: DataFrame, points: DataFrame, scale: float, width: float, height: float, offsets: list[float], sample: int | None = 20_000) -> DataFrame:
+def tissue_translation(mask: DataFrame, points: DataFrame, scale: float, width: float, height: float, offsets: list[float], sample: int | None = None) -> DataFrame:
     """The shift (dx, dy) among the offsets with the largest share of points on tissue times the share within the slide; then the smallest shift.
 
     mask(row, col) are tissue cells of a side `scale`. Shifted points meet cells by equality; one row an offset pair comes out.
-    The points are a stated sample, by hash; None takes all.
+    All points count; `sample` takes so many of them, by hash.
     """
     held = points.orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample) if sample else points
     pairs = F.array(*[F.struct(F.lit(float(a)).alias("dx"), F.lit(float(b)).alias("dy")) for a in offsets for b in offsets])
