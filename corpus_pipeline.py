@@ -3,6 +3,11 @@
 Every stage but the last returns the columns of documents. Documents that the language models reject go; of exact
 copies and of near duplicates one stays; sources are brought to their target weights (rows repeat as often as the
 mix takes them); what is left is encoded into pieces.
+
+Defined results: null texts, and texts without a letter, have no language and go with the first stage; a null lang is
+no fault. Of rows with equal texts exact dedup keeps the longest original, then the smallest id; of near copies the
+smallest id stays, rows with a null id stay too. Rows that repeat id and text are copies. Columns beside those of
+documents pass through the stages that return documents. An empty table gives an empty result.
 """
 
 from __future__ import annotations
