@@ -71,23 +71,30 @@ def boundary(cells: np.ndarray) -> np.ndarray:
 
 
 def described(mask: np.ndarray, tile: Tile, least: int, ring: int, edge_at: float):
-    """(cells of the whole tile, measures) of each component of at least `least` cells."""
-    numbers, edge = components(mask), tile.edge
-    for k in range(1, int(numbers.max()) + 1):
-        cells = numbers == k
-        area = int(cells.sum())
-        if area < least:
+    """(the window of the tile, the cells in it, measures) of each component of at least `least` cells. Work is within the component's own box, with room for the ring."""
+    numbers = components(mask)
+    rows, cols = np.nonzero(numbers)
+    own = numbers[rows, cols]
+    n = int(own.max(initial=0)) + 1
+    areas = np.bincount(own, minlength=n)
+    box = [np.full(n, 1 << 30), np.full(n, -1), np.full(n, 1 << 30), np.full(n, -1)]
+    for at, v, pick in ((0, rows, np.minimum), (1, rows, np.maximum), (2, cols, np.minimum), (3, cols, np.maximum)):
+        pick.at(box[at], own, v)
+    for k in np.flatnonzero(areas >= max(1, least)):
+        if not k:
             continue
-        rows, cols = np.nonzero(cells)
-        h, w = int(np.ptp(rows)) + 1, int(np.ptp(cols)) + 1
-        m = {"area": area, "long": max(w, h), "aspect": max(w, h) / max(1, min(w, h)), "roundness": min(w, h) / max(w, h), "fill": area / (w * h), "inner_edge": float((edge[cells] >= edge_at).mean()), "level": float(tile.top[cells].mean())}
+        r0, r1, c0, c1 = (int(b[k]) for b in box)
+        area, h, w = int(areas[k]), r1 - r0 + 1, c1 - c0 + 1
+        window = np.s_[max(0, r0 - ring) : r1 + 1 + ring, max(0, c0 - ring) : c1 + 1 + ring]
+        cells, edge, top = numbers[window] == k, tile.edge[window], tile.top[window]
+        m = {"area": area, "long": max(w, h), "aspect": max(w, h) / max(1, min(w, h)), "roundness": min(w, h) / max(w, h), "fill": area / (w * h), "inner_edge": float((edge[cells] >= edge_at).mean()), "level": float(top[cells].mean())}
         m["circularity"] = min(1.0, 4 * np.pi * area / max(perimeter(cells) ** 2, 1))
         if ring:
             around = disk(cells, ring)[ring:-ring, ring:-ring] & ~cells
             zone = boundary(cells) | around
             m["zone_edge"] = float((edge[zone] >= edge_at).mean()) if zone.any() else np.nan
-            m["ring_level"] = float(tile.top[around].mean()) if around.any() else np.nan
-        yield cells, m
+            m["ring_level"] = float(top[around].mean()) if around.any() else np.nan
+        yield window, cells, m
 
 
 def found(tile: Tile, kind: str, limits: dict) -> tuple[np.ndarray, list[dict]]:
@@ -108,17 +115,17 @@ def found(tile: Tile, kind: str, limits: dict) -> tuple[np.ndarray, list[dict]]:
         raw = np.zeros_like(tile.r, dtype=bool)
         for name, (own, one, two) in colours.items():
             raw |= (own >= p["channel"]) & (own >= p[name][0] * one) & (own >= p[name][1] * two)
-        for cells, m in described(tile.grey <= p["black"], tile, p["min_area"], 0, p["black_edge"]):
+        for window, cells, m in described(tile.grey <= p["black"], tile, p["min_area"], 0, p["black_edge"]):
             if m["inner_edge"] >= p["black_edge_fraction"]:
-                raw |= cells
+                raw[window] |= cells
     else:
         over = (tile.od > p["high_od"]) | (tile.top < p["dark"])
         raw = over if kind == "over_stain" else ~over & ((tile.saturation < p["saturation"]) | (tile.top > p["brightness"]) | (tile.od < p["low_od"]))
     kept = np.zeros_like(raw)
     rows = []
-    for cells, m in described(raw, tile, max(1, p["min_area"]), ring, edge_at):
+    for window, cells, m in described(raw, tile, max(1, p["min_area"]), ring, edge_at):
         if fits(m):
-            kept |= cells
+            kept[window] |= cells
             rows.append(m)
     return kept, rows
 
