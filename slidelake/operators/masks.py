@@ -4,33 +4,92 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..sources.work import written
 from .links import smallest_members
-from .regions import areal, with_bbox
+from .regions import areal
 
 #: The side of the blocks in which a mask is labelled.
 BLOCK = 256
 
 
+def runs(rois: DataFrame, width: int, height: int, scale: float = 1.0) -> DataFrame:
+    """roi_index, part, hole, row, first, end: the stretches of pixels whose centres a ring holds, by scan line.
+
+    Each side of a ring meets the lines between its ends, a row a line; the crossings of a ring with a line, in order,
+    are the ends of stretches. Nothing here has a row a pixel.
+    """
+    sides = areal(rois).select("roi_index", F.posexplode("geometry").alias("part", "polygon")).select("roi_index", "part", F.posexplode("polygon").alias("ring", "r"))
+    sides = sides.filter(F.size("r") > 1).select("roi_index", "part", "ring", "r", F.explode(F.sequence(F.lit(1), F.size("r") - 1)).alias("k"))
+    a, b = F.get("r", F.col("k") - 1), F.get("r", F.col("k"))
+    sides = sides.select("roi_index", "part", "ring", a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")).filter("ay <> by")
+    # a line more at both ends, then the exact rule
+    low, high = (f(F.col("ay"), F.col("by")) / scale for f in (F.least, F.greatest))
+    top, foot = F.greatest(F.lit(0), F.floor(low - 1.5)), F.least(F.lit(height - 1), F.ceil(high + 0.5))
+    lines = sides.filter(top <= foot).withColumn("row", F.explode(F.sequence(top.cast("int"), foot.cast("int")))).withColumn("y", (F.col("row") + 0.5) * scale)
+    lines = lines.filter((F.col("by") > F.col("y")) != (F.col("ay") > F.col("y")))
+    at = (F.col("ax") - F.col("bx")) * (F.col("y") - F.col("by")) / (F.col("ay") - F.col("by")) + F.col("bx")
+    crossed = lines.groupBy("roi_index", "part", "ring", "row").agg(F.sort_array(F.collect_list(at)).alias("at"))
+    # a ring that is not closed may be crossed an odd number of times: it holds what lies to the left
+    crossed = crossed.withColumn("at", F.when(F.size("at") % 2 == 1, F.concat(F.array(F.lit(float("-inf"))), "at")).otherwise(F.col("at")))
+    pair = crossed.select("roi_index", "part", (F.col("ring") > 0).alias("hole"), "row", "at", F.explode(F.sequence(F.lit(0), (F.size("at") / 2 - 1).cast("int"))).alias("k"))
+
+    def column(x: Column) -> Column:
+        """The first pixel whose centre is not left of x."""
+        c = F.greatest(F.lit(-1.0), F.least(F.lit(float(width + 1)), F.ceil(x / scale - 0.5).cast("double")))
+        c = F.when((c - 0.5) * scale >= x, c - 1).when((c + 0.5) * scale < x, c + 1).otherwise(c)
+        return F.greatest(F.lit(0.0), F.least(F.lit(float(width)), c)).cast("int")
+
+    ends = [column(F.get("at", 2 * F.col("k") + i)) for i in (0, 1)]
+    return pair.select("roi_index", "part", "hole", "row", ends[0].alias("first"), ends[1].alias("end")).filter("first < end")
+
+
 def rois_to_mask(rois: DataFrame, width: int, height: int, scale: float = 1.0, overlap: str = "last") -> DataFrame:
     """Row, col, label (roi_index + 1) of pixels whose centre lies in a region; where regions overlap the last or the first wins."""
-    boxes = with_bbox(areal(rois))
-    clip = lambda v, top: F.greatest(F.lit(0), F.least(F.lit(top - 1), F.floor(v / scale).cast("int")))
-    rows = boxes.select("roi_index", "geometry", "xmin", "xmax", F.explode(F.sequence(clip(F.col("ymin"), height), clip(F.col("ymax"), height))).alias("row"))
-    cells = rows.select("roi_index", "geometry", "row", F.explode(F.sequence(clip(F.col("xmin"), width), clip(F.col("xmax"), width))).alias("col"))
-    hit = cells.filter(G.contains(F.col("geometry"), (F.col("col") + 0.5) * scale, (F.col("row") + 0.5) * scale))
+    cells = runs(rois, width, height, scale).select("roi_index", "part", "hole", "row", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("col"))
+    hit = cells.groupBy("row", "col", "roi_index", "part").agg(F.bool_or("hole").alias("hole")).filter("NOT hole")
     pick = F.max if overlap == "last" else F.min
-    out = hit.groupBy("row", "col").agg(pick("roi_index").alias("roi_index"), F.count("*").alias("n"))
+    out = hit.groupBy("row", "col").agg(pick("roi_index").alias("roi_index"), F.min("roi_index").alias("low"), F.max("roi_index").alias("high"))
     if overlap == "error":
-        out = out.filter(F.when(F.col("n") > 1, F.raise_error(F.lit("regions overlap")).cast("boolean")).otherwise(F.lit(True)))
+        out = out.filter(F.when(F.col("low") < F.col("high"), F.raise_error(F.lit("regions overlap")).cast("boolean")).otherwise(F.lit(True)))
     return out.select("row", "col", (F.col("roi_index") + 1).alias("label"))
 
 
+def codebook(rois: DataFrame, label_by: str = "index", values: dict[str, int] | None = None) -> DataFrame:
+    """roi_index, value, key: what stands for each region in a mask, by class, id, name, index or constant.
+
+    Values of classes, ids and names count from 1 in the order in which they first come, empty ones as `unlabelled`;
+    with `values` they are those, and a key without one is an error.
+    """
+    if label_by == "constant":
+        return rois.select("roi_index", F.lit(1).alias("value"), F.lit("foreground").alias("key"))
+    columns = {"class": "class", "id": "roi_id", "name": "name", "index": "roi_id"}
+    if label_by not in columns:
+        raise ValueError(f"label_by must be one of constant, {', '.join(columns)}")
+    blank = F.nullif(F.trim(F.col(columns[label_by]).cast("string")), F.lit(""))
+    keys = rois.select("roi_index", F.coalesce(blank, F.lit("unlabelled")).alias("key"))
+    if values is not None:
+        of = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(int(v)))]) if values else F.lit(None).cast("map<string,int>")
+        known = F.element_at(of, F.col("key"))
+        return keys.select("roi_index", F.when(known.isNull(), F.raise_error(F.concat(F.lit("no value for "), "key")).cast("int")).otherwise(known).alias("value"), "key")
+    if label_by == "index":
+        return keys.select("roi_index", (F.col("roi_index") + 1).alias("value"), "key")
+    # a row a key
+    named = keys.groupBy("key").agg(F.min("roi_index").alias("first"))
+    named = named.select("key", F.row_number().over(Window.orderBy("first")).alias("value"))
+    return keys.join(named, "key").select("roi_index", "value", "key")
+
+
+def coded_mask(rois: DataFrame, book: DataFrame, width: int, height: int, scale: float = 1.0, overlap: str = "last") -> DataFrame:
+    """Row, col, label of rois_to_mask with the values of a codebook."""
+    mask = rois_to_mask(rois, width, height, scale, overlap)
+    return mask.join(book.select((F.col("roi_index") + 1).alias("label"), "value"), "label").select("row", "col", F.col("value").alias("label"))
+
+
 def components(grid: np.ndarray, eight: bool = True) -> np.ndarray:
     """Component numbers from 1 of the true cells, in column-major order of their first cell; 0 elsewhere.
 

@@ -919,3 +919,10 @@ def h22_vahadane(spark, sf):
     """The basis of all tissue pixels by sparse non-negative factors."""
     m = P.estimated_basis(V.pixels(spark, sf), "vahadane", passes=20)
     return rounded(spark.createDataFrame([(k, *map(float, m[:, k])) for k in range(3)], "stain int, r double, g double, b double"), 4)
+
+
+@query(V.with_(V.regions_sql(), V.edges_sql(), """points AS (SELECT y * 100 + x AS point_id, (x + 0.5) * 10.0::DOUBLE AS x, (y + 0.5) * 10.0::DOUBLE AS y FROM range(0, 100) a(x), range(0, 80) b(y))""", V.HITS) + """, k AS (SELECT ri, coalesce(class, 'unlabelled') AS key FROM regions), v AS (SELECT key, row_number() OVER (ORDER BY min(ri)) AS value FROM k GROUP BY key)
+  SELECT (point_id // 100)::BIGINT AS "row", (point_id % 100)::BIGINT AS col, value::BIGINT AS label FROM (SELECT point_id, max(ri) AS ri FROM hits GROUP BY point_id) JOIN k USING (ri) JOIN v USING (key)""")
+def n92_coded_mask(spark, sf):
+    rois = V.rois(spark, sf)
+    return rounded(masks.coded_mask(rois, masks.codebook(rois, "class"), 100, 80, 10.0))
