@@ -18,25 +18,26 @@ BLOCK = 256
 
 
 def runs(rois: DataFrame, width: int, height: int, scale: float = 1.0) -> DataFrame:
-    """roi_index, part, hole, row, first, end: the stretches of pixels whose centres a ring holds, by scan line.
+    """roi_index, shape, part, hole, row, first, end: the stretches of pixels whose centres a ring holds, by scan line.
 
     Each side of a ring meets the lines between its ends, a row a line; the crossings of a ring with a line, in order,
-    are the ends of stretches. Nothing here has a row a pixel.
+    are the ends of stretches. Nothing here has a row a pixel. `shape` tells rows of one index apart, by their geometry.
     """
-    sides = areal(rois).select("roi_index", F.posexplode("geometry").alias("part", "polygon")).select("roi_index", "part", F.posexplode("polygon").alias("ring", "r"))
-    sides = sides.filter(F.size("r") > 1).select("roi_index", "part", "ring", "r", F.explode(F.sequence(F.lit(1), F.size("r") - 1)).alias("k"))
+    own = ["roi_index", "shape", "part"]
+    sides = areal(rois).select("roi_index", F.xxhash64("geometry").alias("shape"), F.posexplode("geometry").alias("part", "polygon")).select(*own, F.posexplode("polygon").alias("ring", "r"))
+    sides = sides.filter(F.size("r") > 1).select(*own, "ring", "r", F.explode(F.sequence(F.lit(1), F.size("r") - 1)).alias("k"))
     a, b = F.get("r", F.col("k") - 1), F.get("r", F.col("k"))
-    sides = sides.select("roi_index", "part", "ring", a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")).filter("ay <> by")
+    sides = sides.select(*own, "ring", a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")).filter("ay <> by")
     # a line more at both ends, then the exact rule
     low, high = (f(F.col("ay"), F.col("by")) / scale for f in (F.least, F.greatest))
     top, foot = F.greatest(F.lit(0), F.floor(low - 1.5)), F.least(F.lit(height - 1), F.ceil(high + 0.5))
     lines = sides.filter(top <= foot).withColumn("row", F.explode(F.sequence(top.cast("int"), foot.cast("int")))).withColumn("y", (F.col("row") + 0.5) * scale)
     lines = lines.filter((F.col("by") > F.col("y")) != (F.col("ay") > F.col("y")))
     at = (F.col("ax") - F.col("bx")) * (F.col("y") - F.col("by")) / (F.col("ay") - F.col("by")) + F.col("bx")
-    crossed = lines.groupBy("roi_index", "part", "ring", "row").agg(F.sort_array(F.collect_list(at)).alias("at"))
+    crossed = lines.groupBy(*own, "ring", "row").agg(F.sort_array(F.collect_list(at)).alias("at"))
     # a ring that is not closed may be crossed an odd number of times: it holds what lies to the left
     crossed = crossed.withColumn("at", F.when(F.size("at") % 2 == 1, F.concat(F.array(F.lit(float("-inf"))), "at")).otherwise(F.col("at")))
-    pair = crossed.select("roi_index", "part", (F.col("ring") > 0).alias("hole"), "row", "at", F.explode(F.sequence(F.lit(0), (F.size("at") / 2 - 1).cast("int"))).alias("k"))
+    pair = crossed.select(*own, (F.col("ring") > 0).alias("hole"), "row", "at", F.explode(F.sequence(F.lit(0), (F.size("at") / 2 - 1).cast("int"))).alias("k"))
 
     def column(x: Column) -> Column:
         """The first pixel whose centre is not left of x."""
@@ -45,13 +46,13 @@ def runs(rois: DataFrame, width: int, height: int, scale: float = 1.0) -> DataFr
         return F.greatest(F.lit(0.0), F.least(F.lit(float(width)), c)).cast("int")
 
     ends = [column(F.get("at", 2 * F.col("k") + i)) for i in (0, 1)]
-    return pair.select("roi_index", "part", "hole", "row", ends[0].alias("first"), ends[1].alias("end")).filter("first < end")
+    return pair.select(*own, "hole", "row", ends[0].alias("first"), ends[1].alias("end")).filter("first < end")
 
 
 def rois_to_mask(rois: DataFrame, width: int, height: int, scale: float = 1.0, overlap: str = "last") -> DataFrame:
     """Row, col, label (roi_index + 1) of pixels whose centre lies in a region; where regions overlap the last or the first wins."""
-    cells = runs(rois, width, height, scale).select("roi_index", "part", "hole", "row", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("col"))
-    hit = cells.groupBy("row", "col", "roi_index", "part").agg(F.bool_or("hole").alias("hole")).filter("NOT hole")
+    cells = runs(rois, width, height, scale).select("roi_index", "shape", "part", "hole", "row", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("col"))
+    hit = cells.groupBy("row", "col", "roi_index", "shape", "part").agg(F.bool_or("hole").alias("hole")).filter("NOT hole")
     pick = F.max if overlap == "last" else F.min
     out = hit.groupBy("row", "col").agg(pick("roi_index").alias("roi_index"), F.min("roi_index").alias("low"), F.max("roi_index").alias("high"))
     if overlap == "error":
