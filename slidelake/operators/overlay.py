@@ -37,7 +37,7 @@ from ..sources.work import deleted, written
 LATTICE, STEP = 4096, 2
 LINES = 4096
 #: A cell's side in typical lengths of a segment.
-SIDE = 8
+SIDE = 32
 OPERATIONS = ("union", "intersection", "difference", "xor")
 SEGMENT = ("ax", "ay", "bx", "by")
 #: Splitting ends after a few rounds; more than so many would be a fault.
