@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.scalars import namespace_id
+from ..sources.work import deleted, written
 from . import pixels as P
 from . import proximity, regions
 
@@ -60,6 +63,58 @@ def tissue_translation(mask: DataFrame, points: DataFrame, scale: float, width:
     return score.orderBy(F.col("score").desc(), F.abs("dx") + F.abs("dy"), "dx", "dy").limit(1)
 
 
+def estimate_translation(mask: DataFrame, points: DataFrame, mask_size: tuple[int, int], slide_size: tuple[float, float], max_shift: float = 0.25, coarse_step: int = 20, refine_radius: int = 25, refine_step: int = 1) -> DataFrame:
+    """The shift of points onto tissue, first by steps over all shifts up to max_shift, then by finer ones around the best: dx, dy (slide), score, thumbnail_dx, thumbnail_dy, points.
+
+    mask(row, col) are the tissue pixels of a thumbnail of mask_size, from 1. The score is the number of points that a shift
+    brings onto tissue over that of all points, those without finite coordinates included. Ties go to the smallest dx,
+    then dy; a finer shift must score more than the coarse one. A max_shift of at most 1 is a share of the thumbnail.
+    All points count: they are summed by pixel once, and counts meet tissue row by row, so work beyond the first pass
+    follows the thumbnail, not the points. Without points the score is 0 at the first shift.
+    """
+    (width, height), spark = mask_size, mask.sparkSession
+    if min(coarse_step, refine_step) < 1 or refine_radius < 0 or max_shift < 0:
+        raise ValueError("steps are at least 1, shifts and radius at least 0")
+    top = [math.ceil(v * max_shift if max_shift <= 1 else max_shift) for v in mask_size]
+    reach = max(top) + refine_radius
+    at = lambda c, k: F.bround(F.col(c).cast("double") * mask_size[k] / slide_size[k])
+    placed = points.select(at("x", 0).alias("px"), at("y", 1).alias("py"))
+    counts = written(placed.groupBy("px", "py").agg(F.count("*").alias("n")), "pixels")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    near = counts.filter(F.col("px").between(1 - reach, width + reach) & F.col("py").between(1 - reach, height + reach))
+    lines = near.groupBy(F.col("py").cast("int").alias("py")).agg(F.collect_list(F.col("px").cast("int")).alias("at"), F.collect_list("n").alias("n"))
+    inside = mask.filter(F.col("row").between(1, height) & F.col("col").between(1, width))
+    tissue = inside.groupBy(F.col("row").cast("int").alias("row")).agg(F.collect_set(F.col("col").cast("int")).alias("cols"))
+
+    def best(across: range, down: range):
+        def hits(batches):
+            import numpy as np
+            import pandas as pd
+
+            found, dx = {}, np.asarray(across)
+            for pdf in batches:
+                for dy, at, n, cols in zip(pdf["dy"], pdf["at"], pdf["n"], pdf["cols"], strict=True):
+                    line = np.zeros(width + 2, dtype=np.int64)
+                    line[cols] = 1
+                    met = line[np.clip(np.add.outer(dx, at), 0, width + 1)] @ np.asarray(n, dtype=np.int64)
+                    found[dy] = found.get(dy, 0) + met
+            for dy, met in found.items():
+                yield pd.DataFrame({"dx": dx, "dy": dy, "hits": met})
+
+        moved = lines.withColumn("dy", F.explode(F.array(*[F.lit(d) for d in down])))
+        sums = moved.join(tissue, moved["py"] + moved["dy"] == tissue["row"]).select("dy", "at", "n", "cols").mapInPandas(hits, "dx int, dy int, hits long").groupBy("dx", "dy").agg(F.sum("hits").alias("hits"))
+        row = sums.orderBy(F.col("hits").desc(), "dx", "dy").first()
+        return (row["hits"], row["dx"], row["dy"]) if row and row["hits"] else (0, across[0], down[0])
+
+    found = best(*[range(-t, t + 1, coarse_step) for t in top])
+    if refine_radius:
+        finer = best(*[range(v - refine_radius, v + refine_radius + 1, refine_step) for v in found[1:]])
+        found = finer if finer[0] > found[0] else found
+    deleted(counts)
+    shift = [v * s / m for v, s, m in zip(found[1:], slide_size, mask_size, strict=True)]
+    return spark.createDataFrame([(*shift, found[0] / total if total else 0.0, *found[1:], total)], "dx double, dy double, score double, thumbnail_dx long, thumbnail_dy long, points long")
+
+
 def linked(coordinates: DataFrame, embeddings: DataFrame, width: float, height: float, image_width: float, image_height: float) -> DataFrame:
     """Coordinates with embeddings by id; where points overrun the image by more than 15 %, they are taken as full-resolution and scaled down to it."""
     top = coordinates.agg(F.max("x").alias("x"), F.max("y").alias("y")).first()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as S
-from ..operators import candidates, cellindex, experiment, masks, models, overlay, proximity, regions, review, scope, slides, tiles
+from ..operators import candidates, cellindex, experiment, masks, models, overlay, proximity, regions, review, scope, slides, svm, tiles
 from ..operators import pixels as P
 from ..sources import rasters, tables
 from ..sources.work import work_path
@@ -570,6 +570,17 @@ def i1_train_and_predict(spark, sf):
     return models.predict(model, e.filter("vec_id % 2 = 1"), "embedding").select("vec_id", "label", "predicted", F.round("probability", 6).alias("probability"))
 
 
+@query()
+def n31_refine_labels(spark, sf):
+    """Cells of slides of unequal size, whose labels follow the place, one in eleven at random."""
+    k = F.col("point_id")
+    pure = F.when(F.sqrt((F.col("x") - 500) ** 2 + (F.col("y") - 400) ** 2) < 250, "tumour").when(F.col("x") < 500, "stroma").otherwise("immune")
+    wrong = F.element_at(F.array(F.lit("tumour"), F.lit("stroma"), F.lit("immune")), (k % 3 + 1).cast("int"))
+    slide = F.concat(F.lit("s"), F.least(k % 9, F.lit(5)))
+    cells = V.points(spark, sf).select("point_id", "x", "y", slide.alias("slide_id"), F.when(k % 11 == 0, wrong).otherwise(pure).alias("label"))
+    return svm.refine_labels(cells, by=["slide_id"]).select("point_id", "slide_id", "label", "refined")
+
+
 @query("""WITH l AS (SELECT i - 1 AS place, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)), s AS (SELECT place, avg(v) AS m, stddev_samp(v) AS s FROM l GROUP BY place) SELECT place, round(m, 6) AS mean, round(s, 6) AS scale FROM s WHERE s > 0""")
 def n29_preprocess_fit(spark, sf):
     r = models.fit_recipe(V.read(spark, sf, "embeddings"), "embedding")
@@ -639,6 +650,18 @@ def d6_tissue_translation(spark, sf):
     return rounded(experiment.tissue_translation(mask, V.points(spark, sf), 50.0, 1000, 800, [50.0 * k for k in range(-4, 5)], sample=None))
 
 
+@query(V.with_(V.POINTS, """disc AS (SELECT round_even(x / 10, 0)::INT AS px, round_even(y / 10, 0)::INT AS py FROM points WHERE (x - 500) ** 2 + (y - 400) ** 2 < 62500)""", """counts AS (SELECT px, py, count(*) AS n FROM disc GROUP BY ALL)""",
+  """tissue AS (SELECT px + 7 AS c, py - 4 AS r FROM counts WHERE px + 7 BETWEEN 1 AND 100 AND py - 4 BETWEEN 1 AND 80)""", """coarse AS (SELECT -25 + 20 * i AS dx, -20 + 20 * j AS dy FROM range(3) a(i), range(3) b(j))""",
+  """rough AS (SELECT dx, dy, coalesce(sum(n) FILTER (r IS NOT NULL), 0) AS hits FROM coarse CROSS JOIN counts LEFT JOIN tissue ON c = px + dx AND r = py + dy GROUP BY ALL)""", """first AS (SELECT * FROM rough ORDER BY hits DESC, dx, dy LIMIT 1)""",
+  """fine AS (SELECT dx + i AS dx, dy + j AS dy FROM first, range(-25, 26) a(i), range(-25, 26) b(j))""", """near AS (SELECT dx, dy, sum(n)::BIGINT AS hits FROM fine CROSS JOIN counts JOIN tissue ON c = px + dx AND r = py + dy GROUP BY ALL)""",
+  """every AS (SELECT dx, dy, hits, 0 AS later FROM first UNION ALL SELECT dx, dy, hits, 1 FROM near)""") + """SELECT dx * 10.0::DOUBLE AS dx, dy * 10.0::DOUBLE AS dy, round(hits / (SELECT sum(n) FROM counts), 6) AS score, dx::BIGINT AS thumbnail_dx, dy::BIGINT AS thumbnail_dy, (SELECT sum(n) FROM counts)::BIGINT AS points
+  FROM every ORDER BY hits DESC, later, dx, dy LIMIT 1""")
+def d6_coarse_and_fine(spark, sf):
+    disc = V.points(spark, sf).filter("power(x - 500, 2) + power(y - 400, 2) < 62500")
+    mask = disc.select((F.bround(F.col("y") / 10) - 4).alias("row"), (F.bround(F.col("x") / 10) + 7).alias("col")).distinct()
+    return rounded(experiment.estimate_translation(mask, disc, (100, 80), (1000.0, 800.0)))
+
+
 @query("""SELECT 2.0::DOUBLE AS xx, 0.5::DOUBLE AS xy, -3.0::DOUBLE AS x0, -0.5::DOUBLE AS yx, 2.0::DOUBLE AS yy, 4.0::DOUBLE AS y0""")
 def d3_estimate_transform(spark, sf):
     p = V.points(spark, sf).select("x", "y", (F.col("x") * 2 + F.col("y") * 0.5 - 3).alias("u"), (F.col("x") * -0.5 + F.col("y") * 2 + 4).alias("v"))

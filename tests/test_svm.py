@@ -98,3 +98,17 @@ def test_one_place_with_two_labels_an_empty_table_and_broken_rows(spark):
         svm.refine_labels(frame(spark, [(1, "s", float("nan"), 1.0, "a")])).collect()
     with pytest.raises(ValueError, match="refined"):
         svm.refine_labels(frame(spark, same).withColumnRenamed("id", "refined"))
+
+
+def test_query_against_the_dual(spark):
+    from slidelake.plans import queries, views
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["point_id"]: r for r in queries.QUERIES["n31_refine_labels"](spark, sf).collect()}
+    at = {r["point_id"]: (r["x"], r["y"]) for r in views.points(spark, sf).select("point_id", "x", "y").collect()}
+    assert set(got) == set(at)
+    for slide in sorted({r["slide_id"] for r in got.values()}):
+        ids = sorted(k for k, r in got.items() if r["slide_id"] == slide)
+        want, near = brute(np.array([at[k] for k in ids]), np.array([got[k]["label"] for k in ids]))
+        assert all(got[k]["refined"] == w for k, w, n in zip(ids, want, near, strict=True) if not n)
+        assert near.mean() < 0.2
