@@ -33,18 +33,23 @@ def read_experiment(spark: SparkSession, path: str, verify: bool = True) -> Data
     return table.join(hashes, "feature_path", "left").filter(F.when(F.col("found").eqNullSafe(F.col("feature_sha256")), F.lit(True)).otherwise(differs)).drop("found")
 
 
-def experiment_features(spark: SparkSession, base: str, tissues: DataFrame, feature_set_id: str, id_col: str = "id") -> DataFrame:
-    """Feature tables of all tissues in one: namespaced id, tissue_id, features. Feature names must agree; there is one small row a tissue on the driver."""
-    out, names = None, None
-    for t in tissues.filter(F.col("feature_set_id") == feature_set_id).orderBy("tissue_id").collect():
-        df = spark.read.csv(f"{base}/{t['feature_path']}", header=True)
-        own = [c for c in df.columns if c != id_col]
-        if names is not None and own != names:
-            raise ValueError(f"features of {t['tissue_id']} differ")
-        names = own
-        part = df.select(namespace_id(F.lit(t["tissue_id"]), F.col(id_col)).alias("id"), F.lit(t["tissue_id"]).alias("tissue_id"), F.array(*[F.col(c).try_cast("double") for c in own]).alias("features"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def experiment_features(spark: SparkSession, base: str, tissues: DataFrame, feature_set_id: str, id_col: str = "id") -> DataFrame | None:
+    """Feature tables of all tissues in one: namespaced id, tissue_id, features. All files are read at once; a header that differs from the first is an error. None without such a set.
+
+    One small row a tissue, its path, is on the driver, which names the files.
+    """
+    wanted = tissues.filter(F.col("feature_set_id") == feature_set_id).select("tissue_id", "feature_path").distinct()
+    paths = sorted({f"{base}/{r['feature_path']}" for r in wanted.collect()})
+    if not paths:
+        return None
+    names = spark.read.csv(paths[0], header=True).columns
+    rows = spark.read.schema(", ".join(f"`{c}` string" for c in names)).csv(paths, header=True, enforceSchema=False)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    came = plain(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))))
+    features = F.array(*[F.col(f"`{c}`").try_cast("double") for c in names if c != id_col])
+    held = rows.select(F.col(f"`{id_col}`").alias("own"), features.alias("features"), came.alias("path"))
+    whose = wanted.select("tissue_id", plain(F.concat(F.lit(f"{base}/"), "feature_path")).alias("path"))
+    return held.join(whose, "path").select(namespace_id(F.col("tissue_id"), F.col("own")).alias("id"), "tissue_id", "features")
 
 
 def tissue_translation(mask: DataFrame, points: DataFrame, scale: float, width: float, height: float, offsets: list[float], sample: int | None = None) -> DataFrame:

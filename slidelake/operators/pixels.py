@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,6 +205,50 @@ def saturation() -> Column:
     return F.when(high > 0, (high - low) / high).otherwise(F.lit(0.0))
 
 
+def _checked(options, most: float = math.inf):
+    """The options, if each is a number from 0 to `most`; else an error that names the first that is not."""
+    for name, v in vars(options).items():
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or not 0 <= v <= most or math.isinf(v):
+            raise ValueError(f"{name} is a number from 0" + (f" to {most:g}" if math.isfinite(most) else ""))
+
+
+@dataclass(frozen=True)
+class WhitespaceOptions:
+    """C11: the thresholds of `whitespace`, checked: whitespace(pixels, **vars(WhitespaceOptions(bright=0.9)))."""
+
+    bright: float = 0.86
+    pale: float = 0.12
+    fraction: float = 0.75
+    bright_mean: float = 0.90
+    pale_mean: float = 0.10
+
+    def __post_init__(self):
+        _checked(self, 1.0)
+
+
+@dataclass(frozen=True)
+class ArtifactOptions:
+    """The thresholds of `artifacts`, checked; those of bubbles go to candidates.detect."""
+
+    blur: float = 0.012
+    out_of_focus: float = 0.008
+    focus_sd: float = 0.025
+    dark_mean: float = 0.12
+    bright_mean: float = 0.92
+    dark: float = 0.18
+    bright: float = 0.92
+    most: float = 0.80
+    pen_saturation: float = 0.45
+    pen_dominance: float = 1.25
+    pen_fraction: float = 0.01
+    fold_dark: float = 0.28
+    fold_saturation: float = 0.25
+    fold_fraction: float = 0.08
+
+    def __post_init__(self):
+        _checked(self)
+
+
 def whitespace(pixels: DataFrame, bright: float = 0.86, pale: float = 0.12, fraction: float = 0.75, bright_mean: float = 0.90, pale_mean: float = 0.10) -> DataFrame:
     """H3: by tile the share of bright pale pixels, the means, and whether the tile is white space."""
     white = ((brightness() >= bright) & (saturation() <= pale)).cast("double")
@@ -227,7 +274,7 @@ def edges(pixels: DataFrame) -> DataFrame:
     return held.withColumn("dx", F.abs(right - F.col("v"))).withColumn("dy", F.abs(below - F.col("v")))
 
 
-def artifacts(pixels: DataFrame, bubbles: DataFrame | None = None, blur: float = 0.012, out_of_focus: float = 0.008, focus_sd: float = 0.025, dark_mean: float = 0.12, bright_mean: float = 0.92, dark: float = 0.18, bright: float = 0.92, most: float = 0.80) -> DataFrame:
+def artifacts(pixels: DataFrame, bubbles: DataFrame | None = None, blur: float = 0.012, out_of_focus: float = 0.008, focus_sd: float = 0.025, dark_mean: float = 0.12, bright_mean: float = 0.92, dark: float = 0.18, bright: float = 0.92, most: float = 0.80, pen_saturation: float = 0.45, pen_dominance: float = 1.25, pen_fraction: float = 0.01, fold_dark: float = 0.28, fold_saturation: float = 0.25, fold_fraction: float = 0.08) -> DataFrame:
     """H5: by tile brightness, the shares of dark, bright, pen-like and fold-like pixels, edge strength, and flags with their mean as score.
 
     `bubbles` holds the tiles with a bubble candidate (tile_id, candidate); without it none has one.
@@ -235,7 +282,7 @@ def artifacts(pixels: DataFrame, bubbles: DataFrame | None = None, blur: float =
     ranked = F.sort_array(F.array("r", "g", "b"))
     middle, high = ranked[1], ranked[2]
     v = brightness()
-    pen, fold = (high >= 1.25 * middle) & (saturation() >= 0.45), (v <= 0.28) & (saturation() >= 0.25)
+    pen, fold = (high >= pen_dominance * middle) & (saturation() >= pen_saturation), (v <= fold_dark) & (saturation() >= fold_saturation)
     share = lambda c, n: F.avg(c.cast("double")).alias(n)
     table = edges(pixels).groupBy("tile_id").agg(
         F.count("*").alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"), F.avg(saturation()).alias("saturation_mean"), share(v <= dark, "dark_fraction"),
@@ -248,7 +295,7 @@ def artifacts(pixels: DataFrame, bubbles: DataFrame | None = None, blur: float =
         table = table.join(held, table["tile_id"].cast("string") == held["b_id"].cast("string"), "left").drop("b_id").withColumn("bubble", F.coalesce("bubble", F.lit(False)))
     flags = {
         "too_dark": (F.col("mean") <= dark_mean) | (F.col("dark_fraction") >= most), "too_bright": (F.col("mean") >= bright_mean) | (F.col("bright_fraction") >= most), "blur": F.col("edge_strength") <= blur,
-        "out_of_focus": (F.col("edge_strength") <= out_of_focus) & (F.col("sd") <= focus_sd), "pen": F.col("pen_fraction") >= 0.01, "fold": F.col("fold_fraction") >= 0.08, "bubble": F.col("bubble"),
+        "out_of_focus": (F.col("edge_strength") <= out_of_focus) & (F.col("sd") <= focus_sd), "pen": F.col("pen_fraction") >= pen_fraction, "fold": F.col("fold_fraction") >= fold_fraction, "bubble": F.col("bubble"),
     }
     for k, flag in flags.items():
         table = table.withColumn(k, flag)

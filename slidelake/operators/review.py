@@ -110,9 +110,9 @@ def commit_checkpoints(ledger: DataFrame) -> DataFrame:
 
 
 def confirmed(ledger: DataFrame) -> DataFrame:
-    """Ids that a person labelled, with the latest label."""
-    latest = F.row_number().over(Window.partitionBy("id").orderBy(F.col("updated_at").desc()))
-    return ledger.withColumn("rn", latest).filter("rn = 1 AND status = 'confirmed'").select("id", "label")
+    """Ids that a person labelled, with the latest label. Of entries of one time the greatest status, then label, counts; null is the least."""
+    latest = ledger.groupBy("id").agg(F.max(F.struct("updated_at", "status", "label")).alias("last"))
+    return latest.filter("last.status = 'confirmed'").select("id", F.col("last.label").alias("label"))
 
 
 def tissue_context(cells: DataFrame, overlaps: DataFrame) -> DataFrame:

@@ -120,11 +120,15 @@ def flag_artifacts(grid: DataFrame, pixels: DataFrame, action: str = "flag", **o
 
 
 def matrix(grid: DataFrame, value: str) -> DataFrame:
-    """grid(row, col, value) from 1 as one row a tile row: row, values (null where no tile is). A value that lies nowhere makes no matrix."""
-    held = grid.filter("row >= 1 AND col >= 1")
+    """grid(row, col, value) from 1 as one row a tile row: row, values (null where no tile is). A value that lies nowhere makes no matrix. Of tiles at one place the greatest value counts.
+
+    Rows are filled up with empty places and put in order once, so work follows the size of the matrix.
+    """
+    held = grid.filter("row >= 1 AND col >= 1").select("row", F.col("col").cast("int").alias("col"), F.col(value).alias("v"))
     width = held.agg(F.max("col").alias("width"))
-    rows = held.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int"), F.col(value)))).alias("m"))
-    return rows.crossJoin(F.broadcast(width)).select("row", F.transform(F.sequence(F.lit(1), F.col("width").cast("int")), lambda c: F.get(F.map_values(F.map_filter("m", lambda k, v: k == c)), 0)).alias("values"))
+    places = held.select("row").distinct().crossJoin(F.broadcast(width)).select("row", F.explode(F.sequence(F.lit(1), "width")).alias("col"))  # one row
+    full = held.unionByName(places, allowMissingColumns=True).groupBy("row", "col").agg(F.max("v").alias("v"))
+    return full.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", "v"))), lambda s: s["v"]).alias("values"))
 
 
 def focus_heatmap(grid: DataFrame, pixels: DataFrame, threshold: float = 0.001, tissue: DataFrame | None = None, least_tissue: float = 0.05) -> DataFrame:

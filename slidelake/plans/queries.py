@@ -612,6 +612,15 @@ def g5_tile_rois(spark, sf):
     return rounded(tiles.tile_rois(V.rois(spark, sf).filter("size(geometry) > 0"), 100, 60))
 
 
+@query(V.with_(V.regions_sql(), V.edges_sql(), V.AREAS) + """SELECT roi_id, class, ri * 3::BIGINT AS score, round(area_px, 6) AS area_px FROM areas JOIN (SELECT ri, roi_id AS own FROM regions) USING (ri)""")
+def b1_geojson_round_trip(spark, sf):
+    """Regions written as feature collections, with a property of their own, and read back line by line."""
+    path = work_path(spark, "geojson")
+    tables.write_geojson(V.rois(spark, sf).withColumn("properties", F.to_json(F.struct((F.col("roi_index") * 3).alias("score")))), path)
+    back = tables.read_geojson_lines(spark, path)
+    return rounded(back.select("roi_id", "class", F.get_json_object("properties", "$.score").cast("long").alias("score"), G.area("geometry").alias("area_px")))
+
+
 @query(V.with_(V.regions_sql()) + """SELECT roi_id FROM regions WHERE class IS NULL OR class <> 'stroma'""")
 def c6_export_filter(spark, sf):
     table = review.presets(review.default_presets(spark), spark.sql("SELECT 'Stroma' AS class, NULL AS label, NULL AS color, false AS export"))

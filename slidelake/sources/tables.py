@@ -23,6 +23,8 @@ POSITIONS = "barcode string, in_tissue int, array_row int, array_col int, pxl_ro
 MPP_X = ["openslide.mpp-x", "mpp-x", "ome.physical-size-x", "PhysicalSizeX", "physical-size-x", "microns-per-pixel-x"]
 MPP_Y = ["openslide.mpp-y", "mpp-y", "ome.physical-size-y", "PhysicalSizeY", "physical-size-y", "microns-per-pixel-y"]
 POWER = ["openslide.objective-power", "aperio.AppMag", "objective-power"]
+# fixed values: the frame of a feature collection
+OPENING, CLOSING = '{"type":"FeatureCollection","features":[', "]}"
 FEATURE = "array<struct<type:string,id:string,properties:string,geometry:string>>"
 
 
@@ -52,19 +54,69 @@ def parsed_features(rows: DataFrame) -> DataFrame:
     )
 
 
-def feature_json(rois: DataFrame) -> Column:
-    """B1: a region as a GeoJSON feature."""
+def geometry_json() -> Column:
+    """The geometry of a region as GeoJSON text: one polygon or several; points and lines that lost theirs have none."""
     one = F.size("geometry") == 1
     shape = F.concat(F.lit('{"type":"'), F.when(one, F.lit("Polygon")).otherwise(F.lit("MultiPolygon")), F.lit('","coordinates":'), F.when(one, F.to_json(F.get("geometry", F.lit(0)))).otherwise(F.to_json("geometry")), F.lit("}"))
-    names = F.to_json(F.struct(F.col("name"), F.struct(F.col("class").alias("name"), F.col("color")).alias("classification")))
-    return F.concat(F.lit('{"type":"Feature","id":'), F.to_json(F.struct(F.col("roi_id").alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("roi_id").alias("v")))) - 6), F.lit(',"properties":'), names, F.lit(',"geometry":'), shape, F.lit("}"))
+    return F.when(F.size("geometry") > 0, shape).otherwise(F.lit("null"))
+
+
+def _feature(roi_id, properties, name, kind, color, locked, object_type, geometry) -> str:
+    """One feature: the properties that were read, with what the columns say now."""
+    held = json.loads(properties) if properties else None
+    held = held if isinstance(held, dict) else {}
+    classification = held["classification"] if isinstance(held.get("classification"), dict) else {}
+    now = {"name": kind, "color": [int(color[i : i + 2], 16) for i in (1, 3, 5)] if color else None}
+    for key in ("colorRGB", "color") if color else ():
+        classification.pop(key, None)
+    classification.update({k: v for k, v in now.items() if v is not None})
+    if kind is not None and "class" in held:
+        held["class"] = kind
+    given = {"name": name, "objectType": object_type, "isLocked": True if locked else held.get("isLocked"), "classification": classification or None}
+    held.update({k: v for k, v in given.items() if v is not None})
+    return f'{{"type":"Feature","id":{json.dumps(roi_id)},"properties":{json.dumps(held)},"geometry":{geometry}}}'
 
 
 def write_geojson(rois: DataFrame, path: str, mode: str = "error") -> None:
-    """B1: feature collections under path, one for each partition of the regions, each a whole document."""
-    lines = rois.sortWithinPartitions("roi_index").select(feature_json(rois).alias("f"))
-    part = lines.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list("f")), F.lit("]}")).alias("value"))
-    part.select("value").write.mode(mode).text(path)
+    """B1: feature collections under path, one for each partition of the regions, each a whole document with a feature a line, by roi_index.
+
+    Members of the column properties (JSON text, as read_geojson gives it) are kept; name, class, color (#RRGGBB),
+    object_type and is_locked, where such columns are there and not null, are written over them. A feature is a row from
+    first to last, so that no document is held whole. Presets and export rules come before: review.apply_presets and
+    review.exported.
+    """
+    given = lambda c, kind="string": F.col(c).cast(kind).alias(c) if c in rois.columns else F.lit(None).cast(kind).alias(c)
+    columns = [given(c) for c in ("roi_id", "properties", "name", "class", "color")] + [given("is_locked", "boolean"), given("object_type")]
+    rows = rois.sortWithinPartitions("roi_index").select(*columns, geometry_json().alias("geometry"))
+
+    def lines(batches):
+        import pandas as pd
+
+        begun = False
+        for pdf in batches:
+            if len(pdf):
+                made = [_feature(*r) for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None)]
+                yield pd.DataFrame({"value": [("," if begun or k else OPENING) + f for k, f in enumerate(made)]})
+                begun = True
+        if begun:
+            yield pd.DataFrame({"value": [CLOSING]})
+
+    rows.mapInPandas(lines, "value string").write.mode(mode).text(path)
+
+
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Regions of files with a feature a line, as write_geojson makes them or as text sequences (RS before a feature or not).
+
+    Files of any size are split among tasks. Lines that are neither features nor the frame of a collection are an error;
+    blank ones are not. roi_index tells regions apart and rises within a file, with gaps.
+    """
+    frame = F.lit(OPENING)
+    text = F.regexp_replace(F.replace(F.trim("value"), frame, F.lit("")), r"^[\x1e,\s]+|,\s*$", "")
+    rows = spark.read.text(path).select(text.alias("line"), F.input_file_name().alias("file")).filter(~F.col("line").isin("", CLOSING))
+    feature = F.from_json("line", "struct<type:string,id:string,properties:string,geometry:string>")
+    bad = F.raise_error(F.concat(F.lit("not a feature: "), F.substring("line", 1, 80))).cast("boolean")
+    held = rows.select("file", "line", feature.alias("f")).filter(F.when(F.col("f.type") == "Feature", F.lit(True)).otherwise(bad))
+    return parsed_features(held.select("file", F.monotonically_increasing_id().alias("roi_index"), "f"))
 
 
 def resolved(df: DataFrame, **names: str) -> DataFrame:
@@ -144,6 +196,16 @@ def save_project(tables: dict[str, DataFrame], path: str, metadata: dict | None
     spark.range(1).select(F.lit(manifest).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
+def experiment_project(experiment: DataFrame, path: str) -> None:
+    """A project out of an experiment (experiment.read_experiment): its images and feature sets as tables, its id as metadata."""
+    images = experiment.select("tissue_id", "sha256", "width", "height", "mpp_x", "mpp_y", "frame_id", "coordinate_convention").distinct()
+    sets = experiment.select("tissue_id", "feature_set_id", "feature_path", "feature_sha256", "unit").distinct()
+    ids = [r[0] for r in experiment.select("experiment_id").distinct().limit(2).collect()]
+    if len(ids) != 1:
+        raise ValueError("one experiment makes a project")
+    save_project({"images": images, "feature_sets": sets}, path, {"experiment_id": ids[0]})
+
+
 def read_project(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A27."""
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
