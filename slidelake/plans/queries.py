@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as S
-from ..operators import candidates, cellindex, experiment, masks, models, overlay, proximity, regions, review, scope, slides, svm, tiles
+from ..operators import boxindex, candidates, cellindex, experiment, masks, models, overlay, proximity, regions, review, scope, slides, svm, tiles
 from ..operators import pixels as P
 from ..sources import rasters, tables
 from ..sources.work import work_path
@@ -621,6 +621,19 @@ def b1_geojson_round_trip(spark, sf):
     return rounded(back.select("roi_id", "class", F.get_json_object("properties", "$.score").cast("long").alias("score"), G.area("geometry").alias("area_px")))
 
 
+@query("""WITH b AS (SELECT o_orderkey AS id, (o_orderkey * 37 % 900)::DOUBLE AS xmin, (o_orderkey * 91 % 700)::DOUBLE AS ymin, o_orderkey % 180 AS w, o_orderkey % 150 AS h, o_orderkey % 8 AS f FROM orders),
+  s AS (SELECT id, xmin, ymin, xmin + (20 + w) / (2 ** f)::DOUBLE AS xmax, ymin + (20 + h) / (2 ** f)::DOUBLE AS ymax FROM b) SELECT id, xmin, ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax FROM s WHERE xmin <= 600 AND xmax >= 100 AND ymin <= 500 AND ymax >= 100""")
+def n7_box_window(spark, sf):
+    """Boxes of very unequal sizes, stored as an index and asked for a window."""
+    k = F.col("o_orderkey")
+    scale = F.pow(F.lit(2.0), k % 8)
+    x, y = ((k * 37) % 900).cast("double"), ((k * 91) % 700).cast("double")
+    boxes = V.read(spark, sf, "orders").select(k.alias("id"), x.alias("xmin"), y.alias("ymin"), (x + (20 + k % 180) / scale).alias("xmax"), (y + (20 + k % 150) / scale).alias("ymax"))
+    path = work_path(spark, "boxes")
+    boxindex.write_index(boxes, path)
+    return rounded(boxindex.window(spark, path, BOX))
+
+
 @query(V.with_(V.regions_sql()) + """SELECT roi_id FROM regions WHERE class IS NULL OR class <> 'stroma'""")
 def c6_export_filter(spark, sf):
     table = review.presets(review.default_presets(spark), spark.sql("SELECT 'Stroma' AS class, NULL AS label, NULL AS color, false AS export"))
