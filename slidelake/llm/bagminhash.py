@@ -319,18 +319,20 @@ def links_across(members: DataFrame, labels: DataFrame, texts: DataFrame, simila
     (In smaller ones the leaders have met everyone.) Members outside the bucket's most frequent label ask all members.
     Bags whose sizes differ by more than the threshold cannot be alike: a bucket falls into classes of sizes that grow by
     1 / threshold, and a member is in its own class and the one below, where it meets the smaller ones that it can be
-    like. Within a class askers and members meet in blocks: each block of askers with each block of members, so that no
-    task holds a whole bucket and pairs are never rows. Of buckets with the same members (by two sums of their hashes,
-    without carry) one is worked on.
+    like (at a threshold of 1 a class is one size). Within a class askers and members meet in blocks: each block of
+    askers with each block of members, so that no task holds a whole bucket and pairs are never rows. Of buckets with
+    the same members (by two sums of their hashes) one is worked on.
     """
     named = members.join(labels, "node", "left").select("bucket", "size", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).filter("n > 3 AND a < b").select("bucket")
-    class_ = F.floor(F.log("size") / F.lit(-math.log(similarity))).cast("int")
-    named = named.join(mixed, "bucket").withColumn("class", F.explode(F.array(class_, class_ - 1))).withColumn("bucket", F.struct("bucket", "class")).drop("class", "size")
+    class_ = F.floor(F.log("size") / F.lit(-math.log(similarity))).cast("int") if similarity < 1 else F.col("size").cast("int")
+    below = F.array(class_, class_ - 1) if similarity < 1 else F.array(class_)
+    named = named.join(mixed, "bucket").withColumn("class", F.explode(below)).withColumn("bucket", F.struct("bucket", "class")).drop("class", "size")
     named = written(named, "classed")
-    whose = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (3, 4)]
+    # sums, not exclusive or: an id that is there twice must not cancel out
+    whose = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"x{i}") for i in (3, 4)]
     kinds = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), *whose)
-    open_ = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k"), F.bit_xor("x3").alias("x3"), F.bit_xor("x4").alias("x4")).filter("k > 1")
+    open_ = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k"), F.sum("x3").alias("x3"), F.sum("x4").alias("x4")).filter("k > 1")
     open_ = open_.groupBy("n", "x3", "x4").agg(F.min("bucket").alias("bucket"), F.min("top").alias("top"))
     open_ = written(open_.select("bucket", F.col("top.label").alias("major"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("mb"), F.ceil((F.col("n") - F.col("top.n")) / ASKERS).cast("int").alias("ab")), "open")
     held = named.join(open_, "bucket")

@@ -453,6 +453,24 @@ def test_recall_of_queries_against_all_documents(spark):
     assert all(got[a] == got[b] for a, b in pairs)
 
 
+def test_buckets_with_repeated_members_are_told_apart(spark):
+    """Two buckets that differ in a member that is there twice alone: both give their links."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    texts = spark.createDataFrame([(1, words(1)), (7, words(1)), (2, words(2)), (8, words(2))], "node long, text string")
+    members = spark.createDataFrame([(b, 56, n) for b, twice in ((10, 7), (20, 8)) for n in (twice, twice, 1, 2)], "bucket long, size long, node long")
+    labels = spark.createDataFrame([(n, n) for n in (1, 2, 7, 8)], "node long, label long")
+    found = {tuple(sorted(r)) for r in bagminhash.links_across(members, labels, texts, 0.8).collect()}
+    assert found == {(1, 7), (2, 8)}
+
+
+def test_near_classes_at_a_similarity_of_one(spark):
+    base = [f"w{i}" for i in range(600)]
+    changed = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in range(590, 600)]
+    rows = list(enumerate([*changed, changed[3], changed[3]]))
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), similarity=1.0).collect()}
+    assert got == {**{k: k for k in range(10)}, 10: 3, 11: 3}
+
+
 def test_near_classes_of_large_and_chained_groups(spark):
     base = text(11, 200)
     rows = [(i, changed(base, [(3 * i) % 200])) for i in range(40)]
