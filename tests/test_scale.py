@@ -134,3 +134,33 @@ def test_thresholds_by_groups_use_exact_percentiles(spark):
     rows = [(g, float(v)) for g in ("a", "b") for v in range(11)]
     got = {x["g"]: (x["median"], x["p10"], x["p90"]) for x in pixels.stain_intensity(table(spark, "gv", rows).withColumnRenamed("v", "value"), ["g"]).collect()}
     assert got == {g: (5.0, 1.0, 9.0) for g in "ab"}
+
+
+def test_points_of_many_regions_test_few(spark):
+    """Oblique regions with holes and copies, points on sides and corners; squares keep only what may come before the first region that holds all of them."""
+    r = np.random.default_rng(8)
+    shapes = []
+    for i in range(120):
+        c, n = r.uniform(0, 100, 2), int(r.integers(3, 9))
+        turn, reach = np.sort(r.uniform(0, 2 * np.pi, n)), r.uniform(3, 60)
+        ring = [[float(c[0] + reach * math.cos(t)), float(c[1] + reach * math.sin(t))] for t in turn]
+        hole = [[float(c[0] + (x - c[0]) / 3), float(c[1] + (y - c[1]) / 3)] for x, y in ring]
+        shapes.append([[[*ring, ring[0]], [*hole, hole[0]]]])
+    shapes += shapes[:40] + [[[[[0.0, 0.0], [64.0, 0.0], [64.0, 64.0], [0.0, 64.0], [0.0, 0.0]]]]] * 3 + [[]]
+    rois = spark.createDataFrame([(i, f"r{i}", "c", g) for i, g in enumerate(shapes)], f"roi_index int, roi_id string, class string, geometry {GEOMETRY}")
+    xy = [*map(tuple, r.uniform(-5, 105, (300, 2))), *[tuple(s[0][0][0]) for s in shapes if s], (0.0, 0.0), (64.0, 3.0), (3.0, 64.0), (0.0, 32.0)]
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(xy + xy[:50])] + [(9000, math.nan, 1.0), (9001, 1.0, None), (9002, math.inf, math.inf)]
+
+    def odd(ring, x, y):
+        return sum((b[1] > y) != (a[1] > y) and x < (a[0] - b[0]) * (y - b[1]) / (a[1] - b[1]) + b[0] for a, b in zip(ring, ring[1:], strict=False)) % 2 == 1
+
+    fine = [p for p in points if p[0] < 9000]
+    hits = [(k, i) for k, x, y in fine for i, g in enumerate(shapes) if any(odd(p[0], x, y) and not any(odd(h, x, y) for h in p[1:]) for p in g)]
+    df = table(spark, "kxy", points)
+    assert sorted((a["k"], a["roi_index"]) for a in regions.all_regions(df, rois).collect()) == sorted(hits)
+    first = {k: min((i for j, i in hits if j == k), default=None) for k, _, _ in points}
+    assert {a["k"]: a["roi_index"] for a in regions.associate(df, rois).collect()} == first
+    want = {i: sum(j == i for _, j in hits) for i in range(len(shapes))}
+    assert {a["roi_index"]: a["n"] for a in regions.point_counts(df, rois).collect()} == {i: n for i, n in want.items() if n}
+    squares = regions.squares(rois)
+    assert squares.select("first").distinct().count() == 121 and squares.filter("whole").count() > 121
