@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import ranges
 from .common import text_or_empty, written
 
 ORDER = 4
@@ -35,8 +36,6 @@ ORDER = 4
 LEAST_COUNT = 1
 #: Rows of n-gram counts that driver and workers have memory for: 40 bytes each and 8 more a language. More are an error, which names the two ways on.
 MODEL_ROWS = 60_000_000
-#: About so many labelled training rows calibrate rejection and confidence.
-CALIBRATION_ROWS = 20_000
 #: Rejection: deviations above the median, the least deviation as a share of the median, the last length band (2^12 symbols and more), rows that a band needs for figures of its own.
 DEVIATIONS, LEAST_DEVIATION, LAST_BAND, BAND_ROWS = 10, 0.1, 12, 30
 #: Characters that are worked on at once.
@@ -246,9 +245,8 @@ def model_of(counts: pd.DataFrame, order: int) -> Model | None:
     return kneser_ney({k: (g["key"].to_numpy(), g["n"].to_numpy()) for k, g in counts.groupby("lang")}, order)
 
 
-def unseen_losses(models: dict[int, Model], rows: DataFrame, id_col: str, text_col: str, lang_col: str, calibration_rows: int) -> pd.DataFrame:
-    """half, lang, n, own, other: what the model of the other half makes of about `calibration_rows` labelled rows, chosen by a hash of the id; of rows whose language it knows."""
-    every = max(1, rows.count() // calibration_rows)
+def unseen_losses(models: dict[int, Model], rows: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """half, lang, n, own, other: what the model of the other half makes of every labelled row with a letter whose language it knows; written."""
     spread = rows.sparkSession.sparkContext.broadcast(models)
 
     def own_loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,57 +261,78 @@ def unseen_losses(models: dict[int, Model], rows: DataFrame, id_col: str, text_c
                 h[np.arange(len(h)), j] = np.inf
                 yield pd.DataFrame({"half": k, "lang": lot["lang"].to_numpy(), "n": n, "own": own, "other": np.minimum(h.min(axis=1), 1e3)})
 
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("calibration"), F.col(id_col)), F.lit(every)) == 0)
-    seen = sample.select(half(F.col(text_col)).alias("half"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInPandas(own_loss, "half int, lang string, n long, own double, other double").toPandas()
-    return seen[seen["n"] > 0]
+    asked = rows.select(half(F.col(text_col)).alias("half"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return written(asked.mapInPandas(own_loss, "half int, lang string, n long, own double, other double").filter("n > 0"), "unseen")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, least_count: int = LEAST_COUNT, model_rows: int = MODEL_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, least_count: int = LEAST_COUNT, model_rows: int = MODEL_ROWS) -> Model | None:
     """A model of all rows of docs with a language, calibrated by what a model of the one half makes of the other; None if there are none with a letter."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = gathered(rows, text_col, lang_col, order, least_count, model_rows)
     model, part = model_of(counts, order), model_of(counts[counts["half"] == 0], order)
     if part is None:
         return model
-    return calibrated(model, unseen_losses({0: part}, rows, id_col, text_col, lang_col, calibration_rows))
+    return calibrated({0: model}, unseen_losses({0: part}, rows, text_col, lang_col))[0]
 
 
-def crossed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, least_count: int = LEAST_COUNT, model_rows: int = MODEL_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> dict[int, Model | None]:
+def crossed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, least_count: int = LEAST_COUNT, model_rows: int = MODEL_ROWS) -> dict[int, Model | None]:
     """For each half of docs, the model of the other half, calibrated on the half that it is for. Without text in one half there is one model, of all rows, and no bound."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = gathered(rows, text_col, lang_col, order, least_count, model_rows)
     models = {k: model_of(counts[counts["half"] == k], order) for k in (0, 1)}
     if None in models.values():
         return dict.fromkeys((0, 1), model_of(counts, order))
-    seen = unseen_losses(models, rows, id_col, text_col, lang_col, calibration_rows)
-    return {1 - k: calibrated(m, seen[seen["half"] == k]) for k, m in models.items()}
+    found = calibrated(models, unseen_losses(models, rows, text_col, lang_col))
+    return {1 - k: m for k, m in found.items()}
 
 
-def calibrated(model: Model, seen: pd.DataFrame) -> Model:
-    """Bounds by language and length band from losses of texts that were not trained on. Strength: the length at which confidence fits the sample best.
+def calibrated(models: dict[int, Model], seen: DataFrame) -> dict[int, Model]:
+    """Bounds by language and length band from losses of all texts that were not trained on. Strength: the length at which confidence fits them best.
 
     A band of few rows takes its language's median, and the deviation that its length leads to expect; a language of few rows takes those of all.
+    Medians are exact; a row a language and band, some hundred, comes to the driver.
     """
-    if len(seen):
-        spread = lambda x, middle: 1.4826 * np.median(np.abs(x - middle))
-        bands = band(seen["n"].to_numpy())
+    seen = seen.withColumn("band", F.least(F.lit(LAST_BAND), F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("int")))
+    counts = {(r["half"], r["lang"], r["band"]): r["count"] for r in seen.groupBy("half", "lang", "band").count().collect()}
+    if not counts:
+        return models
+    size = lambda k, lang: sum(c for (h, g, _), c in counts.items() if (h, g) == (k, lang))
+    # a null language stands for all
+    few = any(size(k, lang) < BAND_ROWS for k, m in models.items() for lang in m.langs)
+    held = seen.select("half", "lang", "band", "n", "own")
+    held = held.unionByName(held.withColumn("lang", F.lit(None).cast("string"))) if few else held
+
+    def medians(rows: DataFrame, value: str, by: tuple[str, ...]) -> dict[tuple, float]:
+        found = ranges.percentiles(rows, value, [0.5], by).select(*by, F.col("q")[0].alias("m")).collect()
+        return {tuple(r)[:-1]: r["m"] for r in found}
+
+    def less(found: dict, by: tuple[str, ...]) -> DataFrame:
+        """held with the distance of `own` from the median of its group."""
+        table = held.sparkSession.createDataFrame([(*g, m) for g, m in found.items()], ", ".join(f"{b} {dict(held.dtypes)[b]}" for b in by) + ", m double")
+        return ranges.meet(held, F.broadcast(table), list(by)).withColumn("d", F.abs(F.col("own") - F.col("m")))
+
+    whole, banded = ("half", "lang"), ("half", "lang", "band")
+    middle, middles = medians(held, "own", whole), medians(held, "own", banded)
+    root = F.sqrt(F.least(F.col("n"), F.lit(1 << LAST_BAND)).cast("double"))
+    units = medians(less(middle, whole).withColumn("d", F.col("d") * root), "d", whole)
+    spreads = medians(less(middles, banded), "d", banded)
+    z = lambda s: (F.col("own") - F.col("other")) * F.least(F.col("n").cast("double"), F.lit(s))
+    lengths = (2.0, 5.0, 10.0, 20.0, 40.0)
+    fits = seen.groupBy("half").agg(*[F.avg(F.greatest(z(s), F.lit(0.0)) + F.log1p(F.exp(-F.abs(z(s))))).alias(str(s)) for s in lengths]).collect()
+    for k, model in models.items():
+        loss = next((r for r in fits if r["half"] == k), None)
+        if loss is None:
+            continue
+        model.strength = min(lengths, key=lambda s: loss[str(s)])
         model.limit = np.empty((len(model.langs), LAST_BAND + 1))
         for j, lang in enumerate(model.langs):
-            of = (seen["lang"] == lang).to_numpy()
-            of = of if of.sum() >= BAND_ROWS else np.ones(len(seen), dtype=bool)
-            own, root = seen["own"].to_numpy()[of], np.sqrt(np.minimum(seen["n"].to_numpy()[of], 1 << LAST_BAND))
-            whole = np.median(own)
-            unit = spread((own - whole) * root, 0)
+            g = lang if size(k, lang) >= BAND_ROWS else None
             for b in range(LAST_BAND + 1):
-                lot = own[bands[of] == b]
-                few = len(lot) < BAND_ROWS
-                middle = whole if few else np.median(lot)
-                deviation = unit / 2 ** (b / 2) if few else spread(lot, middle)
-                model.limit[j, b] = middle + DEVIATIONS * max(deviation, LEAST_DEVIATION * middle)
-        gap = (seen["own"] - seen["other"]).to_numpy()
-        loss = {s: np.logaddexp(0, gap * np.minimum(seen["n"], s)).mean() for s in (2.0, 5.0, 10.0, 20.0, 40.0)}
-        model.strength = min(loss, key=lambda s: loss[s])
-    return model
+                n = counts.get((k, g, b), 0) if g is not None else sum(c for (h, _, o), c in counts.items() if (h, o) == (k, b))
+                at = middle[k, g] if n < BAND_ROWS else middles[k, g, b]
+                deviation = 1.4826 * (units[k, g] / 2 ** (b / 2) if n < BAND_ROWS else spreads[k, g, b])
+                model.limit[j, b] = at + DEVIATIONS * max(deviation, LEAST_DEVIATION * at)
+    return models
 
 
 def identify(model: Model | None, text: Column, spark) -> Column:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slidelake.llm import bagminhash, common, exact_dedup, fingerprint, html_blocks, langid, mixing, sharding, token_count, unigram, warc
 
@@ -547,6 +548,29 @@ def test_language_rejection_of_noise_among_the_labelled_rows(spark):
     assert ids(long) <= kept and len(ids(first) - kept) <= 1 and len(ids(docs) - kept) < 0.005 * n
 
 
+def test_language_bounds_come_from_all_rows(spark):
+    """Exact medians of every row that the model has not seen, against numpy; a language of few rows takes those of all."""
+    r = random.Random(5)
+    rows = [(f"{r.choice(['aba', 'cad', 'bra', 'dab'])} " * r.randint(1, 40) + str(i), lang) for i in range(300) for lang in ("x", "y")] + [("aba cad", "z"), ("dab bra aba", "z")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    counts = langid.gathered(docs, "text", "lang", 4, 1, 10**6)
+    part = langid.model_of(counts[counts["half"] == 0], 4)
+    seen = langid.unseen_losses({0: part}, docs, "text", "lang")
+    assert seen.count() == docs.filter(langid.half(F.col("text")) == 1).filter(F.col("lang").isin(part.langs)).count() > 200
+    got, p = langid.calibrated({0: part}, seen)[0], seen.toPandas()
+    bands = np.minimum(np.log2(p["n"]).astype(int), langid.LAST_BAND)
+    for j, lang in enumerate(got.langs):
+        of = p["lang"] == lang if (p["lang"] == lang).sum() >= langid.BAND_ROWS else p["n"] > 0
+        own, whole = p["own"][of], np.median(p["own"][of])
+        unit = 1.4826 * np.median(np.abs(own - whole) * np.sqrt(np.minimum(p["n"][of], 1 << langid.LAST_BAND)))
+        for b in range(langid.LAST_BAND + 1):
+            lot = own[bands[of] == b]
+            middle, deviation = (whole, unit / 2 ** (b / 2)) if len(lot) < langid.BAND_ROWS else (np.median(lot), 1.4826 * np.median(np.abs(lot - np.median(lot))))
+            assert got.limit[j, b] == pytest.approx(middle + langid.DEVIATIONS * max(deviation, langid.LEAST_DEVIATION * middle))
+    fit = {s: np.logaddexp(0, (p["own"] - p["other"]) * np.minimum(p["n"], s)).mean() for s in (2.0, 5.0, 10.0, 20.0, 40.0)}
+    assert got.strength == min(fit, key=fit.get)
+
+
 def test_languages_of_few_rows_stay(spark):
     rows = [(1, "the thing of the other thing", "en"), (2, "das ding", "de"), (3, "12", "en"), (4, None, "en"), (5, "la chose", None)]
     kept = {x[0] for x in langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
