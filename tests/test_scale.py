@@ -164,3 +164,19 @@ def test_points_of_many_regions_test_few(spark):
     assert {a["roi_index"]: a["n"] for a in regions.point_counts(df, rois).collect()} == {i: n for i, n in want.items() if n}
     squares = regions.squares(rois)
     assert squares.select("first").distinct().count() == 121 and squares.filter("whole").count() > 121
+
+
+def test_region_distances_by_blocks_with_copies(spark):
+    """Pairs within and between blocks, and copies of one geometry, of which only one is searched."""
+    box = lambda x, y, s: [[[[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]]]]
+    given = [(float(7 * i % 50), float(11 * i % 40), 2.0) for i in range(9)]
+    given += [given[3], given[0], given[3]]
+    rois = spark.createDataFrame([(i, f"r{i}", "c", box(*g)) for i, g in enumerate(given)], f"roi_index int, roi_id string, class string, geometry {GEOMETRY}")
+    apart = lambda p, q, s: max(0.0, q - p - s, p - q - s)
+    for block in (2, 64):
+        got = {(r["i"], r["j"]): (r["roi_a"], r["roi_b"], r["distance_px"]) for r in regions.roi_distance(rois, block).collect()}
+        assert len(got) == len(given) * (len(given) - 1) // 2
+        for (i, j), (a, b, d) in got.items():
+            (x, y, s), (u, v, _) = given[i], given[j]
+            want = math.hypot(apart(x, u, s), apart(y, v, s))
+            assert i < j and (a, b) == (f"r{i}", f"r{j}") and (want == 0 or d == pytest.approx(want)) and (given[i] != given[j] or d == 0)
