@@ -38,6 +38,8 @@ LATTICE, STEP = 4096, 2
 LINES = 4096
 #: A cell's side in typical lengths of a segment.
 SIDE = 32
+#: Doubles hold all whole numbers below.
+EXACT = float(1 << 53)
 OPERATIONS = ("union", "intersection", "difference", "xor")
 SEGMENT = ("ax", "ay", "bx", "by")
 #: Splitting ends after a few rounds; more than so many would be a fault.
@@ -97,7 +99,8 @@ def turns(ax, ay, bx, by, px, py) -> np.ndarray:
     left, right = (bx - ax).astype(np.float64) * (py - ay), (by - ay).astype(np.float64) * (px - ax)
     d = left - right
     out = np.sign(d).astype(np.int64)
-    unsure = np.flatnonzero(np.abs(d) <= (np.abs(left) + np.abs(right)) * 1e-14)
+    size = np.abs(left) + np.abs(right)
+    unsure = np.flatnonzero((np.abs(d) <= size * 1e-14) & (size >= EXACT))
     for k in unsure:
         e = int(bx[k] - ax[k]) * int(py[k] - ay[k]) - int(by[k] - ay[k]) * int(px[k] - ax[k])
         out[k] = (e > 0) - (e < 0)

@@ -158,3 +158,19 @@ def test_close_pairs_and_turns():
     big = 1 << 36
     a, b, p = np.array([[0, 0]] * 3), np.array([[big, big - 1]] * 3), np.array([[2 * big, 2 * big - 2], [2 * big, 2 * big - 1], [2 * big, 2 * big - 3]])
     assert O.turns(*a.T, *b.T, *p.T).tolist() == [0, 1, -1]
+
+
+def test_turns_of_level_segments_need_no_whole_numbers(monkeypatch):
+    """Doubles are exact below 2^53, so that zeros there are decided; above, whole numbers still are."""
+    import numpy as np
+
+    from slidelake.operators import overlay
+
+    asked = []
+    monkeypatch.setattr(overlay, "int", lambda v: asked.append(v) or int(v), raising=False)
+    column = lambda *v: np.array(v, dtype=np.int64)
+    got = overlay.turns(column(0, 0), column(0, 0), column(8_000_000, 8_000_000), column(0, 0), column(5, 5), column(0, 1))
+    assert got.tolist() == [0, 1] and not asked
+    far = 1 << 30
+    assert overlay.turns(column(0), column(0), column(far), column(far + 1), column(far - 1), column(far)).tolist() == [1] and asked
+    assert overlay.turns(column(0), column(0), column(far), column(far), column(far - 1), column(far - 1)).tolist() == [0]
