@@ -3,13 +3,12 @@
 A radial kernel on two standardised coordinates has few directions that matter. On a lattice finer than the kernel's
 width it is, to about eight digits, a product of short feature vectors, so that the machine becomes linear in some hundred
 features and each pass over the points is a sum: value, slope and curvature of the objective. Samples of up to `block`
-places are solved in a task; larger ones are dealt out in parts whose sums are folded, 32 at a time, pass by pass.
+places are solved in a task; larger ones are dealt out in parts whose sums are folded, 32 at a time, pass by pass. Their
+passes begin at the optimum of one part, which is near that of all, so that few are left; the optimum itself is of all rows.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +24,7 @@ FEATURES = 1500
 STATE = "g string, a string, b string, w array<double>, d array<double>, f double, width int, passes int"
 
 PARTS = "explode(sequence(0L, parts - 1))"
+PAIRS = "inline(flatten(transform(labels, (a, i) -> transform(slice(labels, i + 2, size(labels)), b -> struct(a AS a, b AS b)))))"
 
 
 def axis(cells, gamma: float):
@@ -51,13 +51,13 @@ def features(shape, gamma: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def slopes(phi, sign, weight, w, h: float) -> np.ndarray:
-    """Sums of loss, its gradient and its curvature at w, in one array."""
+    """Sums of loss, its gradient and the upper triangle of its curvature at w, in one array."""
     m = 1 - sign * (phi @ w)
     near = np.abs(m) < h
     loss = np.where(m >= h, m, np.where(near, (m + h) ** 2 / (4 * h), 0.0))
     pull = np.where(m >= h, 1.0, np.where(near, (m + h) / (2 * h), 0.0))
     part = phi[near] * (weight[near] / (2 * h))[:, None]
-    return np.concatenate([[loss @ weight], -(phi.T @ (pull * weight * sign)), (part.T @ phi[near]).ravel()])
+    return np.concatenate([[loss @ weight], -(phi.T @ (pull * weight * sign)), (part.T @ phi[near])[np.triu_indices(phi.shape[1])]])
 
 
 def tried(state) -> list[np.ndarray]:
@@ -82,7 +82,9 @@ def moved(state, sums: np.ndarray, cost: float) -> dict:
     else:
         settled = not first and state["f"] - values[k] <= 1e-9 * abs(values[k])
         gradient = cost * sums[k][1 : 1 + size] + ridge * places[k]
-        curve = cost * sums[k][1 + size :].reshape(size, size) + np.diag(ridge)
+        half = np.zeros((size, size))
+        half[np.triu_indices(size)] = sums[k][1 + size :]
+        curve = cost * (np.triu(half) + np.triu(half, 1).T) + np.diag(ridge)
         curve[-1, -1] += 1e-6 * cost
         out |= {"w": places[k].tolist(), "d": (-np.linalg.solve(curve, gradient)).tolist(), "f": float(values[k])}
     if settled or out["passes"] >= PASSES:
@@ -90,10 +92,6 @@ def moved(state, sums: np.ndarray, cost: float) -> dict:
     return out
 
 
-def _pairs(shape):
-    return itertools.combinations(sorted(shape["labels"]), 2)
-
-
 def _part(places: pd.DataFrame, shape, gamma: float, states) -> list[np.ndarray]:
     """The sums over some places of every place that the states look at."""
     phi = features(shape, gamma, places["x"].to_numpy(), places["y"].to_numpy())
@@ -105,25 +103,37 @@ def _part(places: pd.DataFrame, shape, gamma: float, states) -> list[np.ndarray]
     return out
 
 
-def _start(shape, gamma: float) -> list[dict]:
+def _start(shape, gamma: float) -> dict:
     size = features(shape, gamma, np.zeros(0), np.zeros(0)).shape[1]
-    return [{"g": shape["g"], "a": a, "b": b, "w": [0.0] * size, "d": [], "f": 0.0, "width": 0, "passes": 0} for a, b in _pairs(shape)]
+    return {"g": shape["g"], "a": shape["a"], "b": shape["b"], "w": [0.0] * size, "d": [], "f": 0.0, "width": 0, "passes": 0}
+
 
+def _solved(places: DataFrame, shapes: DataFrame, again: DataFrame, gamma: float, cost: float, near: bool = False) -> DataFrame:
+    """All passes for each pair of labels over places of a sample that fit a task, a pair a task.
 
-def _whole(gamma: float, cost: float):
-    """All passes over one sample that fits a task."""
+    near: where the passes over a sample in parts begin, the optimum of places of one part, whose rows weigh as much as
+    all; 0 where it has none of the pair. `again` is shapes once more, as both sides of a cogroup may not share columns.
+    """
 
-    def solve(_, places, shapes):
-        if not len(places) or not len(shapes):
+    def solve(_, held, both):
+        if not len(both):
             return pd.DataFrame(columns=["g", "a", "b", "w", "d", "f", "width", "passes"])
-        shape, done = shapes.iloc[0], []
-        for s in _start(shape, gamma):
+        shape = both.iloc[0]
+        s, much = _start(shape, gamma), cost * float(shape["parts"])
+        if len(held):
+            phi = features(shape, gamma, held["x"].to_numpy(), held["y"].to_numpy())
+            sign, weight = np.where(held["label"] == s["a"], 1.0, -1.0), held["n"].to_numpy(dtype=float)
             while s["width"] < len(WIDTHS):
-                s = moved(s, _part(places, shape, gamma, [s])[0], cost)
-            done.append(s)
-        return pd.DataFrame(done)
+                s = moved(s, np.array([slopes(phi, sign, weight, w, WIDTHS[s["width"]]) for w in tried(s)]), much)
+            if near:
+                s |= {"d": [], "f": 0.0, "width": 1, "passes": 0}
+        return pd.DataFrame([s])
 
-    return solve
+    pairs = lambda table: table.select("*", F.expr(PAIRS))
+    # few rows that make much work: a number of parts that is not cut down by their size
+    dealt = lambda table: table.repartition(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "a", "b").groupBy("g", "a", "b")
+    mine = places.select("g", "x", "y", "label", "n").join(pairs(shapes).select("g", "a", "b"), "g").filter("label = a OR label = b")
+    return dealt(mine).cogroup(dealt(pairs(again))).applyInPandas(solve, STATE)
 
 
 def _again(table: DataFrame) -> DataFrame:
@@ -131,14 +141,10 @@ def _again(table: DataFrame) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(table._work_path)
 
 
-def _passes(places: DataFrame, shapes: DataFrame, gamma: float, cost: float) -> DataFrame:
+def _passes(places: DataFrame, shapes: DataFrame, again: DataFrame, gamma: float, cost: float) -> DataFrame:
     """The states of samples dealt out in parts, pass by pass; states are a table, of which a count alone reaches the driver."""
     spark = places.sparkSession
 
-    def begin(batches):
-        for pdf in batches:
-            yield pd.DataFrame([s for _, shape in pdf.iterrows() for s in _start(shape, gamma)], columns=["g", "a", "b", "w", "d", "f", "width", "passes"])
-
     def sums(key, held, both):
         states = [dict(r) for r in both[both["a"].notna()].to_dict("records")]
         shape = both[both["labels"].notna()]
@@ -158,14 +164,16 @@ def _passes(places: DataFrame, shapes: DataFrame, gamma: float, cost: float) ->
     most = shapes.agg(F.max("parts")).first()[0]
     spread = shapes.withColumn("part", F.expr(PARTS))
     total = "g string, a string, b string, part long, looked int, total array<double>"
-    state = written(shapes.mapInPandas(begin, STATE), "svm_state")
-    ended = []
+    places = written(places, "svm_dealt")
+    state = written(_solved(places.filter("part = 0"), shapes, again, gamma, cost, near=True), "svm_state")
+    over, ended = F.col("width") >= len(WIDTHS), []
     while True:
-        over = F.col("width") >= len(WIDTHS)
-        ended.append(written(state.filter(over), "svm_model"))
-        live = state.filter(~over)
-        if not live.limit(1).count():
+        left = {r["over"] for r in state.select(over.alias("over")).distinct().collect()}
+        if True in left:
+            ended.append(written(state.filter(over), "svm_model"))
+        if False not in left:
             break
+        live = state.filter(~over)
         sent = spread.unionByName(live.join(shapes.select("g", "parts"), "g").withColumn("part", F.expr(PARTS)), allowMissingColumns=True)
         table, left = places.groupBy("g", "part").cogroup(sent.groupBy("g", "part")).applyInPandas(sums, total), most
         while left > 1:
@@ -174,7 +182,8 @@ def _passes(places: DataFrame, shapes: DataFrame, gamma: float, cost: float) ->
         after = written(table.groupBy("g", "a", "b").cogroup(_again(state).filter(~over).groupBy("g", "a", "b")).applyInPandas(step, STATE), "svm_state")
         deleted(state)
         state = after
-    return ended[0] if len(ended) == 1 else spark.read.schema(STATE).parquet(*[e._work_path for e in ended])
+    deleted(places, state)
+    return spark.read.schema(STATE).parquet(*[e._work_path for e in ended])
 
 
 def refine_labels(points: DataFrame, label: str = "label", by: list[str] | None = None, cost: float = 1.0, gamma: float = 0.5, block: int = 20_000, out: str = "refined") -> DataFrame:
@@ -208,11 +217,10 @@ def refine_labels(points: DataFrame, label: str = "label", by: list[str] | None
     shapes = written(several.join(cells, "g").drop("rows", "k"), "svm_shapes")
     dealt = places.join(_again(shapes).select("g", "parts"), "g").withColumn("part", F.pmod(F.xxhash64("x", "y"), "parts"))
     trained = dealt.filter(known)
-    small = trained.filter("parts = 1").groupBy("g").cogroup(shapes.filter("parts = 1").groupBy("g")).applyInPandas(_whole(gamma, cost), STATE)
-    models = written(small, "svm_model")
+    models = written(_solved(trained.filter("parts = 1"), shapes.filter("parts = 1"), _again(shapes).filter("parts = 1"), gamma, cost), "svm_model")
     large = shapes.filter("parts > 1")
     if large.limit(1).count():
-        models = models.unionByName(_passes(trained.filter("parts > 1").drop("parts"), large, gamma, cost))
+        models = models.unionByName(_passes(trained.filter("parts > 1").drop("parts"), large, _again(shapes).filter("parts > 1"), gamma, cost))
 
     def vote(key, held, both):
         if not len(held):

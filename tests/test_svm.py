@@ -112,3 +112,16 @@ def test_query_against_the_dual(spark):
         want, near = brute(np.array([at[k] for k in ids]), np.array([got[k]["label"] for k in ids]))
         assert all(got[k]["refined"] == w for k, w, n in zip(ids, want, near, strict=True) if not n)
         assert near.mean() < 0.2
+
+
+def test_passes_over_parts_are_few(spark, monkeypatch):
+    """They begin at the optimum of one part: every pass over a large sample is a round of jobs."""
+    rounds = []
+    monkeypatch.setattr(svm, "written", lambda df, name, of=svm.written: (rounds.append(name), of(df, name))[1])
+    xy, labels = noisy(7, 300, 2)
+    rows = [(i, "s", float(a), float(b), str(v)) for i, ((a, b), v) in enumerate(zip(xy, labels, strict=True))]
+    whole = {r["id"]: r["refined"] for r in svm.refine_labels(frame(spark, rows), by=["sample"]).collect()}
+    assert "svm_state" not in rounds
+    parts = {r["id"]: r["refined"] for r in svm.refine_labels(frame(spark, rows), by=["sample"], block=150).collect()}
+    assert sum(parts[k] != whole[k] for k in whole) <= 3
+    assert 2 < rounds.count("svm_state") < 32
