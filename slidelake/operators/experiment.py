@@ -153,10 +153,9 @@ def measurement_report(rois: DataFrame, cells: DataFrame | None = None, channel_
     if cells is not None:
         made |= {"nearest_cells": lambda: proximity.nearest_cells(cells, key, pixel_size), "cells_to_roi": lambda: regions.cells_to_roi(cells, rois, key, pixel_size)}
     if channel_pixels is not None:
-        placed = regions.all_regions(channel_pixels, rois)
-        long = placed.select("roi_id", F.explode(F.create_map(F.lit("hematoxylin"), "hematoxylin", F.lit("dab"), "dab")).alias("channel", "value"))
-        by_roi = lambda: P.ihc_intensity(placed, threshold, pixel_size)
-        made |= {"stain": lambda: P.stain_intensity(long, ["roi_id", "channel"], threshold), "ihc": by_roi, "ihc_classes": lambda: P.ihc_classes(by_roi())}
+        long = lambda: regions.all_regions(channel_pixels, rois).select("roi_id", F.explode(F.create_map(F.lit("hematoxylin"), "hematoxylin", F.lit("dab"), "dab")).alias("channel", "value"))
+        by_roi = lambda: P.ihc_in_regions(channel_pixels, rois, threshold, pixel_size)
+        made |= {"stain": lambda: P.stain_intensity(long(), ["roi_id", "channel"], threshold), "ihc": by_roi, "ihc_classes": lambda: P.ihc_classes(by_roi())}
     return {name: table() for name, table in made.items() if only is None or name in only}
 
 
