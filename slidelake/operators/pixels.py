@@ -322,18 +322,21 @@ def artifacts(pixels: DataFrame, bubbles: DataFrame | None = None, blur: float =
 def focus(pixels: DataFrame, threshold: float = 0.001) -> DataFrame:
     """By tile the variance of the 3x3 Laplacian, the mean Sobel magnitude and Tenengrad, the contrast of the grey values, and whether the tile is blurry. Pixels without all eight neighbours have stencils of 0.
 
-    A pixel is sent to the nine places whose stencil it enters; the sums meet by place, so no task holds a whole tile.
+    A tile has one pixel at a place. Stencils are sums of rows' sums: each pixel meets its neighbours in its row, and these
+    sums meet those of the rows above and below, so that no pixel is copied and no task holds more than a row or column.
     """
     held = pixels.select("tile_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), grey().alias("v"))
-    lap = {(0, 0): -4.0, (1, 0): 1.0, (-1, 0): 1.0, (0, 1): 1.0, (0, -1): 1.0}
-    spots = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(lap.get((i, j), 0.0)).alias("l"), F.lit(float(j * (2 if i == 0 else 1))).alias("sx"), F.lit(float(i * (2 if j == 0 else 1))).alias("sy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    sent = held.select("tile_id", "row", "col", "v", F.explode(F.array(*spots)).alias("s"))
-    sums = sent.groupBy("tile_id", (F.col("row") - F.col("s.i")).alias("row"), (F.col("col") - F.col("s.j")).alias("col")).agg(
-        F.count("*").alias("k"), F.sum(F.col("v") * F.col("s.l")).alias("lap"), F.sum(F.col("v") * F.col("s.sx")).alias("gx"), F.sum(F.col("v") * F.col("s.sy")).alias("gy")
-    )
-    zero = lambda c: F.when(F.col("k") == 9, F.col(c)).otherwise(F.lit(0.0))
-    sums = sums.select("tile_id", "row", "col", zero("lap").alias("lap"), (zero("gx") * zero("gx") + zero("gy") * zero("gy")).alias("g2"))
-    each = held.join(sums, ["tile_id", "row", "col"])
+    across, down = Window.partitionBy("tile_id", "row").orderBy("col"), Window.partitionBy("tile_id", "col").orderBy("row")
+    sides = F.struct("v", "col")
+    held = held.withColumn("l", F.lag(sides).over(across)).withColumn("r", F.lead(sides).over(across))
+    full = (F.col("l.col") == F.col("col") - 1) & (F.col("r.col") == F.col("col") + 1)
+    sums = F.when(full, F.struct("row", F.col("v").alias("at"), (F.col("r.v") - F.col("l.v")).alias("step"), (F.col("l.v") + 2 * F.col("v") + F.col("r.v")).alias("sum"), (F.col("l.v") + F.col("r.v")).alias("beside")))
+    held = held.select("tile_id", "row", "col", "v", sums.alias("own"))
+    held = held.withColumn("a", F.lag("own").over(down)).withColumn("b", F.lead("own").over(down))
+    inner = F.col("own").isNotNull() & (F.col("a.row") == F.col("row") - 1) & (F.col("b.row") == F.col("row") + 1)
+    zero = lambda c: F.when(inner, c).otherwise(F.lit(0.0))
+    gx, gy = F.col("a.step") + 2 * F.col("own.step") + F.col("b.step"), F.col("b.sum") - F.col("a.sum")
+    each = held.select("tile_id", "v", zero(F.col("a.at") + F.col("b.at") + F.col("own.beside") - 4 * F.col("v")).alias("lap"), zero(gx * gx + gy * gy).alias("g2"))
     out = each.groupBy("tile_id").agg(F.var_samp("lap").alias("laplacian_variance"), F.avg(F.sqrt("g2")).alias("sobel_mean"), F.avg("g2").alias("tenengrad"), F.stddev_samp("v").alias("contrast"))
     return out.withColumn("blurry", F.col("laplacian_variance") <= threshold)
 

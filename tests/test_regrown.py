@@ -1,7 +1,7 @@
 """Steps whose work or memory grew faster than their input: report by region, focus, boundaries, index checks."""
 
 import numpy as np
-
+from pyspark.sql import functions as F
 
 from slidelake.operators import experiment, pixels, regions
 
@@ -33,3 +33,19 @@ def test_report_by_region_without_a_row_a_pixel_and_region(spark, monkeypatch):
     places, groups = regions.places_of_groups(px, rois, ["roi_id", "class"])
     q = {g["roi_id"]: g["q"] for g in groups.join(regions.set_percentiles(px, places, "dab", [0.0, 0.1, 1.0], digits=3), "__set").collect()}
     assert np.allclose(q["a"], np.percentile([p[3] for p in want["a", "t"]], [0, 10, 100]), atol=1e-12)
+
+
+def test_focus_copies_no_pixel(spark):
+    a = spark.range(30).select(F.lit(1).alias("tile_id"), (F.col("id") / 6).cast("int").alias("row"), (F.col("id") % 6).cast("int").alias("col"), *[((F.col("id") * 7 % 11) / 11).alias(c) for c in "rgb"]).filter("id <> 14")
+    out = pixels.focus(a)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    v = np.array([[(6 * i + j) * 7 % 11 / 11 for j in range(6)] for i in range(5)])
+    lap, g2 = [], []
+    for i in range(5):
+        for j in range(6):
+            w = v[i - 1 : i + 2, j - 1 : j + 2] if 0 < i < 4 and 0 < j < 5 and not (abs(i - 2) < 2 and abs(j - 2) < 2) else np.zeros((3, 3))
+            if (i, j) != (2, 2):
+                lap.append(w[0, 1] + w[2, 1] + w[1, 0] + w[1, 2] - 4 * w[1, 1])
+                g2.append((w[:, 2] @ [1, 2, 1] - w[:, 0] @ [1, 2, 1]) ** 2 + (w[2] @ [1, 2, 1] - w[0] @ [1, 2, 1]) ** 2)
+    got = out.first()
+    assert any(g2) and abs(got["tenengrad"] - np.mean(g2)) < 1e-9 and abs(got["laplacian_variance"] - np.var(lap, ddof=1)) < 1e-9
