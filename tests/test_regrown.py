@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from slidelake.operators import experiment, pixels, regions
+from slidelake.operators import cellindex, experiment, pixels, regions
 
 ROIS = "roi_index int, roi_id string, name string, class string, geometry array<array<array<array<double>>>>"
 
@@ -49,3 +49,11 @@ def test_focus_copies_no_pixel(spark):
                 g2.append((w[:, 2] @ [1, 2, 1] - w[:, 0] @ [1, 2, 1]) ** 2 + (w[2] @ [1, 2, 1] - w[0] @ [1, 2, 1]) ** 2)
     got = out.first()
     assert any(g2) and abs(got["tenengrad"] - np.mean(g2)) < 1e-9 and abs(got["laplacian_variance"] - np.var(lap, ddof=1)) < 1e-9
+
+
+def test_ids_of_two_tables_meet_in_one_shuffle(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "row_id long")
+    b = spark.createDataFrame([(2,), (3,), (3,), (None,)], "row_id long")
+    out = cellindex.mismatches(a, b)
+    assert sorted((r["row_id"] or 0, r["missing"]) for r in out.collect()) == [(0, "cells"), (0, "other"), (1, "other"), (3, "cells")]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
