@@ -51,6 +51,15 @@ def test_focus_copies_no_pixel(spark):
     assert any(g2) and abs(got["tenengrad"] - np.mean(g2)) < 1e-9 and abs(got["laplacian_variance"] - np.var(lap, ddof=1)) < 1e-9
 
 
+def test_boundaries_of_one_geometry_are_one(spark, monkeypatch):
+    rois = spark.createDataFrame([(i, f"r{i}", None, None, box(0, 0, 8, 8) if i % 2 else box(20, 20, 28, 28)) for i in range(3, 43)], ROIS)
+    sent = []
+    monkeypatch.setattr(regions, "boundary_pieces", lambda r, of=regions.boundary_pieces: (sent.append(r.count()), of(r))[1])
+    points = spark.createDataFrame([(1, 4.0, 1.0), (2, 30.0, 24.0), (3, None, 2.0)], "k int, x double, y double")
+    got = {r["k"]: (r["roi_id"], r["distance_px"], r["inside"]) for r in regions.cells_to_roi(points, rois, "k").collect()}
+    assert sent == [2] and got == {1: ("r3", 1.0, True), 2: ("r4", 2.0, False), 3: (None, None, None)}
+
+
 def test_ids_of_two_tables_meet_in_one_shuffle(spark):
     a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "row_id long")
     b = spark.createDataFrame([(2,), (3,), (3,), (None,)], "row_id long")
