@@ -28,14 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, written
+from .common import SPACES, small_batches, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: 28 bands of 6 registers miss a pair at the threshold with a probability of 0.0002, and ever fewer above.
 BANDS, ROWS = 28, 6
 #: Bytes of text that are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Members and askers of a bucket that meet in one block, about.
 MEMBERS, ASKERS = 1024, 256
 #: Bits of the map of wanted nodes: 2^20 rows of 64 bits at most, whatever the input.
@@ -224,7 +224,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -
             copies, buckets, sizes = signatures(pdf["text"].tolist(), bands, rows)
             yield pd.DataFrame({"id": pdf["id"], "copy": copies, "buckets": buckets, "size": sizes})
 
-    rows_in = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows_in = small_batches(docs).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows_in.mapInPandas(run, "id long, copy binary, buckets array<long>, size long")
 
 

@@ -13,6 +13,8 @@ SPACES = " \t\n\x0b\x0c\r"
 #: One word: a longest run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 TOKENIZERS = "/opt/tokenizers"
+#: Bytes of the Arrow batches in which texts go to Python workers: a task holds a batch several times, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -41,6 +43,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with batches for Python of BATCH_BYTES or a row at most from now on in its session; a smaller limit of the session stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def exists(spark: SparkSession, path: str, delete: bool = False) -> bool:
     """Whether the path is there, in any store that Spark knows; it may be removed at once."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

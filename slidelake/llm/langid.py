@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ranges
-from .common import text_or_empty, written
+from .common import small_batches, text_or_empty, written
 
 ORDER = 4
 #: A letter n-gram belongs to a language's model if its training texts have it so often. 1: all belong.
@@ -109,7 +109,7 @@ def count_grams(docs: DataFrame, text: str, lang: str, order: int) -> DataFrame:
                     keys, n = np.unique(key[by == k], return_counts=True)
                     yield pd.DataFrame({"lang": names[k][0], "half": names[k][1], "key": keys, "n": n})
 
-    rows = docs.select(F.col(lang).alias("lang"), half(F.col(text)).alias("half"), F.col(text).alias("text")).mapInPandas(counted, "lang string, half int, key long, n long")
+    rows = small_batches(docs).select(F.col(lang).alias("lang"), half(F.col(text)).alias("half"), F.col(text).alias("text")).mapInPandas(counted, "lang string, half int, key long, n long")
     return rows.groupBy("lang", "half", "key").agg(F.sum("n").alias("n"))
 
 
@@ -226,7 +226,8 @@ def gathered(rows: DataFrame, text_col: str, lang_col: str, order: int, least_co
     """Counts (lang, half, key, n) of the rows: of the n-grams that belong to the model, whatever their number.
 
     What comes to the driver is the model itself, bounded by the languages' letters and not by the number of texts; its
-    size is checked before, and a larger one is refused rather than made another model.
+    size is checked before, and a larger one is refused rather than made another model. It comes as Arrow columns with the
+    languages as a dictionary, 21 bytes a row, and never as Python rows.
     """
     held = written(count_grams(rows, text_col, lang_col, order), "grams")
     if least_count > 1:
@@ -234,15 +235,15 @@ def gathered(rows: DataFrame, text_col: str, lang_col: str, order: int, least_co
         held = held.join(common, ["lang", "key"], "left_semi")
     if held.count() > model_rows:
         raise ValueError(f"the model has more than {model_rows} n-grams: raise least_count, or model_rows where driver and workers have the memory")
-    return held.orderBy("lang", "half", "key").toPandas()
+    return held.orderBy("lang", "half", "key").toArrow().to_pandas(strings_to_categorical=True, self_destruct=True)
 
 
 def model_of(counts: pd.DataFrame, order: int) -> Model | None:
     if counts.empty:
         return None
     if counts["half"].nunique() > 1:
-        counts = counts.groupby(["lang", "key"], as_index=False)["n"].sum()
-    return kneser_ney({k: (g["key"].to_numpy(), g["n"].to_numpy()) for k, g in counts.groupby("lang")}, order)
+        counts = counts.groupby(["lang", "key"], as_index=False, observed=True)["n"].sum()
+    return kneser_ney({k: (g["key"].to_numpy(), g["n"].to_numpy()) for k, g in counts.groupby("lang", observed=True)}, order)
 
 
 def unseen_losses(models: dict[int, Model], rows: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -261,7 +262,7 @@ def unseen_losses(models: dict[int, Model], rows: DataFrame, text_col: str, lang
                 h[np.arange(len(h)), j] = np.inf
                 yield pd.DataFrame({"half": k, "lang": lot["lang"].to_numpy(), "n": n, "own": own, "other": np.minimum(h.min(axis=1), 1e3)})
 
-    asked = rows.select(half(F.col(text_col)).alias("half"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    asked = small_batches(rows).select(half(F.col(text_col)).alias("half"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return written(asked.mapInPandas(own_loss, "half int, lang string, n long, own double, other double").filter("n > 0"), "unseen")
 
 
@@ -356,7 +357,7 @@ def held_out(id_col: Column, folds: int = 4, fold: int = 2) -> Column:
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """For every row: id, held_out, lang_pred, score, rejected. Trained on the rows that are not held out."""
     model = train(docs.filter(~held_out(F.col(id_col))), id_col, text_col, lang_col)
-    rows = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), identify(model, F.col(text_col), docs.sparkSession).alias("found"))
+    rows = small_batches(docs).select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), identify(model, F.col(text_col), docs.sparkSession).alias("found"))
     return rows.select(id_col, "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.rejected").alias("rejected"))
 
 
@@ -380,4 +381,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     out[at] = ~found["rejected"] | (unknown & (found["lang"] != "und").to_numpy())
             yield pd.Series(out)
 
-    return docs.filter(kept(F.col(text_col), F.col(lang_col), half(text_or_empty(F.col(text_col)))))
+    return small_batches(docs).filter(kept(F.col(text_col), F.col(lang_col), half(text_or_empty(F.col(text_col)))))

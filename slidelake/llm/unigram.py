@@ -32,10 +32,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS
+from .common import TOKENIZERS, small_batches
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 MARK = "▁"
@@ -46,6 +47,8 @@ MEMORY = 150_000
 LONG, VERY_LONG = 64, 2048
 #: Bytes in which places to cut are looked for at once.
 STEP = 1 << 20
+#: Texts that are encoded at once; cells (a byte of a stretch each, 21 bytes) of the tables in which stretches are segmented together.
+LOT, CELLS = 250, 1 << 19
 #: A stretch: markers and what follows them up to the next.
 STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -256,7 +259,7 @@ class Encoder:
             lot = [new[at]]
             limit = 2 * len(lot[0]) + 16
             at += 1
-            while at < len(new) and len(lot) * limit < 1 << 21 and len(new[at]) <= limit:
+            while at < len(new) and len(lot) * limit < CELLS and len(new[at]) <= limit:
                 lot.append(new[at])
                 at += 1
             out.update(zip(lot, self.viterbi(lot), strict=True))
@@ -277,23 +280,28 @@ class Encoder:
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder_of(pieces: Pieces, name: tuple[str, str]) -> Encoder:
+def spread_encoder(spark: SparkSession, model: str, scores: str) -> Broadcast:
+    """The encoder for all workers. The trie is built once, by the driver: building takes many times the memory that the trie does."""
+    return spark.sparkContext.broadcast(Encoder(read_pieces(model, scores)))
+
+
+def encoder_of(held: Broadcast, name: tuple[str, str]) -> Encoder:
     """This Python worker's encoder for the model; workers live on from task to task, and with them what the encoder remembers."""
     if name not in _encoders:
-        _encoders[name] = Encoder(pieces)
+        _encoders[name] = held.value
     return _encoders[name]
 
 
 def encoded(docs: DataFrame, model: str = MODEL, scores: str = "zipf", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id, n_chars, n_pieces, ids, exact (decoding the ids gives the text)."""
-    held = docs.sparkSession.sparkContext.broadcast(read_pieces(model, scores))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    held = spread_encoder(docs.sparkSession, model, scores)
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(held.value, (model, scores))
+        encoder = encoder_of(held, (model, scores))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                lot = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, LOT):
+                lot = batch.slice(at, LOT)
                 texts = lot.column("text").to_pylist()
                 ids = encoder.encode_all(texts)
                 exact = [None if t is None else encoder.decode(x) == t for t, x in zip(texts, ids, strict=True)]
@@ -309,12 +317,12 @@ def encoded(docs: DataFrame, model: str = MODEL, scores: str = "zipf", id_col: s
 
 def decoded(rows: DataFrame, model: str = MODEL, scores: str = "zipf", ids_col: str = "ids") -> DataFrame:
     """rows with their ids' text as the column `text`; null ids give null."""
-    held = rows.sparkSession.sparkContext.broadcast(read_pieces(model, scores))
+    held = spread_encoder(rows.sparkSession, model, scores)
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = encoder_of(held.value, (model, scores))
+        encoder = encoder_of(held, (model, scores))
         for ids in batches:
             yield pd.Series([None if x is None else encoder.decode(np.asarray(x)) for x in ids], dtype=object)
 
-    return rows.withColumn("text", text(F.col(ids_col)))
+    return small_batches(rows).withColumn("text", text(F.col(ids_col)))

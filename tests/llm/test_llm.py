@@ -837,6 +837,61 @@ def test_language_model_is_refused_and_never_made_smaller(spark, docs):
     assert model.order == 4 and len(model.keys[3]) < len(langid.train(docs).keys[3])
 
 
+# memory of Python workers
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    """Each operator of the pipeline that hands texts to Python bounds the bytes of a batch, not only its rows; a smaller limit stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("lorem ip"), 500).alias("text"), F.lit("en").alias("lang"))
+
+    def measured(batches):
+        for batch in batches:
+            yield batch.from_pydict({"n": [sum(len(t) for t in batch.column("text").to_pylist())]})
+
+    before = spark.conf.get(name)
+    try:
+        for plan in (lambda: langid.count_grams(docs, "text", "lang", 4), lambda: bagminhash.signed(docs, "doc_id", "text", 2, 2), lambda: unigram.encoded(docs)):
+            spark.conf.set(name, "64m")
+            plan()
+            sizes = [r["n"] for r in docs.mapInArrow(measured, "n long").collect()]
+            assert sum(sizes) == 3000 * 4000 and max(sizes) <= common.BATCH_BYTES + 4000
+        spark.conf.set(name, "100000b")
+        unigram.encoded(docs)
+        assert spark.conf.get(name) == "100000b"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_stretches_are_segmented_in_small_tables(encoder):
+    """The same ids in tables of any size, and no table of many times the stretches' bytes."""
+    import tracemalloc
+
+    words = [f"▁{i * 7919 % 1000003:x}nd{i}".encode() for i in range(60_000)]
+    tracemalloc.start()
+    encoder.learn_parts(found := {}, words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6
+    assert [found[w] for w in words[::600]] == encoder.viterbi(words[::600])
+
+
+def test_counts_of_the_language_model_are_columns(spark, docs):
+    """Languages come as a dictionary, not a string a row; one that a half lacks is in none of its models."""
+    rows = docs.select("text", "lang").union(spark.createDataFrame([("das ding", "de")], "text string, lang string"))
+    counts = langid.gathered(rows, "text", "lang", 4, 1, 10**6)
+    assert counts.memory_usage(index=False, deep=True).sum() < 25 * len(counts) + 1000
+    brute = Counter()
+    for t, lang in rows.collect():
+        for at, lot in langid.pieces([t]):
+            brute.update((lang, int(k)) for k in langid.grams(at, lot, 4)[0])
+    got = Counter()
+    for lang, key, n in counts[["lang", "key", "n"]].itertuples(index=False):
+        got[lang, key] += n
+    assert got == brute
+    assert sorted(len(langid.model_of(counts[counts["half"] == k], 4).langs) for k in (0, 1)) == [1, 2]
+
+
 # pipeline
 
 
