@@ -174,3 +174,68 @@ def test_turns_of_level_segments_need_no_whole_numbers(monkeypatch):
     far = 1 << 30
     assert overlay.turns(column(0), column(0), column(far), column(far + 1), column(far - 1), column(far)).tolist() == [1] and asked
     assert overlay.turns(column(0), column(0), column(far), column(far), column(far - 1), column(far - 1)).tolist() == [0]
+
+
+def by_key(df):
+    rows = df.collect()
+    got = {(r["roi_id"], r["operation"]): r["geometry"] for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def test_keys_of_few_corners_meet_no_grid(spark, monkeypatch, cases, found):
+    """Many keys at once in arrays give the same corners, ring by ring, as a group a cell, wherever a key goes."""
+    subjects, clips = (frame(spark, c.items()) for c in cases)
+    few = O.overlays(subjects, clips)
+    assert "FlatMapGroupsInPandas" not in few._jdf.queryExecution().toString()
+    monkeypatch.setattr(O, "AT_ONCE", 30)
+    assert by_key(O.overlays(subjects, clips)) == found
+    monkeypatch.setattr(O, "FEW", 40)
+    assert by_key(O.overlays(subjects, clips)) == found
+    monkeypatch.setattr(O, "FEW", -1)
+    assert by_key(O.overlays(subjects, clips)) == found
+
+
+def test_many_keys_of_boxes(spark, monkeypatch):
+    """Areas by counting whole pixels; holes, touching corners, shared edges and cancelled rings are among them."""
+    r = random.Random(3)
+    rows = [{f"k{k}": [] for k in range(300)} for _ in range(2)]
+    for k in range(300):
+        for _ in range(r.randint(1, 8)):
+            x, y = r.randint(0, 12), r.randint(0, 12)
+            rows[r.randint(0, 1)][f"k{k}"].append([box(x, y, x + r.randint(1, 8), y + r.randint(1, 8))])
+    subjects, clips = (frame(spark, c.items()) for c in rows)
+    got = by_key(O.overlays(subjects, clips))
+    assert len(got) == 1200
+    for k in rows[0]:
+        s, c = ({(x, y) for p in t[k] for x in range(int(p[0][0][0]), int(p[0][2][0])) for y in range(int(p[0][0][1]), int(p[0][2][1]))} for t in rows)
+        for operation, want in (("union", s | c), ("intersection", s & c), ("difference", s - c), ("xor", s ^ c)):
+            assert area(got[k, operation]) == len(want), (k, operation)
+    monkeypatch.setattr(O, "FEW", -1)
+    some = {k: v for k, v in got.items() if len(k[0]) == 2}
+    assert by_key(O.overlays(subjects.filter("length(roi_id) = 2"), clips.filter("length(roi_id) = 2"))) == some
+
+
+def test_odd_and_large_keys_go_by_cells(spark, monkeypatch):
+    """Corners far away or with a third coordinate, beside keys that need no grid."""
+    far = 70000.0
+    tall = [[[p + [9.0] for p in box(0, 0, 10, 10)]]]
+    subjects = frame(spark, [("far", [[box(far, far, far + 10, far + 10)]]), ("tall", tall), ("near", [[box(0, 0, 10, 10)]]), ("null", None)])
+    clips = frame(spark, [("far", [[box(far + 5, far, far + 15, far + 10)]]), ("tall", [[box(5, 0, 15, 10)]]), ("near", [[box(5, 0, 15, 10)]])])
+    taken, cells = [], O.by_cells
+    monkeypatch.setattr(O, "by_cells", lambda s, c, *more: taken.extend(r["key"] for r in s.collect()) or cells(s, c, *more))
+    got = by_key(O.overlays(subjects, clips))
+    assert sorted(taken) == ["far", "tall"] and len(got) == 16
+    for k in ("far", "tall", "near"):
+        assert [area(got[k, o]) for o in O.OPERATIONS] == pytest.approx([150, 50, 50, 100], abs=1e-4), k
+    assert got["null", "union"] == []
+
+
+def test_crossings_are_exact():
+    r = np.random.default_rng(2)
+    for reach in (40, 1 << 22, 1 << 29, 1 << 33):
+        p, q = (r.integers(-reach, reach, (400, 4)) * 2 for _ in range(2))
+        t = lambda a, b, e: O.turns(*a.T, b[:, e], b[:, e + 1])
+        k = np.flatnonzero((t(p, q, 0) * t(p, q, 2) < 0) & (t(q, p, 0) * t(q, p, 2) < 0))
+        assert len(k) > 20
+        assert [tuple(v) for v in O.crossings(p[k], q[k]).tolist()] == [O.crossing(tuple(a), tuple(b)) for a, b in zip(p[k].tolist(), q[k].tolist())]
