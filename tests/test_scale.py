@@ -180,3 +180,23 @@ def test_region_distances_by_blocks_with_copies(spark):
             (x, y, s), (u, v, _) = given[i], given[j]
             want = math.hypot(apart(x, u, s), apart(y, v, s))
             assert i < j and (a, b) == (f"r{i}", f"r{j}") and (want == 0 or d == pytest.approx(want)) and (given[i] != given[j] or d == 0)
+
+
+def test_regions_that_share_distances_meet_without_another_shuffle(spark, monkeypatch):
+    """Copies of few geometries are dealt into parts of bounded size and listed where the distances are; a distance is rounded once."""
+    triangle = lambda x, y: [[[[x, y], [x + 3, y + 1], [x + 1, y + 4], [x, y]]]]
+    given = [(float(k % 4 * 9), float(k % 3 * 7)) for k in range(40)]
+    rois = spark.createDataFrame([(i, f"r{i}", "c", triangle(*g)) for i, g in enumerate(given)] + [(99, "line", "c", [])], f"roi_index int, roi_id string, class string, geometry {GEOMETRY}")
+    found = regions.roi_distance(rois)
+    above = found._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert "Join" not in above and "Exchange" not in above
+    want = {(r["i"], r["j"]): r for r in found.collect()}
+    assert sorted(want) == [(i, j) for i in range(40) for j in range(i + 1, 40)]
+    for (i, j), r in want.items():
+        same = want.get((i % 12, j % 12)) or want.get((j % 12, i % 12))
+        assert (r["roi_a"], r["roi_b"]) == (f"r{i}", f"r{j}") and r["distance_px"] == (same["distance_px"] if same else 0)
+    for part, row, block in ((3, 2, 64), (7, 32, 5), (4096, 1, 2)):
+        monkeypatch.setattr(regions, "PART", part)
+        monkeypatch.setattr(regions, "ROW", row)
+        rows = regions.roi_distance(rois, block, places=2).collect()
+        assert len(rows) == 780 and all(r["distance_px"] == round(want[r["i"], r["j"]]["distance_px"], 2) for r in rows)
